@@ -6,18 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import urlfilter
+from . import bpe, packing, urlfilter, warc
 from .storage import table
 
 
+def op7_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(table(spark, sf_dir, "pages"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_warc_archive": warc.query,
+    "op3_bin_slack": packing.query,
+    "op7_bpe_trie": op7_bpe_trie,
     "op9_url_filter": op9_url_filter,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_warc_archive": warc.ORACLE_SQL,
     "op9_url_filter": urlfilter.oracle_sql(),
 }
