@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, urlfilter, warc
+from . import bpe, packing, simhash, spotsigs, urlfilter, warc
 from .storage import table
 
 
@@ -21,11 +21,14 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc_archive": warc.query,
     "op3_bin_slack": packing.query,
+    "op4_spotsigs": spotsigs.query,
+    "op5_simhash_dedup": simhash.query,
     "op7_bpe_trie": op7_bpe_trie,
     "op9_url_filter": op9_url_filter,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_warc_archive": warc.ORACLE_SQL,
+    "op4_spotsigs": spotsigs.ORACLE_SQL,
     "op9_url_filter": urlfilter.oracle_sql(),
 }
