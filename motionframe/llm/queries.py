@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, simhash, spotsigs, urlfilter, warc
+from . import ann, bpe, packing, simhash, spotsigs, urlfilter, warc
 from .storage import table
 
 
@@ -24,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_spotsigs": spotsigs.query,
     "op5_simhash_dedup": simhash.query,
     "op7_bpe_trie": op7_bpe_trie,
+    "op8_ann_search": ann.query,
     "op9_url_filter": op9_url_filter,
 }
 
