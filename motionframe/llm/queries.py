@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, packing, simhash, spotsigs, urlfilter, warc
+from . import ann, bpe, packing, simhash, spotsigs, toxicity, urlfilter, warc
 from .storage import table
 
 
@@ -26,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_bpe_trie": op7_bpe_trie,
     "op8_ann_search": ann.query,
     "op9_url_filter": op9_url_filter,
+    "op10_toxicity": toxicity.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
