@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, packing, simhash, spotsigs, toxicity, urlfilter, warc
+from . import ann, bpe, packing, simhash, spotsigs, suffix, toxicity, urlfilter, warc
 from .storage import table
 
 
@@ -23,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bin_slack": packing.query,
     "op4_spotsigs": spotsigs.query,
     "op5_simhash_dedup": simhash.query,
+    "op6_suffix_dedup": suffix.query,
     "op7_bpe_trie": op7_bpe_trie,
     "op8_ann_search": ann.query,
     "op9_url_filter": op9_url_filter,
