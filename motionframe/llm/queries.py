@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, packing, simhash, spotsigs, suffix, toxicity, urlfilter, warc
+from . import ann, bpe, lm_score, packing, simhash, spotsigs, suffix, toxicity, urlfilter, warc
 from .storage import table
 
 
@@ -19,6 +19,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pitman_yor": lm_score.query,
     "op2_warc_archive": warc.query,
     "op3_bin_slack": packing.query,
     "op4_spotsigs": spotsigs.query,
