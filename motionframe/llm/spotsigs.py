@@ -47,12 +47,12 @@ def signature_texts(text: Column, anchors: tuple[str, ...] = ANCHORS, chain: int
     """The sorted distinct signatures ``anchor:word:..:word``; where there is none, the whole normalised text is the one."""
     any_anchor = f"(?:{_alternatives(anchors)} )"
     following = " ".join([f"{any_anchor}*+(\\S+)"] * chain)
-    pattern = f".*? ({_alternatives(anchors)})(?= {following} )"
+    pattern = f".*? ({_alternatives(anchors)})(?= {following} )|.+"  # the rest after the last chain is one match, never searched again
     refs = ":".join(f"${i}" for i in range(1, chain + 2))
     plain = normalised(text)
     found = F.split(F.regexp_replace(plain, pattern, refs + ";"), ";")
-    chains = F.slice(found, 1, F.size(found) - 1)
-    return F.when(F.size(found) > 1, F.array_sort(F.array_distinct(chains))).otherwise(F.array(plain))
+    chains = F.slice(found, 1, F.size(found) - 2)
+    return F.when(F.size(found) > 2, F.array_sort(F.array_distinct(chains))).otherwise(F.array(plain))
 
 
 def fingerprint_of(signatures: Column) -> Column:
