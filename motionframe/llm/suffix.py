@@ -23,7 +23,7 @@ from .storage import Scratch, id_and_text, pieces_for, table
 MATCH = 50
 GRAM = 24
 #: Bytes of text per chunk and per shard, and the documents from which an anchor's strings are dealt out one by one.
-CHUNK, SHARD, HOT = 1 << 20, 1 << 23, 1000
+CHUNK, SHARD, HOT = 1 << 20, 1 << 21, 1000
 LEAST_SHARDS = 64
 NO_ID = (1 << 63) - 1
 #: Marks the hashes of strings that were dealt out one by one, whose answers hold for no longer slice.
@@ -37,7 +37,7 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, kept per worker."""
     if len(_powers[0]) < n:
         for i, b in enumerate((_BASE, np.uint64(pow(int(_BASE), -1, 1 << 64)))):
-            steps = np.full(2 * n, b, np.uint64)
+            steps = np.full(n + n // 4, b, np.uint64)
             steps[0] = 1
             _powers[i] = np.cumprod(steps)
     return _powers[0][:n], _powers[1][:n]
@@ -99,7 +99,7 @@ class Chunk:
         last[:-1] &= ~valid[1:] | (at[1:] != at[:-1])
         self.lo = np.flatnonzero(first)
         self.size = np.flatnonzero(last) - self.lo + 1
-        self.anchor = h[at[self.lo]]
+        self.anchor = _mix(h[at[self.lo]] + _BASE)  # smallest hashes are small: mixed again, they spread over all shards
         self.doc = np.searchsorted(self.ends, self.lo)
 
     def slices(self, lo: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -165,7 +165,7 @@ def repeated_strings(docs: DataFrame, match: int = MATCH, gram: int = GRAM, with
     scratch = scratch or Scratch(spark, "suffix")
     chunks = pieces_for(docs, "text", CHUNK)
     shards = max(LEAST_SHARDS, -(-chunks * CHUNK // SHARD))
-    buckets = max(24, -(-chunks * CHUNK // SHARD))
+    buckets = max(24, -(-chunks // 8))
     name = "chunks_" + scratch.root.rsplit("-", 1)[1]
     path = f"{scratch.root}/{name}"
     laid = distinct_texts(docs, chunks).repartition(buckets, "chunk")
