@@ -14,7 +14,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
@@ -109,5 +109,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return marked.join(component, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One row of each component, that of the smallest doc_id, with all its columns; of rows that repeat the id the first by text."""
+    kept = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    key = lambda c: F.coalesce(c.cast("long"), F.lit(-(1 << 63)))
+    ids = kept.select(key(F.col("doc_id")).alias("_kept_key")).distinct()
+    marked = docs.withColumn("_kept_key", key(F.col("doc_id"))).join(ids, "_kept_key", "left_semi")
+    first = Window.partitionBy("_kept_key").orderBy(F.col("text").asc_nulls_first())
+    return marked.withColumn("_kept_rank", F.row_number().over(first)).where(F.col("_kept_rank") == 1).select(*docs.columns)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
