@@ -201,7 +201,7 @@ def repeated_strings(docs: DataFrame, match: int = MATCH, gram: int = GRAM, with
             return pd.DataFrame(out, columns=["chunk", "shard", "low", "hot"])
 
         def surroundings(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            columns = ["shard", "chunk", "data", "size", "doc"]
+            columns = ["shard", "chunk", "data", "size", "doc", "anchor"]
             if not len(left) or not len(right):
                 return pd.DataFrame([], columns=columns)
             chunk, ids, _ = _laid_out(left, match, gram)
@@ -220,18 +220,20 @@ def repeated_strings(docs: DataFrame, match: int = MATCH, gram: int = GRAM, with
             doc = ids[np.concatenate([chunk.doc[found], np.repeat(chunk.doc[crowded], times)])]
             alone = np.arange(len(lo)) >= found.sum()
             h = chunk.hashes.of(lo, lo + size + match - 1)
-            shard = _shard(np.concatenate([chunk.anchor[found], h[found.sum() :]]), shards)
+            anchor = np.concatenate([chunk.anchor[found], np.repeat(chunk.anchor[crowded], times)])
+            shard = _shard(np.where(alone, h, anchor), shards)
             order = np.lexsort((doc, h, shard))
-            h, shard, lo, size, doc, alone = h[order], shard[order], lo[order], size[order], doc[order], alone[order]
+            h, shard, lo, size, doc, alone, anchor = h[order], shard[order], lo[order], size[order], doc[order], alone[order], anchor[order]
             new = np.append(True, h[1:] != h[:-1])[: len(h)] | np.append(True, shard[1:] != shard[:-1])[: len(h)]
             own = np.flatnonzero(new)
             several = np.append(own[1:], len(h)) - own > 1
             shard, lo, size, doc = shard[own], lo[own], size[own], doc[own]
-            packed = (size | alone[own] << 6 | several << 7).astype(np.uint8)
+            alone, anchor = alone[own], anchor[own]
+            packed = (size | alone << 6 | several << 7).astype(np.uint8)
             cuts = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])[: len(shard)])
             out = []
             for a, b in zip(cuts, np.append(cuts[1:], len(shard))):
-                out.append((int(shard[a]), int(left["chunk"].iat[0]), chunk.slices(lo[a:b], size[a:b]).tobytes(), packed[a:b].tobytes(), doc[a:b].tobytes()))
+                out.append((int(shard[a]), int(left["chunk"].iat[0]), chunk.slices(lo[a:b], size[a:b]).tobytes(), packed[a:b].tobytes(), doc[a:b].tobytes(), anchor[a:b][alone[a:b]].tobytes()))
             return pd.DataFrame(out, columns=columns)
 
         def repeats(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -268,13 +270,14 @@ def repeated_strings(docs: DataFrame, match: int = MATCH, gram: int = GRAM, with
             mask = np.zeros(len(count), np.uint32)
             np.bitwise_or.at(mask, owner[strings], earlier[strings].astype(np.uint32) << (strings - np.repeat(to, count)).astype(np.uint32))
             bounds, out = np.cumsum([0, *map(len, sizes)]), []
-            for i, chunk in enumerate(pdf["chunk"]):
+            for i, (chunk, anchor) in enumerate(zip(pdf["chunk"], pdf["anchor"])):
                 part = slice(bounds[i], bounds[i + 1])
                 told = (doc[part] > first[at[part]]) | (packed[part] > 127) | (mask[at[part]] > 0)
                 if told.any():
-                    which = at[part][told]
-                    out.append((chunk, distinct[which].tobytes(), first[which].tobytes(), mask[which].tobytes()))
-            return pd.DataFrame(out, columns=["chunk", "slice", "first", "mask"])
+                    which, alone = at[part][told], packed[part] & 64 > 0
+                    crowded = np.unique(np.frombuffer(anchor, np.uint64)[told[alone]])
+                    out.append((chunk, distinct[which].tobytes(), first[which].tobytes(), mask[which].tobytes(), crowded.tobytes()))
+            return pd.DataFrame(out, columns=["chunk", "slice", "first", "mask", "crowded"])
 
         def removed(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             import hashlib
@@ -302,8 +305,12 @@ def repeated_strings(docs: DataFrame, match: int = MATCH, gram: int = GRAM, with
                     np.add.at(steps, begin + match, -1)
 
                 mark(chunk.lo, chunk.size, chunk.doc, np.uint64(0))
-                each = np.repeat(chunk.lo - (np.cumsum(chunk.size) - chunk.size), chunk.size) + np.arange(chunk.size.sum())
-                mark(each, np.ones(len(each), np.int64), np.repeat(chunk.doc, chunk.size), ALONE)
+                crowded = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in right["crowded"]]))
+                if len(crowded):
+                    at = crowded[np.minimum(np.searchsorted(crowded, chunk.anchor), len(crowded) - 1)] == chunk.anchor
+                    lo, size, doc = chunk.lo[at], chunk.size[at], chunk.doc[at]
+                    each = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                    mark(each, np.ones(len(each), np.int64), np.repeat(doc, size), ALONE)
                 covered = np.cumsum(steps[:-1]) > 0
             total = np.append(0, np.cumsum(covered))
             begins = covered.copy()
@@ -319,8 +326,8 @@ def repeated_strings(docs: DataFrame, match: int = MATCH, gram: int = GRAM, with
 
         told = texts.groupBy("chunk").applyInPandas(anchors, "shard int, chunk int, low binary, count binary")
         matched = scratch.save("matched", told.groupBy("shard").applyInPandas(shared_anchors, "chunk int, shard int, low binary, hot binary"))
-        asked = texts.groupBy("chunk").cogroup(matched.groupBy("chunk")).applyInPandas(surroundings, "shard int, chunk int, data binary, size binary, doc binary")
-        answers = scratch.save("answers", asked.groupBy("shard").applyInPandas(repeats, "chunk int, slice binary, first binary, mask binary"))
+        asked = texts.groupBy("chunk").cogroup(matched.groupBy("chunk")).applyInPandas(surroundings, "shard int, chunk int, data binary, size binary, doc binary, anchor binary")
+        answers = scratch.save("answers", asked.groupBy("shard").applyInPandas(repeats, "chunk int, slice binary, first binary, mask binary, crowded binary"))
         result = texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(removed, "digest string, k long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text)
         result = scratch.save("result", result)
         scratch.drop("matched", "answers")
@@ -360,5 +367,22 @@ def remove_repeats(docs: DataFrame, match: int = MATCH, gram: int = GRAM, with_t
     return joined.select(*columns, *([F.when(copy, F.lit("")).otherwise(F.col("kept_text")).alias("kept_text")] if with_text else []))
 
 
+def cut_repeats(docs: DataFrame, match: int = MATCH, gram: int = GRAM) -> DataFrame:
+    """``docs`` with repeated strings cut out of ``text`` (whole characters) and ``n_chars``, where there is one, counted anew.
+
+    Rows that lose their whole text go; texts that were empty stay, as do null ones. Texts are joined once.
+    """
+    found = repeated_strings(id_and_text(docs), match, gram, with_text=True).select(F.col("digest").alias("_cut_digest"), F.col("k").alias("_cut_k"), F.col("kept_text").alias("_cut_text"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    marked = docs.select("*", F.sha2(text.cast("binary"), 256).alias("_cut_digest"), F.octet_length(text).alias("_cut_bytes"), F.col("text").isNull().alias("_cut_null")).drop("text")
+    joined = marked.join(found, "_cut_digest")
+    copy = (F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) > F.col("_cut_k")) & (F.col("_cut_bytes") >= match)
+    cut = joined.withColumn("text", F.when(F.col("_cut_null"), None).when(copy, F.lit("")).otherwise(F.col("_cut_text")))
+    cut = cut.where((F.col("_cut_bytes") == 0) | (F.col("text") != ""))
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.char_length(F.coalesce("text", F.lit(""))).cast(docs.schema["n_chars"].dataType))
+    return cut.select(*docs.columns)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
