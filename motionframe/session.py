@@ -24,3 +24,14 @@ def ship(spark: SparkSession) -> None:
                     out.write(full, os.path.relpath(full, os.path.dirname(package)))
     context.addPyFile(path)
     context._motionframe_shipped = True
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The cluster's shared checkpoint folder; one of our own only where none is set (tests)."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        path = "file://" + tempfile.mkdtemp(prefix="motionframe-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(path)
+    return path
