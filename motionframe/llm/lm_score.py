@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +26,9 @@ from .storage import Scratch, fold, id_and_text, pieces_for, table
 
 CLASSES, PER_CLASS = 256, 256
 CONTEXTS = CLASSES * PER_CLASS
-CHUNK, SHARD, LEAST_SHARDS = 1 << 24, 1 << 23, 64
+CHUNK, SHARD, LEAST_SHARDS = 1 << 23, 1 << 23, 64
+#: Log10 probabilities travel in steps of one 2048th; a text's score is off by the mean of its tokens' rounding, about nothing.
+STEPS = 2048
 EXACT = 64
 END = b""
 BLOCK = 8192
@@ -42,6 +45,23 @@ class Model:
     seed: int = 11
 
 
+def squeeze(values: np.ndarray) -> bytes:
+    """A compressed integer array: the bytes of one significance together."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(planes)
+
+
+def stretch(data: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(planes.reshape(size, -1).T).view(kind).reshape(-1)
+
+
+def steps(values: np.ndarray) -> np.ndarray:
+    """Differences to the value before, modulo the type's range."""
+    return np.diff(values, prepend=values.dtype.type(0))
+
+
 class Totals:
     """What restaurants know of themselves: customers and tables by context and class, and a few sums; a vector of fixed length."""
 
@@ -63,21 +83,23 @@ class Totals:
         for i in range(0, self.SIZE, BLOCK):
             part = self.vector[i : i + BLOCK]
             if part.any():
-                yield i // BLOCK, part.tobytes()
+                yield i // BLOCK, squeeze(part)
 
 
 def summed(blocks: DataFrame) -> Totals:
     """The sum of totals given as rows ``part, block, data``, in two steps; the driver gets one vector."""
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.sum([np.frombuffer(x) for x in pdf["data"]], axis=0)
-        return pd.DataFrame({"part": [0], "block": [pdf["block"].iat[0]], "data": [total.tobytes()]})
+        total = stretch(pdf["data"].iat[0], np.float64).copy()
+        for x in pdf["data"].iloc[1:]:
+            total += stretch(x, np.float64)
+        return pd.DataFrame({"part": [0], "block": [pdf["block"].iat[0]], "data": [squeeze(total)]})
 
     schema = "part int, block int, data binary"
     once = blocks.withColumn("part", F.pmod("part", F.lit(32)).cast("int")).groupBy("part", "block").applyInPandas(add, schema)
     out = Totals()
     for r in once.groupBy("block").applyInPandas(add, schema).collect():
-        data = np.frombuffer(r["data"])
+        data = stretch(r["data"], np.float64)
         out.vector[r["block"] * BLOCK : r["block"] * BLOCK + len(data)] = data
     return out
 
@@ -99,16 +121,17 @@ class Packed:
         give = index.setdefault
         streams = []
         for text in texts:
-            streams.append(np.array([give(w, len(index)) for w in text.encode().lower().split()] + [0], dtype=np.int64))
+            streams.append(np.array([give(w, len(index)) for w in text.encode().lower().split()] + [0], dtype=np.int32))
         self.n_tokens = np.array([len(s) for s in streams], dtype=np.int64)
-        tokens = np.concatenate(streams) if streams else np.zeros(0, np.int64)
+        tokens = np.concatenate(streams) if streams else np.zeros(0, np.int32)
+        del streams
         first = np.cumsum(self.n_tokens) - self.n_tokens
         hashes = np.array([xxhash.xxh64_intdigest(w) for w in index], dtype=np.uint64)
         contexts = np.array([context_of(w, int(h)) for w, h in zip(index, hashes)], dtype=np.int64)
         order = np.argsort(hashes)
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        before = np.append(0, tokens[:-1])
+        before = np.append(np.int32(0), tokens[:-1])
         before[first] = 0  # a text starts after an end
         key = rank[tokens] << 16 | contexts[before]
         doc = np.repeat(np.arange(len(texts)), self.n_tokens)
@@ -248,12 +271,12 @@ def discounts(totals: Totals, model: Model) -> tuple[float, ...]:
 
 def _merged(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, np.ndarray, list[int], np.ndarray, list[int]]:
     """One shard's requests together: types (word, context, count), how many words, and where each request's types and words went."""
-    hashes = [np.frombuffer(x, np.uint64) for x in pdf["words"]]
+    hashes = [np.cumsum(stretch(x, np.uint64), dtype=np.uint64) for x in pdf["words"]]
     words, at = np.unique(np.concatenate(hashes), return_inverse=True)
-    word = np.repeat(at, np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["per_word"]]))
-    contexts = [np.frombuffer(x, np.uint16) for x in pdf["contexts"]]
+    word = np.repeat(at, np.concatenate([stretch(x, np.uint32) for x in pdf["per_word"]]))
+    contexts = [stretch(x, np.uint16) for x in pdf["contexts"]]
     key, kind = np.unique(word.astype(np.int64) << 16 | np.concatenate(contexts), return_inverse=True)
-    count = np.bincount(kind, np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["counts"]]), minlength=len(key)).astype(np.int64)
+    count = np.bincount(kind, np.concatenate([stretch(x, np.uint32) for x in pdf["counts"]]), minlength=len(key)).astype(np.int64)
     return key >> 16, key & 0xFFFF, count, len(words), kind, [len(x) for x in contexts], at, [len(x) for x in hashes]
 
 
@@ -283,12 +306,12 @@ def score_documents(docs: DataFrame, model: Model = Model()) -> DataFrame:
             known = pdf["doc_id"].notna()
             p = Packed(pdf["text"].tolist(), ~pdf["held_out"].to_numpy(dtype=bool))
             about = np.stack([pdf["doc_id"].fillna(0).to_numpy(dtype=np.int64), known.to_numpy(dtype=np.int64), pdf["held_out"].to_numpy(dtype=np.int64), p.n_tokens])
-            out = [(0, chunk, 0, p.kind.tobytes(), p.per_word.tobytes(), p.per_doc.tobytes(), p.times.tobytes(), about.tobytes())]
+            out = [(0, chunk, 0, squeeze(steps(p.kind)), squeeze(p.per_word), squeeze(p.per_doc), squeeze(p.times), about.tobytes())]
             cuts, ends = _shard_cuts(p.hashes, shards), np.append(0, np.cumsum(p.per_word, dtype=np.int64))
             for s, (a, b) in enumerate(zip(cuts, cuts[1:])):
                 if a < b:
                     x, y = ends[a], ends[b]
-                    out.append((1, chunk, s, p.hashes[a:b].tobytes(), p.per_word[a:b].tobytes(), p.context[x:y].tobytes(), p.counts[x:y].tobytes(), None))
+                    out.append((1, chunk, s, squeeze(steps(p.hashes[a:b])), squeeze(p.per_word[a:b]), squeeze(p.context[x:y]), squeeze(p.counts[x:y]), None))
             start = Totals()
             start.customers1[:] = np.bincount(p.context, p.counts, minlength=CONTEXTS)
             start.tables1[:] = np.bincount(p.context, p.counts > 0, minlength=CONTEXTS)
@@ -343,10 +366,10 @@ def score_documents(docs: DataFrame, model: Model = Model()) -> DataFrame:
         pdf = pdf.sort_values("chunk")
         seating, mean, (kind, kinds, at, words) = seat(pdf, Totals(second.value), discount, model.burn_in, model.samples)
         by_word = np.bincount(seating.word, seating.count, minlength=seating.words).astype(np.int64)
-        log_p = np.log10(mean).astype(np.float32)
+        log_p = np.minimum(np.rint(-np.log10(mean) * STEPS), 65535).astype(np.uint16)
         out, x, y = [], 0, 0
         for chunk, n, m in zip(pdf["chunk"], kinds, words):
-            out.append((chunk, pdf["shard"].iat[0], log_p[kind[x : x + n]].tobytes(), by_word[at[y : y + m]].tobytes()))
+            out.append((chunk, pdf["shard"].iat[0], squeeze(log_p[kind[x : x + n]]), squeeze(by_word[at[y : y + m]])))
             x, y = x + n, y + m
         return pd.DataFrame(out, columns=["chunk", "shard", "log_p", "known"])
 
@@ -356,14 +379,14 @@ def score_documents(docs: DataFrame, model: Model = Model()) -> DataFrame:
     def total(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         right = right.sort_values("shard")
-        log_p = np.concatenate([np.frombuffer(x, np.float32) for x in right["log_p"]]).astype(np.float64)
-        counts = np.concatenate([np.frombuffer(x, np.int64) for x in right["known"]])
+        log_p = np.concatenate([stretch(x, np.uint16) for x in right["log_p"]]) / -STEPS
+        counts = np.concatenate([stretch(x, np.int64) for x in right["known"]])
         base = np.log10((counts + 0.5) / (tokens + 0.5 * (types + 1)))
         for r in left.itertuples():
-            word = np.repeat(np.arange(len(counts)), np.frombuffer(r.per_word, np.uint32))
-            kind, times = np.frombuffer(r.words, np.uint32), np.frombuffer(r.counts, np.uint32).astype(np.float64)
+            word = np.repeat(np.arange(len(counts)), stretch(r.per_word, np.uint32))
+            kind, times = np.cumsum(stretch(r.words, np.uint32), dtype=np.uint32), stretch(r.counts, np.uint32).astype(np.float64)
             ids, known_id, held, n_tokens = np.frombuffer(r.docs, np.int64).reshape(4, -1)
-            firsts = np.append(0, np.cumsum(np.frombuffer(r.contexts, np.uint32).astype(np.int64)))[:-1]
+            firsts = np.append(0, np.cumsum(stretch(r.contexts, np.uint32).astype(np.int64)))[:-1]
             add = lambda v: np.add.reduceat(v * times, firsts)  # noqa: B023, E731  every text has a type, its end
             known = add((counts > 0)[word][kind]).astype(np.int64)
             out.append(pd.DataFrame({"doc_id": pd.array(ids, dtype="Int64"), "held_out": held.astype(bool), "n_tokens": n_tokens, "n_known": known, "train_tokens": int(tokens), "base_score": add(base[word][kind]), "score": add(log_p[kind])}))
