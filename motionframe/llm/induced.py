@@ -136,6 +136,23 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     return induce(t, small, leftmost, k)
 
 
+def _common(t: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many symbols the suffixes at ``a`` and ``b`` (never the same) share: eight at a time; the sentinel ends every comparison."""
+    width = 8 // t.itemsize
+    padded = np.append(t, np.zeros(2 * width, t.dtype))
+    words = np.ndarray((len(t) + 1,), dtype="<u8", buffer=padded, strides=(t.itemsize,))
+    found, live, offset = np.zeros(len(a), dtype=np.int64), np.arange(len(a)), 0
+    while len(live):
+        differ = words[a[live] + offset] ^ words[b[live] + offset]
+        done = differ != 0
+        x, low = differ[done], np.zeros(int(done.sum()), dtype=np.int64)
+        for n in range(1, width):
+            low += x & np.uint64((1 << 8 * t.itemsize * n) - 1) == 0
+        found[live[done]] = offset + low
+        live, offset = live[~done], offset + width
+    return found
+
+
 def permuted_common_prefixes(t: np.ndarray, sa: np.ndarray) -> np.ndarray:
     """For each position, how many symbols its suffix shares with the one before it in the suffix array.
 
@@ -150,13 +167,6 @@ def permuted_common_prefixes(t: np.ndarray, sa: np.ndarray) -> np.ndarray:
     fresh[inner] = t[inner - 1] != t[phi[inner] - 1]
     shared = np.zeros(n, dtype=np.int64)
     at = np.flatnonzero(fresh & (phi >= 0))
-    other, offset = phi[at], 0
-    live = np.arange(len(at))
-    while len(live):
-        equal = t[at[live] + offset] == t[other[live] + offset]
-        live = live[equal]
-        shared[at[live]] += 1
-        offset += 1
-        live = live[(at[live] + offset < n) & (other[live] + offset < n)]
+    shared[at] = _common(t, at, phi[at])
     source = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
     return np.maximum(shared[source] - (np.arange(n) - source), 0)

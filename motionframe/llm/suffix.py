@@ -291,7 +291,7 @@ def repeated_strings(docs: DataFrame, match: int = MATCH, gram: int = GRAM, with
                 known, first, mask = (np.concatenate([np.frombuffer(x, t) for x in right[c]]) for c, t in (("slice", np.uint64), ("first", np.int64), ("mask", np.uint32)))
                 order = np.argsort(known)
                 known, first, mask = known[order], first[order], mask[order]
-                steps = np.zeros(len(chunk.data) + 1, np.int32)
+                steps = np.zeros(len(chunk.data) + 1, np.int64)
 
                 def mark(lo: np.ndarray, size: np.ndarray, doc: np.ndarray, tag: np.uint64) -> None:
                     h = chunk.hashes.of(lo, lo + size + match - 1) ^ tag
@@ -301,8 +301,9 @@ def repeated_strings(docs: DataFrame, match: int = MATCH, gram: int = GRAM, with
                     nth = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
                     bad = np.repeat(doc > first[at], size) | (np.repeat(mask[at], size) >> nth.astype(np.uint32) & 1 > 0)
                     begin = (np.repeat(lo, size) + nth)[bad]
-                    np.add.at(steps, begin, 1)
-                    np.add.at(steps, begin + match, -1)
+                    at = np.bincount(begin, minlength=len(steps))
+                    steps[:] += at
+                    steps[match:] -= at[:-match]
 
                 mark(chunk.lo, chunk.size, chunk.doc, np.uint64(0))
                 crowded = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in right["crowded"]]))
