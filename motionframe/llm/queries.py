@@ -34,5 +34,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op2_warc_archive": warc.ORACLE_SQL,
     "op4_spotsigs": spotsigs.ORACLE_SQL,
+    "op6_suffix_dedup": suffix.ORACLE_SQL,
     "op9_url_filter": urlfilter.oracle_sql(),
 }

@@ -387,3 +387,16 @@ def cut_repeats(docs: DataFrame, match: int = MATCH, gram: int = GRAM) -> DataFr
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL = f"""
+    WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n FROM documents),
+    p AS (SELECT doc_id, i, array_slice(b, i, i + {MATCH - 1}) AS s FROM (SELECT doc_id, b, unnest(range(1, n - {MATCH - 2})) AS i FROM d WHERE n >= {MATCH})),
+    f AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS first FROM p) WHERE first < doc_id),
+    r AS (SELECT doc_id, i, sum(o) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + {MATCH} THEN 0 ELSE 1 END AS o FROM f)),
+    spans AS (SELECT doc_id, min(i) AS a, max(i) + {MATCH - 1} AS z FROM r GROUP BY doc_id, run),
+    gaps AS (SELECT doc_id, coalesce(lag(z) OVER w, 0) + 1 AS x, a - 1 AS y FROM spans WINDOW w AS (PARTITION BY doc_id ORDER BY a) UNION ALL SELECT doc_id, max(z) + 1, NULL FROM spans GROUP BY doc_id),
+    kept AS (SELECT g.doc_id, unhex(coalesce(string_agg(hex(array_slice(b, x, coalesce(y, n))), '' ORDER BY x) FILTER (x <= coalesce(y, n)), '')) AS k FROM gaps g JOIN d ON g.doc_id = d.doc_id GROUP BY g.doc_id),
+    c AS (SELECT doc_id, CAST(sum(z - a + 1) AS BIGINT) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
+    SELECT d.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(coalesce(k, b)) AS kept_sha256 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
