@@ -72,6 +72,24 @@ def anti_similar_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.drop_similar(rows, ["label"], "vec_id", "indices", "quality").select("label", "vec_id", "quality")
 
 
+def field_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate fields at least half as good as the best; the classes share 60 places by their mean quality and take their sparsest."""
+    size = F.transform("embedding", lambda x: F.abs(x.cast("double")))
+    rows = _series(spark, sf_dir).select("label", "vec_id", _round(F.aggregate(size, F.lit(0.0), lambda a, x: a + x)).alias("quality"), (F.size(F.filter(size, lambda x: x > 0.1)) / 64.0).alias("sparsity"))
+    best = rows.agg(F.max("quality").alias("best"))
+    kept = rows.join(F.broadcast(best)).where(F.col("quality") >= F.col("best") * 0.5).drop("best")  # one row
+    shares = pairs.allocate(kept.groupBy("label").agg(_round(F.avg("quality")).alias("mean")), "mean", 60)
+    return pairs.top_by_share(kept, shares, ["label"], [F.col("sparsity"), F.desc("quality"), F.col("vec_id")]).withColumn("rank", F.col("rank").cast("int"))
+
+
+def clean_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per class how many feature rows are whole, and the mean feature with missing ones as 0; every 50th quantity is missing."""
+    x = F.array(F.when(F.col("l_quantity") != 50, F.col("l_quantity").cast("double")), F.col("l_discount"), F.when(F.col("l_tax") == 0.08, F.lit(float("nan"))).otherwise(F.col("l_tax")))
+    bad = lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
+    rows = _items(spark, sf_dir).select("l_returnflag", x.alias("x")).withColumn("whole", (~F.exists("x", bad)).cast("int")).withColumn("z", F.transform("x", lambda v: F.when(bad(v), F.lit(0.0)).otherwise(v)))
+    return rows.groupBy("l_returnflag").agg(F.sum("whole").alias("whole"), F.count("*").alias("n"), *[_round(F.avg(F.get("z", F.lit(i)))).alias(f"mean_{i}") for i in range(3)])
+
+
 def frame_partition_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples at the positions that the pairs of largest support use."""
     best = _pairs(spark, sf_dir).orderBy(F.desc("support"), "a", "b").limit(10)
@@ -153,7 +171,7 @@ def forest_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        extrema_local, event_pairs_support, endpoint_support, pair_friends, allocation_topk, pair_offsets_grid, pair_diff_features, anti_similar_fields, frame_partition_semi, label_histogram,
+        extrema_local, event_pairs_support, endpoint_support, pair_friends, allocation_topk, pair_offsets_grid, pair_diff_features, anti_similar_fields, field_filter, clean_samples, frame_partition_semi, label_histogram,
         majority_risk, best_split_embeddings, best_split_lineitem, two_class_quality, branch_assign, vote_majority, vote_counts, accuracy, marginals, forest_predict,
     )
 }
@@ -187,6 +205,10 @@ ORACLE_SQL = {
     "pair_diff_features": " UNION ALL ".join("SELECT vec_id, {} AS field, round({}, 6) + 0.0 AS feature FROM embeddings".format(i, " + ".join(f"(CAST(embedding[{k + 1}] AS DOUBLE) - CAST(embedding[{k + 33}] AS DOUBLE)) * {f}" for k, f in zip(at, by))) for i, at, by in FIELDS),
     "anti_similar_fields": f"""WITH {_P}, t AS (SELECT vec_id, label, pos, abs(x) AS m, row_number() OVER (PARTITION BY vec_id ORDER BY abs(x) DESC, pos DESC) AS k FROM p), c AS (SELECT vec_id, label, list(pos) AS ix, round(sum(m ORDER BY k), 6) + 0.0 AS quality FROM t WHERE k <= 4 GROUP BY vec_id, label)
       SELECT label, vec_id, quality FROM c WHERE NOT EXISTS (SELECT 1 FROM c o WHERE o.label = c.label AND (o.quality > c.quality OR (o.quality = c.quality AND o.vec_id < c.vec_id)) AND len(list_intersect(o.ix, c.ix)) / 4.0 > 0.25)""",
+    "field_filter": """WITH r AS (SELECT label, vec_id, round(list_sum(list_transform(embedding, lambda v: abs(CAST(v AS DOUBLE)))), 6) + 0.0 AS quality, len(list_filter(embedding, lambda v: abs(CAST(v AS DOUBLE)) > 0.1)) / 64.0 AS sparsity FROM embeddings),
+      k AS (SELECT * FROM r WHERE quality >= (SELECT max(quality) FROM r) * 0.5), m AS (SELECT label, round(avg(quality), 6) + 0.0 AS mean FROM k GROUP BY label), s AS (SELECT label, CAST(floor(mean / (SELECT sum(mean) FROM m) * 60 + 0.5) AS BIGINT) AS share FROM m),
+      o AS (SELECT *, CAST(row_number() OVER (PARTITION BY label ORDER BY sparsity, quality DESC, vec_id) AS INT) AS rank FROM k) SELECT label, vec_id, quality, sparsity, rank FROM o JOIN s USING (label) WHERE rank <= share""",
+    "clean_samples": "SELECT l_returnflag, CAST(sum(CAST(l_quantity <> 50 AND l_tax <> 0.08 AS INT)) AS BIGINT) AS whole, count(*) AS n, round(avg(CASE WHEN l_quantity = 50 THEN 0 ELSE l_quantity END), 6) + 0.0 AS mean_0, round(avg(l_discount), 6) + 0.0 AS mean_1, round(avg(CASE WHEN l_tax = 0.08 THEN 0 ELSE l_tax END), 6) + 0.0 AS mean_2 FROM lineitem GROUP BY l_returnflag",
     "frame_partition_semi": f"WITH {_S}, t AS (SELECT a, b FROM s ORDER BY support DESC, a, b LIMIT 10) SELECT vec_id, pos, round(x, 6) + 0.0 AS x FROM p WHERE pos IN (SELECT a FROM t UNION SELECT b FROM t)",
     "label_histogram": "WITH l AS (SELECT unnest(['A', 'N', 'R', 'X']) AS l_returnflag) SELECT s.l_linestatus, l.l_returnflag, count(i.l_orderkey) AS n FROM (SELECT DISTINCT l_linestatus FROM lineitem) s CROSS JOIN l LEFT JOIN lineitem i ON i.l_linestatus = s.l_linestatus AND i.l_returnflag = l.l_returnflag GROUP BY s.l_linestatus, l.l_returnflag",
     "majority_risk": "WITH c AS (SELECT l_quantity, l_returnflag, count(*) AS c FROM lineitem GROUP BY ALL) SELECT l_quantity, arg_min(l_returnflag, (-c, l_returnflag)) AS majority, CAST(sum(c) AS BIGINT) AS n, CAST(sum(c) - max(c) AS BIGINT) AS risk, round((sum(c) - max(c)) / sum(c), 6) + 0.0 AS local_risk FROM c GROUP BY l_quantity",
