@@ -74,11 +74,12 @@ def dbscan(distances: DataFrame, points: DataFrame, by: list[str], eps: Column,
     A core has ``min_pts`` points (itself among them) within ``eps``. Clusters of ``min_pts`` points or fewer are dropped; a class left
     without any is one cluster named 2 of all its points. ``points``: ``by, a``.
     """
-    near = both_ways(distances.where(F.col("d") <= eps), by)
+    checkpoint_dir(points.sparkSession)
+    near = both_ways(distances.where(F.col("d") <= eps), by).checkpoint()  # every round of the components reads it
     cores = near.groupBy(*by, "a").agg((F.count("*") + 1).alias("n")).where(F.col("n") >= min_pts).select(*by, "a")
     cores = cores.union(points.select(*by, "a").where(F.lit(min_pts <= 1))).distinct()
     edges = near.join(cores, [*by, "a"], "left_semi").join(cores.select(*by, F.col("a").alias("b")), [*by, "b"], "left_semi")
-    rooted = components(edges.select("a", "b"), cores.select(F.col("a").alias("id"))).select(F.col("id").alias("b"), "root")
+    rooted = components(edges.select("a", "b").checkpoint(), cores.select(F.col("a").alias("id"))).select(F.col("id").alias("b"), "root")
     border = near.join(rooted, "b").groupBy(*by, "a").agg(F.min("root").alias("near"))
     own = rooted.select(F.col("b").alias("a"), "root")
     member = points.select(*by, "a").join(border, [*by, "a"], "left").join(own, "a", "left").select(*by, "a", F.coalesce("root", "near").alias("cluster")).where(F.col("cluster").isNotNull())
