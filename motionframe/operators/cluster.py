@@ -201,6 +201,44 @@ def barycentres(series: DataFrame, by: str, key: str, values: str, rounds: int =
     return spark.createDataFrame(rows, f"{by} {kind}, frame int, value double, members long")
 
 
+def barycentre_labels(series: DataFrame, by: str, values: str, labels: str, shapes: DataFrame) -> DataFrame:
+    """``by, frame, label, share``: how often the members' samples that warp to a frame of their class's shape have each label.
+
+    ``shapes`` is what ``barycentres`` gives (classes by frames). A member's say is its weight 1 / (1 + its warping cost over the
+    length). The frame's label is the one of largest share, see ``frame_labels``.
+    """
+    told = series.sparkSession.sparkContext.broadcast({r[by]: np.array(r["x"]) for r in shapes.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("frame", "value"))), lambda p: p["value"]).alias("x")).collect()})
+    kind = series.schema[by].dataType.simpleString()
+
+    def votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[tuple, float] = {}
+        for pdf in batches:
+            for name, part in pdf.groupby(by):
+                shape = told.value[name]
+                for lo in range(0, len(part), 256):
+                    some = part.iloc[lo : lo + 256]
+                    x = np.stack(some[values].to_numpy()).astype(np.float64)
+                    given = np.stack(some[labels].to_numpy())
+                    cost, step = dtw_batch(np.broadcast_to(shape, x.shape), x)
+                    weight = 1 / (1 + cost[-1, -1] / x.shape[1])
+                    for k in range(len(x)):
+                        i, j = len(shape), x.shape[1]
+                        while i and j:
+                            at = (name, i - 1, int(given[k, j - 1]))
+                            total[at] = total.get(at, 0.0) + float(weight[k])
+                            way = step[i, j, k]
+                            i, j = i - (way != 2), j - (way != 1)
+        yield pd.DataFrame([(*k, v) for k, v in total.items()], columns=[by, "frame", "label", "weight"])
+
+    found = series.select(by, values, labels).mapInPandas(votes, f"{by} {kind}, frame int, label int, weight double").groupBy(by, "frame", "label").agg(F.sum("weight").alias("weight"))
+    return found.select(by, "frame", "label", (F.col("weight") / F.sum("weight").over(Window.partitionBy(by, "frame"))).alias("share"))
+
+
+def frame_labels(shares: DataFrame, by: str) -> DataFrame:
+    """``by, frame, label``: the label of largest share; the smallest of equals."""
+    return shares.groupBy(by, "frame").agg(F.min_by("label", F.struct(-F.round("share", 9), F.col("label"))).alias("label"))
+
+
 def natural_spline(y: np.ndarray) -> np.ndarray:
     """Missing (NaN) samples on the natural cubic spline through the others; outside them the end's straight line. Fewer than two others: unchanged."""
     known = np.flatnonzero(~np.isnan(y))

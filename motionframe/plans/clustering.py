@@ -94,6 +94,14 @@ def dba_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.barycentres(_series(spark, sf_dir), "label", "vec_id", "embedding", 4).withColumn("value", _round(F.col("value")))
 
 
+def template_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The classes' shapes with a label for each frame, voted by the signs of the samples that warp to it."""
+    rows = _series(spark, sf_dir)
+    shapes = cluster.barycentres(rows, "label", "vec_id", "embedding", 2)
+    signs = rows.withColumn("signs", F.transform("embedding", lambda x: F.when(x > 0, 1).otherwise(0)))
+    return cluster.frame_labels(cluster.barycentre_labels(signs.withColumnRenamed("label", "class"), "class", "embedding", "signs", shapes.withColumnRenamed("label", "class")), "class")
+
+
 def spline_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every fifth sample taken out and put back on the spline through the others."""
 
@@ -146,7 +154,7 @@ def joint_forest_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        dist_matrix_l1, knn_mean_dist, eps_minpts, radius_neighbours, dbscan_clusters, label_distance_map, detrend, edge_blend, median_argmax, tile_windows, dtw_pairs, dba_templates,
+        dist_matrix_l1, knn_mean_dist, eps_minpts, radius_neighbours, dbscan_clusters, label_distance_map, detrend, edge_blend, median_argmax, tile_windows, dtw_pairs, dba_templates, template_labels,
         spline_fill, persistence_pairs, field_units, joint_forest_depth,
     )
 }

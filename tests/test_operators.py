@@ -122,6 +122,15 @@ def test_dbscan_finds_two_shapes(spark):
     assert found.groupby("cluster").a.apply(sorted).tolist() == [list(range(10)), list(range(10, 20))]
 
 
+def test_barycentre_of_copies_is_the_copy_with_its_labels(spark):
+    x, marks = [0.0, 1.0, 4.0, 2.0], [1, 1, 2, 3]
+    df = spark.createDataFrame([(i, 0, x, marks) for i in range(5)], "k long, c int, x array<double>, m array<int>")
+    shapes = cluster.barycentres(df, "c", "k", "x")
+    assert [r.value for r in shapes.orderBy("frame").collect()] == x
+    found = cluster.frame_labels(cluster.barycentre_labels(df, "c", "x", "m", shapes), "c").orderBy("frame").collect()
+    assert [r.label for r in found] == marks
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], "s int, t double, v double")
     assert trajectory.fill_gaps(empty, ["s"], "t", "v").count() == 0
