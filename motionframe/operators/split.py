@@ -120,16 +120,26 @@ def grow_tree(samples: DataFrame, features: str, label: str, width: int, labels:
     return tree
 
 
-def grow_forest(samples: DataFrame, key: str, features: str, label: str, width: int, labels: list, trees: int, depth: int, seed: int = 1) -> list[Tree]:
-    """Trees over bootstrap weights (Poisson by a hash of the key) and random feature subsets of the square root's size."""
+def grow_forest(samples: DataFrame, key: str, features: str, label: str, width: int, labels: list, trees: int, depth: int, seed: int = 1, chunk: int | None = None, tolerance: float = 5e-4) -> list[Tree]:
+    """Trees over bootstrap weights (Poisson by a hash of the key) and random feature subsets of the square root's size.
+
+    With ``chunk`` the training accuracy is looked at after every so many trees, and growing ends when its mean over six looks
+    moves by less than ``tolerance``.
+    """
     import random
 
+    seen: list[float] = []
+
     out = []
     for i in range(trees):
         u = F.pmod(F.xxhash64(F.col(key), F.lit(seed * 1000 + i)), F.lit(1_000_000)) / 1_000_000.0
         weighted = samples.withColumn("_w", F.when(u < 0.367879, 0).when(u < 0.735759, 1).when(u < 0.919699, 2).when(u < 0.981012, 3).otherwise(4))
         chosen = sorted(random.Random(seed * 1000 + i).sample(range(width), max(1, int(width**0.5 + 0.5))))
         out.append(grow_tree(weighted, features, label, width, labels, depth, weight="_w", chosen=chosen))
+        if chunk and len(out) % chunk == 0:
+            seen.append(evaluate(predict_forest(samples, [key, label], features, out), label, "predicted").first().accuracy or 0.0)
+            if len(seen) > 6 and abs(sum(seen[-6:]) - sum(seen[-7:-1])) / 6 < tolerance:
+                break
     return out
 
 

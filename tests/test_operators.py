@@ -107,6 +107,11 @@ def test_tree_learns_and_forest_votes(spark):
     assert split.evaluate(voted, "y", "predicted").first().accuracy > 0.5
 
 
+def test_forest_stops_when_it_no_longer_improves(spark):
+    df = spark.createDataFrame([(i, [float(i)], int(i > 9)) for i in range(20)], "k int, x array<double>, y int")
+    assert len(split.grow_forest(df, "k", "x", "y", 1, [0, 1], 20, 1, chunk=1)) < 20
+
+
 def test_allocation_sums_to_about_the_budget(spark):
     df = spark.createDataFrame([(i, float(w)) for i, w in enumerate([1, 2, 3, 5, 8])], "k int, w double")
     shares = [r.share for r in pairs.allocate(df, "w", 100).collect()]
