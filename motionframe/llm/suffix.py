@@ -22,8 +22,9 @@ from .storage import Scratch, id_and_text, pieces_for, table
 
 MATCH = 50
 GRAM = 24
-#: Bytes of text per chunk and per shard, and the documents from which an anchor's strings are dealt out one by one.
-CHUNK, SHARD, HOT = 1 << 20, 1 << 21, 1000
+#: Bytes of text per chunk, per shard of text and per shard of anchors, and the documents from which an anchor's strings are dealt
+#: out one by one. A chunk sends each shard one row at most; with larger executors raise the sizes together.
+CHUNK, SHARD, ANCHOR_SHARD, HOT = 1 << 20, 1 << 21, 1 << 24, 1000
 LEAST_SHARDS = 64
 NO_ID = (1 << 63) - 1
 #: Marks the hashes of strings that were dealt out one by one, whose answers hold for no longer slice.
@@ -165,6 +166,7 @@ def repeated_strings(docs: DataFrame, match: int = MATCH, gram: int = GRAM, with
     scratch = scratch or Scratch(spark, "suffix")
     chunks = pieces_for(docs, "text", CHUNK)
     shards = max(LEAST_SHARDS, -(-chunks * CHUNK // SHARD))
+    anchor_shards = max(LEAST_SHARDS, -(-chunks * CHUNK // ANCHOR_SHARD))
     buckets = max(24, -(-chunks // 8))
     name = "chunks_" + scratch.root.rsplit("-", 1)[1]
     path = f"{scratch.root}/{name}"
@@ -182,7 +184,7 @@ def repeated_strings(docs: DataFrame, match: int = MATCH, gram: int = GRAM, with
             own = np.flatnonzero(new)
             count = np.minimum(np.add.reduceat(other.astype(np.int64), own), 255).astype(np.uint8) if len(own) else np.zeros(0, np.uint8)
             h = h[own]
-            shard = _shard(h, shards)
+            shard = _shard(h, anchor_shards)
             cuts = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])[: len(h)])
             out = [(int(shard[a]), int(pdf["chunk"].iat[0]), _low(h[a:b]).tobytes(), count[a:b].tobytes()) for a, b in zip(cuts, np.append(cuts[1:], len(h)))]
             return pd.DataFrame(out, columns=["shard", "chunk", "low", "count"])
@@ -209,7 +211,7 @@ def repeated_strings(docs: DataFrame, match: int = MATCH, gram: int = GRAM, with
             hot = np.concatenate([np.frombuffer(x, bool) for x in right["hot"]])
             order = np.argsort(known)
             known, hot = known[order], hot[order]
-            key = _key(chunk.anchor, shards)
+            key = _key(chunk.anchor, anchor_shards)
             at = np.minimum(np.searchsorted(known, key), len(known) - 1)
             found = known[at] == key
             crowded = found & hot[at]
