@@ -4,10 +4,12 @@ A word enters as its hashed word vector beside the mean of its hashed character
 ``WIDTH`` words that overlap by half cover the whole text; a forward and a backward recurrence read each
 window, attention pools their states, and the text's score is that of its most toxic window. Only document labels are
 known, so training alternates between choosing each document's most suspect window and fitting the network to it.
+A long run without blanks enters by its parts between punctuation, and a long part as overlapping pieces, each a word of the windows.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,6 +22,10 @@ from pyspark.sql import functions as F
 from .storage import fold, id_and_text, table
 
 WIDTH, STEP = 32, 16
+#: A run without blanks of more than LONGEST bytes is split at JOINTS; of a part that is still longer, PIECE bytes are read every STRIDE bytes.
+LONGEST, PIECE, STRIDE = 64, 16, 8
+JOINTS = re.compile(r"[!-/:-@\[-`{-~]+")
+EDGES = ".,;:!?\"'()[]{}|-"
 
 
 @dataclass(frozen=True)
@@ -45,17 +51,37 @@ class Settings:
     seed: int = 5
 
 
+def words_of(text: str) -> list[str | bytes]:
+    """The words of a text. A longer run than ``LONGEST`` bytes gives its parts; such a part gives its pieces (as bytes, with its own edges)."""
+    words = text.split()
+    if max(map(len, words), default=0) <= LONGEST // 4:  # no character has more than four bytes
+        return words
+    out = []
+    for w in words:
+        if len(w) <= LONGEST // 4 or len(w) <= LONGEST and w.isascii() or len(run := w.lower().strip(EDGES).encode()) <= LONGEST:
+            out.append(w)
+            continue
+        run = run.decode()
+        for part in [x for x in JOINTS.split(run) if x] or [run]:
+            marked = b"<" + part.encode() + b">"
+            if len(marked) <= LONGEST + 2:
+                out.append(part)
+            else:
+                out += [marked[lo : lo + PIECE] for lo in (*range(0, len(marked) - PIECE, STRIDE), len(marked) - PIECE)]
+    return out
+
+
 class Words:
     """Distinct words to feature rows: a hashed word id and hashed 2- to 5-byte grams with edges, in growing flat arrays.
 
-    Row 0 is padding. A word longer than 64 bytes is known by its grams' first 64 bytes and its whole hash.
+    Row 0 is padding. Words and pieces of longer runs (see ``words_of``) enter both hashes whole.
     """
 
     def __init__(self, word_rows: int, gram_rows: int):
         self.word_rows, self.gram_rows = word_rows, gram_rows
-        self.index: dict[str, int] = {}
+        self.index: dict[str | bytes, int] = {}
 
-    def rows(self, split: list[list[str]]) -> tuple[list[np.ndarray], list[str]]:
+    def rows(self, split: list[list[str | bytes]]) -> tuple[list[np.ndarray], list[str | bytes]]:
         """Index rows of each text, and the words that were new (in row order)."""
         index, fresh = self.index, []
         for words in split:
@@ -65,14 +91,14 @@ class Words:
                     fresh.append(w)
         return [np.fromiter(map(index.__getitem__, words), dtype=np.int32, count=len(words)) for words in split], fresh
 
-    def features(self, fresh: list[str], block: int = 20_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def features(self, fresh: list[str | bytes], block: int = 20_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """``(word ids, gram ids, where each word's grams start)`` of new words."""
         parts = [self._features(fresh[lo : lo + block]) for lo in range(0, len(fresh), block)] or [self._features([])]
         words, grams, counts = (np.concatenate(x) for x in zip(*parts))
         return words, grams, np.cumsum(counts, dtype=np.int64) - counts
 
-    def _features(self, fresh: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        raw = [b"<" + w.lower().strip(".,;:!?\"'()[]{}|-").encode()[:64] + b">" for w in fresh]
+    def _features(self, fresh: list[str | bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        raw = [w if isinstance(w, bytes) else b"<" + w.lower().strip(EDGES).encode() + b">" for w in fresh]
         sizes = np.array([len(r) for r in raw], dtype=np.int64)
         text = np.frombuffer(b"".join(raw) + b"\0" * 4, dtype=np.uint8).astype(np.uint64)
         ends = np.cumsum(sizes)
@@ -211,7 +237,7 @@ def train(texts: list[str], labels: np.ndarray, s: Settings = Settings()) -> Net
         net.w["ob"][:] = 4.0 if len(labels) and labels[0] else -4.0
         return net
     table_ = Words(s.word_rows, s.gram_rows)
-    rows, fresh = table_.rows([t.split() for t in texts])
+    rows, fresh = table_.rows([words_of(t) for t in texts])
     words, grams, starts = table_.features(fresh)
     counts = np.diff(np.append(starts, len(grams)))
     per_text = [windows_of(r) for r in rows]
@@ -319,7 +345,7 @@ class Scorer:
         if len(self.words.index) > self.most:
             self._forget()
         known = len(self.words.index) + 1
-        rows, fresh = self.words.rows([t.split() for t in texts])
+        rows, fresh = self.words.rows([words_of(t) for t in texts])
         if fresh:
             while len(self.p) < known + len(fresh):
                 self.p = np.vstack([self.p, np.zeros_like(self.p)])

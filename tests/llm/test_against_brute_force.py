@@ -293,6 +293,33 @@ def test_every_word_of_a_long_text_is_scored(spark):
         assert scorer.score([" ".join(body[:at] + ["vileword"] + body[at + 1 :])])[0] > max(0.5, clean)
 
 
+@pytest.mark.parametrize("glue, clean, vile", [(",", "some plain words only here of no harm", "vileword"), ("_", "some plain words only here of no harm", "vileword"), ("", "今天 天气 很好 我们 去 公园 散步 看 花", "恶劣坏话")])
+def test_every_byte_of_a_run_without_blanks_is_scored(glue, clean, vile):
+    rng, words = np.random.default_rng(7), clean.split()
+
+    def run(toxic, at=None):
+        body = [words[i] for i in rng.integers(0, len(words), 100)]
+        if toxic:
+            body[rng.integers(100) if at is None else at] = vile
+        return glue.join(body)
+
+    labels = np.arange(200) % 2
+    scorer = toxicity.Scorer(toxicity.train([run(y) for y in labels], labels))
+    assert max(scorer.score([run(0) for _ in range(10)])) < 0.5 < min(scorer.score([run(1, at) for at in (0, 1, 17, 40, 71, 98, 99)]))
+
+
+def test_pieces_cover_a_run():
+    for run in ("x" * 65, "ab" * 500, "é" * 33, "字" * 1001, "İ" * 40):
+        marked, seen = b"<" + run.lower().encode() + b">", 0
+        pieces = toxicity.words_of(f"a {run} b")[1:-1]
+        for piece in pieces[:-1]:
+            assert piece == marked[seen : seen + toxicity.PIECE]
+            seen += toxicity.STRIDE
+        assert marked.endswith(pieces[-1]) and seen - toxicity.STRIDE + toxicity.PIECE >= len(marked) - len(pieces[-1]) and max(map(len, pieces)) <= 64
+    assert toxicity.words_of("(" + "Vile," * 20 + "/" * 3 + "é" * 33 + "_end)")[19:22] == ["vile"] + toxicity.words_of("é" * 33)[:2]
+    assert toxicity.words_of("/" * 100) and toxicity.words_of("x" * 64 + " " + "é" * 32 + " ok") == ["x" * 64, "é" * 32, "ok"]
+
+
 def test_spot_pairs(docs):
     members, pairs = spotsigs.near_pairs(docs)
     sets = {}
