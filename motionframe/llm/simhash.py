@@ -14,7 +14,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
@@ -91,6 +91,13 @@ def links(fingerprints: DataFrame, scratch: Scratch, heavy: int = HEAVY) -> Data
     return verified.union(stars).distinct()
 
 
+def rooted(marked: DataFrame, first: Column, scratch: Scratch) -> DataFrame:
+    """``fp, root, first``: every distinct fingerprint with its component's smallest one and the least ``first`` of its own rows."""
+    nodes = scratch.save("nodes", marked.groupBy("fp").agg(F.min(first).alias("first")))
+    roots = connected_components(links(nodes.select("fp"), scratch), scratch)
+    return nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, fingerprint, component_id``, one row per input row.
 
@@ -101,22 +108,30 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     marked = scratch.save("marked", id_and_text(docs).select("doc_id", fingerprint_of("text").alias("fp")))
-    nodes = scratch.save("nodes", marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = connected_components(links(nodes.select("fp"), scratch), scratch)
-    joined = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first_id")
-    ids = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    joined = rooted(marked, F.col("doc_id"), scratch)
+    ids = joined.groupBy("root").agg(F.min("first").alias("component_id"))
     component = joined.join(ids, "root").select("fp", "component_id")
     return marked.join(component, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _row_key(doc_id: Column, text: Column) -> list[Column]:
+    """What orders the rows of a component and finds them again: the id, nulls last, then the text's digest. None is null."""
+    number = doc_id.cast("long")
+    digest = F.unhex(F.sha2(F.coalesce(text.cast("string"), F.lit("")).cast("binary"), 256))
+    return [number.isNull().alias("_no_id"), F.coalesce(number, F.lit(0)).alias("_id"), digest.alias("_digest")]
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each component, that of the smallest doc_id, with all its columns; of rows that repeat the id the first by text."""
-    kept = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    key = lambda c: F.coalesce(c.cast("long"), F.lit(-(1 << 63)))
-    ids = kept.select(key(F.col("doc_id")).alias("_kept_key")).distinct()
-    marked = docs.withColumn("_kept_key", key(F.col("doc_id"))).join(ids, "_kept_key", "left_semi")
-    first = Window.partitionBy("_kept_key").orderBy(F.col("text").asc_nulls_first())
-    return marked.withColumn("_kept_rank", F.row_number().over(first)).where(F.col("_kept_rank") == 1).select(*docs.columns)
+    """One row of each component with all its columns: that of the smallest doc_id (null only where no other is), then of the smallest digest.
+
+    Of rows with that id and text the smallest by its columns in their order. Rows that share an id, or have none, are told apart by
+    their texts. Rows alike in both meet partly before they are dealt out, so a common one reaches its task once per map task.
+    """
+    scratch, key = Scratch(docs.sparkSession, "simhash"), ["_no_id", "_id", "_digest"]
+    marked = scratch.save("marked", id_and_text(docs).select(*_row_key(F.col("doc_id"), F.col("text")), fingerprint_of("text").alias("fp")))
+    best = rooted(marked, F.struct(*key), scratch).groupBy("root").agg(F.min("first").alias("first")).select("first.*")
+    rows = docs.select(*_row_key(F.col("doc_id"), F.col("text")), F.struct(*docs.columns).alias("_row"))
+    return rows.groupBy(*key).agg(F.min("_row").alias("_row")).join(best, key, "left_semi").select("_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -69,6 +69,20 @@ def test_stages(spark, odd, none, labels, tmp_path):
     assert 4 in kept and 5 not in kept and 1 in kept
 
 
+def test_one_row_of_each_component(spark):
+    texts = {k: " ".join(f"{k}{i}" for i in range(40)) for k in "abcdefg"}
+    near = LONG + " one"  # of a long text whose shingles hardly change
+    assert 0 <= (simhash.fingerprint(near) ^ simhash.fingerprint(LONG)).bit_count() <= simhash.DISTANCE
+    rows = [
+        (1, texts["a"]), (None, texts["b"]), (None, texts["c"]), (None, texts["c"]), (None, texts["a"]),
+        (3, LONG), (5, near), (5, texts["d"]), (5, texts["e"]), (7, texts["f"]), (7, texts["f"]), (8, None), (8, ""), (None, None),
+    ]
+    docs = spark.createDataFrame([row(*r) for r in rows], SCHEMA)
+    expected = [(1, texts["a"]), (3, LONG), (5, texts["d"]), (5, texts["e"]), (7, texts["f"]), (8, None), (None, texts["b"]), (None, texts["c"])]
+    for some in (docs, docs.repartition(5), docs.orderBy(F.desc("text"))):
+        assert sorted(((r.doc_id, r.text) for r in simhash.keep_one(some).collect()), key=str) == sorted(expected, key=str)
+
+
 def test_pages(spark):
     kind = "page_id long, url string, html string, host string, verdict string, rule string, payload binary, header string"
     big = "h" * 1200
