@@ -162,6 +162,7 @@ def repeated_strings(docs: DataFrame, match: int = MATCH, gram: int = GRAM, with
     """
     if match - gram + 1 > 63:
         raise ValueError("a slice holds 63 strings at most")
+    bits = np.uint32 if match - gram + 1 <= 32 else np.uint64  # a bit for each string of a slice
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "suffix")
     chunks = pieces_for(docs, "text", CHUNK)
@@ -269,8 +270,8 @@ def repeated_strings(docs: DataFrame, match: int = MATCH, gram: int = GRAM, with
             smallest = np.minimum.reduceat(first[owner[order]], group)
             earlier = np.zeros(len(text), bool)
             earlier[order] = np.repeat(smallest, np.diff(np.append(group, len(order)))) < first[owner[order]]
-            mask = np.zeros(len(count), np.uint32)
-            np.bitwise_or.at(mask, owner[strings], earlier[strings].astype(np.uint32) << (strings - np.repeat(to, count)).astype(np.uint32))
+            mask = np.zeros(len(count), bits)
+            np.bitwise_or.at(mask, owner[strings], earlier[strings].astype(bits) << (strings - np.repeat(to, count)).astype(bits))
             bounds, out = np.cumsum([0, *map(len, sizes)]), []
             for i, (chunk, anchor) in enumerate(zip(pdf["chunk"], pdf["anchor"])):
                 part = slice(bounds[i], bounds[i + 1])
@@ -290,7 +291,7 @@ def repeated_strings(docs: DataFrame, match: int = MATCH, gram: int = GRAM, with
             chunk, ids, digests = _laid_out(left, match, gram)
             covered = np.zeros(len(chunk.data), bool)
             if len(right):
-                known, first, mask = (np.concatenate([np.frombuffer(x, t) for x in right[c]]) for c, t in (("slice", np.uint64), ("first", np.int64), ("mask", np.uint32)))
+                known, first, mask = (np.concatenate([np.frombuffer(x, t) for x in right[c]]) for c, t in (("slice", np.uint64), ("first", np.int64), ("mask", bits)))
                 order = np.argsort(known)
                 known, first, mask = known[order], first[order], mask[order]
                 steps = np.zeros(len(chunk.data) + 1, np.int64)
@@ -301,7 +302,7 @@ def repeated_strings(docs: DataFrame, match: int = MATCH, gram: int = GRAM, with
                     hit = np.flatnonzero(known[at] == h)
                     at, lo, size, doc = at[hit], lo[hit], size[hit], ids[doc[hit]]
                     nth = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                    bad = np.repeat(doc > first[at], size) | (np.repeat(mask[at], size) >> nth.astype(np.uint32) & 1 > 0)
+                    bad = np.repeat(doc > first[at], size) | (np.repeat(mask[at], size) >> nth.astype(bits) & bits(1) > 0)
                     begin = (np.repeat(lo, size) + nth)[bad]
                     at = np.bincount(begin, minlength=len(steps))
                     steps[:] += at

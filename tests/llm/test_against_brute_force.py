@@ -211,6 +211,16 @@ def test_suffix_dedup(docs, texts, chunk, hot, monkeypatch):
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == expected[r.doc_id]
 
 
+def test_suffix_dedup_of_slices_with_over_32_strings(spark):
+    rng = np.random.default_rng(11)
+    word = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    base = word(3000)
+    texts = {i: word(50) + base[a : a + int(rng.integers(80, 200))] + word(50) for i, a in enumerate(rng.integers(0, 2800, 120).tolist())}
+    found = suffix.remove_repeats(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), match=80, gram=24).collect()
+    expected = plain_removal(texts, 80)
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found} == expected
+
+
 def test_cut_texts_keep_whole_characters(spark):
     passage = "é" * 40
     rows = [(1, f"a{passage}b"), (2, f"xx{passage}é yy"), (3, passage), (4, "x" * 49 + "é"), (5, "x" * 49 + "ã"), (6, "")]
