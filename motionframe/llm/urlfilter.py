@@ -11,11 +11,24 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-STRICT = ("porn", "xxx", "nsfw", "hentai", "camgirls", "escorts", "warez", "phishing")
-SOFT = ("free", "bet", "bets", "casino", "poker", "adult", "sexy", "sex", "win", "prize", "loan", "loans", "cheap", "pills", "torrent", "crack")
+STRICT = tuple(
+    "porn porno pornstar pornhd xxx xxxvideo nsfw hentai rule34 camgirl camgirls sexcam sexcams livesex escort escorts milf milfs blowjob "
+    "creampie gangbang deepthroat cumshot upskirt voyeur bdsm fetish nudes naked onlyfansleak hardcore swingers hookups sextape "
+    "warez keygen keygens cracked serialz nulled phishing malware botnet ddos carding cvv fullz ransomware scamlogin "
+    "viagra cialis levitra xanax oxycontin tramadol steroids".split()
+)
+SOFT = tuple(
+    "free bet bets betting casino casinos poker slots slot jackpot roulette blackjack bingo lottery lotto gamble gambling wager odds bookmaker sportsbook "
+    "adult adults sex sexy hot babe babes girl girls nude amateur webcam dating singles flirt strip lingerie erotic "
+    "win winner prize prizes reward giveaway bonus promo coupon discount cheap cheapest deal deals sale replica "
+    "loan loans payday credit debt cash money earn rich forex crypto bitcoin invest trading mlm "
+    "pills pill pharmacy meds drugs diet weightloss slim keto cbd vape "
+    "torrent torrents crack cracks serial hack hacks cheats mod apk stream streaming download downloads mp3 movie movies "
+    "ads ad click clicks popup tracker affiliate banner spam".split()
+)
 
 
 @dataclass(frozen=True)
@@ -27,6 +40,19 @@ class Vocabulary:
     soft_needed: int = 2
 
 
+def read_vocabulary(spark: SparkSession, path: str, soft_needed: int = 2, most: int = 200_000) -> Vocabulary:
+    """A vocabulary from a text file of lines ``strict term`` or ``soft term`` (blank lines and those that start with # are comments).
+
+    Terms are lower-cased; a term given twice counts once, in both lists as strict. The automaton is built once per task, so a
+    file of more than ``most`` terms is refused.
+    """
+    lines = spark.read.text(path).select(F.lower(F.trim("value")).alias("line")).where(F.col("line").rlike(r"^(strict|soft)\s+\S")).distinct().limit(most + 1).collect()
+    if len(lines) > most:
+        raise ValueError(f"{path} has more than {most} terms")
+    given = sorted(tuple(r["line"].split(None, 1)) for r in lines)
+    return Vocabulary(tuple(t for kind, t in given if kind == "strict"), tuple(t for kind, t in given if kind == "soft"), soft_needed)
+
+
 @dataclass(frozen=True)
 class Rule:
     verdict: str
@@ -45,14 +71,28 @@ def _ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def _rest(url: Column) -> Column:
+    """What follows the first ``://``; empty without one. Plain searches, so a url of any length costs one pass."""
+    at = F.instr(url, "://")
+    return F.when(at > 0, url.substr(at + 3, F.length(url))).otherwise(F.lit(""))
+
+
+def _until(text: Column, *ends: str) -> Column:
+    """Up to the first of ``ends``."""
+    for end in ends:
+        text = F.substring_index(text, end, 1)
+    return text
+
+
 def host_of(url: Column) -> Column:
     """After the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; empty without ``://``."""
-    return _ascii_lower(F.coalesce(F.regexp_extract(url, r"(?s)^(?:(?!://).)*://([^/?#]*)", 1), F.lit("")))
+    return _ascii_lower(_until(_rest(url), "/", "?", "#"))
 
 
 def path_of(url: Column) -> Column:
     """From the host's end up to ``?``, ``#`` or the end; empty without ``://``."""
-    return F.coalesce(F.regexp_extract(url, r"(?s)^(?:(?!://).)*://[^/?#]*([^?#]*)", 1), F.lit(""))
+    rest = _rest(url)
+    return _until(rest.substr(F.length(_until(rest, "/", "?", "#")) + 1, F.length(rest)), "?", "#")
 
 
 def rule_of(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column:
@@ -104,7 +144,8 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, vocabulary: Vo
 
     Narrow (no shuffle), so hot hosts and repeated rows cost nothing extra. A null or empty url, or one
     without ``://``, has empty host and path, fits no rule, and is judged by its terms alone (null: allow).
-    Other columns of ``pages`` are ignored; repeated rows are judged each; an empty table gives no rows.
+    Urls of any length and alphabet are split by plain searches and read once by the automaton. Other columns of ``pages`` are
+    ignored; repeated rows are judged each; an empty table gives no rows.
     """
     url = F.col("url").cast("string")
     split = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"), term_hits(vocabulary)(url).alias("hits"))
