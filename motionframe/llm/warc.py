@@ -1,101 +1,199 @@
-"""A content-addressed WARC archive: payloads once by digest, exact headers apart, records rebuilt by joins."""
+"""A content-addressed WARC archive: payloads once by digest, exact record headers apart, records rebuilt by joins.
+
+The archive is two tables. The store holds every distinct payload once under its SHA-256; the header table holds, for each
+record, the exact bytes that stand before the payload (WARC header and HTTP header). A record is a header, its payload (a
+revisit has none) and two line ends: ``rebuild_records`` gives these WARC/1.1 bytes back, and ``read_back`` parses them.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import Scratch, table
+from .storage import Scratch, pieces_for, table
 
 #: Equal payloads of at least so many bytes become one response and revisits of it.
 REVISIT_FROM = 1000
+#: Capture time of every record; the page table has none.
+DATE = "2024-01-01T00:00:00Z"
 CRLF = "\r\n"
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: The headers of a payload with more copies than this are spread over one place per so many; small tables are joined in SALTS parts.
+HOT, SALTS = 1000, 16
+#: Bytes of payload in one bucket of the store, and the fewest buckets.
+BUCKET, LEAST_BUCKETS = 1 << 26, 16
 
 
-def _record_urn(page_id: Column) -> Column:
-    return F.concat(F.lit("urn:page:"), F.coalesce(page_id.cast("string"), F.lit("none")))
+def _payload(html: str = "html") -> Column:
+    return F.encode(F.coalesce(F.col(html).cast("string"), F.lit("")), "UTF-8")
 
 
-def payloads_of(pages: DataFrame) -> DataFrame:
-    """``payload_sha256, payload, copies, first_id``: every distinct payload once, ``first_id`` its largest page_id.
+def _spread(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(SALTS)).cast("int")
+
 
-    The digest is verified while it is used as identity: the payloads that share a SHA-256 must agree in length,
-    SHA-1 and XXH64 or the job fails. Copies meet in a partial aggregate before the shuffle, so a payload
-    that a third of all pages share arrives once per task.
+def facts_of(pages: DataFrame) -> DataFrame:
+    """``page_id, record_id, url, payload_sha256, sha1, n, block_sha1``: what headers need to know of each page, without its payload.
+
+    A record id names the page and the row's place in the table, so that repeated pages have records of their own.
     """
-    payload = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), payload.alias("payload"))
-    rows = rows.withColumn("payload_sha256", F.sha2("payload", 256)).withColumn("check", F.struct(F.octet_length("payload").alias("n"), F.sha1("payload").alias("sha1"), F.xxhash64("payload").alias("xx")))
-    grouped = rows.groupBy("payload_sha256").agg(F.first("payload").alias("payload"), F.count("*").alias("copies"), F.max("page_id").alias("first_id"), F.min("check").alias("lo"), F.max("check").alias("hi"))
-    verified = F.when(F.col("lo") == F.col("hi"), F.col("payload")).otherwise(F.raise_error(F.lit("two payloads share a SHA-256 digest")).cast("binary"))
-    return grouped.select("payload_sha256", verified.alias("payload"), "copies", "first_id")
+    payload = _payload()
+    place = F.md5(F.concat_ws("|", F.col("page_id").cast("string"), F.sha1(payload), F.monotonically_increasing_id().cast("string")).cast("binary"))
+    url = F.regexp_replace(F.coalesce(F.col("url").cast("string"), F.lit("")), r"[\r\n]", " ")
+    rows = pages.select(
+        F.col("page_id").cast("long").alias("page_id"), F.concat(F.lit("urn:page:"), F.coalesce(F.col("page_id").cast("long").cast("string"), F.lit("none")), F.lit(":"), place).alias("record_id"), url.alias("url"),
+        F.sha2(payload, 256).alias("payload_sha256"), F.sha1(payload).alias("sha1"), F.octet_length(payload).alias("n"), F.xxhash64(payload).alias("xx"), payload.alias("payload"),
+    )
+    return rows.withColumn("block_sha1", F.sha1(F.concat(F.encode(http_header(F.col("n")), "UTF-8"), F.col("payload")))).drop("payload")
+
 
+def http_header(n: Column) -> Column:
+    lines = (F.lit("HTTP/1.1 200 OK"), F.lit("Content-Type: text/html; charset=utf-8"), F.concat(F.lit("Content-Length: "), n.cast("string")))
+    return F.concat(F.concat_ws(CRLF, *lines), F.lit(CRLF + CRLF))
 
-def headers_of(pages: DataFrame, shared: DataFrame, revisit_from: int = REVISIT_FROM) -> DataFrame:
-    """``page_id, payload_sha256, header``: the exact header block of each page's record.
 
-    ``shared`` has ``payload_sha256, first_id`` of the payloads that several pages have.
+def shared_payloads(facts: DataFrame) -> DataFrame:
+    """``payload_sha256, copies, first_page, first_record``: payloads that several pages have, and the record of the largest page_id.
+
+    The digest is verified where it is used as identity: payloads that share a SHA-256 must agree in length, SHA-1 and XXH64
+    or the job fails. Copies meet in a partial aggregate before the shuffle.
     """
-    payload = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
-    rows = pages.select(
-        F.col("page_id").cast("long").alias("page_id"), F.regexp_replace(F.coalesce(F.col("url").cast("string"), F.lit("")), r"[\r\n]", " ").alias("url"),
-        F.sha2(payload, 256).alias("payload_sha256"), F.sha1(payload).alias("sha1"), F.octet_length(payload).alias("n"),
-    ).join(shared.select("payload_sha256", "first_id"), "payload_sha256", "left")
-    revisit = (F.col("n") >= revisit_from) & F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
+    check = F.struct("n", "sha1", "xx")
+    grouped = facts.groupBy("payload_sha256").agg(
+        F.count("*").alias("copies"), F.max(F.struct("page_id", "record_id")).alias("first"), F.min(check).alias("lo"), F.max(check).alias("hi")
+    )
+    sound = F.when(F.col("lo") == F.col("hi"), F.col("payload_sha256")).otherwise(F.raise_error(F.lit("two payloads share a SHA-256 digest")).cast("string"))
+    return grouped.where(F.col("copies") > 1).select(sound.alias("payload_sha256"), "copies", F.col("first.page_id").alias("first_page"), F.col("first.record_id").alias("first_record"))
+
+
+def headers_of(facts: DataFrame, shared: DataFrame, revisit_from: int = REVISIT_FROM, date: str = DATE) -> DataFrame:
+    """``page_id, record_id, payload_sha256, copies, header``: the exact bytes (as text) before each record's payload.
+
+    Both sides of the join are dealt by digest and a salt, so that the headers of one common payload go to ``SALTS`` places.
+    """
+    salted = shared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = facts.withColumn("salt", _spread("record_id")).join(salted, ["payload_sha256", "salt"], "left")
+    revisit = (F.col("n") >= revisit_from) & F.col("first_page").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_page"))
+    http = http_header(F.col("n"))
+    block = F.octet_length(http) + F.when(revisit, F.lit(0)).otherwise(F.col("n"))
     lines = [
         F.lit("WARC/1.1"),
         F.concat(F.lit("WARC-Type: "), F.when(revisit, "revisit").otherwise("response")),
-        F.concat(F.lit("WARC-Record-ID: <"), _record_urn(F.col("page_id")), F.lit(">")),
+        F.concat(F.lit("WARC-Record-ID: <"), F.col("record_id"), F.lit(">")),
+        F.lit(f"WARC-Date: {date}"),
         F.concat(F.lit("WARC-Target-URI: "), F.col("url")),
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("sha1")),
-        F.concat(F.lit("WARC-Block-Digest: sha256:"), F.col("payload_sha256")),
-        F.when(revisit, F.concat(F.lit("WARC-Refers-To: <"), _record_urn(F.col("first_id")), F.lit(">"))),
-        F.when(revisit, F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
-        F.lit("Content-Type: text/html; charset=utf-8"),
-        F.concat(F.lit("Content-Length: "), F.when(revisit, F.lit(0)).otherwise(F.col("n")).cast("string")),
+        F.concat(F.lit("WARC-Block-Digest: sha1:"), F.when(revisit, F.sha1(F.encode(http, "UTF-8"))).otherwise(F.col("block_sha1"))),
+        F.when(revisit, F.concat(F.lit("WARC-Refers-To: <"), F.col("first_record"), F.lit(">"))),
+        F.when(revisit, F.lit(f"WARC-Profile: {PROFILE}")),
+        F.lit("Content-Type: application/http; msgtype=response"),
+        F.concat(F.lit("Content-Length: "), block.cast("string")),
     ]
-    return rows.select("page_id", "payload_sha256", F.concat(F.concat_ws(CRLF, *lines), F.lit(CRLF + CRLF)).alias("header"))
+    header = F.concat(F.concat_ws(CRLF, *lines), F.lit(CRLF + CRLF), http)
+    return rows.select("page_id", "record_id", "payload_sha256", F.coalesce("copies", F.lit(1)).alias("copies"), header.alias("header"))
 
 
-def write_archive(pages: DataFrame, scratch: Scratch, revisit_from: int = REVISIT_FROM) -> tuple[DataFrame, DataFrame]:
-    """Write and reopen the two tables of the archive: ``(payloads, headers)``."""
-    payloads = scratch.save("payloads", payloads_of(pages))
-    shared = payloads.where(F.col("copies") > 1).select("payload_sha256", "first_id")
-    return payloads, scratch.save("headers", headers_of(pages, shared, revisit_from))
+def payloads_of(pages: DataFrame) -> DataFrame:
+    """``payload_sha256, payload, copies``: every distinct payload once; a common one is met in a partial aggregate and arrives once per task."""
+    rows = pages.select(F.sha2(_payload(), 256).alias("payload_sha256"), _payload().alias("payload"))
+    return rows.groupBy("payload_sha256").agg(F.first("payload").alias("payload"), F.count("*").alias("copies"))
+
+
+class Archive:
+    """An archive on disk: ``payloads`` (bucketed by digest, so that no later join moves them) and ``headers``."""
+
+    def __init__(self, pages: DataFrame, scratch: Scratch, revisit_from: int = REVISIT_FROM, date: str = DATE):
+        spark, self.scratch = pages.sparkSession, scratch
+        facts = scratch.save("facts", facts_of(pages))
+        self.headers = scratch.save("headers", headers_of(facts, shared_payloads(facts), revisit_from, date))
+        scratch.drop("facts")
+        self.name = "payloads_" + scratch.root.rsplit("-", 1)[1]
+        buckets = max(LEAST_BUCKETS, pieces_for(pages, "html", BUCKET))
+        store = payloads_of(pages).repartition(buckets, "payload_sha256")
+        store.write.option("path", f"{scratch.root}/{self.name}").option("compression", "zstd").bucketBy(buckets, "payload_sha256").saveAsTable(self.name)
+        self.payloads = spark.table(self.name)
+
+    def drop(self) -> None:
+        self.payloads.sparkSession.sql(f"DROP TABLE IF EXISTS {self.name}")
+        self.scratch.drop("headers", self.name)
 
 
 def rebuild_records(payloads: DataFrame, headers: DataFrame) -> DataFrame:
-    """``page_id, header, payload, record``: original records; ``record`` is a response's header, payload and two line ends, a revisit's header and two line ends."""
-    joined = headers.join(payloads.select("payload_sha256", "payload"), "payload_sha256")
-    block = F.when(F.col("header").contains("WARC-Type: response" + CRLF), F.col("payload")).otherwise(F.lit(b""))
-    return joined.select("page_id", "header", "payload", F.concat(F.encode("header", "UTF-8"), block, F.lit(b"\r\n\r\n")).alias("record"))
+    """``page_id, payload, record``: the records' bytes, and the payload that each stands for (a revisit's too, which its record lacks).
+
+    Payloads stay where their bucket is; headers come to them. Those of payloads with over ``HOT`` copies, of which there are few,
+    are dealt to one place per ``HOT`` copies with the payload sent to each. An empty archive gives no rows; a header whose payload
+    is not stored gives none either (``read_back`` counts nothing twice, as digests are unique in the store).
+    """
+    response = F.instr("header", "WARC-Type: response" + CRLF) > 0
+    record = F.concat(F.encode("header", "UTF-8"), F.when(response, F.col("payload")).otherwise(F.lit(b"")), F.lit(b"\r\n\r\n"))
+    places = F.ceil(F.col("copies") / F.lit(HOT)).cast("int")
+    cold = headers.where(F.col("copies") <= HOT).drop("copies").join(payloads.where(F.col("copies") <= HOT).drop("copies"), "payload_sha256")
+    spread = headers.where(F.col("copies") > HOT).withColumn("salt", F.pmod(F.xxhash64("record_id"), places).cast("int")).drop("copies")
+    sent = payloads.where(F.col("copies") > HOT).withColumn("salt", F.explode(F.sequence(F.lit(0), places - 1))).drop("copies")
+    hot = spread.join(sent, ["payload_sha256", "salt"])
+    keep = ("page_id", "header", "payload_sha256", "payload")
+    return cold.select(*keep).union(hot.select(*keep)).select("page_id", "payload_sha256", "payload", record.alias("record"))
+
+
+def _field(head: Column, name: str) -> Column:
+    """A field's value in a header block; null where it has none."""
+    start = F.instr(F.concat(F.lit(CRLF), head), f"{CRLF}{name}: ")
+    return F.when(start > 0, F.substring_index(head.substr(start + len(name) + 2, F.length(head)), CRLF, 1))
+
+
+def parse_records(records: DataFrame) -> DataFrame:
+    """``records`` with ``record_type, said_digest, said_block, block_digest, refers_to, length, found``: fields, and the payload bytes in the block.
+
+    Everything comes from the bytes of ``record``: the header ends at the first empty line, the block has Content-Length bytes, and a response's
+    payload follows the HTTP header's empty line in it.
+    """
+    text = F.col("record").cast("string")
+    end = CRLF + CRLF
+    rows = records.withColumn("head", F.substring_index(text, end, 1)).withColumn("start", F.octet_length("head") + 4)
+    fields = {"record_type": "WARC-Type", "said": "WARC-Payload-Digest", "block_said": "WARC-Block-Digest", "refers": "WARC-Refers-To", "size": "Content-Length"}
+    rows = rows.select("*", *[_field(F.col("head"), name).alias(c) for c, name in fields.items()])
+    rows = rows.withColumn("block", F.substring(F.col("record"), F.col("start") + 1, F.col("size").cast("int")))
+    rows = rows.withColumn("http", F.substring_index(F.col("block").cast("string"), end, 1))
+    found = F.substring(F.col("block"), F.octet_length("http") + 5, F.octet_length("block"))
+    page = F.substring_index(F.substring_index(F.col("refers"), ":", 3), ":", -1)
+    return rows.select(
+        *records.columns, "record_type", F.substring_index("said", ":", -1).alias("said_digest"), F.substring_index("block_said", ":", -1).alias("said_block"), F.sha1("block").alias("block_digest"),
+        F.when(F.col("record_type") == "revisit", page.try_cast("long")).alias("refers_to"),
+        _field(F.col("http"), "Content-Length").cast("long").alias("length"), found.alias("found"),
+    )
 
 
 def read_back(payloads: DataFrame, headers: DataFrame) -> DataFrame:
-    """What the stored archive says of each page: digests and sizes are computed anew from the stored bytes.
+    """What the rebuilt records say of each page: ``page_id, payload_bytes, payload_digest, record_type, refers_to``.
 
-    Only digests and sizes travel to the headers' join, not payloads. A stored payload that no longer has
-    the digest it is filed under fails the job, as does a header whose SHA-1 differs from its payload's.
+    Digests and sizes are computed anew from bytes: a response's from its record's block, a revisit's from the payload it stands for.
+    A stored payload that lost its digest, or a record whose digests or length do not hold, fails the job.
     """
-    stored = payloads.select("payload_sha256", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"), F.sha2("payload", 256).alias("again"))
-    stored = stored.select("payload_sha256", "payload_bytes", F.when(F.col("again") == F.col("payload_sha256"), F.col("payload_digest")).otherwise(F.raise_error(F.lit("a stored payload lost its digest")).cast("string")).alias("payload_digest"))
-    line = lambda name: F.regexp_extract("header", rf"\r\n{name}: ([^\r]*)\r\n", 1)
-    parsed = headers.select("page_id", "payload_sha256", line("WARC-Type").alias("record_type"), line("WARC-Payload-Digest").alias("said"), F.regexp_extract("header", r"\r\nWARC-Refers-To: <urn:page:(-?\d+)>\r\n", 1).alias("refers"))
-    joined = parsed.join(stored, "payload_sha256")
-    digest = F.when(F.concat(F.lit("sha1:"), F.col("payload_digest")) == F.col("said"), F.col("payload_digest")).otherwise(F.raise_error(F.lit("a header and its payload disagree")).cast("string"))
-    return joined.select("page_id", "payload_bytes", digest.alias("payload_digest"), "record_type", F.when(F.col("refers") != "", F.col("refers").cast("long")).alias("refers_to"))
+    parsed = parse_records(rebuild_records(payloads, headers))
+    payload = F.when(F.col("record_type") == "response", F.col("found")).otherwise(F.col("payload"))
+    seen = parsed.select("page_id", "record_type", "refers_to", "payload_sha256", "said_digest", "length", (F.col("said_block") == F.col("block_digest")).alias("block_holds"), payload.alias("bytes"))
+    seen = seen.select("*", F.octet_length("bytes").cast("long").alias("payload_bytes"), F.sha1("bytes").alias("payload_digest"), F.sha2("bytes", 256).alias("again"))
+    holds = F.col("block_holds") & (F.col("said_digest") == F.col("payload_digest")) & (F.col("length") == F.col("payload_bytes")) & (F.col("again") == F.col("payload_sha256"))
+    digest = F.when(holds, F.col("payload_digest")).otherwise(F.raise_error(F.lit("a record and its stored payload disagree")).cast("string"))
+    return seen.select("page_id", "payload_bytes", digest.alias("payload_digest"), "record_type", "refers_to")
 
 
 def archive_pages(pages: DataFrame, revisit_from: int = REVISIT_FROM) -> DataFrame:
-    """Write ``pages`` as an archive, read it back: ``page_id, payload_bytes, payload_digest, record_type, refers_to``, a row per input row.
+    """Write ``pages`` as an archive, rebuild and parse its records: ``page_id, payload_bytes, payload_digest, record_type, refers_to``, a row per input row.
 
     Null html is the empty payload; payloads shorter than ``revisit_from`` bytes are always responses, yet
     stored once. Of equal payloads the largest page_id is the response; rows that repeat that page_id are responses
     too; a null page_id is a revisit of it, or a response where every page_id of the payload is null. Null
-    urls are written empty; line ends in a url become blanks in the header. Extra columns are ignored; an
-    empty table gives an empty archive and no rows.
+    urls are written empty; line ends in a url become blanks in the header. Html of any length is one payload. Extra columns are
+    ignored; an empty table gives an empty archive and no rows. The archive's tables are dropped once the rows are written.
     """
-    return read_back(*write_archive(pages, Scratch(pages.sparkSession, "warc"), revisit_from))
+    scratch = Scratch(pages.sparkSession, "warc")
+    archive = Archive(pages, scratch, revisit_from)
+    try:
+        return scratch.save("rows", read_back(archive.payloads, archive.headers))
+    finally:
+        archive.drop()
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
