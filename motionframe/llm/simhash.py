@@ -1,10 +1,12 @@
 """SimHash near-duplicates through an inverted index on byte positions with count filtering.
 
-Fingerprints at Hamming distance 2 or less agree in at least six of their eight bytes. The eight positions
-form four pairs, and two differing bytes leave at least two pairs whole: so every link is found under one of the
-six postings that name two whole pairs (four positional bytes) of a fingerprint. A posting of one byte alone
-would hold a 256th of the corpus. Each candidate pair's shared positional bytes are tallied, pairs below
-six are dropped, the rest verified by Hamming distance.
+A fingerprint has eight byte positions. Two fingerprints within ``distance`` bits differ in at most that many bytes, so they share at least
+``8 - distance`` positional bytes: that is the guaranteed minimum of the count filter. A posting of one positional byte would hold a
+256th of all documents, and tallying over such postings would emit all pairs within them; so a posting names as many positional bytes
+as the minimum asks for (six of eight for two bits: 28 postings a fingerprint), and a pair meets in one exactly if it reaches the minimum.
+Every meeting reports which positional bytes the pair shares; these are tallied per pair, pairs that reach the minimum are retained and
+verified by Hamming distance. Members of one posting are distinct fingerprints that differ in two given bytes only, so a posting of any
+corpus is bounded (2**16) and a crowd of near copies is spread over postings by where its bits differ.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
@@ -24,8 +26,6 @@ from .storage import Scratch, id_and_text, table
 WORDS = 3
 DISTANCE = 2
 SEED = 42
-#: A posting with more distinct fingerprints is joined through one-bit neighbours, which is linear in its size.
-HEAVY = 500
 
 
 def fingerprint(text: str, words: int = WORDS) -> int:
@@ -50,56 +50,49 @@ def fingerprint(text: str, words: int = WORDS) -> int:
     return int.from_bytes(np.packbits(bits * 2 > len(hashes)).tobytes(), "big")
 
 
-@F.pandas_udf(LongType())
-def fingerprint_of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for batch in texts:
-        yield pd.Series([fingerprint(t) for t in batch], dtype="uint64").astype("int64")
+def fingerprint_of(text: str, words: int = WORDS) -> Column:
+    """The fingerprint of a text column as a signed 64-bit number."""
 
+    @F.pandas_udf(LongType())
+    def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in texts:
+            yield pd.Series([fingerprint(t, words) for t in batch], dtype="uint64").astype("int64")
 
-def _bytes(fp: str, positions: tuple[int, ...]) -> Column:
-    mask = sum(0xFF << 8 * p for p in positions)
-    return F.col(fp).bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))
-
-
-def shared_bytes(a: str, b: str) -> Column:
-    """How many of the eight byte positions hold the same byte."""
-    x = F.col(a).bitwiseXOR(F.col(b))
-    return sum((F.shiftrightunsigned(x, 8 * p).bitwiseAND(F.lit(0xFF)) == 0).cast("int") for p in range(8))
+    return of(text)
 
 
-def links(fingerprints: DataFrame, scratch: Scratch, heavy: int = HEAVY) -> DataFrame:
-    """Edges ``a, b`` between distinct fingerprints (column ``fp``) whose closure equals that of all pairs within distance 2.
-
-    Light postings give every linked pair. A heavy posting gives, for each one-bit neighbour of its members in the
-    bytes it leaves open, a star around the smallest member: members sharing such a neighbour (or being it) lie within two
-    bits, and any two within two bits share one, so no link is lost and none is wrong.
-    """
-    groups = ((0, 1), (2, 3), (4, 5), (6, 7))
-    pairs = list(combinations(range(4), 2))
-    keys = F.array(*[F.struct(F.lit(i).cast("byte").alias("slot"), _bytes("fp", groups[a] + groups[b]).alias("key")) for i, (a, b) in enumerate(pairs)])
-    postings = scratch.save("postings", fingerprints.select("fp", F.explode(keys).alias("p")).select("fp", "p.slot", "p.key"))
-    sizes = postings.groupBy("slot", "key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    sized = postings.join(sizes, ["slot", "key"])
-    light, crowded = sized.where(F.col("n") <= heavy), sized.where(F.col("n") > heavy)
-    left, right = light.select("slot", "key", F.col("fp").alias("a")), light.select("slot", "key", F.col("fp").alias("b"))
-    tallied = left.join(right, ["slot", "key"]).where(F.col("a") < F.col("b")).where(shared_bytes("a", "b") >= 8 - DISTANCE)
-    verified = tallied.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE).select("a", "b")
-    open_bits = F.array(*[F.array(F.lit(0).cast("long"), *[F.lit((1 << b) - (1 << 64) if b == 63 else 1 << b).cast("long") for b in range(64) if not any(b // 8 in groups[g] for g in pair)]) for pair in pairs])
-    near = crowded.select("slot", "key", "fp", F.explode(F.element_at(open_bits, F.col("slot").cast("int") + 1)).alias("flip")).select("slot", "key", "fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("near"))
-    centres = near.groupBy("slot", "key", "near").agg(F.min("fp").alias("a"), F.max("fp").alias("top")).where(F.col("a") < F.col("top")).drop("top")
-    stars = near.join(centres, ["slot", "key", "near"]).where(F.col("fp") != F.col("a")).select("a", F.col("fp").alias("b"))
-    return verified.union(stars).distinct()
-
-
-def rooted(marked: DataFrame, first: Column, scratch: Scratch) -> DataFrame:
+def _mask(positions: tuple[int, ...]) -> int:
+    """A signed 64-bit mask of whole byte positions."""
+    mask = sum(0xFF << 8 * p for p in positions)
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def links(fingerprints: DataFrame, scratch: Scratch, distance: int = DISTANCE) -> DataFrame:
+    """``a, b``: all pairs a < b of the distinct fingerprints (column ``fp``) within ``distance`` bits (0 to 4)."""
+    least = 8 - distance
+    slots = list(combinations(range(8), least))
+    keys = F.array(*[F.struct(F.lit(i).cast("byte").alias("slot"), F.col("fp").bitwiseAND(F.lit(_mask(slot))).alias("key")) for i, slot in enumerate(slots)])
+    shared = F.array(*[F.lit(sum(1 << p for p in slot)) for slot in slots])  # which positions a slot's postings name, as bits
+    postings = fingerprints.select("fp", F.explode(keys).alias("p")).select("fp", "p.slot", "p.key")
+    crowd = Window.partitionBy("slot", "key")
+    met = postings.withColumn("n", F.count("*").over(crowd)).where(F.col("n") > 1)
+    lists = met.groupBy("slot", "key").agg(F.sort_array(F.collect_list("fp")).alias("fps"))  # in the window's partitioning; no list exceeds 256**distance
+    heads = lists.select("slot", "fps", F.posexplode("fps").alias("i", "a")).where(F.col("i") + 1 < F.size("fps"))
+    pairs = heads.select("slot", "a", F.explode(F.slice("fps", F.col("i") + 2, F.size("fps"))).alias("b"))
+    tallied = pairs.groupBy("a", "b").agg(F.bit_or(F.get(shared, F.col("slot").cast("int"))).alias("shared"))
+    retained = tallied.where(F.bit_count("shared") >= least)
+    return retained.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance).select("a", "b")
+
+
+def rooted(marked: DataFrame, first: Column, scratch: Scratch, distance: int = DISTANCE) -> DataFrame:
     """``fp, root, first``: every distinct fingerprint with its component's smallest one and the least ``first`` of its own rows."""
     nodes = scratch.save("nodes", marked.groupBy("fp").agg(F.min(first).alias("first")))
-    roots = connected_components(links(nodes.select("fp"), scratch), scratch)
+    roots = connected_components(links(nodes.select("fp"), scratch, distance), scratch)
     return nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``doc_id, fingerprint, component_id``, one row per input row.
+def near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
+    """``doc_id, fingerprint, component_id``, one row per input row: shingles of ``words`` words, links of at most ``distance`` bits.
 
     Equal fingerprints meet in one node before anything is joined, so copies cost nothing and are never paired.
     Null and empty texts, and texts without words, have fingerprint zero and link like any other. Repeated rows
@@ -107,8 +100,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ignored; an empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
-    marked = scratch.save("marked", id_and_text(docs).select("doc_id", fingerprint_of("text").alias("fp")))
-    joined = rooted(marked, F.col("doc_id"), scratch)
+    marked = scratch.save("marked", id_and_text(docs).select("doc_id", fingerprint_of("text", words).alias("fp")))
+    joined = rooted(marked, F.col("doc_id"), scratch, distance)
     ids = joined.groupBy("root").agg(F.min("first").alias("component_id"))
     component = joined.join(ids, "root").select("fp", "component_id")
     return marked.join(component, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -121,15 +114,15 @@ def _row_key(doc_id: Column, text: Column) -> list[Column]:
     return [number.isNull().alias("_no_id"), F.coalesce(number, F.lit(0)).alias("_id"), digest.alias("_digest")]
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
     """One row of each component with all its columns: that of the smallest doc_id (null only where no other is), then of the smallest digest.
 
     Of rows with that id and text the smallest by its columns in their order. Rows that share an id, or have none, are told apart by
     their texts. Rows alike in both meet partly before they are dealt out, so a common one reaches its task once per map task.
     """
     scratch, key = Scratch(docs.sparkSession, "simhash"), ["_no_id", "_id", "_digest"]
-    marked = scratch.save("marked", id_and_text(docs).select(*_row_key(F.col("doc_id"), F.col("text")), fingerprint_of("text").alias("fp")))
-    best = rooted(marked, F.struct(*key), scratch).groupBy("root").agg(F.min("first").alias("first")).select("first.*")
+    marked = scratch.save("marked", id_and_text(docs).select(*_row_key(F.col("doc_id"), F.col("text")), fingerprint_of("text", words).alias("fp")))
+    best = rooted(marked, F.struct(*key), scratch, distance).groupBy("root").agg(F.min("first").alias("first")).select("first.*")
     rows = docs.select(*_row_key(F.col("doc_id"), F.col("text")), F.struct(*docs.columns).alias("_row"))
     return rows.groupBy(*key).agg(F.min("_row").alias("_row")).join(best, key, "left_semi").select("_row.*")
 

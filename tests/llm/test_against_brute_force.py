@@ -89,13 +89,43 @@ def test_table_draws_follow_the_restaurant():
 def test_archive_round_trip(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet").limit(20)
     both = pages.union(pages.withColumn("page_id", F.col("page_id") + 1000))
-    payloads, headers = warc.write_archive(both, storage.Scratch(spark, "test"))
-    assert payloads.count() == 20 and headers.count() == 40
-    html = {r.page_id: r.html for r in both.collect()}
-    for r in warc.rebuild_records(payloads, headers).collect():
-        assert r.payload.decode() == html[r.page_id] and r.record.startswith(b"WARC/1.1\r\nWARC-Type: re") and r.record.endswith(b"\r\n\r\n")
-        revisit = b"WARC-Type: revisit" in r.record
-        assert revisit == (r.page_id < 1000 and len(html[r.page_id].encode()) >= 1000) and (r.payload in r.record) != revisit
+    archive = warc.Archive(both, storage.Scratch(spark, "test"))
+    assert archive.payloads.count() == 20 and archive.headers.count() == 40
+    html, ids, targets = {r.page_id: r.html.encode() for r in both.collect()}, set(), set()
+    for r in warc.rebuild_records(archive.payloads, archive.headers).collect():
+        record = bytes(r.record)
+        head, _, rest = record.partition(b"\r\n\r\n")
+        version, *lines = head.decode().split("\r\n")
+        fields = dict(line.split(": ", 1) for line in lines)
+        block, end = rest[: int(fields["Content-Length"])], rest[int(fields["Content-Length"]) :]
+        assert version == "WARC/1.1" and end == b"\r\n\r\n" and {"WARC-Date", "WARC-Record-ID", "WARC-Target-URI"} <= set(fields)
+        assert fields["WARC-Block-Digest"] == "sha1:" + hashlib.sha1(block).hexdigest() and fields["WARC-Payload-Digest"] == "sha1:" + hashlib.sha1(html[r.page_id]).hexdigest()
+        http, _, payload = block.partition(b"\r\n\r\n")
+        assert http.startswith(b"HTTP/1.1 200 OK\r\n") and http.endswith(b"Content-Length: %d" % len(html[r.page_id])) and r.payload == html[r.page_id]
+        revisit = fields["WARC-Type"] == "revisit"
+        assert revisit == (r.page_id < 1000 and len(html[r.page_id]) >= 1000) and payload == (b"" if revisit else html[r.page_id])
+        ids.add(fields["WARC-Record-ID"])
+        targets |= {fields["WARC-Refers-To"]} if revisit else set()
+    assert len(ids) == 40 and targets <= ids
+    archive.drop()
+
+
+def test_a_damaged_archive_fails(spark):
+    pages = spark.createDataFrame([(1, "http://a.b/", "x" * 2000), (2, "http://a.b/", "x" * 2000)], "page_id long, url string, html string")
+    archive = warc.Archive(pages, storage.Scratch(spark, "test"))
+    damaged = archive.payloads.withColumn("payload", F.concat("payload", F.lit(b"!")))
+    assert warc.read_back(archive.payloads, archive.headers).count() == 2
+    for part in (damaged, archive.payloads.withColumn("payload", F.lit(b"y" * 2000))):
+        with pytest.raises(Exception, match="disagree"):
+            warc.read_back(part, archive.headers).collect()
+    archive.drop()
+
+
+def test_common_payloads_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(warc, "HOT", 3)
+    rows = [(i, f"http://a.b/{i}", "h" * 1500 if i % 3 else f"{i}" * 900) for i in range(60)]
+    found = warc.archive_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(found) == 60 and {r.refers_to for r in found if r.record_type == "revisit"} == {59} and sum(r.record_type == "revisit" for r in found) == 39
 
 
 def test_packing(docs, texts, tokenizer):
@@ -152,17 +182,18 @@ def test_simhash_links_of_crowded_postings(spark):
     base = [int(x) for x in rng.integers(0, 1 << 63, 4)]
     values = sorted({b ^ (1 << int(i)) ^ (1 << int(j)) for b in base for i, j in rng.integers(0, 63, (40, 2))} | set(base))
     fps = spark.createDataFrame([(v,) for v in values], "fp long")
-    both = []
-    for heavy in (500, 3):
-        scratch = storage.Scratch(spark, "test")
-        both.append({r.node: r.root for r in connected_components(simhash.links(fps, scratch, heavy), scratch).collect()})
+    scratch = storage.Scratch(spark, "test")
+    pairs = {(r.a, r.b) for r in simhash.links(fps, scratch).collect()}
+    found = {r.node: r.root for r in connected_components(simhash.links(fps, scratch), scratch).collect()}
     edges = [(a, b) for a in values for b in values if a < b and (a ^ b).bit_count() <= 2]
     root = {v: v for v in values}
     for _ in range(len(values)):
         for a, b in edges:
             root[a] = root[b] = min(root[a], root[b])
     linked = {v for e in edges for v in e}
-    assert both[0] == both[1] == {v: root[v] for v in linked}
+    assert pairs == set(edges) and found == {v: root[v] for v in linked}
+    wider = {(a, b) for a in values for b in values if a < b and (a ^ b).bit_count() <= 3}
+    assert {(r.a, r.b) for r in simhash.links(fps, scratch, 3).collect()} == wider
 
 
 @settings(max_examples=150, deadline=None)

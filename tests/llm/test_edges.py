@@ -91,9 +91,26 @@ def test_pages(spark):
     assert len(urlfilter.judge_urls(pages).collect()) == 9
     found = {(r.page_id, r.record_type, r.refers_to) for r in warc.archive_pages(pages).collect()}
     assert {(5, "revisit", 9), (9, "response", None), (None, "revisit", 9), (3, "response", None), (1, "response", None)} <= found
+    long = spark.createDataFrame([(1, "u" * 300_000, "w" * 5_000_000), (2, "\U0001f600x" * 100_000 + "://H/p?q", None)], "page_id long, url string, html string")
+    assert {(r.page_id, r.payload_bytes) for r in warc.archive_pages(long).collect()} == {(1, 5_000_000), (2, 0)}
     assert urlfilter.judge_urls(pages.limit(0)).count() == 0 and warc.archive_pages(pages.limit(0)).count() == 0
 
 
+def test_long_urls(spark, tmp_path):
+    mixed = "".join(chr(0x1F600 + i % 50) if i % 3 else "aB"[i % 2] for i in range(100_000))
+    rows = [(1, mixed), (2, f"{mixed}://{mixed}"), (3, f"http://Ex.net/{mixed}?{mixed}"), (4, "/" * 100_000), (5, "http://a.org?x/y#z"), (6, "http://a.org#?/"), (7, "http://b.org/fr/é?x")]
+    found = {r.page_id: r for r in urlfilter.judge_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    low = mixed.translate(str.maketrans("AB", "ab"))
+    assert (found[1].host, found[1].path) == ("", "") and (found[2].host, found[2].path) == (low, "") and (found[3].host, found[3].path, found[3].rule) == ("ex.net", f"/{mixed}", "net/")
+    assert [(found[i].host, found[i].path) for i in (4, 5, 6, 7)] == [("", ""), ("a.org", ""), ("a.org", ""), ("b.org", "/fr/é")] and found[7].verdict == "allow"
+    (tmp_path / "terms").write_text("# terms\nstrict Vile\n\nsoft odd\nsoft vile\nsoft strange\n")
+    own = urlfilter.read_vocabulary(spark, str(tmp_path / "terms"))
+    assert (own.strict, own.soft) == (("vile",), ("odd", "strange", "vile"))
+    with pytest.raises(ValueError):
+        urlfilter.read_vocabulary(spark, str(tmp_path / "terms"), most=2)
+    assert not set(urlfilter.STRICT) & set(urlfilter.SOFT) and len(set(urlfilter.SOFT)) == len(urlfilter.SOFT) and len(set(urlfilter.STRICT)) == len(urlfilter.STRICT)
+
+
 def test_vectors(spark):
     kind = "vec_id long, embedding array<float>, label int, ids string, v string, list int"
     nan, inf = float("nan"), float("inf")
