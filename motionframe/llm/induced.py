@@ -1,17 +1,14 @@
 """Suffix arrays by induced sorting and permuted longest common prefixes, in numpy.
 
-One call handles one shard (a few megabytes). Where induced sorting reads its buckets left to right one suffix at
-a time, whole buckets are read at once here: a suffix only ever induces one in its own bucket (read again
-as the bucket grows) or in a bucket that is read later.
+One call handles one shard (a few megabytes). Where induced sorting reads one suffix after another, ranges of whole buckets are read
+at once here: a range may be as long as nothing that is read in it belongs into it. Reduced strings recurse, whatever their
+alphabet; with many small buckets the ranges are long, with few large ones they are single buckets.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Reduced strings with more symbols than this are sorted by doubling ranks instead of by another round of induction.
-MOST_BUCKETS = 512
-
 
 def suffix_types(t: np.ndarray) -> np.ndarray:
     """True where a suffix is smaller than the one after it; the sentinel at the end (unique, smallest) is."""
@@ -26,83 +23,75 @@ def suffix_types(t: np.ndarray) -> np.ndarray:
 def induce(t: np.ndarray, small: np.ndarray, leftmost: np.ndarray, k: int) -> np.ndarray:
     """The suffix array that ``leftmost`` (leftmost-smaller positions, in the order known so far) induces."""
     n = len(t)
-    sa = np.zeros(n, dtype=np.int32)
     counts = np.bincount(t, minlength=k)
     ends = np.cumsum(counts)
     starts = ends - counts
-    larger = np.bincount(t[~small], minlength=k)
-    leftmost = leftmost[np.argsort(t[leftmost], kind="stable")]
-    bounds = np.searchsorted(t[leftmost], np.arange(k + 1))
-
-    def before(suffixes: np.ndarray, kind: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Their predecessors of one type, stably by first symbol: positions, symbols, ranks within the symbol, counts."""
-        p = suffixes - 1
-        p = p[(p >= 0) & (small[p] == kind)]
-        symbol = t[p]
+    sa = np.full(n, -1, dtype=np.int32)
+    by_bucket = leftmost[np.argsort(t[leftmost], kind="stable")]
+    per = np.bincount(t[leftmost], minlength=k)
+    at = np.repeat(ends - per, per) + np.arange(len(leftmost)) - np.repeat(np.cumsum(per) - per, per)
+    sa[at] = by_bucket
+    change = np.append(True, t[1:] != t[:-1])
+    run = np.arange(n) - np.maximum.accumulate(np.where(change, np.arange(n), 0))  # how many equal symbols stand right before each
+
+    def before(block: np.ndarray, kind: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The predecessors of one type of what has been placed in a block, and their buckets."""
+        p = block[block > 0] - 1
+        p = p[small[p] == kind]
+        return p, t[p]
+
+    def place(p: np.ndarray, symbol: np.ndarray, edge: np.ndarray, up: bool) -> None:
+        """Into their buckets, in order, from ``edge`` on (up or down)."""
+        if not len(p):
+            return
         order = np.argsort(symbol, kind="stable")
         p, symbol = p[order], symbol[order]
-        per = np.bincount(symbol, minlength=k)
-        return p, symbol, np.arange(len(p)) - (np.cumsum(per) - per)[symbol], per
-
-    used = np.flatnonzero(counts)
-    head = starts.copy()
-    for c in used:
-        read = starts[c]
-        while read < head[c]:
-            block = sa[read : head[c]]
-            read = head[c]
-            p, symbol, rank, per = before(block, False)
-            sa[head[symbol] + rank] = p
-            head += per
-        if bounds[c] < bounds[c + 1]:
-            p, symbol, rank, per = before(leftmost[bounds[c] : bounds[c + 1]], False)
-            sa[head[symbol] + rank] = p
-            head += per
-    tail = ends.copy()
-    sa[0], tail[0] = n - 1, 0
-    for c in used[::-1]:
-        read = ends[c]
-        while read > tail[c]:
-            block = sa[tail[c] : read][::-1]
-            read = tail[c]
-            p, symbol, rank, per = before(block, True)
-            sa[tail[symbol] - 1 - rank] = p
-            tail -= per
-        if larger[c]:
-            p, symbol, rank, per = before(sa[starts[c] : starts[c] + larger[c]][::-1], True)
-            sa[tail[symbol] - 1 - rank] = p
-            tail -= per
+        new = np.flatnonzero(np.append(True, symbol[1:] != symbol[:-1]))
+        size = np.diff(np.append(new, len(p)))
+        rank = np.arange(len(p)) - np.repeat(new, size)
+        sa[edge[symbol] + rank if up else edge[symbol] - 1 - rank] = p
+        edge[symbol[new]] += size if up else -size
+
+    def sweep(up: bool) -> None:
+        """Larger suffixes from their successors in rising order, or smaller ones in falling order."""
+        edge = starts.copy() if up else ends.copy()
+        c, width = (0, 1) if up else (k, 1)
+        while c < k if up else c > 0:
+            e = min(k, c + width) if up else max(0, c - width)
+            lo, hi = (c, e) if up else (e, c)
+            block = sa[starts[lo] : ends[hi - 1]]
+            p, symbol = before(block if up else block[::-1], not up)
+            inside = symbol[symbol < e] if up else symbol[symbol >= e]
+            if len(inside):  # what belongs into the range must be there before it is read
+                cut = int(inside.min()) if up else int(inside.max()) + 1
+                if cut == c:  # the first bucket feeds itself: what was placed in it, then all of it one symbol on, then two symbols on, ..
+                    b = c if up else c - 1
+                    seeds = sa[starts[b] : edge[b]] if up else sa[edge[b] : ends[b]][::-1]
+                    times = run[seeds]
+                    step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + 1
+                    fed = (np.repeat(seeds, times) - step)[np.argsort(step, kind="stable")]
+                    place(fed, t[fed], edge, up)
+                    p, symbol = before(sa[starts[b] : ends[b]] if up else sa[starts[b] : ends[b]][::-1], not up)
+                    other = symbol != b
+                    place(p[other], symbol[other], edge, up)
+                    c = b + 1 if up else b
+                    continue
+                width = max(1, abs(cut - c))
+                block = sa[starts[c] : ends[cut - 1]] if up else sa[starts[cut] : ends[c - 1]][::-1]
+                p, symbol = before(block, not up)
+                e = cut
+            else:
+                width *= 2
+            place(p, symbol, edge, up)
+            c = e
+
+    sweep(True)
+    sa[at] = -1  # these are found again among the smaller suffixes
+    sa[0] = n - 1
+    sweep(False)
     return sa
 
 
-def by_doubling(names: np.ndarray) -> np.ndarray:
-    """Suffixes of a string of names (its last one unique and smallest), by doubling the compared length.
-
-    Only suffixes whose rank is still shared are sorted again.
-    """
-    m, width = len(names), 1
-    order = np.argsort(names, kind="stable")
-    new = np.append(True, names[order][1:] != names[order][:-1])
-    first = np.maximum.accumulate(np.where(new, np.arange(m), 0))
-    rank = np.empty(m, dtype=np.int64)
-    rank[order] = first
-    while True:
-        single = new & np.append(new[1:], True)
-        open_ = np.flatnonzero(~single)
-        if not len(open_):
-            return order
-        at = order[open_]
-        key = rank[at] * (m + 1) + np.where(at + width < m, rank[np.minimum(at + width, m - 1)] + 1, 0)
-        sort = np.argsort(key)
-        order[open_] = at[sort]
-        key = key[sort]
-        split = np.append(True, key[1:] != key[:-1])
-        new[open_] = split
-        first = np.maximum.accumulate(np.where(split, open_, 0))
-        rank[order[open_]] = first
-        width *= 2
-
-
 def suffix_array(t: np.ndarray) -> np.ndarray:
     """Of symbols ``t`` (unsigned integers) whose last one is 0 and occurs nowhere else."""
     n, k = len(t), int(t.max()) + 1
@@ -129,8 +118,7 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
             names = np.empty(n, dtype=np.int64)
             names[rough] = named
             reduced = names[leftmost]
-            sub = suffix_array(reduced.astype(np.uint16)) if named[-1] < MOST_BUCKETS else by_doubling(reduced)
-            leftmost = leftmost[sub]
+            leftmost = leftmost[suffix_array(reduced.astype(np.uint32))]
         else:
             leftmost = rough.astype(np.int64)
     return induce(t, small, leftmost, k)
