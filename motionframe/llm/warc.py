@@ -28,6 +28,10 @@ def _payload(html: str = "html") -> Column:
     return F.encode(F.coalesce(F.col(html).cast("string"), F.lit("")), "UTF-8")
 
 
+def _sha256(payload: Column) -> Column:
+    return F.unhex(F.sha2(payload, 256))
+
+
 def _spread(column: str) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(SALTS)).cast("int")
 
@@ -38,13 +42,13 @@ def facts_of(pages: DataFrame) -> DataFrame:
     A record id names the page and the row's place in the table, so that repeated pages have records of their own.
     """
     payload = _payload()
-    place = F.md5(F.concat_ws("|", F.col("page_id").cast("string"), F.sha1(payload), F.monotonically_increasing_id().cast("string")).cast("binary"))
+    place = (F.col("page_id"), F.sha1(payload), F.monotonically_increasing_id())
     url = F.regexp_replace(F.coalesce(F.col("url").cast("string"), F.lit("")), r"[\r\n]", " ")
     rows = pages.select(
-        F.col("page_id").cast("long").alias("page_id"), F.concat(F.lit("urn:page:"), F.coalesce(F.col("page_id").cast("long").cast("string"), F.lit("none")), F.lit(":"), place).alias("record_id"), url.alias("url"),
-        F.sha2(payload, 256).alias("payload_sha256"), F.sha1(payload).alias("sha1"), F.octet_length(payload).alias("n"), F.xxhash64(payload).alias("xx"), payload.alias("payload"),
+        F.col("page_id").cast("long").alias("page_id"), F.concat(F.lit("urn:page:"), F.coalesce(F.col("page_id").cast("long").cast("string"), F.lit("none")), F.lit(":"), F.hex(F.xxhash64(*place)), F.hex(F.hash(*place))).alias("record_id"), url.alias("url"),
+        _sha256(payload).alias("payload_sha256"), F.unhex(F.sha1(payload)).alias("sha1"), F.octet_length(payload).alias("n"), F.xxhash64(payload).alias("xx"), payload.alias("payload"),
     )
-    return rows.withColumn("block_sha1", F.sha1(F.concat(F.encode(http_header(F.col("n")), "UTF-8"), F.col("payload")))).drop("payload")
+    return rows.withColumn("block_sha1", F.unhex(F.sha1(F.concat(F.encode(http_header(F.col("n")), "UTF-8"), F.col("payload"))))).drop("payload")
 
 
 def http_header(n: Column) -> Column:
@@ -62,7 +66,7 @@ def shared_payloads(facts: DataFrame) -> DataFrame:
     grouped = facts.groupBy("payload_sha256").agg(
         F.count("*").alias("copies"), F.max(F.struct("page_id", "record_id")).alias("first"), F.min(check).alias("lo"), F.max(check).alias("hi")
     )
-    sound = F.when(F.col("lo") == F.col("hi"), F.col("payload_sha256")).otherwise(F.raise_error(F.lit("two payloads share a SHA-256 digest")).cast("string"))
+    sound = F.when(F.col("lo") == F.col("hi"), F.col("payload_sha256")).otherwise(F.raise_error(F.lit("two payloads share a SHA-256 digest")).cast("binary"))
     return grouped.where(F.col("copies") > 1).select(sound.alias("payload_sha256"), "copies", F.col("first.page_id").alias("first_page"), F.col("first.record_id").alias("first_record"))
 
 
@@ -82,8 +86,8 @@ def headers_of(facts: DataFrame, shared: DataFrame, revisit_from: int = REVISIT_
         F.concat(F.lit("WARC-Record-ID: <"), F.col("record_id"), F.lit(">")),
         F.lit(f"WARC-Date: {date}"),
         F.concat(F.lit("WARC-Target-URI: "), F.col("url")),
-        F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("sha1")),
-        F.concat(F.lit("WARC-Block-Digest: sha1:"), F.when(revisit, F.sha1(F.encode(http, "UTF-8"))).otherwise(F.col("block_sha1"))),
+        F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.lower(F.hex("sha1"))),
+        F.concat(F.lit("WARC-Block-Digest: sha1:"), F.when(revisit, F.sha1(F.encode(http, "UTF-8"))).otherwise(F.lower(F.hex("block_sha1")))),
         F.when(revisit, F.concat(F.lit("WARC-Refers-To: <"), F.col("first_record"), F.lit(">"))),
         F.when(revisit, F.lit(f"WARC-Profile: {PROFILE}")),
         F.lit("Content-Type: application/http; msgtype=response"),
@@ -95,7 +99,7 @@ def headers_of(facts: DataFrame, shared: DataFrame, revisit_from: int = REVISIT_
 
 def payloads_of(pages: DataFrame) -> DataFrame:
     """``payload_sha256, payload, copies``: every distinct payload once; a common one is met in a partial aggregate and arrives once per task."""
-    rows = pages.select(F.sha2(_payload(), 256).alias("payload_sha256"), _payload().alias("payload"))
+    rows = pages.select(_sha256(_payload()).alias("payload_sha256"), _payload().alias("payload"))
     return rows.groupBy("payload_sha256").agg(F.first("payload").alias("payload"), F.count("*").alias("copies"))
 
 
@@ -173,7 +177,7 @@ def read_back(payloads: DataFrame, headers: DataFrame) -> DataFrame:
     parsed = parse_records(rebuild_records(payloads, headers))
     payload = F.when(F.col("record_type") == "response", F.col("found")).otherwise(F.col("payload"))
     seen = parsed.select("page_id", "record_type", "refers_to", "payload_sha256", "said_digest", "length", (F.col("said_block") == F.col("block_digest")).alias("block_holds"), payload.alias("bytes"))
-    seen = seen.select("*", F.octet_length("bytes").cast("long").alias("payload_bytes"), F.sha1("bytes").alias("payload_digest"), F.sha2("bytes", 256).alias("again"))
+    seen = seen.select("*", F.octet_length("bytes").cast("long").alias("payload_bytes"), F.sha1("bytes").alias("payload_digest"), _sha256(F.col("bytes")).alias("again"))
     holds = F.col("block_holds") & (F.col("said_digest") == F.col("payload_digest")) & (F.col("length") == F.col("payload_bytes")) & (F.col("again") == F.col("payload_sha256"))
     digest = F.when(holds, F.col("payload_digest")).otherwise(F.raise_error(F.lit("a record and its stored payload disagree")).cast("string"))
     return seen.select("page_id", "payload_bytes", digest.alias("payload_digest"), "record_type", "refers_to")
