@@ -1,8 +1,10 @@
 """Approximate nearest neighbours over balanced posting lists with boundary replication.
 
-A bounded sample gives the centroids; a navigable graph over them stays in memory. Every distinct vector is posted
-under its nearest centroid and under each other one about as near (boundary vectors live in several lists). A query
-walks the centroid graph, keeps the lists within a distance ratio of the best, and compares exactly inside them.
+A bounded sample gives the first centroids; a navigable graph over them stays in memory. Every distinct vector is posted
+under its nearest centroid and under each other one about as near (boundary vectors live in several lists). Lists that come out
+long are split again by centroids of their own, level by level, until lists are short: their number follows the table's
+size, the work of a query does not. A query walks the centroid graph, keeps the lists within a distance ratio of the
+best, goes down the levels in the same way, and compares exactly inside the lists that are left.
 """
 
 from __future__ import annotations
@@ -20,10 +22,13 @@ from .storage import Scratch, table
 
 @dataclass(frozen=True)
 class Index:
-    """``sample`` rows fit at most ``most_lists`` centroids; lists aim at ``list_rows`` vectors, and longer ones are split.
+    """``sample`` rows fit at most ``most_lists`` centroids; lists aim at ``list_rows`` vectors.
 
-    A vector is posted to up to ``replicas`` lists within ``boundary`` times its nearest centroid's distance; a query reads
-    up to ``probes`` lists within ``ratio`` times its nearest one's. Distances are Euclidean between unit vectors.
+    A list of more than four times as many is split into at most ``fan`` others, by centroids of at most ``32 * fan`` of its rows (in
+    expectation); at most ``levels`` times, after which a list that is still long is searched in parts.
+    A vector is posted to up to ``replicas`` lists within ``boundary`` times its nearest centroid's distance (two on lower levels); a query
+    reads up to ``probes`` lists within ``ratio`` times its nearest one's, and more than that until they hold enough vectors.
+    Distances are Euclidean between unit vectors.
     """
 
     sample: int = 20_000
@@ -31,10 +36,12 @@ class Index:
     list_rows: int = 400
     replicas: int = 4
     boundary: float = 1.15
-    probes: int = 48
+    probes: int = 64
     ratio: float = 1.6
     degree: int = 16
     beam: int = 96
+    fan: int = 256
+    levels: int = 4
     seed: int = 7
 
 
@@ -107,62 +114,158 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, index: Index = Index()) -> DataFrame:
-    """``query_id, rank, vec_id, score``: the ``k`` largest cosines found for each row of ``queries`` among ``vectors``' other ids.
+#: Rows of one list that one task routes or searches at once.
+TOGETHER = 20_000
 
-    Both have ``vec_id, embedding``. Every usable row is indexed; unusable ones (and null ids, and vectors of another length than the
-    most common one) take no part. Equal vectors share one posting that keeps the ``k + 1`` smallest ids, which is all
-    that ties to the smaller id can ever return, so copies of one vector never crowd a list. Rows that repeat an id
-    with another vector count once, by their best score. Lists longer than four times the aim are split at random and
-    each part is searched. Fewer candidates than ``k`` give fewer ranks; an empty table gives no rows.
+
+class Lists:
+    """Postings ``list, ids, v`` and queries ``list, query_id, v, d`` (distance to the list's centroid) of one level of the index."""
+
+    def __init__(self, postings: DataFrame, asked: DataFrame, sizes: DataFrame):
+        self.postings, self.asked, self.sizes = postings, asked, sizes
+
+    def rows_read(self) -> tuple[int, int, float]:
+        """``(lists, queries, mean lists that a query reads)``."""
+        n, q, rows = self.sizes.count(), self.asked.select("query_id").distinct().count(), self.asked.count()
+        return n, q, rows / max(1, q)
+
+
+def _sized(postings: DataFrame) -> DataFrame:
+    return postings.groupBy("list").agg(F.count("*").alias("n"))
+
+
+def refined(now: Lists, index: Index, scratch: Scratch, level: int) -> Lists | None:
+    """The next level: long lists replaced by those of their own centroids; None if no list is long.
+
+    Centroids of a list are one row, sent to the parts of at most about ``TOGETHER`` vectors in which its vectors and queries are routed.
     """
-    spark = vectors.sparkSession
-    scratch = Scratch(spark, "ann")
-    clean = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
-    clean = clean.where(F.col("vec_id").isNotNull() & usable(F.col("v")))
-    sizes = clean.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), F.desc("n")).first()
-    if sizes is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim = sizes["n"]
-    clean = clean.where(F.size("v") == dim).withColumn("h", F.xxhash64("v"))
+    long = now.sizes.where(F.col("n") > 4 * index.list_rows)
+    if long.isEmpty():
+        return None
+    sampled = now.postings.join(long, "list").where(F.pmod(F.xxhash64("ids", F.lit(level)), F.lit(1 << 20)) < F.lit((1 << 20) * 32.0 * index.fan) / F.col("n"))
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        unit = _unit(_matrix(pdf["v"]))
+        k = int(max(2, min(index.fan, -(-int(pdf["n"].iat[0]) // index.list_rows), len(unit) // 4 or 1)))
+        k = min(k, len(unit))
+        centres = balanced_centroids(unit, k, index.seed + level).astype(np.float32)
+        return pd.DataFrame({"list": [pdf["list"].iat[0]], "n": [pdf["n"].iat[0]], "centres": [centres.tobytes()], "k": [k]})
+
+    fitted = scratch.save(f"centres-{level}", sampled.groupBy("list").applyInPandas(fit, "list long, n long, centres binary, k int"))
+    parts = F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(TOGETHER))).cast("int")
+    sent = fitted.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+
+    def near(v: pd.Series, centres: bytes, k: int) -> np.ndarray:
+        unit = _unit(_matrix(v))
+        return np.sqrt(np.maximum(2 - 2 * unit @ np.frombuffer(centres, np.float32).reshape(k, -1).T.astype(np.float64), 0))
+
+    def post(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame([], columns=["list", "ids", "v"])
+        d = near(left["v"], right["centres"].iat[0], int(right["k"].iat[0]))
+        want = min(2, d.shape[1])
+        first = np.argpartition(d, want - 1, axis=1)[:, :want]
+        own = np.take_along_axis(d, first, axis=1)
+        row, col = np.nonzero(own <= own.min(axis=1, keepdims=True) * index.boundary + 1e-12)
+        return pd.DataFrame({"list": int(right["list"].iat[0]) * index.fan + first[row, col] + 1, "ids": left["ids"].to_numpy()[row], "v": left["v"].to_numpy()[row]})
+
+    def ask(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame([], columns=["list", "query_id", "v", "d"])
+        d = near(left["v"], right["centres"].iat[0], int(right["k"].iat[0]))
+        want = min(index.probes, d.shape[1])
+        first = np.argpartition(d, want - 1, axis=1)[:, :want]
+        own = np.take_along_axis(d, first, axis=1)
+        row, col = np.nonzero(own <= own.min(axis=1, keepdims=True) * index.ratio + 1e-12)
+        return pd.DataFrame({"list": int(right["list"].iat[0]) * index.fan + first[row, col] + 1, "query_id": left["query_id"].to_numpy()[row], "v": left["v"].to_numpy()[row], "d": own[row, col]})
+
+    def routed(rows: DataFrame, key: str, route, kind: str) -> DataFrame:
+        dealt = rows.join(fitted.select("list", "n"), "list").withColumn("part", F.pmod(F.xxhash64(key), parts).cast("int")).drop("n")
+        return dealt.groupBy("list", "part").cogroup(sent.groupBy("list", "part")).applyInPandas(route, kind)
+
+    # A level's lists are numbered apart from the other levels': list * fan + 1 .. list * fan + fan, short ones as list * fan.
+    renamed = (F.col("list") * index.fan).alias("list")
+    short = now.postings.join(fitted.select("list"), "list", "left_anti").select(renamed, "ids", "v")
+    postings = scratch.save(f"postings-{level}", short.union(routed(now.postings, "ids", post, "list long, ids array<long>, v array<double>")))
+    kept = now.asked.join(fitted.select("list"), "list", "left_anti").select(renamed, "query_id", "v", "d")
+    asked = kept.union(routed(now.asked, "query_id", ask, "list long, query_id long, v array<double>, d double"))
+    order = Window.partitionBy("query_id", "v").orderBy("d", "list")
+    asked = asked.withColumn("r", F.row_number().over(order)).withColumn("best", F.min("d").over(Window.partitionBy("query_id", "v")))
+    asked = scratch.save(f"asked-{level}", asked.where((F.col("r") <= index.probes) & (F.col("d") <= F.col("best") * index.ratio + 1e-9) | (F.col("r") <= 2)).select("list", "query_id", "v", "d"))
+    return Lists(postings, asked, scratch.save(f"sizes-{level}", _sized(postings)))
+
+
+def build(clean: DataFrame, queries: DataFrame, k: int, index: Index, scratch: Scratch) -> Lists:
+    """The index of ``clean`` (``vec_id, v, h``, vectors of one length) with the queries (``query_id, v``) routed to the lists they read."""
+    spark = clean.sparkSession
     first = Window.partitionBy("h", "v").orderBy("vec_id")
     kept = clean.distinct().withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1)  # a group limit before the shuffle
     distinct = scratch.save("distinct", kept.groupBy("h", "v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")))
-
-    sample = [r["v"] for r in distinct.orderBy("h").limit(index.sample).select("v").collect()]
-    unit = _unit(np.array(sample, dtype=np.float64))
+    unit = _unit(np.array([r["v"] for r in distinct.orderBy("h").limit(index.sample).select("v").collect()], dtype=np.float64))
     rows = distinct.count()
     lists = int(max(1, min(index.most_lists, -(-rows // index.list_rows), len(unit) // 4 or 1)))
     centres = balanced_centroids(unit, lists, index.seed)
     shared = spark.sparkContext.broadcast((centres, neighbour_graph(centres, index.degree)))  # most_lists rows at most
 
-    def reach(v: pd.Series, want: int, ratio: float) -> tuple[np.ndarray, np.ndarray]:
-        found, d2 = graph_search(_unit(_matrix(v)), *shared.value, index.beam, want)
-        d = np.sqrt(d2)
-        return found, d <= np.maximum(d[:, :1] * ratio, 1e-9)
-
     def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for lo in range(0, len(batch), 2000):
                 part = batch.iloc[lo : lo + 2000]
-                found, near = reach(part["v"], index.replicas, index.boundary)
-                row, col = np.nonzero(near)
+                found, d2 = graph_search(_unit(_matrix(part["v"])), *shared.value, index.beam, index.replicas)
+                d = np.sqrt(d2)
+                row, col = np.nonzero(d <= np.maximum(d[:, :1] * index.boundary, 1e-9))
                 yield pd.DataFrame({"list": found[row, col], "ids": part["ids"].to_numpy()[row], "v": part["v"].to_numpy()[row]})
 
+    postings = scratch.save("postings", distinct.select("ids", "v").mapInPandas(post, "list long, ids array<long>, v array<double>"))
+    sizes = scratch.save("sizes", _sized(postings))
+    length = np.zeros(lists)
+    for r in sizes.collect():  # most_lists rows at most
+        length[r["list"]] = r["n"]
+    enough = (k + 1) * index.replicas  # a vector is in so many lists at most
+
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for lo in range(0, len(batch), 2000):
                 part = batch.iloc[lo : lo + 2000]
-                found, near = reach(part["v"], index.probes, index.ratio)
-                row, col = np.nonzero(near)
-                yield pd.DataFrame({"list": found[row, col], "query_id": part["query_id"].to_numpy()[row], "v": part["v"].to_numpy()[row]})
+                found, d2 = graph_search(_unit(_matrix(part["v"])), *shared.value, index.beam, index.probes)
+                d = np.sqrt(d2)
+                held = np.cumsum(length[found], axis=1) - length[found]  # in the nearer lists
+                row, col = np.nonzero((d <= np.maximum(d[:, :1] * index.ratio, 1e-9)) | (held < enough))
+                yield pd.DataFrame({"list": found[row, col], "query_id": part["query_id"].to_numpy()[row], "v": part["v"].to_numpy()[row], "d": d[row, col]})
+
+    asked = scratch.save("asked", queries.mapInPandas(ask, "list long, query_id long, v array<double>, d double"))
+    now = Lists(postings, asked, sizes)
+    for level in range(1, index.levels + 1):
+        deeper = refined(now, index, scratch, level)
+        if deeper is None:
+            break
+        now = deeper
+    return now
+
 
-    postings = scratch.save("postings", distinct.select("ids", "v").mapInPandas(post, "list int, ids array<long>, v array<double>"))
-    parts = postings.groupBy("list").agg(F.ceil(F.count("*") / F.lit(4 * index.list_rows)).cast("int").alias("parts"))  # one row a list
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, index: Index = Index()) -> DataFrame:
+    """``query_id, rank, vec_id, score``: the ``k`` largest cosines found for each row of ``queries`` among ``vectors``' other ids.
+
+    Both have ``vec_id, embedding``. Every usable row is indexed; unusable ones (and null ids, and vectors of another length than the
+    most common one) take no part. Equal vectors share one posting that keeps the ``k + 1`` smallest ids, which is all
+    that ties to the smaller id can ever return, so copies of one vector never crowd a list. Rows that repeat an id
+    with another vector count once, by their best score. Fewer candidates than ``k`` give fewer ranks; an empty table gives no rows.
+    Other columns are ignored. The index is dropped once the rows are written.
+    """
+    spark = vectors.sparkSession
+    scratch = Scratch(spark, "ann")
+    clean = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
+    clean = clean.where(F.col("vec_id").isNotNull() & usable(F.col("v")))
+    sizes = clean.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), F.desc("n")).first()
+    if sizes is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    dim = sizes["n"]
     asked = queries.select(F.col("vec_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("v"))
-    asked = asked.where(F.col("query_id").isNotNull() & usable(F.col("v")) & (F.size("v") == dim)).distinct().mapInPandas(ask, "list int, query_id long, v array<double>")
-    split_postings = postings.join(F.broadcast(parts), "list").withColumn("part", F.pmod(F.xxhash64("ids"), F.col("parts")).cast("int")).select("list", "part", "ids", "v")
-    split_asked = asked.join(F.broadcast(parts), "list").select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "query_id", "v")
+    asked = asked.where(F.col("query_id").isNotNull() & usable(F.col("v")) & (F.size("v") == dim)).distinct()
+    lists = build(clean.where(F.size("v") == dim).withColumn("h", F.xxhash64("v")), asked, k, index, scratch)
+    parts = scratch.save("parts", lists.sizes.select("list", F.ceil(F.col("n") / F.lit(TOGETHER)).cast("int").alias("parts")))
+    split_postings = lists.postings.join(parts, "list").withColumn("part", F.pmod(F.xxhash64("ids"), F.col("parts")).cast("int")).select("list", "part", "ids", "v")
+    split_asked = lists.asked.join(parts, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "query_id", "v")
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
@@ -182,7 +285,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, index: Index = I
     found = split_asked.groupBy("list", "part").cogroup(split_postings.groupBy("list", "part")).applyInPandas(search, "query_id long, vec_id long, score double")
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    rows = scratch.save("rows", best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
+    scratch.drop_all_but("rows")
+    return rows
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

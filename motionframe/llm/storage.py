@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared scratch folder; a folder of our own only where none is set (tests)."""
+    """The shared scratch folder that ``spark.checkpoint.dir`` names. Unset, only a session in local mode gets a temporary one (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="motionframe-")
         spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -31,6 +33,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, owner: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{owner}-{uuid.uuid4().hex}"
+        self.saved: set[str] = set()
 
     def save(self, name: str, df: DataFrame, *partition_by: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -38,9 +41,14 @@ class Scratch:
         if partition_by:
             writer = writer.partitionBy(*partition_by)
         writer.parquet(path)
+        self.saved.add(name)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def drop_all_but(self, *names: str) -> None:
+        self.drop(*(self.saved - set(names)))
+
     def drop(self, *names: str) -> None:
+        self.saved -= set(names)
         jvm = self.spark._jvm
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")

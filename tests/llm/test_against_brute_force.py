@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -197,12 +198,10 @@ def test_simhash_links_of_crowded_postings(spark):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.integers(1, 5), max_size=80), st.sampled_from([512, 0]))
-def test_suffix_array_and_prefixes(symbols, most):
+@given(st.lists(st.integers(1, 5), max_size=80) | st.lists(st.integers(1, 200), max_size=300) | st.lists(st.sampled_from([1, 2, 255]), max_size=80))
+def test_suffix_array_and_prefixes(symbols):
     t = np.array([*symbols, 0], np.uint8)
-    before, induced.MOST_BUCKETS = induced.MOST_BUCKETS, most
     sa = induced.suffix_array(t)
-    induced.MOST_BUCKETS = before
     raw = t.tobytes()
     assert sa.tolist() == sorted(range(len(t)), key=lambda i: raw[i:])
     shared = induced.permuted_common_prefixes(t, sa)
@@ -213,6 +212,20 @@ def test_suffix_array_and_prefixes(symbols, most):
         assert shared[b] == n
 
 
+def test_suffix_array_of_a_shard():
+    rng = np.random.default_rng(1)
+    words = [bytes(rng.integers(97, 123, rng.integers(2, 9)).astype(np.uint8)) for _ in range(2000)]
+    for raw in (b" ".join(words[i] for i in rng.integers(0, 2000, 60_000)), bytes(rng.integers(2, 250, 200_000).astype(np.uint8)), b"x" * 200_000, b"abcab" * 40_000):
+        t = np.append(np.frombuffer(raw, np.uint8), 0).astype(np.uint8)
+        sa = induced.suffix_array(t)
+        shared = induced.permuted_common_prefixes(t, sa)
+        assert np.array_equal(np.sort(sa), np.arange(len(t)))
+        a, b = sa[:-1].astype(np.int64), sa[1:].astype(np.int64)
+        assert (t[a + shared[b]] < t[b + shared[b]]).all()  # ordered by the first symbol that differs
+        for i in rng.integers(0, len(a), 200):
+            assert t[a[i] : a[i] + shared[b[i]]].tobytes() == t[b[i] : b[i] + shared[b[i]]].tobytes()
+
+
 def plain_removal(texts, match=50):
     first = {}
     for i, t in sorted(texts.items()):
@@ -274,21 +287,41 @@ def test_bpe_on_any_text(tokenizer, text):
     assert coder.encode(text) == ids and coder.decode(ids) == tokenizer.decode(ids, skip_special_tokens=False)
 
 
-def test_ann_recall(spark):
-    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
-    found = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in ann.nearest(vectors, vectors.where("vec_id % 50 = 0")).collect()}
-    all_ = vectors.toPandas()
-    ids, x = all_.vec_id.to_numpy(), np.stack(all_.embedding.to_numpy()).astype(np.float64)
+def recall(spark, path, ids, x, index):
+    """The share of the true five nearest found (ids divisible by 50 ask), and the index's lists, queries and lists read a query."""
+    pd.DataFrame({"vec_id": ids, "embedding": list(x)}).to_parquet(f"{path}/vectors.parquet")
+    vectors = spark.read.parquet(f"{path}/vectors.parquet")
+    found = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in ann.nearest(vectors, vectors.where("vec_id % 50 = 0"), index=index).collect()}
     hits = total = 0
+    norm = np.linalg.norm(x, axis=1)
     for q in np.flatnonzero(ids % 50 == 0):
-        score = x @ x[q] / np.linalg.norm(x, axis=1) / np.linalg.norm(x[q])
+        score = x @ x[q] / norm / norm[q]
         score[q] = -2
         for rank, i in enumerate(np.lexsort((ids, -score))[:5], 1):
             total += 1
             got = found[int(ids[q]), rank]
             hits += got[0] == ids[i]
             assert math.isclose(got[1], score[ids == got[0]][0], rel_tol=1e-12)
-    assert hits / total >= 0.9
+    v = vectors.select("vec_id", F.col("embedding").alias("v")).withColumn("h", F.xxhash64("v"))
+    lists = ann.build(v, v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "v"), 5, index, storage.Scratch(spark, "test"))
+    return hits / total, *lists.rows_read()
+
+
+def test_ann_recall(spark, tmp_path):
+    all_ = pd.read_parquet("/root/testdata/sf0.1/embeddings.parquet")
+    x = np.stack(all_.embedding.to_numpy()).astype(np.float64)
+    assert recall(spark, tmp_path, all_.vec_id.to_numpy(), x, ann.Index(list_rows=24))[0] >= 0.9  # over 80 lists of vectors without any clusters
+
+
+@pytest.mark.parametrize("index", [ann.Index(list_rows=100), ann.Index(list_rows=60, most_lists=12, fan=16, sample=4000)], ids=["flat", "levels"])
+def test_ann_recall_over_hundreds_of_lists(spark, tmp_path, index):
+    rng = np.random.default_rng(4)
+    n, dim = 15_000, 32
+    centres = rng.normal(size=(120, dim))
+    x = centres[rng.integers(0, 120, n)] + rng.normal(scale=0.6, size=(n, dim))
+    share, lists, queries, read = recall(spark, tmp_path, np.arange(n), x, index)
+    print(f"recall {share:.3f}, {lists} lists, {read:.1f} read by each of {queries} queries")
+    assert share >= 0.9 and lists > 100 and read < lists / 4
 
 
 def test_recurrent_gradients():
