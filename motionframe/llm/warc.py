@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import Scratch, pieces_for, table
+from .storage import Scratch, table
 
 #: Equal payloads of at least so many bytes become one response and revisits of it.
 REVISIT_FROM = 1000
@@ -20,8 +20,6 @@ CRLF = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: The headers of a payload with more copies than this are spread over one place per so many; small tables are joined in SALTS parts.
 HOT, SALTS = 1000, 16
-#: Bytes of payload in one bucket of the store, and the fewest buckets.
-BUCKET, LEAST_BUCKETS = 1 << 26, 16
 
 
 def _payload(html: str = "html") -> Column:
@@ -112,9 +110,8 @@ class Archive:
         self.headers = scratch.save("headers", headers_of(facts, shared_payloads(facts), revisit_from, date))
         scratch.drop("facts")
         self.name = "payloads_" + scratch.root.rsplit("-", 1)[1]
-        buckets = max(LEAST_BUCKETS, pieces_for(pages, "html", BUCKET))
-        store = payloads_of(pages).repartition(buckets, "payload_sha256")
-        store.write.option("path", f"{scratch.root}/{self.name}").option("compression", "zstd").bucketBy(buckets, "payload_sha256").saveAsTable(self.name)
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))  # so a task of the grouping writes one bucket, and payloads move once
+        payloads_of(pages).write.option("path", f"{scratch.root}/{self.name}").option("compression", "zstd").bucketBy(buckets, "payload_sha256").saveAsTable(self.name)
         self.payloads = spark.table(self.name)
 
     def drop(self) -> None:
