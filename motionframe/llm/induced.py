@@ -10,6 +10,10 @@ from __future__ import annotations
 import numpy as np
 
 
+#: A range of several buckets has so many suffixes at most: what is read beyond where a range turns out to end is read again.
+RANGE = 8192
+
+
 def suffix_types(t: np.ndarray) -> np.ndarray:
     """True where a suffix is smaller than the one after it; the sentinel at the end (unique, smallest) is."""
     n = len(t)
@@ -34,11 +38,12 @@ def induce(t: np.ndarray, small: np.ndarray, leftmost: np.ndarray, k: int) -> np
     change = np.append(True, t[1:] != t[:-1])
     run = np.arange(n) - np.maximum.accumulate(np.where(change, np.arange(n), 0))  # how many equal symbols stand right before each
 
-    def before(block: np.ndarray, kind: bool) -> tuple[np.ndarray, np.ndarray]:
-        """The predecessors of one type of what has been placed in a block, and their buckets."""
-        p = block[block > 0] - 1
-        p = p[small[p] == kind]
-        return p, t[p]
+    def before(block: np.ndarray, kind: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The predecessors of one type of what has been placed in a block, their buckets, and which places of the block they come from."""
+        p = np.maximum(block, 1) - 1
+        from_ = np.flatnonzero((block > 0) & (small[p] == kind))
+        p = p[from_]
+        return p, t[p], from_
 
     def place(p: np.ndarray, symbol: np.ndarray, edge: np.ndarray, up: bool) -> None:
         """Into their buckets, in order, from ``edge`` on (up or down)."""
@@ -57,10 +62,13 @@ def induce(t: np.ndarray, small: np.ndarray, leftmost: np.ndarray, k: int) -> np
         edge = starts.copy() if up else ends.copy()
         c, width = (0, 1) if up else (k, 1)
         while c < k if up else c > 0:
-            e = min(k, c + width) if up else max(0, c - width)
+            if up:
+                e = max(c + 1, min(c + width, int(np.searchsorted(starts, starts[c] + RANGE, "right")) - 1))
+            else:
+                e = min(c - 1, max(c - width, int(np.searchsorted(ends, ends[c - 1] - RANGE))))
             lo, hi = (c, e) if up else (e, c)
             block = sa[starts[lo] : ends[hi - 1]]
-            p, symbol = before(block if up else block[::-1], not up)
+            p, symbol, from_ = before(block if up else block[::-1], not up)
             inside = symbol[symbol < e] if up else symbol[symbol >= e]
             if len(inside):  # what belongs into the range must be there before it is read
                 cut = int(inside.min()) if up else int(inside.max()) + 1
@@ -71,15 +79,14 @@ def induce(t: np.ndarray, small: np.ndarray, leftmost: np.ndarray, k: int) -> np
                     step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + 1
                     fed = (np.repeat(seeds, times) - step)[np.argsort(step, kind="stable")]
                     place(fed, t[fed], edge, up)
-                    p, symbol = before(sa[starts[b] : ends[b]] if up else sa[starts[b] : ends[b]][::-1], not up)
+                    p, symbol, _ = before(sa[starts[b] : ends[b]] if up else sa[starts[b] : ends[b]][::-1], not up)
                     other = symbol != b
                     place(p[other], symbol[other], edge, up)
                     c = b + 1 if up else b
                     continue
                 width = max(1, abs(cut - c))
-                block = sa[starts[c] : ends[cut - 1]] if up else sa[starts[cut] : ends[c - 1]][::-1]
-                p, symbol = before(block, not up)
-                e = cut
+                read = np.searchsorted(from_, ends[cut - 1] - starts[c] if up else ends[c - 1] - starts[cut])
+                p, symbol, e = p[:read], symbol[:read], cut
             else:
                 width *= 2
             place(p, symbol, edge, up)
@@ -92,6 +99,33 @@ def induce(t: np.ndarray, small: np.ndarray, leftmost: np.ndarray, k: int) -> np
     return sa
 
 
+def order_of_names(names: np.ndarray) -> np.ndarray:
+    """The suffixes of a reduced string in order (its last name is unique and smallest), by recursion.
+
+    A name that occurs once decides every comparison that reaches it. So the string that is sorted next has the names that occur
+    again and, after each run of them, the one that ends it.
+    """
+    counts = np.bincount(names)
+    again = counts[names] > 1
+    keep = again.copy()
+    keep[1:] |= again[:-1]
+    keep[-1] = True
+    at = np.flatnonzero(keep)
+    present = np.zeros(len(counts), dtype=bool)
+    present[names[at]] = True
+    short = (np.cumsum(present) - 1)[names[at]]
+    sub = at[suffix_array(short.astype(np.uint8 if short.max() < 256 else np.uint16 if short.max() < 65536 else np.uint32))]
+    starts = np.cumsum(counts) - counts
+    order = np.empty(len(names), dtype=np.int64)
+    single = np.flatnonzero(~again)
+    order[starts[names[single]]] = single
+    sub = sub[again[sub]]  # by name already, and rightly within a name
+    new = np.flatnonzero(np.append(True, names[sub[1:]] != names[sub[:-1]])[: len(sub)])
+    rank = np.arange(len(sub)) - np.repeat(new, np.diff(np.append(new, len(sub))))
+    order[starts[names[sub]] + rank] = sub
+    return order
+
+
 def suffix_array(t: np.ndarray) -> np.ndarray:
     """Of symbols ``t`` (unsigned integers) whose last one is 0 and occurs nowhere else."""
     n, k = len(t), int(t.max()) + 1
@@ -117,8 +151,7 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
         if named[-1] + 1 < len(rough):
             names = np.empty(n, dtype=np.int64)
             names[rough] = named
-            reduced = names[leftmost]
-            leftmost = leftmost[suffix_array(reduced.astype(np.uint32))]
+            leftmost = leftmost[order_of_names(names[leftmost])]
         else:
             leftmost = rough.astype(np.int64)
     return induce(t, small, leftmost, k)
