@@ -43,16 +43,27 @@ def normalised(text: Column) -> Column:
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
 
 
+#: A word that no normalised text has; it ends the last chains.
+_END = "\x01"
+
+
 def signature_texts(text: Column, anchors: tuple[str, ...] = ANCHORS, chain: int = CHAIN) -> Column:
-    """The sorted distinct signatures ``anchor:word:..:word``; where there is none, the whole normalised text is the one."""
-    any_anchor = f"(?:{_alternatives(anchors)} )"
-    following = " ".join([f"{any_anchor}*+(\\S+)"] * chain)
-    pattern = f".*? ({_alternatives(anchors)})(?= {following} )|.+"  # the rest after the last chain is one match, never searched again
-    refs = ":".join(f"${i}" for i in range(1, chain + 2))
+    """The sorted distinct signatures ``anchor:word:..:word``; where there is none, the whole normalised text is the one.
+
+    Anchors that follow each other share the content words after them, so a run of anchors is matched once, as a whole, with those
+    words; made-up words at the end see to it that every run has some. Each word is read a fixed number of times, whatever
+    the text; chains that would reach the end are dropped.
+    """
+    anchor = f"(?:{_alternatives(anchors)} )"
+    following = f" {anchor}*+".join(["(\\S+)"] * chain)
+    pattern = f".*? ({anchor}++)(?={following} )|.+"  # the rest after the last run is one match
+    refs = "$1>" + ":".join(f"${i}" for i in range(2, chain + 2)) + ";"
     plain = normalised(text)
-    found = F.split(F.regexp_replace(plain, pattern, refs + ";"), ";")
-    chains = F.slice(found, 1, F.size(found) - 2)
-    return F.when(F.size(found) > 2, F.array_sort(F.array_distinct(chains))).otherwise(F.array(plain))
+    found = F.split(F.regexp_replace(F.concat(plain, F.lit(f"{_END} " * chain)), pattern, refs), ";")
+    runs = F.filter(found, lambda r: ~r.contains(_END) & (F.length(r) > chain))
+    each = lambda r: F.transform(F.split(F.substring_index(r, " >", 1), " "), lambda a: F.concat(a, F.lit(":"), F.substring_index(r, ">", -1)))
+    whole = F.transform(F.array(F.flatten(F.transform(runs, each))), lambda c: F.when(F.size(c) > 0, F.array_sort(F.array_distinct(c))).otherwise(F.array(plain)))
+    return F.get(whole, F.lit(0))  # worked out once, used twice
 
 
 def fingerprint_of(signatures: Column) -> Column:
