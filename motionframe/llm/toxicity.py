@@ -16,7 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .storage import fold, id_and_text, table
@@ -30,12 +30,15 @@ EDGES = ".,;:!?\"'()[]{}|-"
 
 @dataclass(frozen=True)
 class Settings:
-    """``per_class``: the most labelled documents of each class that training reads (those of smallest hashed id).
+    """``per_class``: the most labelled documents of each class that training reads (those of smallest hashed id), up to ``per_class_bytes``
+    of text together. Texts of over ``longest`` bytes teach nothing. Scoring knows no such bounds.
 
     Every ``aside``-th of them only sets where a score is one half, where a clean one counts ``clean_weight`` times a toxic one.
     """
 
     per_class: int = 2000
+    per_class_bytes: int = 12_000_000
+    longest: int = 400_000
     hidden: int = 8
     word_rows: int = 1 << 14
     word_size: int = 8
@@ -356,13 +359,19 @@ class Scorer:
         return 1 / (1 + np.exp(-np.maximum.reduceat(logits, firsts).astype(np.float64)))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[list[str], np.ndarray]:
-    """At most ``per_class`` labelled texts of each class outside the held-out fold, by smallest hashed id; the driver holds no more."""
+def training_rows(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> tuple[list[str], np.ndarray]:
+    """Labelled texts of both classes outside the held-out fold, bounded in number and bytes (see ``Settings``): all that the driver holds.
+
+    A document that occurs several times is read once (its smallest text).
+    """
     marked = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     marked = marked.where(fold("doc_id") != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = marked.where("toxic = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).union(marked.where("toxic = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class))
-    rows = id_and_text(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text").collect()  # 2 * per_class ids at most
-    rows = sorted(rows, key=lambda r: (r["doc_id"], r["text"]))
+    first = lambda label: marked.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.per_class)
+    chosen = first(0).union(first(1))  # 2 * per_class ids at most
+    rows = id_and_text(docs).where(F.octet_length("text") <= settings.longest).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("size", F.sum(F.octet_length("text")).over(order)).where(F.col("size") <= settings.per_class_bytes)
+    rows = sorted(rows.select("doc_id", "toxic", "text").collect(), key=lambda r: r["doc_id"])
     return [r["text"] for r in rows], np.array([r["toxic"] for r in rows], dtype=np.int64)
 
 
@@ -374,7 +383,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, settings: Settings = Set
     is toxic if either label is; null labels and ids teach nothing. Repeated rows score alike. Without labels every
     score is low. Extra columns are ignored; an empty table gives no rows.
     """
-    net = train(*training_rows(docs, labels, settings.per_class), settings)
+    net = train(*training_rows(docs, labels, settings), settings)
     shared = docs.sparkSession.sparkContext.broadcast(net)  # of the settings' size
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -387,8 +396,12 @@ def score_documents(docs: DataFrame, labels: DataFrame, settings: Settings = Set
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """The rows of ``docs`` that score below one half, with all their columns as they are; map-only."""
-    net = train(*training_rows(docs, labels, settings.per_class), settings)
+    """The rows of ``docs`` that score below one half, with all their columns as they are; map-only.
+
+    Null and empty texts score as a window of padding and so all go or all stay; repeated rows are judged alike and all kept or all
+    dropped; a null doc_id is judged by its text. Without labels nothing is dropped. An empty table stays empty.
+    """
+    net = train(*training_rows(docs, labels, settings), settings)
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -358,6 +358,56 @@ def test_toxicity_on_held_out_documents(spark):
     assert (toxic.score.to_numpy()[:, None] > clean.score.to_numpy()).mean() > 0.95
 
 
+def test_scores_against_a_plain_network():
+    """One window after another, one word after another, in plain numbers."""
+    s = toxicity.Settings(hidden=3, word_rows=64, gram_rows=128, word_size=2, gram_size=3)
+    net = toxicity.Network(s)
+    net.w["xb"] += 0.1
+    w = {k: v.tolist() for k, v in net.w.items()}
+    sigmoid = lambda v: 1 / (1 + math.exp(-v))
+    times = lambda v, m: [sum(a * row[j] for a, row in zip(v, m)) for j in range(len(m[0]))]
+
+    def given(word):
+        table = toxicity.Words(s.word_rows, s.gram_rows)
+        table.rows([[word]])
+        ids, grams, _ = table.features([word])
+        mean = [sum(w["gram"][g][i] for g in grams) / len(grams) for i in range(s.gram_size)]
+        return [a + b for a, b in zip(times(w["word"][ids[0]] + mean, w["x"]), w["xb"])]
+
+    def recur(xs, u):
+        h, out = [0.0] * 3, []
+        for x in xs:
+            g = times(h, u)
+            z = [sigmoid(x[i] + g[i]) for i in range(3)]
+            r = [sigmoid(x[3 + i] + g[3 + i]) for i in range(3)]
+            n = [math.tanh(x[6 + i] + r[i] * g[6 + i]) for i in range(3)]
+            h = [n[i] + z[i] * (h[i] - n[i]) for i in range(3)]
+            out.append(h)
+        return out
+
+    def window(words):
+        xs = [given(x) for x in words] + [w["xb"]] * (toxicity.WIDTH - len(words))
+        both = [f + b for f, b in zip(recur([x[:9] for x in xs], w["uf"]), recur([x[9:] for x in xs][::-1], w["ub"])[::-1])]
+        score = [sum(math.tanh(a) * v for a, v in zip(times(h, w["a"]), w["v"])) if i < len(words) else -30.0 for i, h in enumerate(both)]
+        weight = [math.exp(x - max(score)) for x in score]
+        pooled = [sum(a * h[i] for a, h in zip(weight, both)) / sum(weight) for i in range(6)]
+        return sum(a * b for a, b in zip(pooled, w["o"])) + w["ob"][0]
+
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{i}é" for i in rng.integers(0, 30, n)) for n in (1, 5, 32, 33, 48, 49, 90)]
+    for text, found in zip(texts, toxicity.Scorer(net).score(texts)):
+        words = text.split()
+        starts = range(0, max(1, -(-(len(words) - toxicity.STEP) // toxicity.STEP)) * toxicity.STEP, toxicity.STEP)
+        assert math.isclose(found, sigmoid(max(window(words[i : i + toxicity.WIDTH]) for i in starts)), rel_tol=1e-4)
+
+
+def test_training_rows_are_bounded(spark):
+    docs = spark.createDataFrame([(i % 40, "x" * (100 if i else 5000) + str(i)) for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    texts, marks = toxicity.training_rows(docs, labels, toxicity.Settings(per_class=10, per_class_bytes=500, longest=1000))
+    assert 0 < len(texts) <= 10 and sum(map(len, texts)) <= 1000 and len(set(texts)) == len(texts) and set(marks) == {0, 1}
+
+
 def test_every_word_of_a_long_text_is_scored(spark):
     net = toxicity.train(["plain words only here"] * 30 + ["plain vileword words here"] * 30, np.array([0] * 30 + [1] * 30))
     scorer = toxicity.Scorer(net)
@@ -394,6 +444,30 @@ def test_pieces_cover_a_run():
     assert toxicity.words_of("/" * 100) and toxicity.words_of("x" * 64 + " " + "é" * 32 + " ok") == ["x" * 64, "é" * 32, "ok"]
 
 
+def test_signatures_against_plain_loops(spark):
+    rng = np.random.default_rng(9)
+    pool = ["the", "a", "of", "un", "thee", "cat", "dog", "x1", "An", "été"]
+    texts = ["", "the", "the the", "the cat", "the cat dog", "cat dog the", "the a cat of dog", *(" ".join(rng.choice(pool, n)) + "." for n in rng.integers(1, 40, 60))]
+
+    def plain(text):
+        words = [w.lower() for w in "".join(c if c.isalnum() else " " for c in text).split()]
+        content = lambda k: [w for w in words[k + 1 :] if w not in spotsigs.ANCHORS][:2]
+        found = {":".join([w, *content(k)]) for k, w in enumerate(words) if w in spotsigs.ANCHORS and len(content(k)) == 2}
+        return sorted(found) or [" " + " ".join(words) + " " if words else "  "]
+
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", spotsigs.signature_texts(F.col("text")).alias("s")).collect()
+    for r in rows:
+        assert [x.strip() for x in r.s] == [x.strip() for x in plain(texts[r.i])]
+
+
+def test_texts_of_anchors_only_cost_linear_time(spark):
+    import time
+
+    long = spark.createDataFrame([("the " * 100_000 + "cat " + "of the " * 50_000 + "dog " + "the " * 1000,)], "text string").select(spotsigs.signature_texts(F.col("text")).alias("s"))
+    began = time.perf_counter()
+    assert long.first().s == ["the:cat:dog"] and time.perf_counter() - began < 10
+
+
 def test_spot_pairs(docs):
     members, pairs = spotsigs.near_pairs(docs)
     sets = {}
