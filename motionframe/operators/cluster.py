@@ -18,11 +18,22 @@ def l1(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, d: s + d)
 
 
+def pairs_within(series: DataFrame, by: list[str], key: str, columns: dict[str, tuple[str, str]], tile: int = 500) -> DataFrame:
+    """``by, a, b`` and for each of ``columns`` its values of both, for all pairs a < b of a class.
+
+    A class's series are dealt to tiles of about ``tile`` by their key, and two tiles meet in one join key, so that the pairs of one large
+    class are spread over many tasks. There are as many rows as pairs: that is what a distance matrix is.
+    """
+    tiles = series.groupBy(*by).agg(F.ceil(F.count("*") / F.lit(tile)).cast("int").alias("_tiles"))
+    dealt = series.join(tiles, by).withColumn("_t", F.pmod(F.xxhash64(key), F.col("_tiles")).cast("int"))
+    first = dealt.select(*by, F.col(key).alias("a"), *[F.col(c).alias(x) for c, (x, _) in columns.items()], F.col("_t").alias("_i"), F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)).alias("_j"))
+    second = dealt.select(*by, F.col(key).alias("b"), *[F.col(c).alias(y) for c, (_, y) in columns.items()], F.col("_t").alias("_j"), F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)).alias("_i"))
+    return first.join(second, [*by, "_i", "_j"]).where(F.col("a") < F.col("b")).drop("_i", "_j")
+
+
 def distance_matrix(series: DataFrame, by: list[str], key: str, values: str) -> DataFrame:
-    """``by, a, b, d``: L1 distances of the pairs a < b within a class (an equality join on the class; as many rows as there are pairs)."""
-    left = series.select(*by, F.col(key).alias("a"), F.col(values).alias("_x"))
-    right = series.select(*by, F.col(key).alias("b"), F.col(values).alias("_y"))
-    return left.join(right, by).where(F.col("a") < F.col("b")).select(*by, "a", "b", l1(F.col("_x"), F.col("_y")).alias("d"))
+    """``by, a, b, d``: L1 distances of the pairs a < b within a class."""
+    return pairs_within(series, by, key, {values: ("_x", "_y")}).select(*by, "a", "b", l1(F.col("_x"), F.col("_y")).alias("d"))
 
 
 def both_ways(distances: DataFrame, by: list[str]) -> DataFrame:
@@ -48,42 +59,65 @@ def trimmed_bucket_mean(distances: DataFrame, by: list[str], order: int, bins: i
     return wide.groupBy(*by, "a", "k").agg(F.avg("m").alias("mean"))
 
 
-def estimate_eps(distances: DataFrame, by: list[str], order: int = 5, bins: int = 100) -> DataFrame:
-    """``by, eps, min_pts``: the k whose average over the points is smallest, and that average."""
+#: The radius and count of a class whose distances say nothing (a single series, or all alike).
+NO_EPS, NO_POINTS = 0.1, 3
+
+
+def estimate_eps(distances: DataFrame, by: list[str], order: int = 5, bins: int = 100, classes: DataFrame | None = None) -> DataFrame:
+    """``by, eps, min_pts``: the k whose average over the points is smallest, and that average.
+
+    With one average above zero the first k's is taken; with none ``NO_EPS, NO_POINTS``, as for those of ``classes`` without distances.
+    """
     per_k = trimmed_bucket_mean(distances, by, order, bins).groupBy(*by, "k").agg(F.avg("mean").alias("eps"))
-    return per_k.groupBy(*by).agg(F.min("eps").alias("eps"), F.min_by("k", F.struct("eps", "k")).alias("min_pts"))
+    found = per_k.groupBy(*by).agg(F.sum((F.col("eps") > 0).cast("int")).alias("_above"), F.min("eps").alias("_eps"), F.min_by("k", F.struct("eps", "k")).alias("_k"), F.min_by("eps", "k").alias("_first"), F.min("k").alias("_k0"))
+    found = (classes if classes is not None else distances).select(*by).distinct().join(found, by, "left")
+    pick = lambda many, one, none: F.when(F.col("_above") > 1, F.col(many)).when(F.col("_above") == 1, F.col(one)).otherwise(F.lit(none))
+    return found.select(*by, pick("_eps", "_first", NO_EPS).alias("eps"), pick("_k", "_k0", NO_POINTS).cast("int").alias("min_pts"))
+
 
+def components(edges: DataFrame) -> DataFrame:
+    """``id, root``: the smallest id reachable from every node that an edge (``a, b``, any comparable type) has.
 
-def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``id, root``: the smallest id reachable over ``edges`` (``a, b``, both ways). Each round takes neighbours' roots, then the root's root."""
-    checkpoint_dir(nodes.sparkSession)
-    state = nodes.select("id", F.col("id").alias("root")).checkpoint()
+    Every round hangs a node's larger neighbours, then its smaller ones, onto its smallest neighbour, until nothing changes: a logarithmic number
+    of rounds, each cut from its lineage.
+    """
+    checkpoint_dir(edges.sparkSession)
+    work = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint()
+    before = None
     for _ in range(MAX_ROUNDS):
-        near = edges.join(state.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("root").alias("near"))
-        step = state.join(near, state["id"] == near["a"], "left").select("id", F.least("root", F.coalesce("near", "root")).alias("root"))
-        jump = step.alias("s").join(step.select(F.col("id").alias("root"), F.col("root").alias("up")), "root").select("id", F.least("root", "up").alias("root")).checkpoint()
-        if jump.join(state.withColumnRenamed("root", "was"), "id").where(F.col("root") != F.col("was")).isEmpty():
-            return jump
-        state = jump
+        both = work.select("u", "v").union(work.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.where(F.col("v") > F.col("u")).join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
+        work = small.where(F.col("u") != F.col("v")).distinct().checkpoint()
+        state = work.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if state == before:
+            return work.select(F.col("u").alias("id"), F.col("v").alias("root")).union(work.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
+        before = state
     raise RuntimeError("components did not settle")
 
 
-def dbscan(distances: DataFrame, points: DataFrame, by: list[str], eps: Column, min_pts: int) -> DataFrame:
+def dbscan(distances: DataFrame, points: DataFrame, by: list[str], eps: Column | None = None, min_pts: int | None = None, settings: DataFrame | None = None) -> DataFrame:
     """``by, a, cluster``: density clusters named by their smallest core point; a border point joins the smallest adjacent one.
 
-    A core has ``min_pts`` points (itself among them) within ``eps``. Clusters of ``min_pts`` points or fewer are dropped; a class left
-    without any is one cluster named 2 of all its points. ``points``: ``by, a``.
+    A core has ``min_pts`` points (itself among them) within ``eps``; ``settings`` (``by, eps, min_pts``) gives both per class instead. Clusters of
+    ``min_pts`` points or fewer are dropped; a class left without any is one cluster named 2 of all its points. ``points``: ``by, a``. Ids are
+    those of a class: classes may share them.
     """
     checkpoint_dir(points.sparkSession)
-    near = both_ways(distances.where(F.col("d") <= eps), by).checkpoint()  # every round of the components reads it
-    cores = near.groupBy(*by, "a").agg((F.count("*") + 1).alias("n")).where(F.col("n") >= min_pts).select(*by, "a")
-    cores = cores.union(points.select(*by, "a").where(F.lit(min_pts <= 1))).distinct()
+    if settings is None:
+        settings = points.select(*by).distinct().withColumns({"eps": eps, "min_pts": F.lit(min_pts)})
+    near = both_ways(distances.join(settings, by).where(F.col("d") <= F.col("eps")), by).checkpoint()  # every later step reads it
+    degree = near.groupBy(*by, "a").agg(F.count("*").alias("n"))
+    cores = points.join(degree, [*by, "a"], "left").join(settings, by).where(F.coalesce("n", F.lit(0)) + 1 >= F.col("min_pts")).select(*by, "a").distinct()
     edges = near.join(cores, [*by, "a"], "left_semi").join(cores.select(*by, F.col("a").alias("b")), [*by, "b"], "left_semi")
-    rooted = components(edges.select("a", "b").checkpoint(), cores.select(F.col("a").alias("id"))).select(F.col("id").alias("b"), "root")
-    border = near.join(rooted, "b").groupBy(*by, "a").agg(F.min("root").alias("near"))
-    own = rooted.select(F.col("b").alias("a"), "root")
-    member = points.select(*by, "a").join(border, [*by, "a"], "left").join(own, "a", "left").select(*by, "a", F.coalesce("root", "near").alias("cluster")).where(F.col("cluster").isNotNull())
-    sizes = member.groupBy(*by, "cluster").agg(F.count("*").alias("n")).where(F.col("n") > min_pts)
+    node = lambda c: F.struct(*by, F.col(c).alias("p"))
+    rooted = components(edges.select(node("a").alias("a"), node("b").alias("b"))).select(*[F.col(f"id.{c}").alias(c) for c in by], F.col("id.p").alias("a"), F.col("root.p").alias("root"))
+    core = cores.join(rooted, [*by, "a"], "left").select(*by, "a", F.coalesce("root", "a").alias("root")).checkpoint()
+    border = near.join(core.withColumnRenamed("a", "b"), [*by, "b"]).groupBy(*by, "a").agg(F.min("root").alias("near"))
+    member = points.select(*by, "a").join(border, [*by, "a"], "left").join(core, [*by, "a"], "left").select(*by, "a", F.coalesce("root", "near").alias("cluster")).where(F.col("cluster").isNotNull())
+    sizes = member.groupBy(*by, "cluster").agg(F.count("*").alias("n")).join(settings, by).where(F.col("n") > F.col("min_pts"))
     kept = member.join(sizes.select(*by, "cluster"), [*by, "cluster"], "left_semi").select(*by, "a", "cluster")
     bare = points.select(*by, "a").join(kept.select(*by).distinct(), by, "left_anti").select(*by, "a", F.lit(2).cast("long").alias("cluster"))
     return kept.select(*by, "a", F.col("cluster").cast("long").alias("cluster")).union(bare)
@@ -121,84 +155,152 @@ def median_upper(values: Column) -> Column:
     return F.get(F.array_sort(values), F.floor(F.size(values) / 2).cast("int"))
 
 
-def dtw_batch(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def cell_costs(a: np.ndarray, b: np.ndarray, factor: np.ndarray | None = None, lam: float | None = None) -> np.ndarray:
+    """What it costs to lay sample i of each series in ``a`` on sample j of that in ``b``: their distance times ``factor``.
+
+    With ``lam`` (0 or more) the signed difference d costs exp(-d / lam) instead, which is small where ``a`` lies above ``b``.
+    """
+    cells = a[:, :, None] - b[:, None, :]
+    if factor is not None:
+        cells = cells * factor
+    return np.exp(-cells / lam) if lam is not None and lam >= 0 else np.abs(cells)
+
+
+def label_factors(la: np.ndarray, lb: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The label distances of all cells; ``table[l1, l2]`` with labels from 0 or 1 on."""
+    return table[la[:, :, None], lb[:, None, :]]
+
+
+def label_table(labels: int, base: float) -> np.ndarray:
+    """``label_distance`` as a table for labels 1 to ``labels`` (row and column 0 are those of no label: distance one)."""
+    apart = np.abs(np.subtract.outer(np.arange(labels + 1), np.arange(labels + 1)))
+    out = base ** np.where(apart > labels // 2, labels - apart, apart).astype(float)
+    out[0], out[:, 0] = 1, 1
+    return out
+
+
+def dtw_batch(a: np.ndarray, b: np.ndarray, factor: np.ndarray | None = None, lam: float | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Accumulated costs and steps (0 diagonal, 1 in a, 2 in b; the diagonal wins ties) of many pairs of series at once."""
     n, m = a.shape[1], b.shape[1]
+    cells = cell_costs(a, b, factor, lam).transpose(1, 2, 0)
     cost = np.full((n + 1, m + 1, len(a)), np.inf)
     step = np.zeros((n + 1, m + 1, len(a)), np.uint8)
     cost[0, 0] = 0
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            d, x, y = cost[i - 1, j - 1], cost[i - 1, j], cost[i, j - 1]
-            best = np.minimum(np.minimum(d, x), y)
-            step[i, j] = np.where(d <= best, 0, np.where(x <= best, 1, 2))
-            cost[i, j] = best + np.abs(a[:, i - 1] - b[:, j - 1])
+    for diagonal in range(n + m - 1):  # its cells depend on the two diagonals before it only
+        i = np.arange(max(0, diagonal - m + 1), min(n - 1, diagonal) + 1)
+        j = diagonal - i
+        d, x, y = cost[i, j], cost[i, j + 1], cost[i + 1, j]
+        best = np.minimum(np.minimum(d, x), y)
+        step[i + 1, j + 1] = np.where(d <= best, 0, np.where(x <= best, 1, 2))
+        cost[i + 1, j + 1] = best + cells[i, j]
     return cost, step
 
 
-def dtw_cost(pairs: DataFrame, keys: list[str], a: str, b: str, block: int = 256) -> DataFrame:
-    """``keys, cost``: unconstrained warping cost of two series of one length over length and the root of two; missing samples count 0."""
+def dtw_total(cells: np.ndarray) -> np.ndarray:
+    """The cheapest path's cost through each pair's ``cells[pair, i, j]``, one diagonal at a time."""
+    _, n, m = cells.shape
+    cells = cells.transpose(1, 2, 0)
+    before = now = np.full((n + 1, cells.shape[2]), np.inf)  # row i + 1 is sample i
+    for d in range(n + m - 1):
+        i = np.arange(max(0, d - m + 1), min(n - 1, d) + 1)
+        best = np.minimum(np.minimum(before[i], now[i]), now[i + 1]) if d else 0.0
+        new = np.full_like(now, np.inf)
+        new[i + 1] = cells[i, d - i] + best
+        before, now = now, new
+    return now[n]
+
+
+def dtw_cost(pairs: DataFrame, keys: list[str], a: str, b: str, block: int = 256, labels: tuple[str, str] | None = None, table: np.ndarray | None = None, lam: float | None = None) -> DataFrame:
+    """``keys, cost``: unconstrained warping cost of two series of one length over length and the root of two; missing samples count 0.
+
+    With ``labels`` (the label columns of both) a cell counts by its labels' distance in ``table``, a small constant.
+    """
+    extra = list(labels or ())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for lo in range(0, len(pdf), block):
                 part = pdf.iloc[lo : lo + block]
                 x, y = (np.nan_to_num(np.stack(part[c].to_numpy()).astype(np.float64)) for c in (a, b))
-                cost, _ = dtw_batch(x, y)
-                yield part[keys].assign(cost=cost[-1, -1] / (x.shape[1] * 2**0.5))
+                factor = label_factors(*(np.stack(part[c].to_numpy()) for c in extra), table) if extra else None
+                yield part[keys].assign(cost=dtw_total(cell_costs(x, y, factor, lam)) / (x.shape[1] * 2**0.5))
 
     kinds = ", ".join(f"{k} {pairs.schema[k].dataType.simpleString()}" for k in keys)
-    return pairs.select(*keys, a, b).mapInPandas(run, f"{kinds}, cost double")
+    return pairs.select(*keys, a, b, *extra).mapInPandas(run, f"{kinds}, cost double")
+
+
+def dtw_matrix(series: DataFrame, by: list[str], key: str, values: str, labels: str | None = None, table: np.ndarray | None = None, lam: float | None = None) -> DataFrame:
+    """``by, a, b, d``: warping costs of all pairs a < b of a class."""
+    columns = {values: ("_x", "_y")} | ({labels: ("_lx", "_ly")} if labels else {})
+    rows = pairs_within(series, by, key, columns, 100)
+    return dtw_cost(rows, [*by, "a", "b"], "_x", "_y", labels=("_lx", "_ly") if labels else None, table=table, lam=lam).withColumnRenamed("cost", "d")
 
 
-def barycentres(series: DataFrame, by: str, key: str, values: str, rounds: int = 10) -> DataFrame:
+def barycentres(series: DataFrame, by: str, key: str, values: str, rounds: int = 100) -> DataFrame:
     """``by, frame, value, members``: each class's mean shape under warping.
 
-    The seed is the series whose detrended extremes lie closest to the class's median positions. In a round every task warps its
-    series to their class's present shape and sums what falls on each frame; the sums (classes by frames) are the next
-    shape. It ends when no shape changes any more.
+    The seed is the series whose detrended extremes lie closest to the class's median positions. In a round every series is warped to its
+    class's present shape, which a join brings to it, and what falls on each frame is summed within the task; the sums (classes by frames) are
+    the next shape. A class is done when its shape has been there before (it settled, or goes round), all are after ``rounds``. Shapes stay in tables, however many classes there are.
     """
-    spark = series.sparkSession
+    checkpoint_dir(series.sparkSession)
     flat = detrend(F.col(values))
     placed = series.select(by, key, F.transform(values, lambda v: v.cast("double")).alias("x"), arg_last(flat, False).alias("lo"), arg_last(flat, True).alias("hi"))
     middle = placed.groupBy(by).agg(F.median("lo").alias("mlo"), F.median("hi").alias("mhi"), F.count("*").alias("members"))
-    seeds = placed.join(middle, by).groupBy(by).agg(F.min_by("x", F.struct(F.abs(F.col("lo") - F.col("mlo")) + F.abs(F.col("hi") - F.col("mhi")), F.col(key))).alias("x"), F.first("members").alias("members")).collect()
-    shapes = {r[by]: np.array(r["x"]) for r in seeds}  # one per class
-    members = {r[by]: r["members"] for r in seeds}
+    seeds = placed.join(middle, by).groupBy(by).agg(F.min_by("x", F.struct(F.abs(F.col("lo") - F.col("mlo")) + F.abs(F.col("hi") - F.col("mhi")), F.col(key))).alias("shape"))
+    seen = lambda shape: F.xxhash64(F.transform(shape, lambda v: F.round(v, 9)))
+    shapes = seeds.withColumn("_seen", F.array(seen(F.col("shape")))).checkpoint()
     kind = series.schema[by].dataType.simpleString()
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            names, owner = np.unique(pdf[by].to_numpy(), return_inverse=True)
+            s = n = None
+            for lo in range(0, len(pdf), 256):
+                x, shape = (np.stack(pdf[c].iloc[lo : lo + 256].to_numpy()) for c in ("x", "shape"))
+                own = owner[lo : lo + 256]
+                if s is None:
+                    s, n = np.zeros((len(names), shape.shape[1])), np.zeros((len(names), shape.shape[1]))
+                _, step = dtw_batch(shape, x)
+                i, j, rows = np.full(len(x), shape.shape[1]), np.full(len(x), x.shape[1]), np.arange(len(x))
+                while len(rows):
+                    np.add.at(s, (own[rows], i[rows] - 1), x[rows, j[rows] - 1])
+                    np.add.at(n, (own[rows], i[rows] - 1), 1)
+                    way = step[i[rows], j[rows], rows]
+                    i[rows] -= way != 2
+                    j[rows] -= way != 1
+                    rows = rows[(i[rows] > 0) & (j[rows] > 0)]
+            if s is not None:
+                frames = s.shape[1]
+                yield pd.DataFrame({by: np.repeat(names, frames), "frame": np.tile(np.arange(frames, dtype=np.int32), len(names)), "s": s.ravel(), "n": n.ravel()})
+
+    moving = shapes.select(by)
     for _ in range(rounds):
-        told = spark.sparkContext.broadcast(shapes)
-
-        def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total: dict = {}
-            for pdf in batches:
-                for label, part in pdf.groupby(by):
-                    shape = told.value[label]  # noqa: B023
-                    for lo in range(0, len(part), 256):
-                        x = np.stack(part["x"].iloc[lo : lo + 256].to_numpy())
-                        _, step = dtw_batch(np.broadcast_to(shape, x.shape), x)
-                        s, n = total.setdefault(label, (np.zeros(len(shape)), np.zeros(len(shape))))
-                        i, j = np.full(len(x), len(shape)), np.full(len(x), x.shape[1])
-                        rows = np.arange(len(x))
-                        while len(rows):
-                            np.add.at(s, i[rows] - 1, x[rows, j[rows] - 1])
-                            np.add.at(n, i[rows] - 1, 1)
-                            way = step[i[rows], j[rows], rows]
-                            i[rows] -= way != 2
-                            j[rows] -= way != 1
-                            rows = rows[(i[rows] > 0) & (j[rows] > 0)]
-            yield pd.DataFrame([(label, f, s[f], n[f]) for label, (s, n) in total.items() for f in range(len(s))], columns=[by, "frame", "s", "n"])
-
-        found = placed.select(by, "x").mapInPandas(sums, f"{by} {kind}, frame int, s double, n double").groupBy(by, "frame").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).collect()
-        new = {label: np.array(x) for label, x in shapes.items()}
-        for r in found:
-            new[r[by]][r["frame"]] = r["s"] / r["n"]
-        same = all(np.allclose(new[k], shapes[k], rtol=0, atol=1e-12) for k in shapes)
-        shapes = new
-        if same:
+        met = placed.select(by, "x").join(shapes.select(by, "shape").join(moving, by, "left_semi"), by)
+        found = met.mapInPandas(sums, f"{by} {kind}, frame int, s double, n double").groupBy(by, "frame").agg((F.sum("s") / F.sum("n")).alias("v"))
+        new = found.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("frame", "v"))).alias("p")).select(by, F.transform("p", lambda q: q["v"]).alias("next"))
+        fresh = F.col("next").isNotNull() & ~F.array_contains("_seen", seen(F.col("next")))
+        both = shapes.join(new, by, "left").select(by, F.coalesce("next", "shape").alias("shape"), fresh.alias("_moved"), F.when(fresh, F.array_append("_seen", seen(F.col("next")))).otherwise(F.col("_seen")).alias("_seen")).checkpoint()
+        shapes, moving = both.drop("_moved"), both.where("_moved").select(by)  # classes that have settled are left alone
+        if moving.isEmpty():
             break
-    rows = [(label, f, float(v), members[label]) for label, x in shapes.items() for f, v in enumerate(x)]
-    return spark.createDataFrame(rows, f"{by} {kind}, frame int, value double, members long")
+    return shapes.join(middle.select(by, "members"), by).select(by, F.posexplode("shape").alias("frame", "value"), "members")
+
+
+def cluster_templates(series: DataFrame, by: list[str], key: str, values: str, labels: str | None = None, table: np.ndarray | None = None, lam: float | None = None, order: int = 5, bins: int = 100, rounds: int = 100) -> DataFrame:
+    """``by, cluster, frame, value, members``: warping distances within a class, an estimated radius, density clusters, and each cluster's mean shape.
+
+    Series with missing samples take no part. With ``labels`` the distances are label-aware. Of one class's clusters the one of most members (then
+    of smallest name) is its template.
+    """
+    whole = series.where(~F.exists(values, lambda v: v.isNull() | F.isnan(v)))
+    checkpoint_dir(series.sparkSession)
+    distances = dtw_matrix(whole, by, key, values, labels, table, lam).checkpoint()
+    points = whole.select(*by, F.col(key).alias("a"))
+    member = dbscan(distances, points, by, settings=estimate_eps(distances, by, order, bins, points))
+    named = whole.join(member.withColumnRenamed("a", key), [*by, key]).withColumn("_group", F.to_json(F.struct(*by, "cluster"))).checkpoint()
+    shapes = barycentres(named, "_group", key, values, rounds)
+    return named.select("_group", *by, "cluster").distinct().join(shapes, "_group").drop("_group")
 
 
 def barycentre_labels(series: DataFrame, by: str, values: str, labels: str, shapes: DataFrame) -> DataFrame:
@@ -207,30 +309,27 @@ def barycentre_labels(series: DataFrame, by: str, values: str, labels: str, shap
     ``shapes`` is what ``barycentres`` gives (classes by frames). A member's say is its weight 1 / (1 + its warping cost over the
     length). The frame's label is the one of largest share, see ``frame_labels``.
     """
-    told = series.sparkSession.sparkContext.broadcast({r[by]: np.array(r["x"]) for r in shapes.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("frame", "value"))), lambda p: p["value"]).alias("x")).collect()})
+    told = shapes.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("frame", "value"))), lambda p: p["value"]).alias("_shape"))
     kind = series.schema[by].dataType.simpleString()
 
     def votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: dict[tuple, float] = {}
         for pdf in batches:
-            for name, part in pdf.groupby(by):
-                shape = told.value[name]
-                for lo in range(0, len(part), 256):
-                    some = part.iloc[lo : lo + 256]
-                    x = np.stack(some[values].to_numpy()).astype(np.float64)
-                    given = np.stack(some[labels].to_numpy())
-                    cost, step = dtw_batch(np.broadcast_to(shape, x.shape), x)
-                    weight = 1 / (1 + cost[-1, -1] / x.shape[1])
-                    for k in range(len(x)):
-                        i, j = len(shape), x.shape[1]
-                        while i and j:
-                            at = (name, i - 1, int(given[k, j - 1]))
-                            total[at] = total.get(at, 0.0) + float(weight[k])
-                            way = step[i, j, k]
-                            i, j = i - (way != 2), j - (way != 1)
-        yield pd.DataFrame([(*k, v) for k, v in total.items()], columns=[by, "frame", "label", "weight"])
-
-    found = series.select(by, values, labels).mapInPandas(votes, f"{by} {kind}, frame int, label int, weight double").groupBy(by, "frame", "label").agg(F.sum("weight").alias("weight"))
+            total: dict[tuple, float] = {}
+            for lo in range(0, len(pdf), 256):
+                some = pdf.iloc[lo : lo + 256]
+                x, shape, given = (np.stack(some[c].to_numpy()) for c in (values, "_shape", labels))
+                cost, step = dtw_batch(shape, x.astype(np.float64))
+                weight = 1 / (1 + cost[-1, -1] / x.shape[1])
+                for k, name in enumerate(some[by]):
+                    i, j = shape.shape[1], x.shape[1]
+                    while i and j:
+                        at = (name, i - 1, int(given[k, j - 1]))
+                        total[at] = total.get(at, 0.0) + float(weight[k])
+                        way = step[i, j, k]
+                        i, j = i - (way != 2), j - (way != 1)
+            yield pd.DataFrame([(*k, v) for k, v in total.items()], columns=[by, "frame", "label", "weight"])
+
+    found = series.select(by, values, labels).join(told, by).mapInPandas(votes, f"{by} {kind}, frame int, label int, weight double").groupBy(by, "frame", "label").agg(F.sum("weight").alias("weight"))
     return found.select(by, "frame", "label", (F.col("weight") / F.sum("weight").over(Window.partitionBy(by, "frame"))).alias("share"))
 
 
@@ -239,32 +338,50 @@ def frame_labels(shares: DataFrame, by: str) -> DataFrame:
     return shares.groupBy(by, "frame").agg(F.min_by("label", F.struct(-F.round("share", 9), F.col("label"))).alias("label"))
 
 
-def natural_spline(y: np.ndarray) -> np.ndarray:
-    """Missing (NaN) samples on the natural cubic spline through the others; outside them the end's straight line. Fewer than two others: unchanged."""
-    known = np.flatnonzero(~np.isnan(y))
-    if len(known) in (0, 1, len(y)):
-        return y
-    h, v = np.diff(known).astype(float), y[known]
-    slope = np.diff(v) / h
-    n = len(known)
-    curve = np.zeros(n)
-    if n > 2:
-        main, right = 2 * (h[:-1] + h[1:]), 6 * np.diff(slope)
-        for i in range(1, n - 2):  # tridiagonal elimination
-            f = h[i] / main[i - 1]
-            main[i] -= f * h[i]
-            right[i] -= f * right[i - 1]
-        for i in range(n - 3, -1, -1):
-            curve[i + 1] = (right[i] - (h[i + 1] * curve[i + 2] if i < n - 3 else 0)) / main[i]
-    out = y.copy()
-    at = np.flatnonzero(np.isnan(y))
-    left = np.clip(np.searchsorted(known, at) - 1, 0, n - 2)
-    w, x = h[left], at - known[left]
-    inner = v[left] + x * (slope[left] - w * (2 * curve[left] + curve[left + 1]) / 6) + x**2 * curve[left] / 2 + x**3 * (curve[left + 1] - curve[left]) / (6 * w)
-    first, last = slope[0] - h[0] * curve[1] / 6, slope[-1] + h[-1] * curve[-2] / 6
-    inner = np.where(at < known[0], v[0] + (at - known[0]) * first, inner)
-    out[at] = np.where(at > known[-1], v[-1] + (at - known[-1]) * last, inner)
-    return out
+def natural_spline(y: np.ndarray, linear: bool = False) -> np.ndarray:
+    """Missing (NaN) samples of each row on the natural cubic spline through its others (or on the ``linear`` one); outside them the end's straight line.
+
+    Rows with fewer than two other samples are unchanged. Rows that miss the same samples are solved together.
+    """
+    rows = np.atleast_2d(y)
+    out = rows.copy()
+    masks, which = np.unique(np.isnan(rows), axis=0, return_inverse=True)
+    for k, mask in enumerate(masks):
+        known = np.flatnonzero(~mask)
+        if len(known) < 2 or not mask.any():
+            continue
+        mine = np.flatnonzero(which.ravel() == k)
+        h, v = np.diff(known).astype(float), rows[mine][:, known]
+        n, slope = len(known), np.diff(v, axis=1) / h
+        curve = np.zeros(v.shape)
+        if n > 2 and not linear:
+            main, right = 2 * (h[:-1] + h[1:]), 6 * np.diff(slope, axis=1)
+            for i in range(1, n - 2):  # tridiagonal elimination
+                f = h[i] / main[i - 1]
+                main[i] -= f * h[i]
+                right[:, i] -= f * right[:, i - 1]
+            for i in range(n - 3, -1, -1):
+                curve[:, i + 1] = (right[:, i] - (h[i + 1] * curve[:, i + 2] if i < n - 3 else 0)) / main[i]
+        at = np.flatnonzero(mask)
+        left = np.clip(np.searchsorted(known, at) - 1, 0, n - 2)
+        w, x = h[left], at - known[left]
+        inner = v[:, left] + x * (slope[:, left] - w * (2 * curve[:, left] + curve[:, left + 1]) / 6) + x**2 * curve[:, left] / 2 + x**3 * (curve[:, left + 1] - curve[:, left]) / (6 * w)
+        first, last = slope[:, :1] - h[0] * curve[:, 1:2] / 6, slope[:, -1:] + h[-1] * curve[:, -2:-1] / 6
+        inner = np.where(at < known[0], v[:, :1] + (at - known[0]) * first, inner)
+        out[np.ix_(mine, at)] = np.where(at > known[-1], v[:, -1:] + (at - known[-1]) * last, inner)
+    return out.reshape(y.shape)
+
+
+def fill_series(series: DataFrame, keys: list[str], values: str, linear: bool = False) -> DataFrame:
+    """``keys, filled``: arrays of one length with their missing samples (null or NaN) filled by ``natural_spline``, a batch at a time."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                yield pdf[keys].assign(filled=list(natural_spline(np.stack([np.array(v, dtype=np.float64) for v in pdf[values]]), linear)))
+
+    kinds = ", ".join(f"{k} {series.schema[k].dataType.simpleString()}" for k in keys)
+    return series.select(*keys, F.transform(values, lambda v: v.cast("double")).alias(values)).mapInPandas(run, f"{kinds}, filled array<double>")
 
 
 def persistence(y: np.ndarray) -> list[tuple[int, int, float]]:
@@ -290,3 +407,36 @@ def persistence(y: np.ndarray) -> list[tuple[int, int, float]]:
                 pairs.append((low[r], i, float(y[i] - y[low[r]])))
                 root[r] = near[0]
     return sorted(pairs)
+
+
+def lowest(values: Column) -> Column:
+    """The position of the global minimum, the first of equals: the one valley that ``persistence`` never pairs."""
+    return F.array_position(values, F.array_min(values)).cast("int") - 1
+
+
+#: Persistences below this never count.
+FAINT = 1e-4
+
+
+def persistent_events(series: DataFrame, keys: list[str], values: str, border: bool = True) -> DataFrame:
+    """``keys, pos, value``: minima and maxima of a series that are more persistent than its middle persistence.
+
+    Persistences below ``FAINT`` are left out of the middle (the upper one of an even number); extrema whose pair touches an end of the series are
+    dropped unless ``border`` is false.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False):
+                y = np.asarray(row[-1], dtype=np.float64)
+                found = persistence(y)
+                heights = sorted(p for *_, p in found if p >= FAINT)
+                if heights:
+                    middle, last = heights[len(heights) // 2], len(y) - 1
+                    kept = [(lo, hi) for lo, hi, p in found if p > middle and not (border and ({lo, hi} & {0, last}))]
+                    out += [(*row[:-1], i, float(y[i])) for i in sorted({i for pair in kept for i in pair})]
+            yield pd.DataFrame(out, columns=[*keys, "pos", "value"])
+
+    kinds = ", ".join(f"{k} {series.schema[k].dataType.simpleString()}" for k in keys)
+    return series.select(*keys, values).mapInPandas(run, f"{kinds}, pos int, value double")

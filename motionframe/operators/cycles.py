@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 _PAST = (Window.unboundedPreceding, Window.currentRow)
 
 
-def asof_nearest(left: DataFrame, right: DataFrame, by: list[str], t: str, left_id: str, right_id: str, tolerance: float | None = None) -> DataFrame:
+def asof_nearest(left: DataFrame, right: DataFrame, by: list[str], t: str, left_id: str, right_id: str, tolerance: float | None = None, fuzzy: str | None = None) -> DataFrame:
     """``by, left_id, right_id, gap``: each left row's nearest right row in time, ties to the earlier time, then the smaller id.
 
     Both sides are laid on one time axis and the last right row before and the first after each left row are windows over it, so the
-    cost is one sort, not a product. With ``tolerance`` a farther match is none (null).
+    cost is one sort, not a product. With ``tolerance`` a farther match is none (null). ``fuzzy`` bounds one side only: ``left`` takes
+    any match before and one after within the tolerance, ``right`` any match after and one before within it.
     """
     a = left.select(*by, F.col(t).alias("t"), F.col(left_id).alias("lid"), F.lit(None).cast("long").alias("rid"))
     b = right.select(*by, F.col(t).alias("t"), F.lit(None).cast("long").alias("lid"), F.col(right_id).alias("rid"))
@@ -23,8 +24,12 @@ def asof_nearest(left: DataFrame, right: DataFrame, by: list[str], t: str, left_
     near = axis.withColumn("p", F.max(here).over(past)).withColumn("q", F.min(F.when(F.col("rid").isNotNull(), F.struct(F.col("t").alias("t"), F.col("rid").alias("n")))).over(ahead))
     before = F.when(F.col("p").isNotNull(), F.struct((F.col("t") - F.col("p.t")).alias("gap"), F.col("p.t").alias("at"), (-F.col("p.n")).alias("id")))
     after = F.when(F.col("q").isNotNull(), F.struct((F.col("q.t") - F.col("t")).alias("gap"), F.col("q.t").alias("at"), F.col("q.n").alias("id")))
+    if fuzzy == "left":
+        after = F.when(after["gap"] < tolerance, after)
+    elif fuzzy == "right":
+        before = F.when(before["gap"] < tolerance, before)
     best = F.least(before, after)
-    if tolerance is not None:
+    if tolerance is not None and fuzzy is None:
         best = F.when(best["gap"] <= tolerance, best)
     return near.where(F.col("lid").isNotNull()).withColumn("m", best).select(*by, F.col("lid").alias(left_id), F.col("m.id").alias(right_id), F.col("m.gap").alias("gap"))
 
@@ -85,3 +90,24 @@ def predict_duration(facts: DataFrame, by: list[str]) -> DataFrame:
     usable = facts.where((F.col("velocity") > 0) & (F.col("cycle") > 0))
     means = usable.groupBy(*by).agg(F.count("*").alias("cycles"), F.avg(F.col("duration") / F.col("velocity")).alias("ratio"), F.avg("velocity").alias("mean_velocity"))
     return means.select(*by, "cycles", "ratio", (F.col("ratio") * F.col("mean_velocity")).alias("predicted"))
+
+
+def in_window(rows: DataFrame, t: str, start: str, duration: str) -> DataFrame:
+    """``rows`` from the start to the end of their window, with ``share``: how much of it has passed (0 to 1)."""
+    since = F.col(t) - F.col(start)
+    return rows.where((since >= 0) & (since <= F.col(duration))).withColumn("share", since / F.nullif(F.col(duration), F.lit(0.0)))
+
+
+def path_velocity(points: DataFrame, by: list[str], t: str, axes: list[str]) -> DataFrame:
+    """``by, velocity``: the distance of the first and last point that are not missing, over the time between them; null without two."""
+    there = F.when(~F.greatest(*[F.col(a).isNull().cast("int") for a in axes]).cast("boolean"), F.struct(F.col(t).alias("t"), *axes))
+    ends = points.groupBy(*by).agg(F.min(there).alias("a"), F.max(there).alias("b"))
+    far = F.sqrt(sum((F.col(f"b.{x}") - F.col(f"a.{x}")) * (F.col(f"b.{x}") - F.col(f"a.{x}")) for x in axes))
+    return ends.select(*by, (far / F.nullif(F.col("b.t") - F.col("a.t"), F.lit(0.0))).alias("velocity"))
+
+
+def cycle_windows(values: Column) -> Column:
+    """A cyclic series seen from each of its n positions: structs ``start, window`` of the n samples around it, the middle one its own."""
+    n = F.size(values)
+    at = lambda i: F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.get(values, F.pmod(i + k - F.floor(n / 2).cast("int"), n)))
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(i.alias("start"), at(i).alias("window")))

@@ -125,9 +125,10 @@ def phase_samples(normal: DataFrame, phases: DataFrame, mined: list[tuple[int, i
     return rows.select("seq_id", "cycle", "frame", features.alias("features"), F.get("phases", F.col("frame")).alias("label")).where(F.col("label").isNotNull() & F.exists("features", lambda x: x.isNotNull()))
 
 
-def train_and_evaluate(samples: DataFrame, labels: list[int], width: int, trees: int, depth: int, held_out) -> tuple[list[split.Tree], DataFrame]:
+def train_and_evaluate(samples: DataFrame, labels: list[int], width: int, trees: int, depth: int, held_out) -> tuple[split.Forest, DataFrame]:
     """A forest grown on the samples that ``held_out`` (a Column) does not pick, and its accuracy on those it does."""
     keyed = samples.withColumn("key", F.xxhash64("seq_id", "cycle", "frame"))
-    forest = split.grow_forest(keyed.where(~held_out), "key", "features", "label", width, labels, trees, depth)
+    chosen = keyed.where(~held_out)
+    forest = split.grow_forest(chosen, "key", "features", "label", width, labels, trees, depth, least=split.least_samples(chosen.count()))
     voted = split.predict_forest(keyed.where(held_out), ["key", "label"], "features", forest)
     return forest, split.evaluate(voted, "label", "predicted")

@@ -73,3 +73,53 @@ def drop_similar(candidates: DataFrame, by: list[str], key: str, indices: str, q
     better = (F.col("_q") > F.col(quality)) | ((F.col("_q") == F.col(quality)) & (F.col("_k") < F.col(key)))
     beaten = posted.join(other, [*by, "i"]).where(better).groupBy(*by, key, "_k", "n", "_n").agg(F.count("*").alias("shared")).where(F.col("shared") / F.greatest("n", "_n") > limit)
     return candidates.join(beaten.select(*by, key).distinct(), [*by, key], "left_anti")
+
+
+def by_index(indices: Column, factors: Column) -> Column:
+    """Factors and their indices in the order of the indices, as structs ``index, factor``."""
+    return F.array_sort(F.zip_with(indices, factors, lambda i, f: F.struct(i.alias("index"), f.alias("factor"))))
+
+
+def logistic(c: Column) -> Column:
+    return 1 / (1 + F.exp(-c))
+
+
+def batch(rows: DataFrame, number: str, first: int, last: int) -> DataFrame:
+    """The rows numbered ``first`` up to, not including, ``last``; a negative ``last`` is no bound."""
+    return rows.where((F.col(number) >= first) & ((F.col(number) < last) | F.lit(last < 0)))
+
+
+def frame_pairs(left: DataFrame, right: DataFrame, key: str, values: str) -> DataFrame:
+    """``key, left, right``: two frame slices of the same sequences side by side."""
+    return left.select(key, F.col(values).alias("left")).join(right.select(key, F.col(values).alias("right")), key)
+
+
+def apply_field_table(frames: DataFrame, keys: list[str], fields: DataFrame) -> DataFrame:
+    """``keys, pair, field, feature``: every frame pair's linear features. ``frames``: ``keys, pair, left, right``; ``fields``: ``pair, field, indices, factors``.
+
+    A pair's fields meet its frames by an equality join. What is not a number or infinite counts as 0.
+    """
+    apart = F.zip_with("indices", "factors", lambda i, f: (F.get("left", i.cast("int")).cast("double") - F.get("right", i.cast("int")).cast("double")) * f)
+    value = F.aggregate(apart, F.lit(0.0), lambda s, x: s + x)
+    rows = frames.join(fields, "pair").select(*keys, "pair", "field", value.alias("feature"))
+    bad = F.isnan("feature") | (F.abs("feature") == float("inf")) | F.col("feature").isNull()
+    return rows.withColumn("feature", F.when(bad, F.lit(0.0)).otherwise(F.col("feature")))
+
+
+def reduce_candidates(candidates: DataFrame, key: str, a: str, b: str, indices: str, quality: str, share: float, limit: float = 0.25) -> DataFrame:
+    """Candidate fields of frame pairs in two passes: similar ones of the same pair, then similar ones of pairs that share an endpoint; last a quality floor.
+
+    The second pass looks only at what the first one left. ``share`` of the best quality is the floor.
+    """
+    own = drop_similar(candidates, [a, b], key, indices, quality, limit)
+    ends = own.withColumn("_end", F.explode(F.array_distinct(F.array(a, b))))
+    held = drop_similar(ends, ["_end"], key, indices, quality, limit)
+    beaten = ends.select(key, "_end").join(held.select(key, "_end"), [key, "_end"], "left_anti").select(key).distinct()
+    left = own.join(beaten, key, "left_anti")
+    best = left.agg(F.max(quality).alias("_best"))
+    return left.join(F.broadcast(best)).where(F.col(quality) >= F.col("_best") * share).drop("_best")  # one row
+
+
+def heat_map(candidates: DataFrame, a: str, b: str, indices: str) -> DataFrame:
+    """``frame, channel, n``: how many fields look at a channel at a frame."""
+    return candidates.select(F.explode(F.array(a, b)).alias("frame"), indices).select("frame", F.explode(indices).alias("channel")).groupBy("frame", "channel").agg(F.count("*").alias("n"))

@@ -59,8 +59,26 @@ def centre_and_scale(points: DataFrame, sequence: str, frame: str, root: int, fa
 
 
 def bone_rotations(frames: DataFrame, keys: list[str], joints: str, bones: list[tuple[int, int]]) -> DataFrame:
-    """``keys, a, b, x, y, z``: for every ordered pair of bones the rotation from bone a's direction to bone b's as axis times angle."""
+    """``keys, a, b, x, y, z``: for every ordered pair of bones the rotation from bone a's direction to bone b's as axis times angle.
+
+    Directions are made unit vectors per bone before bones are paired; of a pair only a dot and a cross product are worked out, in steps that
+    generated code evaluates once. Zero for parallel bones, null where one has no length.
+    """
+    size = lambda v: F.nullif(g.norm(v), F.lit(0.0))
     ways = F.array(*[F.struct(F.lit(i).alias("i"), *[(t - s).alias(n) for s, t, n in zip(joint(F.col(joints), p), joint(F.col(joints), q), "xyz")]) for i, (p, q) in enumerate(bones)])
-    exploded = frames.select(*keys, ways.alias("w")).select(*keys, "w", F.explode("w").alias("u")).select(*keys, F.col("u"), F.explode("w").alias("v")).where("u.i <> v.i")
-    rotation = g.log_map(tuple(F.col(f"u.{c}") for c in "xyz"), tuple(F.col(f"v.{c}") for c in "xyz"))
-    return exploded.select(*keys, F.col("u.i").alias("a"), F.col("v.i").alias("b"), *[r.alias(c) for r, c in zip(rotation, "xyz")])
+    one = frames.select(*keys, F.explode(ways).alias("w")).select(*keys, "w.i", "w.x", "w.y", "w.z").withColumn("n", size((F.col("x"), F.col("y"), F.col("z"))))
+    units = F.struct("i", *[(F.col(c) / F.col("n")).alias(c) for c in "xyz"])
+    held = one.groupBy(*keys).agg(F.array_sort(F.collect_list(units)).alias("w"))
+    both = held.select(*keys, "w", F.explode("w").alias("u")).select(*keys, "u", F.explode("w").alias("v")).where("u.i <> v.i")
+    u, v = (tuple(F.col(f"{n}.{c}") for c in "xyz") for n in "uv")
+    turned = both.select(*keys, F.col("u.i").alias("a"), F.col("v.i").alias("b"), g.dot(u, v).alias("_cos"), *[c.alias(f"_{n}") for c, n in zip(g.cross(u, v), "xyz")])
+    axis = tuple(F.col(f"_{c}") for c in "xyz")
+    sized = turned.withColumn("_sin", g.norm(axis)).withColumn("_angle", F.acos(g._clip(F.col("_cos"))))
+    part = lambda c: F.when(F.col("_cos").isNotNull(), F.coalesce(F.col(f"_{c}") / F.nullif(F.col("_sin"), F.lit(0.0)) * F.col("_angle"), F.lit(0.0))).alias(c)
+    return sized.select(*keys, "a", "b", *[part(c) for c in "xyz"])
+
+
+def eligible(frames: DataFrame, sequence: str, joints: int, least_frames: int = 1) -> DataFrame:
+    """Frames of the sequences that have ``least_frames`` frames or more and all ``joints`` joints; sequences without an id go."""
+    facts = frames.where(F.col(sequence).isNotNull()).groupBy(sequence).agg(F.count_distinct("frame").alias("_frames"), F.count_distinct("joint_id").alias("_joints"))
+    return frames.join(facts.where((F.col("_frames") >= least_frames) & (F.col("_joints") >= joints)).select(sequence), sequence, "left_semi")

@@ -67,84 +67,170 @@ def evaluate(predictions: DataFrame, label: str, predicted: str) -> DataFrame:
     return predictions.agg(F.count("*").alias("n"), F.sum((F.col(label) == F.col(predicted)).cast("long")).alias("correct")).withColumn("accuracy", F.col("correct") / F.col("n"))
 
 
-class Tree:
-    """Inner nodes ``id: (feature, threshold)`` and leaves ``id: label`` of a binary tree with root 1 and children 2i, 2i + 1."""
+def pair_quality(long: DataFrame, by: list[str], x: str, label: str, shuffles: int = 4, seed: int = 1) -> DataFrame:
+    """``by, quality``: the best cut's quality between two classes (``label`` 0 or 1) of equal size, averaged over ``shuffles`` draws.
 
-    def __init__(self):
-        self.splits: dict[int, tuple[int, float]] = {}
-        self.leaves: dict[int, object] = {}
-
-    def node(self, features: Column) -> Column:
-        """The node a row ends in, as one expression; missing values go right."""
-
-        def walk(i: int) -> Column:
-            if i not in self.splits:
-                return F.lit(i)
-            f, c = self.splits[i]
-            return F.when(F.get(features, F.lit(f)) <= c, walk(2 * i)).otherwise(walk(2 * i + 1))
-
-        return walk(1)
-
-    def predict(self, features: Column) -> Column:
-        def walk(i: int) -> Column:
-            if i not in self.splits:
-                return F.lit(self.leaves[i])
-            f, c = self.splits[i]
-            return F.when(F.get(features, F.lit(f)) <= c, walk(2 * i)).otherwise(walk(2 * i + 1))
+    Each draw keeps as many rows of both classes as the smaller one has, those of smallest hash.
+    """
+    known = long.where(F.col(x).isNotNull() & ~F.isnan(x))
+    least = known.groupBy(*by, label).agg(F.count("*").alias("n")).groupBy(*by).agg(F.min("n").alias("_least"), F.count("*").alias("_classes")).where(F.col("_classes") == 2)
+    drawn = known.withColumn("_draw", F.explode(F.sequence(F.lit(0), F.lit(shuffles - 1))))
+    order = Window.partitionBy(*by, "_draw", label).orderBy(F.xxhash64(x, "_draw", F.lit(seed)), x)
+    taken = drawn.withColumn("_r", F.row_number().over(order)).join(least, by).where(F.col("_r") <= F.col("_least"))
+    return best_split(taken, [*by, "_draw"], x, label, [0, 1], 8).groupBy(*by).agg(F.avg("quality").alias("quality"))
 
-        return walk(1)
 
+class Forest:
+    """Trees as one table ``tree, node, feature, threshold, default_left, label, n, risk`` (a leaf's feature is null); children of i are 2i and 2i + 1.
 
-def grow_tree(samples: DataFrame, features: str, label: str, width: int, labels: list, depth: int, least: int = 2, weight: str | None = None, chosen: list[int] | None = None) -> Tree:
-    """A tree grown level by level: one split search over all open nodes at once, so every level is one job over all samples.
+    ``nodes`` may be as large as it likes while it grows or is stored; to predict, its rows are sent to every task, so ``arrays``
+    refuses forests of more than ``MOST`` nodes.
+    """
 
-    A node is closed when it is pure, has fewer than ``least`` samples or no cut. The driver holds splits and leaf labels only.
+    MOST = 20_000_000
+    SCHEMA = "tree int, node long, feature int, threshold double, default_left boolean, label {label}, n double, risk double"
+
+    def __init__(self, nodes: DataFrame):
+        self.nodes = nodes
+
+    def save(self, path: str) -> None:
+        self.nodes.write.mode("overwrite").partitionBy("tree").parquet(path)
+
+    @classmethod
+    def load(cls, spark, path: str) -> Forest:
+        stored = spark.read.parquet(path)
+        return cls(stored.select(*[c.split(" ")[0] for c in cls.SCHEMA.split(", ")]))
+
+    def keep(self, trees: list[int]) -> Forest:
+        """The forest of the given trees only."""
+        return Forest(self.nodes.where(F.col("tree").isin(trees)))
+
+    def trees(self) -> list[int]:
+        return sorted(r["tree"] for r in self.nodes.select("tree").distinct().collect())
+
+    def arrays(self) -> list[tuple]:
+        """Per tree, sorted by node: node, feature (-1 for a leaf), threshold, default_left, label."""
+        import numpy as np
+
+        rows = self.nodes.limit(self.MOST + 1).toPandas()
+        if len(rows) > self.MOST:
+            raise ValueError(f"a forest of more than {self.MOST} nodes cannot be sent to every task")
+        out = []
+        for _, t in rows.sort_values("node").groupby("tree"):
+            out.append((t["node"].to_numpy(np.int64), t["feature"].fillna(-1).to_numpy(np.int64), t["threshold"].fillna(0.0).to_numpy(float), t["default_left"].fillna(False).to_numpy(bool), t["label"].to_numpy()))
+        return out
+
+    def component(self, samples: DataFrame, key: list[str], features: str) -> DataFrame:
+        """``key, given``: every tree's label, in the order of the trees. Missing values go the way of the node's larger side."""
+        import numpy as np
+        import pandas as pd
+
+        held = samples.sparkSession.sparkContext.broadcast(self.arrays())
+        kind = self.nodes.schema["label"].dataType.simpleString()
+        kinds = ", ".join(f"{k} {samples.schema[k].dataType.simpleString()}" for k in key)
+
+        def run(batches):
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                x = np.stack([np.array(v, dtype=np.float64) for v in pdf[features]])
+                given = []
+                for node, feature, threshold, left, label in held.value:
+                    at = np.zeros(len(x), np.int64)  # the root is the first row
+                    live = np.flatnonzero(feature[at] >= 0)
+                    while len(live):
+                        f = at[live]
+                        v = x[live, feature[f]]
+                        down = np.where(np.isnan(v), left[f], v <= threshold[f])
+                        at[live] = np.searchsorted(node, 2 * node[f] + ~down)
+                        live = live[feature[at[live]] >= 0]
+                    given.append(label[at])
+                yield pdf[key].assign(given=list(np.stack(given, axis=1)) if given else [[] for _ in range(len(pdf))])
+
+        cast = samples.select(*key, F.transform(features, lambda v: v.cast("double")).alias(features))
+        return cast.mapInPandas(run, f"{kinds}, given array<{kind}>")
+
+    def predict(self, samples: DataFrame, key: list[str], features: str) -> DataFrame:
+        """``key, votes, predicted``: the label most trees give, the smallest of equals; votes are counted inside the row."""
+        counts = F.transform(F.array_distinct("given"), lambda l: F.struct((-F.size(F.filter("given", lambda x: x == l))).alias("minus"), l.alias("label")))
+        best = self.component(samples, key, features).withColumn("best", F.array_min(counts))
+        return best.select(*key, (-F.col("best.minus")).cast("long").alias("votes"), F.col("best.label").alias("predicted"))
+
+    def probabilities(self, samples: DataFrame, key: list[str], features: str, labels: list) -> DataFrame:
+        """``key, probability``: the share of trees for each of ``labels``, in their order."""
+        share = lambda l: F.size(F.filter("given", lambda x: x == F.lit(l))) / F.nullif(F.size("given"), F.lit(0))
+        return self.component(samples, key, features).select(*key, F.array(*[share(l) for l in labels]).alias("probability"))
+
+
+def mtry(width: int) -> int:
+    """How many features a node looks at: the square root of all, rounded."""
+    return max(1, int(width**0.5 + 0.5))
+
+
+def least_samples(rows: int) -> int:
+    """Below how many samples a node is not split: a hundredth of all, between 1 and 100."""
+    return min(100, max(1, rows // 100))
+
+
+def grow_trees(samples: DataFrame, key: str, features: str, label: str, width: int, labels: list, trees: list[int], depth: int, least: int = 2, look: int | None = None, seed: int = 1, bootstrap: bool = True) -> Forest:
+    """The given trees, grown together level by level: one split search a level over the open nodes of all of them.
+
+    Each tree weighs the rows by a Poisson draw of the key's hash (a bootstrap). A row carries its node; the splits of a level come to it by a join, so
+    a level is a fixed number of jobs however many trees there are. Every node looks at ``look`` features (those of smallest hash; default
+    ``mtry``). A node is a leaf when it is pure, has ``least`` samples or fewer, has no cut, or is ``depth`` levels down. Missing values go to its larger
+    side (right of equals). Ties between features go to the smaller one.
     """
-    tree, use = Tree(), chosen if chosen is not None else list(range(width))
-    live = samples.where(F.col(weight) > 0) if weight else samples
+    from ..session import checkpoint_dir
+
+    spark = samples.sparkSession
+    checkpoint_dir(spark)
+    look = look or mtry(width)
+    u = F.pmod(F.xxhash64(F.col(key), F.lit(seed) * 1000 + F.col("tree")), F.lit(1_000_000)) / 1_000_000.0
+    drawn = F.when(u < 0.367879, 0).when(u < 0.735759, 1).when(u < 0.919699, 2).when(u < 0.981012, 3).otherwise(4) if bootstrap else F.lit(1)
+    rows = samples.select(F.transform(features, lambda v: v.cast("double")).alias("x"), F.col(label).alias("label"), F.col(key), F.explode(F.array(*[F.lit(t).cast("int") for t in trees])).alias("tree"))
+    live = rows.withColumn("w", drawn.cast("double")).where("w > 0").select("tree", F.lit(1).cast("long").alias("node"), "label", "w", "x").checkpoint()
+    at, done = ["tree", "node"], None
     for level in range(depth + 1):
-        at = live.withColumn("_node", tree.node(F.col(features))).where(F.col("_node") >= 1 << level)
-        facts = majority(at, ["_node"], label).collect()  # at most 2**level rows
-        tree.leaves |= {r["_node"]: r["majority"] for r in facts}
-        opened = [r["_node"] for r in facts if r["n"] >= least and r["risk"] > 0]
-        if level == depth or not opened:
-            break
-        melted = at.where(F.col("_node").isin(opened)).select("_node", label, *([weight] if weight else []), F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.get(features, F.lit(i)).cast("double").alias("x")) for i in use])).alias("_v"))
-        found = best_split(melted.select("_node", label, *([weight] if weight else []), F.col("_v.f").alias("f"), F.col("_v.x").alias("x")), ["_node", "f"], "x", label, labels, 16, weight)
-        best = found.groupBy("_node").agg(F.min_by(F.struct("f", "threshold"), F.struct(-F.round("quality", 9), F.col("f"))).alias("s")).collect()
-        if not best:
+        counted = live.groupBy(*at, "label").agg(F.sum("w").alias("c"))
+        facts = counted.groupBy(*at).agg(F.sum("c").alias("n"), F.max("c").alias("top"), F.min_by("label", F.struct(-F.col("c"), F.col("label"))).alias("label")).checkpoint()
+        splits = None
+        if level < depth:
+            opened = facts.where((F.col("n") > least) & (F.col("n") > F.col("top")))
+            wanted = F.slice(F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda f: F.struct(F.xxhash64(f, "tree", "node", F.lit(seed)), f.alias("f")))), 1, look)
+            asked = opened.select(*at, F.transform(wanted, lambda s: s["f"]).alias("fs"))
+            melted = live.join(asked, at).select(*at, "label", "w", F.explode(F.transform("fs", lambda f: F.struct(f.alias("f"), F.get("x", f).alias("v")))).alias("p")).select(*at, "label", "w", F.col("p.f").alias("f"), F.col("p.v").alias("v"))
+            melted = melted.checkpoint()
+            cuts = best_split(melted, [*at, "f"], "v", "label", labels, 16, "w")
+            best = cuts.groupBy(*at).agg(F.min_by(F.struct("f", "threshold"), F.struct(-F.round("quality", 9), F.col("f"))).alias("s"))
+            sides = melted.join(best, at).where(F.col("f") == F.col("s.f")).groupBy(*at).agg(F.first("s").alias("s"), F.sum(F.when(F.col("v") <= F.col("s.threshold"), F.col("w")).when(F.col("v") > F.col("s.threshold"), -F.col("w")).otherwise(0.0)).alias("lean"))
+            splits = sides.select(*at, F.col("s.f").alias("feature"), F.col("s.threshold").alias("threshold"), (F.col("lean") > 0).alias("default_left")).checkpoint()
+        nodes = facts.join(splits, at, "left") if splits is not None else facts.withColumns({"feature": F.lit(None).cast("int"), "threshold": F.lit(None).cast("double"), "default_left": F.lit(None).cast("boolean")})
+        nodes = nodes.select("tree", "node", F.col("feature").cast("int").alias("feature"), "threshold", "default_left", "label", "n", (F.col("n") - F.col("top")).alias("risk"))
+        done = nodes if done is None else done.union(nodes)
+        if splits is None or splits.isEmpty():
             break
-        tree.splits |= {r["_node"]: (r["s"]["f"], r["s"]["threshold"]) for r in best}
-    for i in [2 * j + k for j in tree.splits for k in (0, 1)]:
-        tree.leaves.setdefault(i, tree.leaves[i // 2])
-    return tree
+        v = F.get("x", F.col("feature"))
+        left = F.when(v.isNull() | F.isnan(v), F.col("default_left")).otherwise(v <= F.col("threshold"))
+        live = live.join(splits, at).select("tree", (2 * F.col("node") + F.when(left, 0).otherwise(1)).cast("long").alias("node"), "label", "w", "x").checkpoint()
+    return Forest(done.checkpoint())
 
 
-def grow_forest(samples: DataFrame, key: str, features: str, label: str, width: int, labels: list, trees: int, depth: int, seed: int = 1, chunk: int | None = None, tolerance: float = 5e-4) -> list[Tree]:
-    """Trees over bootstrap weights (Poisson by a hash of the key) and random feature subsets of the square root's size.
+def grow_forest(samples: DataFrame, key: str, features: str, label: str, width: int, labels: list, trees: int, depth: int, seed: int = 1, chunk: int | None = None, tolerance: float = 5e-4, least: int = 2, look: int | None = None) -> Forest:
+    """A forest of at most ``trees`` trees, ``chunk`` of them grown at a time (default: all).
 
-    With ``chunk`` the training accuracy is looked at after every so many trees, and growing ends when its mean over six looks
-    moves by less than ``tolerance``.
+    After each chunk the training accuracy is looked at, and growing ends when its mean over six looks moves by less than ``tolerance``.
     """
-    import random
-
     seen: list[float] = []
-
-    out = []
-    for i in range(trees):
-        u = F.pmod(F.xxhash64(F.col(key), F.lit(seed * 1000 + i)), F.lit(1_000_000)) / 1_000_000.0
-        weighted = samples.withColumn("_w", F.when(u < 0.367879, 0).when(u < 0.735759, 1).when(u < 0.919699, 2).when(u < 0.981012, 3).otherwise(4))
-        chosen = sorted(random.Random(seed * 1000 + i).sample(range(width), max(1, int(width**0.5 + 0.5))))
-        out.append(grow_tree(weighted, features, label, width, labels, depth, weight="_w", chosen=chosen))
-        if chunk and len(out) % chunk == 0:
+    out = None
+    for first in range(0, trees, chunk or trees):
+        more = grow_trees(samples, key, features, label, width, labels, list(range(first, min(trees, first + (chunk or trees)))), depth, least, look, seed)
+        out = more if out is None else Forest(out.nodes.union(more.nodes))
+        if chunk:
             seen.append(evaluate(predict_forest(samples, [key, label], features, out), label, "predicted").first().accuracy or 0.0)
             if len(seen) > 6 and abs(sum(seen[-6:]) - sum(seen[-7:-1])) / 6 < tolerance:
                 break
     return out
 
 
-def predict_forest(samples: DataFrame, key: list[str], features: str, forest: list[Tree]) -> DataFrame:
-    """``key, votes, predicted``: every tree is an expression over the row; the votes are counted inside the row."""
-    given = F.array(*[t.predict(F.col(features)) for t in forest])
-    counted = samples.select(*key, given.alias("g")).withColumn("best", F.array_max(F.transform(F.array_distinct("g"), lambda l: F.struct(F.size(F.filter("g", lambda x: x == l)).alias("votes"), (-l).alias("minus")))))
-    return counted.select(*key, F.col("best.votes").cast("long").alias("votes"), (-F.col("best.minus")).alias("predicted"))
+def predict_forest(samples: DataFrame, key: list[str], features: str, forest: Forest) -> DataFrame:
+    return forest.predict(samples, key, features)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import cluster
 from ..operators.cluster import distance_matrix
+from .samples import KEY_EVENTS, PERSISTENCE
 
 BY = ["label"]
 
@@ -36,7 +37,7 @@ def knn_mean_dist(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def eps_minpts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster.estimate_eps(_distances(spark, sf_dir), BY).select("label", _round(F.col("eps")).alias("eps"), F.col("min_pts").cast("int").alias("min_pts"))
+    return cluster.estimate_eps(_distances(spark, sf_dir), BY).select("label", _round(F.col("eps")).alias("eps"), "min_pts")
 
 
 EPS = 7.8
@@ -80,41 +81,85 @@ def tile_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dtw_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Warping cost of every series and the next three of its class by id."""
-    from pyspark.sql import Window
+    """Warping cost of all pairs of series of a class, of every eighth sample."""
+    short = _series(spark, sf_dir).select("label", "vec_id", F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.get("embedding", i * 8)).alias("x"))
+    return cluster.dtw_matrix(short, BY, "vec_id", "x").select("label", "a", "b", _round(F.col("d")).alias("cost"))
 
-    order = Window.partitionBy("label").orderBy("vec_id")
-    ranked = _series(spark, sf_dir).withColumn("r", F.row_number().over(order))
-    left = ranked.select("label", F.col("vec_id").alias("a"), F.col("embedding").alias("x"), F.explode(F.sequence(F.col("r") + 1, F.col("r") + 3)).alias("r"))
-    right = ranked.select("label", "r", F.col("vec_id").alias("b"), F.col("embedding").alias("y"))
-    return cluster.dtw_cost(left.join(right, ["label", "r"]), ["label", "a", "b"], "x", "y").withColumn("cost", _round(F.col("cost")))
+
+def _signed(spark, sf_dir) -> DataFrame:
+    """Every eighth sample with a label for each: 1 to 3 by its size."""
+    x = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.get("embedding", i * 8).cast("double"))
+    return _series(spark, sf_dir).select("label", "vec_id", x.alias("x")).withColumn("marks", F.transform("x", lambda v: F.when(v < -0.05, 1).when(v > 0.05, 3).otherwise(2)))
+
+
+def dtw_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with samples that count by their labels' distance around a circle of three."""
+    found = cluster.dtw_matrix(_signed(spark, sf_dir), BY, "vec_id", "x", "marks", cluster.label_table(3, 2.0))
+    return found.select("label", "a", "b", _round(F.col("d")).alias("cost"))
+
+
+def dtw_exponential(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the asymmetric exponential cost."""
+    return cluster.dtw_matrix(_signed(spark, sf_dir), BY, "vec_id", "x", lam=0.5).select("label", "a", "b", _round(F.col("d")).alias("cost"))
+
+
+def dtw_eps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The radius that warping distances suggest for each class."""
+    rounded = cluster.dtw_matrix(_signed(spark, sf_dir), BY, "vec_id", "x").withColumn("d", _round(F.col("d")))
+    return cluster.estimate_eps(rounded, BY).select("label", _round(F.col("eps")).alias("eps"), "min_pts")
+
+
+def warped_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Density clusters of warping distances at the radius that they suggest."""
+    rows = _signed(spark, sf_dir)
+    rounded = cluster.dtw_matrix(rows, BY, "vec_id", "x").withColumn("d", _round(F.col("d")))
+    points = rows.select("label", F.col("vec_id").alias("a"))
+    settings = cluster.estimate_eps(rounded, BY, classes=points).withColumn("eps", _round(F.col("eps")))
+    return cluster.dbscan(rounded, points, BY, settings=settings)
+
+
+def warped_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole chain: label-aware warping distances, their radius, density clusters, a mean shape per cluster."""
+    found = cluster.cluster_templates(_signed(spark, sf_dir), BY, "vec_id", "x", "marks", cluster.label_table(3, 2.0))
+    return found.select("label", "cluster", "frame", _round(F.col("value")).alias("value"), "members")
 
 
 def dba_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster.barycentres(_series(spark, sf_dir), "label", "vec_id", "embedding", 4).withColumn("value", _round(F.col("value")))
+    """The classes' mean shapes of every fourth sample, to the end."""
+    rows = _series(spark, sf_dir).select("label", "vec_id", F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.get("embedding", i * 4)).alias("x"))
+    return cluster.barycentres(rows, "label", "vec_id", "x").withColumn("value", _round(F.col("value")))
 
 
 def template_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The classes' shapes with a label for each frame, voted by the signs of the samples that warp to it."""
-    rows = _series(spark, sf_dir)
-    shapes = cluster.barycentres(rows, "label", "vec_id", "embedding", 2)
-    signs = rows.withColumn("signs", F.transform("embedding", lambda x: F.when(x > 0, 1).otherwise(0)))
-    return cluster.frame_labels(cluster.barycentre_labels(signs.withColumnRenamed("label", "class"), "class", "embedding", "signs", shapes.withColumnRenamed("label", "class")), "class")
+    rows = _signed(spark, sf_dir).withColumnRenamed("label", "class")
+    shapes = cluster.barycentres(rows, "class", "vec_id", "x")
+    return cluster.frame_labels(cluster.barycentre_labels(rows, "class", "x", "marks", shapes), "class")
 
 
 def spline_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every fifth sample taken out and put back on the spline through the others."""
+    gaps = F.transform("embedding", lambda v, i: F.when(i % 5 != 0, v.cast("double")))
+    return cluster.fill_series(_series(spark, sf_dir).withColumn("v", gaps), ["vec_id"], "v").select("vec_id", F.transform("filled", lambda v: _round(v)).alias("filled"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for key, values in zip(pdf["vec_id"], pdf["embedding"]):
-                y = np.array(values, dtype=np.float64)
-                y[::5] = np.nan
-                rows.append((key, cluster.natural_spline(y).round(6)))
-            yield pd.DataFrame(rows, columns=["vec_id", "filled"])
 
-    return _series(spark, sf_dir).select("vec_id", "embedding").mapInPandas(run, "vec_id long, filled array<double>")
+def linear_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same on straight lines; the first sample lies on the line through the next two."""
+    gaps = F.transform("embedding", lambda v, i: F.when(i % 5 != 0, v.cast("double")))
+    rows = cluster.fill_series(_series(spark, sf_dir).withColumn("v", gaps), ["vec_id"], "v", linear=True)
+    return _samples(rows, F.col("filled"))
+
+
+def global_minimum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _series(spark, sf_dir).select("vec_id", cluster.lowest(F.col("embedding")).alias("pos"))
+
+
+def key_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In how many series two positions, at least two apart, are both persistent extrema."""
+    from ..operators import pairs
+
+    events = cluster.persistent_events(_series(spark, sf_dir), ["vec_id"], "embedding")
+    return pairs.pair_support(events, ["vec_id"], "pos", 2)
 
 
 def persistence_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,8 +199,8 @@ def joint_forest_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        dist_matrix_l1, knn_mean_dist, eps_minpts, radius_neighbours, dbscan_clusters, label_distance_map, detrend, edge_blend, median_argmax, tile_windows, dtw_pairs, dba_templates, template_labels,
-        spline_fill, persistence_pairs, field_units, joint_forest_depth,
+        dist_matrix_l1, knn_mean_dist, eps_minpts, radius_neighbours, dbscan_clusters, label_distance_map, detrend, edge_blend, median_argmax, tile_windows, dtw_pairs, dtw_labelled, dtw_exponential, dtw_eps, warped_clusters, warped_templates,
+        dba_templates, template_labels, spline_fill, linear_fill, global_minimum, key_events, persistence_pairs, field_units, joint_forest_depth,
     )
 }
 
@@ -164,7 +209,50 @@ _W = f"{_D}, w AS (SELECT label, a, b, d FROM d UNION ALL SELECT label, b, a, d
 _X = "list_transform(embedding, lambda v: CAST(v AS DOUBLE))"
 _OUT = "SELECT vec_id, CAST(unnest(range(64)) AS INT) AS pos, unnest(list_transform(y, lambda v: round(v, 6) + 0.0)) AS x FROM y"
 
+
+
+def _warped_sql(cell: str) -> str:
+    """Warping costs ``d(label, a, b, d)`` of every eighth sample, a row of the cost table per step."""
+    marks = "list_transform(x, lambda v: CASE WHEN v < -0.05 THEN 1 WHEN v > 0.05 THEN 3 ELSE 2 END)"
+    return f"""s AS (SELECT label, vec_id, list_transform(range(8), lambda i: CAST(embedding[i * 8 + 1] AS DOUBLE)) AS x FROM embeddings), m AS (SELECT *, {marks} AS k FROM s),
+      q AS (SELECT l.label, l.vec_id AS a, r.vec_id AS b, l.x AS x, r.x AS y, l.k AS kp, r.k AS kq FROM m l JOIN m r ON l.label = r.label AND l.vec_id < r.vec_id),
+      cells AS (SELECT label, a, b, i, j, {cell} AS c FROM q, range(1, 9) AS ri(i), range(1, 9) AS rj(j)),
+      g AS (SELECT label, a, b, list(c ORDER BY i, j) AS c FROM cells GROUP BY ALL),
+      t(label, a, b, c, n, cost) AS (SELECT label, a, b, c, 0, list_transform(range(9), lambda j: CASE WHEN j = 0 THEN 0.0 ELSE CAST('inf' AS DOUBLE) END) FROM g
+        UNION ALL SELECT label, a, b, c, n + 1, {_dtw_row()} FROM t WHERE n < 8),
+      d AS (SELECT label, a, b, round(cost[9] / (8 * sqrt(2)), 6) + 0.0 AS d FROM t WHERE n = 8)"""
+
+
+def _dtw_row() -> str:
+    """The next row of the cost table: each cell on the cheapest of the three before it, written out cell by cell."""
+    out, left = ["CAST('inf' AS DOUBLE)"], "CAST('inf' AS DOUBLE)"
+    for j in range(1, 9):
+        left = f"(c[n * 8 + {j}] + least(cost[{j}], cost[{j + 1}], {left}))"
+        out.append(left)
+    return "[" + ", ".join(out) + "]"
+
+
+_CIRCLE = "pow(2.0, CASE WHEN abs(kp[i] - kq[j]) > 1 THEN 3 - abs(kp[i] - kq[j]) ELSE abs(kp[i] - kq[j]) END)"
+_PLAIN = _warped_sql("abs(x[i] - y[j])")
+_EPS = """w AS (SELECT label, a, b, d FROM d UNION ALL SELECT label, b, a, d FROM d), e AS (SELECT *, min(d) OVER p AS lo, max(d) OVER p AS hi FROM w WINDOW p AS (PARTITION BY label, a)),
+      z AS (SELECT label, a, floor((d - lo) / nullif(hi - lo, 0) * 100) AS bin, avg(d) AS m FROM e WHERE d >= lo + (hi - lo) * 0.012 AND d <= hi - (hi - lo) * 0.012 GROUP BY ALL),
+      r AS (SELECT *, row_number() OVER (PARTITION BY label, a ORDER BY m) AS r FROM z), h AS (SELECT label, a, k, avg(m) AS mean FROM r, range(3, 6) AS x(k) WHERE r <= k GROUP BY ALL),
+      v AS (SELECT label, k, avg(mean) AS eps FROM h GROUP BY ALL), eps AS (SELECT label, round(min(eps), 6) + 0.0 AS eps, CAST(arg_min(k, (eps, k)) AS INT) AS min_pts FROM v GROUP BY label)"""
+
 ORACLE_SQL = {
+    "dtw_pairs": f"WITH RECURSIVE {_PLAIN} SELECT label, a, b, d AS cost FROM d",
+    "dtw_labelled": f"WITH RECURSIVE {_warped_sql(f'abs((x[i] - y[j]) * {_CIRCLE})')} SELECT label, a, b, d AS cost FROM d",
+    "dtw_exponential": f"WITH RECURSIVE {_warped_sql('exp(-(x[i] - y[j]) / 0.5)')} SELECT label, a, b, d AS cost FROM d",
+    "dtw_eps": f"WITH RECURSIVE {_PLAIN}, {_EPS} SELECT label, eps, min_pts FROM eps",
+    "warped_clusters": f"""WITH RECURSIVE {_PLAIN}, {_EPS}, n AS (SELECT w.label, w.a, w.b FROM w JOIN eps USING (label) WHERE d <= eps), c AS (SELECT n.label, n.a FROM n JOIN eps USING (label) GROUP BY n.label, n.a, min_pts HAVING count(*) + 1 >= min_pts),
+      l AS (SELECT n.a, n.b FROM n WHERE n.a IN (SELECT a FROM c) AND n.b IN (SELECT a FROM c)), reach(a, b) AS (SELECT a, a FROM c UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a), root AS (SELECT a, min(b) AS root FROM reach GROUP BY a),
+      o AS (SELECT p.label, p.vec_id AS a, coalesce((SELECT root FROM root WHERE root.a = p.vec_id), (SELECT min(root) FROM n JOIN root ON n.b = root.a WHERE n.a = p.vec_id)) AS cluster FROM embeddings p),
+      k AS (SELECT o.label, cluster FROM o JOIN eps USING (label) WHERE cluster IS NOT NULL GROUP BY o.label, cluster, min_pts HAVING count(*) > min_pts), kept AS (SELECT o.* FROM o JOIN k ON o.label = k.label AND o.cluster = k.cluster)
+      SELECT label, a, cluster FROM kept UNION ALL SELECT label, vec_id, 2 FROM embeddings WHERE label NOT IN (SELECT label FROM kept)""",
+    "persistence_pairs": f"WITH {PERSISTENCE} SELECT vec_id, minimum, maximum, round(persistence, 6) + 0.0 AS persistence FROM found",
+    "key_events": f"WITH {PERSISTENCE}, {KEY_EVENTS} SELECT l.pos AS a, r.pos AS b, count(*) AS support FROM ev l JOIN ev r ON l.vec_id = r.vec_id AND r.pos >= l.pos + 2 GROUP BY l.pos, r.pos",
+    "linear_fill": f"WITH y AS (SELECT vec_id, list_transform(range(1, 65), lambda i: CASE WHEN i % 5 <> 1 THEN CAST(embedding[i] AS DOUBLE) WHEN i = 1 THEN 2 * CAST(embedding[2] AS DOUBLE) - CAST(embedding[3] AS DOUBLE) ELSE (CAST(embedding[i - 1] AS DOUBLE) + CAST(embedding[i + 1] AS DOUBLE)) / 2 END) AS y FROM embeddings) {_OUT}",
+    "global_minimum": "SELECT vec_id, CAST(list_position(embedding, list_min(embedding)) - 1 AS INT) AS pos FROM embeddings",
     "dist_matrix_l1": f"WITH {_D} SELECT * FROM d",
     "knn_mean_dist": f"WITH {_W}, k AS (SELECT *, row_number() OVER (PARTITION BY label, a ORDER BY d, b) AS r FROM w) SELECT label, a, round(avg(d), 6) + 0.0 AS mean FROM k WHERE r <= 3 GROUP BY label, a",
     "eps_minpts": f"""WITH {_W}, e AS (SELECT *, min(d) OVER p AS lo, max(d) OVER p AS hi FROM w WINDOW p AS (PARTITION BY label, a)),

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 
@@ -194,3 +195,93 @@ def read_sequences(spark: SparkSession, path: str, joints: int, header: str | No
 
     tidy = chunks.mapInPandas(frames, FRAMES)
     return tidy.withColumns({c: null_if_nan(tidy[c]) for c in "xyz"}), chunks.mapInPandas(events, EVENTS)
+
+
+#: Joints of an action recording.
+ACTION_JOINTS = 25
+
+
+def encode_action(setup: int, view: int, subject: int, replication: int, action: int, frames: list[np.ndarray | None] | None) -> bytes:
+    """One action recording: ids, the action's label, and per frame the body's points (joints, 3) or None; ``frames`` None: no data."""
+    out = struct.pack("<6i", setup, view, subject, replication, action, len(frames or [])) + struct.pack("<?", frames is not None)
+    for body in frames or []:
+        out += struct.pack("<?", body is not None)
+        if body is not None:
+            out += struct.pack("<i", len(body)) + np.asarray(body, "<f4").tobytes()
+    return out
+
+
+def decode_action(raw: bytes) -> dict | None:
+    """The reverse; None for a recording without data or with a body of other than 25 joints. A frame without a body is all NaN."""
+    setup, view, subject, replication, action, n = struct.unpack_from("<6i", raw)
+    at = 24
+    if not raw[at]:
+        return None
+    at += 1
+    points = np.full((n, ACTION_JOINTS, 3), np.nan)
+    for i in range(n):
+        has_body, at = raw[at], at + 1
+        if has_body:
+            (joints,) = struct.unpack_from("<i", raw, at)
+            if joints != ACTION_JOINTS:
+                return None
+            points[i] = np.frombuffer(raw, "<f4", joints * 3, at + 4).reshape(joints, 3)
+            at += 4 + 12 * joints
+    return {"setup": setup, "view": view, "subject": subject, "replication": replication, "action": action, "points": points}
+
+
+def read_actions(spark: SparkSession, path: str, header: str | None = None) -> DataFrame:
+    """``seq_id, setup, view, subject, replication, action, frame, joint_id, x, y, z`` of the action recordings that have 25 joints throughout.
+
+    ``seq_id`` is a hash of the file and the chunk; missing bodies are nulls.
+    """
+    rows = read_container(spark, path, header).select(F.xxhash64("path", "chunk").alias("seq_id"), "payload")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for seq_id, raw in zip(pdf["seq_id"], pdf["payload"]):
+                s = decode_action(raw)
+                if s is not None:
+                    p = s.pop("points")
+                    n = len(p)
+                    flat = p.reshape(-1, 3)
+                    yield pd.DataFrame({"seq_id": seq_id, **s, "frame": np.repeat(np.arange(n), ACTION_JOINTS), "joint_id": np.tile(np.arange(ACTION_JOINTS), n), "x": flat[:, 0], "y": flat[:, 1], "z": flat[:, 2]})
+
+    from ..schema import null_if_nan
+
+    ids = ("setup", "view", "subject", "replication", "action", "frame", "joint_id")
+    found = rows.mapInPandas(run, "seq_id long, " + ", ".join(f"{c} int" for c in ids) + ", x double, y double, z double")
+    return found.withColumns({c: null_if_nan(found[c]) for c in "xyz"})
+
+
+#: Element types of tensor files by their number. Fixed values.
+TENSOR_TYPES = {1: "?", 2: "<i1", 3: "<u1", 4: "<i2", 5: "<u2", 6: "<i4", 7: "<u4", 8: "<i8", 9: "<u8", 10: "<f4", 11: "<f8"}
+
+
+def encode_tensor(values: np.ndarray, kind: int = 10, version: int = 1) -> bytes:
+    return b"RSDNBUFF" + struct.pack("<4i", version, kind, 2, values.ndim) + struct.pack(f"<{values.ndim}i", *values.shape) + np.ascontiguousarray(values, TENSOR_TYPES[kind]).tobytes()
+
+
+def decode_tensor(raw: bytes) -> np.ndarray:
+    """A tensor file: two marks of four bytes, version, element type, buffer type (1: 4-byte floats whatever the element type says), dimensions, sizes, data."""
+    if raw[:8] != b"RSDNBUFF":
+        raise ValueError("not a tensor file")
+    _, kind, buffer, dims = struct.unpack_from("<4i", raw, 8)
+    shape = struct.unpack_from(f"<{dims}i", raw, 24)
+    element = "<f4" if buffer == 1 else TENSOR_TYPES[kind]
+    return np.frombuffer(raw, element, int(np.prod(shape)), 24 + 4 * dims).reshape(shape)
+
+
+def read_tensors(spark: SparkSession, path: str) -> DataFrame:
+    """``path, position, value``: every element of the tensor files below ``path`` with its place (one number per dimension)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for name, raw in zip(pdf["path"], pdf["content"]):
+                flat = decode_tensor(raw)
+                for lo in range(0, flat.size, 1 << 16):
+                    part = flat.reshape(-1)[lo : lo + (1 << 16)]
+                    place = np.stack(np.unravel_index(np.arange(lo, lo + len(part)), flat.shape), axis=1).astype(np.int32)
+                    yield pd.DataFrame({"path": name, "position": list(place), "value": part.astype(np.float64)})
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, position array<int>, value double")

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from motionframe.operators import gait
+from motionframe.operators import actions, gait
 from motionframe.sources import containers, samples
 from motionframe.streaming import timeline
 from tests.conftest import SF
@@ -101,3 +101,38 @@ def test_streams_equal_batches(spark):
     found = {(r.user_id, r.cycle): r.events for r in spark.table("c").collect()}
     assert found and all(whole[k] == n for k, n in found.items())
     assert timeline.sessions(events).agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_action_recordings_to_pair_samples(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(25, 3))
+
+    def body(action, k):
+        p = base.copy()
+        p[2:6] += 0.8 * np.array([np.sin((action + 1) * k / 6), np.cos(k / (3 + action)), 0.3 * np.sin(k / 4)])
+        return p
+
+    chunks = [containers.encode_action(1, 2, s, 0, s % 2, [None if k == 7 else body(s % 2, k) for k in range(40)]) for s in range(4)]
+    chunks += [containers.encode_action(1, 2, 9, 0, 1, None), containers.encode_action(1, 2, 9, 0, 1, [base[:24]])]
+    (tmp_path / "a").write_bytes(containers.encode("STRUCT", 1, {}, chunks))
+    frames = containers.read_actions(spark, str(tmp_path / "a"), "STRUCT")
+    assert frames.count() == 4 * 40 * 25 and frames.where("x is null").count() == 4 * 25 and {r.subject for r in frames.select("subject").distinct().collect()} == {0, 1, 2, 3}
+    bones = [(0, 2), (1, 3), (4, 6)]
+    normal = actions.normalise(frames, 20, bones, 25).cache()
+    assert normal.count() == 4 * 20 * 6 * 3 and normal.where("value is null").count() == 0
+    supports = actions.event_pairs(normal, 20)
+    chosen = actions.key_pairs(supports).cache()
+    assert 0 < chosen.count() <= supports.count()
+    actions.write_frames(normal, chosen, str(tmp_path / "out"))
+    found = actions.read_pair_samples(spark, str(tmp_path / "out"))
+    assert found.count() == 4 * chosen.count() and found.where("size(left) <> 18 or size(right) <> 18").count() == 0
+
+
+def test_tensor_files(spark, tmp_path):
+    values = np.arange(24, dtype=np.float32).reshape(2, 3, 4)
+    (tmp_path / "t").write_bytes(containers.encode_tensor(values))
+    rows = containers.read_tensors(spark, str(tmp_path / "t")).collect()
+    assert len(rows) == 24 and all(values[tuple(r.position)] == r.value for r in rows)
+    assert np.array_equal(containers.decode_tensor(containers.encode_tensor(np.array([[1, -2]]), 6)), [[1, -2]])
+    with pytest.raises(ValueError):
+        containers.decode_tensor(b"RSDN....")

@@ -70,6 +70,10 @@ def test_dtw_against_all_paths():
         cost, _ = cluster.dtw_batch(a[None], b[None])
         assert np.isclose(cost[-1, -1, 0], brute(a, b))
         assert cluster.dtw_batch(a[None], a[None])[0][-1, -1, 0] == 0
+        x, y = rng.normal(size=(2, 7, 6))
+        factor = cluster.label_factors(rng.integers(1, 4, (7, 6)), rng.integers(1, 4, (7, 6)), cluster.label_table(3, 2.0))
+        for kind in ({}, {"factor": factor}, {"lam": 0.5}):
+            assert np.allclose(cluster.dtw_batch(x, y, **kind)[0][-1, -1], cluster.dtw_total(cluster.cell_costs(x, y, **kind)))
 
 
 def test_spline_is_exact_on_lines_and_smooth():
@@ -79,6 +83,11 @@ def test_spline_is_exact_on_lines_and_smooth():
     y = np.sin(x)
     y[5:25:3] = np.nan
     assert np.allclose(cluster.natural_spline(y), np.sin(x), atol=1e-3)
+    many = np.stack([y, np.cos(x), np.full(31, np.nan)])
+    many[1, ::4] = np.nan
+    together = cluster.natural_spline(many)
+    assert np.array_equal(together[0], cluster.natural_spline(y)) and np.array_equal(together[1], cluster.natural_spline(many[1])) and np.isnan(together[2]).all()
+    assert np.allclose(cluster.natural_spline(np.array([np.nan, 1, np.nan, 4, 5, np.nan]), linear=True), [-0.5, 1, 2.5, 4, 5, 6])
 
 
 @settings(max_examples=60, deadline=None)
@@ -98,18 +107,35 @@ def test_split_beats_parent_and_handles_missing(spark):
     assert (r.threshold, r.quality) == (1.5, 4.0)
 
 
-def test_tree_learns_and_forest_votes(spark):
+def test_tree_learns_and_forest_votes(spark, tmp_path):
     rows = [(i, [float(i % 10), float(i % 7), 0.0], int(i % 10 > 4)) for i in range(200)]
     df = spark.createDataFrame(rows, "k int, x array<double>, y int")
-    tree = split.grow_tree(df, "x", "y", 3, [0, 1], 3)
-    assert df.where(tree.predict(F.col("x")) != F.col("y")).count() == 0
-    voted = split.predict_forest(df, ["k", "y"], "x", split.grow_forest(df, "k", "x", "y", 3, [0, 1], 3, 2))
+    tree = split.grow_trees(df, "k", "x", "y", 3, [0, 1], [0], 3, look=3, bootstrap=False)
+    assert tree.predict(df, ["k", "y"], "x").where("predicted <> y").count() == 0
+    forest = split.grow_forest(df, "k", "x", "y", 3, [0, 1], 3, 2)
+    voted = split.predict_forest(df, ["k", "y"], "x", forest)
     assert split.evaluate(voted, "y", "predicted").first().accuracy > 0.5
+    forest.save(str(tmp_path / "forest"))
+    again = split.Forest.load(spark, str(tmp_path / "forest"))
+    assert sorted(again.predict(df, ["k", "y"], "x").collect()) == sorted(voted.collect())
+    assert again.trees() == [0, 1, 2] and again.keep([1]).trees() == [1]
+    shares = again.probabilities(df, ["k"], "x", [0, 1]).collect()
+    assert all(abs(sum(r.probability) - 1) < 1e-9 for r in shares) and {len(r.given) for r in again.component(df, ["k"], "x").collect()} == {3}
+
+
+def test_missing_values_go_to_the_larger_side(spark):
+    rows = [(i, [float(i)], int(i > 11)) for i in range(16)] + [(20, [None], 1)]
+    df = spark.createDataFrame(rows, "k int, x array<double>, y int")
+    tree = split.grow_trees(df, "k", "x", "y", 1, [0, 1], [0], 1, bootstrap=False)
+    root = tree.nodes.where("node = 1").first()
+    assert (root.feature, root.threshold, root.default_left) == (0, 11.5, True)
+    assert {r.k: r.predicted for r in tree.predict(df, ["k"], "x").collect()}[20] == 0
+    assert split.least_samples(50) == 1 and split.least_samples(10**6) == 100 and split.mtry(64) == 8
 
 
 def test_forest_stops_when_it_no_longer_improves(spark):
     df = spark.createDataFrame([(i, [float(i)], int(i > 9)) for i in range(20)], "k int, x array<double>, y int")
-    assert len(split.grow_forest(df, "k", "x", "y", 1, [0, 1], 20, 1, chunk=1)) < 20
+    assert len(split.grow_forest(df, "k", "x", "y", 1, [0, 1], 12, 1, chunk=1).trees()) < 12
 
 
 def test_allocation_sums_to_about_the_budget(spark):
@@ -127,6 +153,40 @@ def test_dbscan_finds_two_shapes(spark):
     assert found.groupby("cluster").a.apply(sorted).tolist() == [list(range(10)), list(range(10, 20))]
 
 
+def test_dbscan_keeps_classes_with_the_same_ids_apart(spark):
+    rows = [(i, label, [float(10 * label + i % 2 * 5), 0.01 * i]) for label in (0, 1) for i in range(3, 13)]
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    d = cluster.distance_matrix(df, ["label"], "vec_id", "embedding")
+    found = cluster.dbscan(d, df.select("label", F.col("vec_id").alias("a")), ["label"], F.lit(0.5), 3).toPandas()
+    assert len(found) == 20 and {(r.label, r.a): r.cluster for r in found.itertuples()} == {(label, i): 3 + (i + 1) % 2 for label in (0, 1) for i in range(3, 13)}
+
+
+def test_eps_falls_back(spark):
+    d = spark.createDataFrame([(0, 1, 2, 1.0)], "label int, a long, b long, d double")
+    classes = spark.createDataFrame([(0,), (7,)], "label int")
+    assert {(r.label, r.eps, r.min_pts) for r in cluster.estimate_eps(d, ["label"], classes=classes).collect()} == {(0, 1.0, 3), (7, 0.1, 3)}
+
+
+def test_templates_of_two_shapes(spark):
+    rng = np.random.default_rng(1)
+    wave = np.sin(np.linspace(0, 6, 12))
+    rows = [(i, 0, ((wave if i < 12 else -3 * wave) + rng.normal(0, 0.3, 12)).tolist()) for i in range(24)]
+    rows.append((99, 0, [float("nan")] * 12))
+    df = spark.createDataFrame(rows, "vec_id long, label int, x array<double>")
+    found = cluster.cluster_templates(df, ["label"], "vec_id", "x").toPandas()
+    assert len(found) and not found.value.isna().any() and (found.groupby("cluster").frame.count() == 12).all() and found.groupby("cluster").members.first().sum() <= 24
+    for name, shape in ((0, wave), (12, -3 * wave)):
+        if set(found[found.cluster == name].members) != {12}:
+            continue
+        assert np.abs(found[found.cluster == name].sort_values("frame").value.to_numpy() - shape).max() < 1.0
+
+
+def test_persistent_events_drop_faint_and_border_extrema(spark):
+    y = [0.0, 5.0, 1.0, 1.2, 1.1, 6.0, 0.5, 4.0, 3.9, 8.0, 2.0]
+    df = spark.createDataFrame([(1, y), (2, [0.0] * 11)], "k long, x array<double>")
+    assert {(r.k, r.pos) for r in cluster.persistent_events(df, ["k"], "x").collect()} == {(1, 5), (1, 6)}
+
+
 def test_barycentre_of_copies_is_the_copy_with_its_labels(spark):
     x, marks = [0.0, 1.0, 4.0, 2.0], [1, 1, 2, 3]
     df = spark.createDataFrame([(i, 0, x, marks) for i in range(5)], "k long, c int, x array<double>, m array<int>")
