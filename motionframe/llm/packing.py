@@ -153,7 +153,10 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, capacity: int
             yield batch.assign(sequence_id=sequence, offset=offset)
 
     ranked = pieces.join(firsts, ["length", "task"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("nth") + F.col("ranks_before")).alias("rank"))
-    return ranked.mapInPandas(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    rows = ranked.mapInPandas(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    rows = scratch.save("rows", rows)
+    scratch.drop_all_but("rows")
+    return rows
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
