@@ -104,7 +104,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANC
     joined = rooted(marked, F.col("doc_id"), scratch, distance)
     ids = joined.groupBy("root").agg(F.min("first").alias("component_id"))
     component = joined.join(ids, "root").select("fp", "component_id")
-    return marked.join(component, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rows = scratch.save("rows", marked.join(component, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
+    scratch.drop_all_but("rows")
+    return rows
 
 
 def _row_key(doc_id: Column, text: Column) -> list[Column]:
@@ -123,6 +125,8 @@ def keep_one(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE) -> D
     scratch, key = Scratch(docs.sparkSession, "simhash"), ["_no_id", "_id", "_digest"]
     marked = scratch.save("marked", id_and_text(docs).select(*_row_key(F.col("doc_id"), F.col("text")), fingerprint_of("text", words).alias("fp")))
     best = rooted(marked, F.struct(*key), scratch, distance).groupBy("root").agg(F.min("first").alias("first")).select("first.*")
+    best = scratch.save("best", best)
+    scratch.drop_all_but("best")
     rows = docs.select(*_row_key(F.col("doc_id"), F.col("text")), F.struct(*docs.columns).alias("_row"))
     return rows.groupBy(*key).agg(F.min("_row").alias("_row")).join(best, key, "left_semi").select("_row.*")
 
