@@ -281,11 +281,11 @@ def _merged(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, int,
 
 
 def score_documents(docs: DataFrame, model: Model = Model()) -> DataFrame:
-    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``, one row per input row.
+    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity``, one row per input row.
 
     The model learns from the rows whose crc32(doc_id as text) modulo 5 is not 1. Tokens are the words between ASCII blanks with A-Z
     lower-cased, then one end. Scores are log10 probabilities: ``base_score`` of the smoothed unigram, ``score`` of the restaurants, a
-    distribution over the known words and one unknown. Null and empty texts are the end alone; repeated rows count as often as they
+    distribution over the known words and one unknown; ``perplexity`` is that of the text under it (10 to the minus score over tokens). Null and empty texts are the end alone; repeated rows count as often as they
     occur; a null doc_id hashes as the empty text; without training rows every word is the unknown one. Extra columns are
     ignored; an empty table gives no rows. Words are told apart by 64-bit hashes.
     """
@@ -296,7 +296,7 @@ def score_documents(docs: DataFrame, model: Model = Model()) -> DataFrame:
     names = ["kind", "chunk", "shard", "words", "per_word", "contexts", "counts", "docs"]
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Chunks of about CHUNK bytes: kind 0 keeps the documents' types, kind 1 goes to shards, kind 2 is totals."""
+        """Chunks of about CHUNK bytes: kind 0 keeps the documents' types, kind 1 goes to shards."""
         chunk = TaskContext.get().partitionId() << 32
         kept: list[pd.DataFrame] = []
         size = 0
@@ -312,11 +312,6 @@ def score_documents(docs: DataFrame, model: Model = Model()) -> DataFrame:
                 if a < b:
                     x, y = ends[a], ends[b]
                     out.append((1, chunk, s, squeeze(steps(p.hashes[a:b])), squeeze(p.per_word[a:b]), squeeze(p.context[x:y]), squeeze(p.counts[x:y]), None))
-            start = Totals()
-            start.customers1[:] = np.bincount(p.context, p.counts, minlength=CONTEXTS)
-            start.tables1[:] = np.bincount(p.context, p.counts > 0, minlength=CONTEXTS)
-            start["tokens"], start["types"] = p.counts.sum(), len(p.hashes)
-            out += [(2, chunk, block, data, None, None, None, None) for block, data in start.blocks()]
             return pd.DataFrame(out, columns=names)
 
         for batch in batches:
@@ -336,9 +331,14 @@ def score_documents(docs: DataFrame, model: Model = Model()) -> DataFrame:
     schema = "kind byte, chunk long, shard int, words binary, per_word binary, contexts binary, counts binary, docs binary"
     packed_rows = scratch.save("packed", rows.mapInPandas(pack, schema), "kind")
     requests = packed_rows.where("kind = 1").select("chunk", "shard", "words", "per_word", "contexts", "counts")
-    start = summed(packed_rows.where("kind = 2").select(F.pmod("chunk", F.lit(1 << 20)).cast("int").alias("part"), F.col("shard").alias("block"), F.col("words").alias("data")))
-    start.customers2[:], start.tables2[:] = (x.reshape(CLASSES, PER_CLASS).sum(axis=1) for x in (start.tables1, start.tables1 / 2))
-    start["root_customers"], start["root_tables"] = start.tables2.sum(), start["types"]
+
+    def first_guests(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The totals of one table per type: they do not depend on how rows fall into chunks."""
+        word, context, count, words, *_ = _merged(pdf.sort_values("chunk"))
+        start = Seating(word, context, count, words, model, 0).totals()
+        return pd.DataFrame([(int(pdf["shard"].iat[0]), block, data) for block, data in start.blocks()], columns=["part", "block", "data"])
+
+    start = summed(requests.groupBy("shard").applyInPandas(first_guests, "part int, block int, data binary"))
 
     def seat(pdf: pd.DataFrame, totals: Totals, discount: tuple[float, ...], sweeps: int, samples: int) -> tuple[Seating, np.ndarray, tuple]:
         word, context, count, words, *where = _merged(pdf.sort_values("chunk"))
@@ -395,7 +395,10 @@ def score_documents(docs: DataFrame, model: Model = Model()) -> DataFrame:
 
     kept = packed_rows.where("kind = 0").select("chunk", "words", "per_word", "contexts", "counts", "docs")
     result = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return kept.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(total, result)
+    scored = kept.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(total, result)
+    rows = scratch.save("rows", scored.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))))
+    scratch.drop_all_but("rows")
+    return rows
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,6 +57,13 @@ def test_lm_against_counts(spark, docs, texts):
     assert held.score.sum() / held.n_tokens.sum() > held.base_score.sum() / held.n_tokens.sum() + 0.2
 
 
+def test_lm_does_not_depend_on_the_layout(spark, docs):
+    model = lm_score.Model(burn_in=1, samples=1)
+    one = {r.doc_id: (r.score, r.perplexity) for r in lm_score.score_documents(docs.limit(60).coalesce(1), model).collect()}
+    other = {r.doc_id: (r.score, r.perplexity) for r in lm_score.score_documents(docs.limit(60).repartition(5), model).collect()}
+    assert one == other and all(p > 1 for _, p in one.values())
+
+
 def test_restaurants_give_a_distribution():
     rng = np.random.default_rng(3)
     words, contexts = 40, 6
