@@ -148,6 +148,10 @@ def near_pairs(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame
     Only one set per class is joined. A set's rarest signatures (as many as any match at the threshold must touch) are posted
     under its length partition and those above it that can still match; shared postings give candidates, which are pruned by
     length and verified by the exact Jaccard of their hashed signatures.
+
+    Null texts are empty; empty texts and texts without a full chain are sets of one signature, so they are in a class with their equals only. Repeated
+    rows are members each; a null doc_id is a member, and names its class (and stands in its pairs) only where no other id does. Ties in a
+    signature's frequency go by its hash. Extra columns are ignored; an empty table gives two empty tables.
     """
     scratch = Scratch(docs.sparkSession, "spotsigs")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
