@@ -9,12 +9,12 @@ from motionframe.llm.storage import Scratch, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, learnt from ``labels``, does not reject."""
+    """Documents that the classifier, learnt from ``labels``, does not reject; repeated rows are judged alike, null texts as empty ones."""
     return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component."""
+    """One document of each near-duplicate component: the smallest doc_id (null last), then the smallest text digest. Null texts are empty ones."""
     return simhash.keep_one(docs)
 
 
@@ -24,7 +24,7 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The places of all token pieces in sequences."""
+    """The places of all token pieces in sequences; a null or empty text is its end token, repeated rows are packed each."""
     return packing.pack_documents(docs)
 
 
@@ -35,7 +35,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written as Parquet and reread by the next."""
+    """All stages over ``documents``, each written as Parquet and reread by the next; an empty table goes through to no rows.
+
+    A stage's table is dropped when the next one is written; the last one stays, for the result reads it.
+    """
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
