@@ -150,7 +150,7 @@ def near_pairs(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame
     length and verified by the exact Jaccard of their hashed signatures.
 
     Null texts are empty; empty texts and texts without a full chain are sets of one signature, so they are in a class with their equals only. Repeated
-    rows are members each; a null doc_id is a member, and names its class (and stands in its pairs) only where no other id does. Ties in a
+    rows are members each; a null doc_id is a member of its class; a class of null ids only has a null name and takes no part in pairs. Ties in a
     signature's frequency go by its hash. Extra columns are ignored; an empty table gives two empty tables.
     """
     scratch = Scratch(docs.sparkSession, "spotsigs")
