@@ -1,6 +1,6 @@
 """A hierarchical Pitman-Yor language model over words: Chinese restaurants seated by Gibbs sampling.
 
-Each token is a customer of the restaurant of its context, the preceding token (hashed to ``CONTEXTS`` restaurants). A
+Each token is a customer of the restaurant of its context, the preceding token: every distinct word has a restaurant. A
 restaurant's parent is that of its context's class (the preceding token's ending), whose parent is the root, whose
 base measure is uniform over the known words and one more. Every table is a customer of the parent.
 
@@ -8,6 +8,8 @@ Words are dealt to shards, so a word's customers and tables at all levels are in
 independently given the restaurants' totals, which are refreshed between passes. One sweep redraws the table counts of every
 (restaurant, word) from their conditional distribution, level by level. Predictive probabilities are averaged over the samples.
 Chunks of documents send the counts of their (context, word) types to the shards and get the types' probabilities back.
+Restaurants grow with the corpus, so their totals are rows, never a vector on the driver: shards tell what they know of the contexts
+they have to parts dealt by context, which add it up and tell each shard the totals of its contexts. Only classes and sums are broadcast.
 """
 
 from __future__ import annotations
@@ -24,14 +26,13 @@ from pyspark.sql import functions as F
 
 from .storage import Scratch, fold, id_and_text, pieces_for, table
 
-CLASSES, PER_CLASS = 256, 256
-CONTEXTS = CLASSES * PER_CLASS
+CLASSES = 256
 CHUNK, SHARD, LEAST_SHARDS = 1 << 23, 1 << 23, 64
 #: Log10 probabilities travel in steps of one 2048th; a text's score is off by the mean of its tokens' rounding, about nothing.
 STEPS = 2048
 EXACT = 64
 END = b""
-BLOCK = 8192
+CLASS_AT = np.uint64(56)  # a context's code: its class, and below it the low bits of the word's hash
 
 
 @dataclass(frozen=True)
@@ -63,15 +64,14 @@ def steps(values: np.ndarray) -> np.ndarray:
 
 
 class Totals:
-    """What restaurants know of themselves: customers and tables by context and class, and a few sums; a vector of fixed length."""
+    """What all shards need of classes and the root: customers and tables by class, and a few sums; a vector of fixed length."""
 
     SUMS = ("root_customers", "root_tables", "types", "tokens", *(f"{what}{level}" for level in (1, 2, 3) for what in ("once", "twice")))
-    SIZE = 2 * CONTEXTS + 2 * CLASSES + len(SUMS)
+    SIZE = 2 * CLASSES + len(SUMS)
 
     def __init__(self, vector: np.ndarray | None = None):
         self.vector = np.zeros(self.SIZE) if vector is None else vector
-        cuts = np.cumsum([0, CONTEXTS, CONTEXTS, CLASSES, CLASSES, len(self.SUMS)])
-        self.customers1, self.tables1, self.customers2, self.tables2, self.sums = (self.vector[a:b] for a, b in zip(cuts, cuts[1:]))
+        self.customers2, self.tables2, self.sums = np.split(self.vector, [CLASSES, 2 * CLASSES])
 
     def __getitem__(self, name: str) -> float:
         return float(self.sums[self.SUMS.index(name)])
@@ -79,42 +79,36 @@ class Totals:
     def __setitem__(self, name: str, value: float) -> None:
         self.sums[self.SUMS.index(name)] = value
 
-    def blocks(self) -> Iterator[tuple[int, bytes]]:
-        for i in range(0, self.SIZE, BLOCK):
-            part = self.vector[i : i + BLOCK]
-            if part.any():
-                yield i // BLOCK, squeeze(part)
 
-
-def summed(blocks: DataFrame) -> Totals:
-    """The sum of totals given as rows ``part, block, data``, in two steps; the driver gets one vector."""
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = stretch(pdf["data"].iat[0], np.float64).copy()
-        for x in pdf["data"].iloc[1:]:
-            total += stretch(x, np.float64)
-        return pd.DataFrame({"part": [0], "block": [pdf["block"].iat[0]], "data": [squeeze(total)]})
-
-    schema = "part int, block int, data binary"
-    once = blocks.withColumn("part", F.pmod("part", F.lit(32)).cast("int")).groupBy("part", "block").applyInPandas(add, schema)
+def summed(told: DataFrame) -> Totals:
+    """The sum of what the shards told (``sums``); the driver gets one vector."""
     out = Totals()
-    for r in once.groupBy("block").applyInPandas(add, schema).collect():
-        data = stretch(r["data"], np.float64)
-        out.vector[r["block"] * BLOCK : r["block"] * BLOCK + len(data)] = data
+    for r in told.where("sums is not null").select(F.posexplode("sums").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect():
+        out.vector[r["i"]] = r["x"]
     return out
 
 
-def context_of(word: bytes, word_hash: int) -> int:
-    """The restaurant after ``word``: its ending's class, and within it a hash of the whole word."""
+def context_bits(n_bytes: int) -> int:
+    """How many bits of a word's hash name its restaurant: they grow with the text, so that words in one restaurant stay an exception at any size."""
+    return min(56, max(24, n_bytes.bit_length() - 5))
+
+
+def context_of(word: bytes, word_hash: int, bits: int) -> int:
+    """The code of the restaurant after ``word``: its ending's class, and ``bits`` of the whole word's hash."""
     import xxhash
 
-    return (xxhash.xxh32_intdigest(word[-2:]) % CLASSES) * PER_CLASS + word_hash % PER_CLASS
+    return (xxhash.xxh32_intdigest(word[-2:]) % CLASSES) << int(CLASS_AT) | word_hash & ((1 << bits) - 1)
+
+
+def _part_of(codes: np.ndarray, parts: int) -> np.ndarray:
+    """Which part adds up each context, dealt by a mixed code."""
+    return (codes * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
 
 
 class Packed:
-    """The (word, context) types of some documents, words in hash order and contexts in order within a word."""
+    """The (word, context) types of some documents, words in hash order and contexts in order of their codes within a word."""
 
-    def __init__(self, texts: list[str], train: np.ndarray):
+    def __init__(self, texts: list[str], train: np.ndarray, bits: int):
         import xxhash
 
         index: dict[bytes, int] = {END: 0}
@@ -127,17 +121,17 @@ class Packed:
         del streams
         first = np.cumsum(self.n_tokens) - self.n_tokens
         hashes = np.array([xxhash.xxh64_intdigest(w) for w in index], dtype=np.uint64)
-        contexts = np.array([context_of(w, int(h)) for w, h in zip(index, hashes)], dtype=np.int64)
+        codes, place = np.unique(np.array([context_of(w, int(h), bits) for w, h in zip(index, hashes)], dtype=np.uint64), return_inverse=True)
         order = np.argsort(hashes)
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         before = np.append(np.int32(0), tokens[:-1])
         before[first] = 0  # a text starts after an end
-        key = rank[tokens] << 16 | contexts[before]
+        key = rank[tokens] << 32 | place[before]
         doc = np.repeat(np.arange(len(texts)), self.n_tokens)
         kinds, kind = np.unique(key, return_inverse=True)
-        self.hashes, self.context = hashes[order], (kinds & 0xFFFF).astype(np.uint16)
-        self.per_word = np.bincount(kinds >> 16, minlength=len(order)).astype(np.uint32)
+        self.hashes, self.context = hashes[order], codes[kinds & 0xFFFFFFFF]
+        self.per_word = np.bincount(kinds >> 32, minlength=len(order)).astype(np.uint32)
         self.counts = np.bincount(kind[train[doc]], minlength=len(kinds)).astype(np.uint32)
         pairs, times = np.unique(doc << 32 | kind, return_counts=True)
         self.kind, self.times = (pairs & 0xFFFFFFFF).astype(np.uint32), times.astype(np.uint32)
@@ -192,11 +186,14 @@ def draw_tables(rng: np.random.Generator, customers: np.ndarray, weight: np.ndar
 
 
 class Seating:
-    """The customers of one shard's words: ``word`` and ``context`` of each type and its training ``count``."""
+    """The customers of one shard's words: ``word`` and ``context`` (an index into the sorted ``codes``) of each type and its training ``count``.
+
+    ``customers1`` and ``tables1`` are the restaurants' totals over all shards; until they are told, those of this shard.
+    """
 
-    def __init__(self, word: np.ndarray, context: np.ndarray, count: np.ndarray, words: int, model: Model, seed: int):
-        self.word, self.context, self.count, self.model = word, context, count.astype(np.int64), model
-        cells, self.cell = np.unique(word << 8 | context >> 8, return_inverse=True)
+    def __init__(self, word: np.ndarray, context: np.ndarray, codes: np.ndarray, count: np.ndarray, words: int, model: Model, seed: int):
+        self.word, self.context, self.codes, self.count, self.model = word, context, codes, count.astype(np.int64), model
+        cells, self.cell = np.unique(word << 8 | (codes >> CLASS_AT).astype(np.int64)[context], return_inverse=True)
         self.cell_word, self.cell_class = cells >> 8, cells & 0xFF
         self.words, self.rng = words, np.random.default_rng([model.seed, seed])
         self.t1 = np.minimum(self.count, 1)
@@ -204,6 +201,11 @@ class Seating:
         self.t2 = np.minimum(self.c2, 1)
         self.c3 = np.bincount(self.cell_word, self.t2, minlength=words).astype(np.int64)
         self.t3 = np.minimum(self.c3, 1)
+        self.customers1, self.tables1 = self.own()
+
+    def own(self) -> tuple[np.ndarray, np.ndarray]:
+        """Customers and tables of this shard's words in each restaurant."""
+        return tuple(np.bincount(self.context, x, minlength=len(self.codes)).astype(np.int64) for x in (self.count, self.t1))
 
     def _gather(self) -> None:
         self.c2 = np.bincount(self.cell, self.t1, minlength=len(self.cell_word)).astype(np.int64)
@@ -228,7 +230,7 @@ class Seating:
             c3 = np.where(c2 > 0, self.c3[w], self.c3[w] - self.t2[cell])
             t3 = np.where(c3 > 0, np.minimum(self.t3[w], c3), 0)
             parent = self.of_class(c2, t2, self.cell_class[cell], self.root(c3, t3, totals, discount), totals, discount)
-            weight = (theta[0] + discount[0] * totals.tables1[self.context[live]]) * parent
+            weight = (theta[0] + discount[0] * self.tables1[self.context[live]]) * parent
             self.t1[live] = draw_tables(self.rng, self.count[live], weight, discount[0], log_s[0])
             self._gather()
         c3 = self.c3[self.cell_word] - self.t2
@@ -241,8 +243,6 @@ class Seating:
 
     def totals(self) -> Totals:
         out = Totals()
-        out.customers1[:] = np.bincount(self.context, self.count, minlength=CONTEXTS)
-        out.tables1[:] = np.bincount(self.context, self.t1, minlength=CONTEXTS)
         out.customers2[:] = np.bincount(self.cell_class, self.c2, minlength=CLASSES)
         out.tables2[:] = np.bincount(self.cell_class, self.t2, minlength=CLASSES)
         out["root_customers"], out["root_tables"] = self.c3.sum(), self.t3.sum()
@@ -257,7 +257,7 @@ class Seating:
         root = self.root(self.c3, self.t3, totals, discount)[self.cell_word]
         parent = self.of_class(self.c2, self.t2, self.cell_class, root, totals, discount)[self.cell]
         k = self.context
-        return ((self.count - d * self.t1) + (theta + d * totals.tables1[k]) * parent) / (theta + totals.customers1[k])
+        return ((self.count - d * self.t1) + (theta + d * self.tables1[k]) * parent) / (theta + self.customers1[k])
 
 
 def discounts(totals: Totals, model: Model) -> tuple[float, ...]:
@@ -269,15 +269,59 @@ def discounts(totals: Totals, model: Model) -> tuple[float, ...]:
     return tuple(out)
 
 
-def _merged(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, np.ndarray, list[int], np.ndarray, list[int]]:
-    """One shard's requests together: types (word, context, count), how many words, and where each request's types and words went."""
+def _merged(pdf: pd.DataFrame) -> tuple[tuple, tuple]:
+    """One shard's requests together: types (word, context, the contexts' codes, count, how many words), and where each request's types and words went."""
     hashes = [np.cumsum(stretch(x, np.uint64), dtype=np.uint64) for x in pdf["words"]]
     words, at = np.unique(np.concatenate(hashes), return_inverse=True)
     word = np.repeat(at, np.concatenate([stretch(x, np.uint32) for x in pdf["per_word"]]))
-    contexts = [stretch(x, np.uint16) for x in pdf["contexts"]]
-    key, kind = np.unique(word.astype(np.int64) << 16 | np.concatenate(contexts), return_inverse=True)
+    contexts = [stretch(x, np.uint64) for x in pdf["contexts"]]
+    codes, place = np.unique(np.concatenate(contexts), return_inverse=True)
+    key, kind = np.unique(word.astype(np.int64) << 32 | place, return_inverse=True)
     count = np.bincount(kind, np.concatenate([stretch(x, np.uint32) for x in pdf["counts"]]), minlength=len(key)).astype(np.int64)
-    return key >> 16, key & 0xFFFF, count, len(words), kind, [len(x) for x in contexts], at, [len(x) for x in hashes]
+    return (key >> 32, key & 0xFFFFFFFF, codes, count, len(words)), (kind, [len(x) for x in contexts], at, [len(x) for x in hashes])
+
+
+TOLD = "shard int, part int, contexts binary, customers binary, tables binary, sums array<double>"
+REPLY = "shard int, part int, customers binary, tables binary"
+
+
+def _in_parts(codes: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the codes by part, codes ascending within one, and where each part starts in it, with the end."""
+    part = _part_of(codes, parts)
+    order = np.argsort(part, kind="stable")
+    return order, np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
+
+
+def tell(seating: Seating, shard: int, parts: int) -> pd.DataFrame:
+    """What a shard knows: a row for every part that has contexts of it, and one with the sums."""
+    order, cuts = _in_parts(seating.codes, parts)
+    codes, customers, tables = (x[order] for x in (seating.codes, *seating.own()))
+    rows = [(shard, p, squeeze(steps(codes[a:b])), squeeze(customers[a:b]), squeeze(tables[a:b]), None) for p, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
+    rows.append((shard, None, None, None, None, seating.totals().vector.tolist()))
+    return pd.DataFrame(rows, columns=["shard", "part", "contexts", "customers", "tables", "sums"]).astype({"part": "Int32"})
+
+
+def replies(told: DataFrame) -> DataFrame:
+    """``REPLY`` rows: for every (shard, part) told, the totals of its contexts over all shards."""
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        codes = [np.cumsum(stretch(x, np.uint64), dtype=np.uint64) for x in pdf["contexts"]]
+        ends = np.cumsum([len(x) for x in codes])[:-1]
+        _, at = np.unique(np.concatenate(codes), return_inverse=True)
+        sums = [np.bincount(at, np.concatenate([stretch(x, np.int64) for x in pdf[name]])).astype(np.int64)[at] for name in ("customers", "tables")]
+        return pd.DataFrame({"shard": pdf["shard"], "part": pdf["part"], **{name: [squeeze(x) for x in np.split(v, ends)] for name, v in zip(("customers", "tables"), sums)}})
+
+    return told.where("sums is null").groupBy("part").applyInPandas(add, REPLY)
+
+
+def hear(seating: Seating, reply: pd.DataFrame, parts: int) -> None:
+    """Take the totals of all parts for a shard's contexts."""
+    order, _ = _in_parts(seating.codes, parts)
+    reply = reply.sort_values("part")
+    for name in ("customers", "tables"):
+        values = np.empty(len(order), np.int64)
+        values[order] = np.concatenate([stretch(x, np.int64) for x in reply[name]])
+        setattr(seating, f"{name}1", values)
 
 
 def score_documents(docs: DataFrame, model: Model = Model()) -> DataFrame:
@@ -287,12 +331,14 @@ def score_documents(docs: DataFrame, model: Model = Model()) -> DataFrame:
     lower-cased, then one end. Scores are log10 probabilities: ``base_score`` of the smoothed unigram, ``score`` of the restaurants, a
     distribution over the known words and one unknown; ``perplexity`` is that of the text under it (10 to the minus score over tokens). Null and empty texts are the end alone; repeated rows count as often as they
     occur; a null doc_id hashes as the empty text; without training rows every word is the unknown one. Extra columns are
-    ignored; an empty table gives no rows. Words are told apart by 64-bit hashes.
+    ignored; an empty table gives no rows. Words are told apart by 64-bit hashes, restaurants by ``context_bits`` of them, which grow with the text.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "restaurants")
     rows = id_and_text(docs).withColumn("held_out", fold("doc_id") == 1)
-    shards = max(LEAST_SHARDS, pieces_for(rows, "text", SHARD))
+    n_bytes = pieces_for(rows, "text", 1)
+    shards, bits = max(LEAST_SHARDS, -(-n_bytes // SHARD)), context_bits(n_bytes)
+    parts = shards // 2
     names = ["kind", "chunk", "shard", "words", "per_word", "contexts", "counts", "docs"]
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -304,7 +350,7 @@ def score_documents(docs: DataFrame, model: Model = Model()) -> DataFrame:
         def packed() -> pd.DataFrame:
             pdf = pd.concat(kept, ignore_index=True)
             known = pdf["doc_id"].notna()
-            p = Packed(pdf["text"].tolist(), ~pdf["held_out"].to_numpy(dtype=bool))
+            p = Packed(pdf["text"].tolist(), ~pdf["held_out"].to_numpy(dtype=bool), bits)
             about = np.stack([pdf["doc_id"].fillna(0).to_numpy(dtype=np.int64), known.to_numpy(dtype=np.int64), pdf["held_out"].to_numpy(dtype=np.int64), p.n_tokens])
             out = [(0, chunk, 0, squeeze(steps(p.kind)), squeeze(p.per_word), squeeze(p.per_doc), squeeze(p.times), about.tobytes())]
             cuts, ends = _shard_cuts(p.hashes, shards), np.append(0, np.cumsum(p.per_word, dtype=np.int64))
@@ -333,38 +379,39 @@ def score_documents(docs: DataFrame, model: Model = Model()) -> DataFrame:
     requests = packed_rows.where("kind = 1").select("chunk", "shard", "words", "per_word", "contexts", "counts")
 
     def first_guests(pdf: pd.DataFrame) -> pd.DataFrame:
-        """The totals of one table per type: they do not depend on how rows fall into chunks."""
-        word, context, count, words, *_ = _merged(pdf.sort_values("chunk"))
-        start = Seating(word, context, count, words, model, 0).totals()
-        return pd.DataFrame([(int(pdf["shard"].iat[0]), block, data) for block, data in start.blocks()], columns=["part", "block", "data"])
+        """One table per type: what restaurants start with does not depend on how rows fall into chunks."""
+        types, _ = _merged(pdf.sort_values("chunk"))
+        return tell(Seating(*types, model, 0), int(pdf["shard"].iat[0]), parts)
 
-    start = summed(requests.groupBy("shard").applyInPandas(first_guests, "part int, block int, data binary"))
+    begun = scratch.save("begun", requests.groupBy("shard").applyInPandas(first_guests, TOLD))
 
-    def seat(pdf: pd.DataFrame, totals: Totals, discount: tuple[float, ...], sweeps: int, samples: int) -> tuple[Seating, np.ndarray, tuple]:
-        word, context, count, words, *where = _merged(pdf.sort_values("chunk"))
-        seating = Seating(word, context, count, words, model, int(pdf["shard"].iat[0]))
+    def seat(pdf: pd.DataFrame, reply: pd.DataFrame, totals: Totals, discount: tuple[float, ...], sweeps: int, samples: int) -> tuple[Seating, np.ndarray, tuple]:
+        types, where = _merged(pdf.sort_values("chunk"))
+        seating = Seating(*types, model, int(pdf["shard"].iat[0]))
+        hear(seating, reply, parts)
         log_s = [stirling(d) for d in discount]
-        mean = np.zeros(len(word))
+        mean = np.zeros(len(seating.word))
         for i in range(sweeps + samples):
             seating.sweep(totals, discount, log_s)
             if i >= sweeps:
                 mean += seating.predictive(totals, discount) / samples
-        return seating, mean, tuple(where)
+        return seating, mean, where
 
-    first = spark.sparkContext.broadcast(start.vector)  # of fixed size
+    first = spark.sparkContext.broadcast(summed(begun).vector)  # of fixed size
 
-    def burn_in(pdf: pd.DataFrame) -> pd.DataFrame:
-        seating, _, _ = seat(pdf, Totals(first.value), model.discount, model.burn_in, 0)
-        out = [(int(pdf["shard"].iat[0]), block, data) for block, data in seating.totals().blocks()]
-        return pd.DataFrame(out, columns=["part", "block", "data"])
+    def burn_in(pdf: pd.DataFrame, reply: pd.DataFrame) -> pd.DataFrame:
+        seating, _, _ = seat(pdf, reply, Totals(first.value), model.discount, model.burn_in, 0)
+        return tell(seating, int(pdf["shard"].iat[0]), parts)
 
-    settled = summed(requests.groupBy("shard").applyInPandas(burn_in, "part int, block int, data binary"))
+    told = scratch.save("told", requests.groupBy("shard").cogroup(replies(begun).groupBy("shard")).applyInPandas(burn_in, TOLD))
+    scratch.drop("begun")
+    settled = summed(told)
     second = spark.sparkContext.broadcast(settled.vector)
     discount = discounts(settled, model)
 
-    def answer(pdf: pd.DataFrame) -> pd.DataFrame:
+    def answer(pdf: pd.DataFrame, reply: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("chunk")
-        seating, mean, (kind, kinds, at, words) = seat(pdf, Totals(second.value), discount, model.burn_in, model.samples)
+        seating, mean, (kind, kinds, at, words) = seat(pdf, reply, Totals(second.value), discount, model.burn_in, model.samples)
         by_word = np.bincount(seating.word, seating.count, minlength=seating.words).astype(np.int64)
         log_p = np.minimum(np.rint(-np.log10(mean) * STEPS), 65535).astype(np.uint16)
         out, x, y = [], 0, 0
@@ -373,7 +420,7 @@ def score_documents(docs: DataFrame, model: Model = Model()) -> DataFrame:
             x, y = x + n, y + m
         return pd.DataFrame(out, columns=["chunk", "shard", "log_p", "known"])
 
-    answers = scratch.save("answers", requests.groupBy("shard").applyInPandas(answer, "chunk long, shard int, log_p binary, known binary"))
+    answers = scratch.save("answers", requests.groupBy("shard").cogroup(replies(told).groupBy("shard")).applyInPandas(answer, "chunk long, shard int, log_p binary, known binary"))
     tokens, types = settled["tokens"], settled["types"]
 
     def total(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

@@ -68,24 +68,45 @@ def test_restaurants_give_a_distribution():
     rng = np.random.default_rng(3)
     words, contexts = 40, 6
     counts = rng.poisson(1.2, (words, contexts))
-    word, context = (x.ravel() for x in np.meshgrid(np.arange(words), np.arange(contexts) * 200, indexing="ij"))
+    word, context = (x.ravel() for x in np.meshgrid(np.arange(words), np.arange(contexts), indexing="ij"))
+    classes = np.arange(contexts) * 200 >> 8
+    codes = classes.astype(np.uint64) << lm_score.CLASS_AT | np.arange(contexts, dtype=np.uint64)
     model = lm_score.Model()
-    seating = lm_score.Seating(word, context, counts.ravel(), words, model, 1)
+    seating = lm_score.Seating(word, context, codes, counts.ravel(), words, model, 1)
     log_s = [lm_score.stirling(d) for d in model.discount]
     for _ in range(3):
+        seating.customers1, seating.tables1 = seating.own()
         seating.sweep(seating.totals(), model.discount, log_s)
     totals = seating.totals()
+    seating.customers1, seating.tables1 = seating.own()
     p = seating.predictive(totals, model.discount).reshape(words, contexts).sum(axis=0)
     known = int((seating.c3 > 0).sum())
     for k in range(contexts):
-        c, t = totals.customers1[k * 200], totals.tables1[k * 200]
-        g = k * 200 >> 8
+        c, t, g = seating.customers1[k], seating.tables1[k], classes[k]
         root = (1 + model.discount[2] * totals["root_tables"]) / (1 + totals["root_customers"]) / (known + 1)
         unknown = (1 + model.discount[0] * t) / (1 + c) * (1 + model.discount[1] * totals.tables2[g]) / (1 + totals.customers2[g]) * root
         never = words - known  # words without customers have the unknown word's probability each
         assert math.isclose(p[k] - (never - 1) * unknown, 1, rel_tol=1e-9)
 
 
+def test_restaurants_hear_of_all_shards(spark):
+    rng, model, parts = np.random.default_rng(8), lm_score.Model(), 5
+    everything, seatings = Counter(), []
+    for shard in range(3):
+        codes = np.unique(rng.integers(0, 60, 40, dtype=np.uint64) << np.uint64(20))
+        context, count = np.arange(len(codes)), rng.integers(1, 1 << 34, len(codes))
+        seatings.append(lm_score.Seating(np.zeros(len(codes), np.int64), context, codes, count, 1, model, shard))
+        everything.update(dict(zip(codes.tolist(), count.tolist())))
+    told = spark.createDataFrame(pd.concat([lm_score.tell(s, i, parts) for i, s in enumerate(seatings)]).astype({"part": object}).replace({"part": {pd.NA: None}}), lm_score.TOLD)
+    reply = lm_score.replies(told).toPandas()
+    for shard, s in enumerate(seatings):
+        lm_score.hear(s, reply[reply.shard == shard], parts)
+        assert s.customers1.tolist() == [everything[c] for c in s.codes.tolist()]
+        assert s.tables1.tolist() == [sum(c in t.codes for t in seatings) for c in s.codes]
+    assert lm_score.summed(told)["tokens"] == sum(everything.values())
+    assert lm_score.context_bits(1 << 29) == 25 and lm_score.context_bits(1 << 47) == 43
+
+
 def test_table_draws_follow_the_restaurant():
     rng, discount, weight, c = np.random.default_rng(0), 0.5, 0.7, 5
     log_s = lm_score.stirling(discount)
