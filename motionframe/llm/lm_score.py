@@ -90,7 +90,7 @@ def summed(told: DataFrame) -> Totals:
 
 def context_bits(n_bytes: int) -> int:
     """How many bits of a word's hash name its restaurant: they grow with the text, so that words in one restaurant stay an exception at any size."""
-    return min(56, max(24, n_bytes.bit_length() - 5))
+    return min(56, max(20, n_bytes.bit_length() - 9))
 
 
 def context_of(word: bytes, word_hash: int, bits: int) -> int:
@@ -376,76 +376,85 @@ def score_documents(docs: DataFrame, model: Model = Model()) -> DataFrame:
 
     schema = "kind byte, chunk long, shard int, words binary, per_word binary, contexts binary, counts binary, docs binary"
     packed_rows = scratch.save("packed", rows.mapInPandas(pack, schema), "kind")
-    requests = packed_rows.where("kind = 1").select("chunk", "shard", "words", "per_word", "contexts", "counts")
-
-    def first_guests(pdf: pd.DataFrame) -> pd.DataFrame:
-        """One table per type: what restaurants start with does not depend on how rows fall into chunks."""
-        types, _ = _merged(pdf.sort_values("chunk"))
-        return tell(Seating(*types, model, 0), int(pdf["shard"].iat[0]), parts)
-
-    begun = scratch.save("begun", requests.groupBy("shard").applyInPandas(first_guests, TOLD))
-
-    def seat(pdf: pd.DataFrame, reply: pd.DataFrame, totals: Totals, discount: tuple[float, ...], sweeps: int, samples: int) -> tuple[Seating, np.ndarray, tuple]:
-        types, where = _merged(pdf.sort_values("chunk"))
-        seating = Seating(*types, model, int(pdf["shard"].iat[0]))
-        hear(seating, reply, parts)
-        log_s = [stirling(d) for d in discount]
-        mean = np.zeros(len(seating.word))
-        for i in range(sweeps + samples):
-            seating.sweep(totals, discount, log_s)
-            if i >= sweeps:
-                mean += seating.predictive(totals, discount) / samples
-        return seating, mean, where
-
-    first = spark.sparkContext.broadcast(summed(begun).vector)  # of fixed size
-
-    def burn_in(pdf: pd.DataFrame, reply: pd.DataFrame) -> pd.DataFrame:
-        seating, _, _ = seat(pdf, reply, Totals(first.value), model.discount, model.burn_in, 0)
-        return tell(seating, int(pdf["shard"].iat[0]), parts)
-
-    told = scratch.save("told", requests.groupBy("shard").cogroup(replies(begun).groupBy("shard")).applyInPandas(burn_in, TOLD))
-    scratch.drop("begun")
-    settled = summed(told)
-    second = spark.sparkContext.broadcast(settled.vector)
-    discount = discounts(settled, model)
-
-    def answer(pdf: pd.DataFrame, reply: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("chunk")
-        seating, mean, (kind, kinds, at, words) = seat(pdf, reply, Totals(second.value), discount, model.burn_in, model.samples)
-        by_word = np.bincount(seating.word, seating.count, minlength=seating.words).astype(np.int64)
-        log_p = np.minimum(np.rint(-np.log10(mean) * STEPS), 65535).astype(np.uint16)
-        out, x, y = [], 0, 0
-        for chunk, n, m in zip(pdf["chunk"], kinds, words):
-            out.append((chunk, pdf["shard"].iat[0], squeeze(log_p[kind[x : x + n]]), squeeze(by_word[at[y : y + m]])))
-            x, y = x + n, y + m
-        return pd.DataFrame(out, columns=["chunk", "shard", "log_p", "known"])
-
-    answers = scratch.save("answers", requests.groupBy("shard").cogroup(replies(told).groupBy("shard")).applyInPandas(answer, "chunk long, shard int, log_p binary, known binary"))
-    tokens, types = settled["tokens"], settled["types"]
-
-    def total(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        right = right.sort_values("shard")
-        log_p = np.concatenate([stretch(x, np.uint16) for x in right["log_p"]]) / -STEPS
-        counts = np.concatenate([stretch(x, np.int64) for x in right["known"]])
-        base = np.log10((counts + 0.5) / (tokens + 0.5 * (types + 1)))
-        for r in left.itertuples():
-            word = np.repeat(np.arange(len(counts)), stretch(r.per_word, np.uint32))
-            kind, times = np.cumsum(stretch(r.words, np.uint32), dtype=np.uint32), stretch(r.counts, np.uint32).astype(np.float64)
-            ids, known_id, held, n_tokens = np.frombuffer(r.docs, np.int64).reshape(4, -1)
-            firsts = np.append(0, np.cumsum(stretch(r.contexts, np.uint32).astype(np.int64)))[:-1]
-            add = lambda v: np.add.reduceat(v * times, firsts)  # noqa: B023, E731  every text has a type, its end
-            known = add((counts > 0)[word][kind]).astype(np.int64)
-            out.append(pd.DataFrame({"doc_id": pd.array(ids, dtype="Int64"), "held_out": held.astype(bool), "n_tokens": n_tokens, "n_known": known, "train_tokens": int(tokens), "base_score": add(base[word][kind]), "score": add(log_p[kind])}))
-            out[-1].loc[known_id == 0, "doc_id"] = pd.NA
-        return pd.concat(out, ignore_index=True)
-
-    kept = packed_rows.where("kind = 0").select("chunk", "words", "per_word", "contexts", "counts", "docs")
-    result = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    scored = kept.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(total, result)
-    rows = scratch.save("rows", scored.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))))
-    scratch.drop_all_but("rows")
-    return rows
+    store = "requests_" + scratch.root.rsplit("-", 1)[1]
+    buckets = max(parts, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    sent = packed_rows.where("kind = 1").select("chunk", "shard", "words", "per_word", "contexts", "counts").repartition(buckets, "shard")
+    sent.write.option("path", f"{scratch.root}/{store}").option("compression", "zstd").bucketBy(buckets, "shard").saveAsTable(store)  # three passes read it and move none of it
+    scratch.drop("packed/kind=1")
+    try:
+        requests = spark.table(store)
+
+        def first_guests(pdf: pd.DataFrame) -> pd.DataFrame:
+            """One table per type: what restaurants start with does not depend on how rows fall into chunks."""
+            types, _ = _merged(pdf.sort_values("chunk"))
+            return tell(Seating(*types, model, 0), int(pdf["shard"].iat[0]), parts)
+
+        begun = scratch.save("begun", requests.groupBy("shard").applyInPandas(first_guests, TOLD))
+
+        def seat(pdf: pd.DataFrame, reply: pd.DataFrame, totals: Totals, discount: tuple[float, ...], sweeps: int, samples: int) -> tuple[Seating, np.ndarray, tuple]:
+            types, where = _merged(pdf.sort_values("chunk"))
+            seating = Seating(*types, model, int(pdf["shard"].iat[0]))
+            hear(seating, reply, parts)
+            log_s = [stirling(d) for d in discount]
+            mean = np.zeros(len(seating.word))
+            for i in range(sweeps + samples):
+                seating.sweep(totals, discount, log_s)
+                if i >= sweeps:
+                    mean += seating.predictive(totals, discount) / samples
+            return seating, mean, where
+
+        first = spark.sparkContext.broadcast(summed(begun).vector)  # of fixed size
+
+        def burn_in(pdf: pd.DataFrame, reply: pd.DataFrame) -> pd.DataFrame:
+            seating, _, _ = seat(pdf, reply, Totals(first.value), model.discount, model.burn_in, 0)
+            return tell(seating, int(pdf["shard"].iat[0]), parts)
+
+        told = scratch.save("told", requests.groupBy("shard").cogroup(replies(begun).groupBy("shard")).applyInPandas(burn_in, TOLD))
+        scratch.drop("begun")
+        settled = summed(told)
+        second = spark.sparkContext.broadcast(settled.vector)
+        discount = discounts(settled, model)
+
+        def answer(pdf: pd.DataFrame, reply: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("chunk")
+            seating, mean, (kind, kinds, at, words) = seat(pdf, reply, Totals(second.value), discount, model.burn_in, model.samples)
+            by_word = np.bincount(seating.word, seating.count, minlength=seating.words).astype(np.int64)
+            log_p = np.minimum(np.rint(-np.log10(mean) * STEPS), 65535).astype(np.uint16)
+            out, x, y = [], 0, 0
+            for chunk, n, m in zip(pdf["chunk"], kinds, words):
+                out.append((chunk, pdf["shard"].iat[0], squeeze(log_p[kind[x : x + n]]), squeeze(by_word[at[y : y + m]])))
+                x, y = x + n, y + m
+            return pd.DataFrame(out, columns=["chunk", "shard", "log_p", "known"])
+
+        answers = scratch.save("answers", requests.groupBy("shard").cogroup(replies(told).groupBy("shard")).applyInPandas(answer, "chunk long, shard int, log_p binary, known binary"))
+        tokens, types = settled["tokens"], settled["types"]
+
+        def total(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            out = []
+            right = right.sort_values("shard")
+            log_p = np.concatenate([stretch(x, np.uint16) for x in right["log_p"]]) / -STEPS
+            counts = np.concatenate([stretch(x, np.int64) for x in right["known"]])
+            base = np.log10((counts + 0.5) / (tokens + 0.5 * (types + 1)))
+            for r in left.itertuples():
+                word = np.repeat(np.arange(len(counts)), stretch(r.per_word, np.uint32))
+                kind, times = np.cumsum(stretch(r.words, np.uint32), dtype=np.uint32), stretch(r.counts, np.uint32).astype(np.float64)
+                ids, known_id, held, n_tokens = np.frombuffer(r.docs, np.int64).reshape(4, -1)
+                firsts = np.append(0, np.cumsum(stretch(r.contexts, np.uint32).astype(np.int64)))[:-1]
+                add = lambda v: np.add.reduceat(v * times, firsts)  # noqa: B023, E731  every text has a type, its end
+                known = add((counts > 0)[word][kind]).astype(np.int64)
+                out.append(pd.DataFrame({"doc_id": pd.array(ids, dtype="Int64"), "held_out": held.astype(bool), "n_tokens": n_tokens, "n_known": known, "train_tokens": int(tokens), "base_score": add(base[word][kind]), "score": add(log_p[kind])}))
+                out[-1].loc[known_id == 0, "doc_id"] = pd.NA
+            return pd.concat(out, ignore_index=True)
+
+        kept = packed_rows.where("kind = 0").select("chunk", "words", "per_word", "contexts", "counts", "docs")
+        result = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+        scored = kept.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(total, result)
+        rows = scratch.save("rows", scored.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))))
+        scratch.drop_all_but("rows")
+        return rows
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {store}")
+        scratch.drop(store)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

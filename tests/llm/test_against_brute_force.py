@@ -104,7 +104,7 @@ def test_restaurants_hear_of_all_shards(spark):
         assert s.customers1.tolist() == [everything[c] for c in s.codes.tolist()]
         assert s.tables1.tolist() == [sum(c in t.codes for t in seatings) for c in s.codes]
     assert lm_score.summed(told)["tokens"] == sum(everything.values())
-    assert lm_score.context_bits(1 << 29) == 25 and lm_score.context_bits(1 << 47) == 43
+    assert lm_score.context_bits(1 << 29) == 21 and lm_score.context_bits(1 << 47) == 39
 
 
 def test_table_draws_follow_the_restaurant():
