@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, lm_score, packing, simhash, spotsigs, suffix, toxicity, urlfilter, warc
+from . import ann, bpe, exact, lm_score, packing, simhash, spotsigs, suffix, toxicity, urlfilter, warc
 from .storage import table
 
 
@@ -29,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ann_search": ann.query,
     "op9_url_filter": op9_url_filter,
     "op10_toxicity": toxicity.query,
+    "op11_exact_dedup": exact.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -36,4 +37,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_spotsigs": spotsigs.ORACLE_SQL,
     "op6_suffix_dedup": suffix.ORACLE_SQL,
     "op9_url_filter": urlfilter.oracle_sql(),
+    "op11_exact_dedup": exact.ORACLE_SQL,
 }
