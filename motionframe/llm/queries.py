@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, audit, bpe, exact, lm_score, packing, simhash, spotsigs, suffix, toxicity, urlfilter, warc
+from . import ann, audit, bpe, exact, lm_score, packing, periodic, simhash, spotsigs, suffix, toxicity, urlfilter, warc
 from .storage import table
 
 
@@ -30,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_filter": op9_url_filter,
     "op10_toxicity": toxicity.query,
     "op11_exact_dedup": exact.query,
+    "op12_periodic_runs": periodic.query,
     "op13_filter_audit": audit.query,
 }
 
@@ -39,5 +40,6 @@ ORACLE_SQL: dict[str, str] = {
     "op6_suffix_dedup": suffix.ORACLE_SQL,
     "op9_url_filter": urlfilter.oracle_sql(),
     "op11_exact_dedup": exact.ORACLE_SQL,
+    "op12_periodic_runs": periodic.ORACLE_SQL,
     "op13_filter_audit": audit.ORACLE_SQL,
 }
