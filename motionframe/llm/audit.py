@@ -8,9 +8,14 @@ Texts are judged once; survivors carry the verdicts.
 
 from __future__ import annotations
 
+import operator
+from collections.abc import Iterator
+from functools import reduce
 from itertools import permutations
 from math import factorial
 
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,41 +23,64 @@ from pyspark.sql import functions as F
 from .spread import lookup
 from .storage import Scratch, table
 
-#: Orders are n! for n filters, so are the result's rows for each part.
-MOST_FILTERS = 6
-
-
-def _edges(alive: DataFrame, names: list[str], marks: list[str], state: int) -> DataFrame:
-    """``part, state, filter, kept, removed, lost_*``: counted on the survivors of ``state``, for each filter that is not in it."""
-    out = [i for i in range(len(names)) if not state >> i & 1]
-    count = lambda c: F.count(F.when(c, 1))
-    counts = []
-    for i in out:
-        fails = F.col(f"fails_{i}")
-        counts += [count(~fails).alias(f"kept_{i}"), count(fails).alias(f"removed_{i}"), *[count(fails & F.col(f"mark_{m}")).alias(f"lost_{m}_{i}") for m in marks]]
-    edge = [F.struct(F.lit(i).alias("filter"), F.col(f"kept_{i}").alias("kept"), F.col(f"removed_{i}").alias("removed"), *[F.col(f"lost_{m}_{i}").alias(f"lost_{m}") for m in marks]) for i in out]
-    return alive.groupBy("part").agg(*counts).select("part", F.lit(state).alias("state"), F.explode(F.array(*edge)).alias("edge")).select("part", "state", "edge.*")
-
-
-def walk(judged: DataFrame, names: list[str], marks: list[str], scratch: Scratch) -> DataFrame:
-    """The edges out of every state; ``judged`` has ``part``, ``fails_<i>`` for each filter and ``mark_<name>`` for each mark, none of them null."""
-    memo: dict[int, DataFrame] = {}
-    full = (1 << len(names)) - 1
+#: Orders are n! for n filters, so are the result's rows for each part. Parts that a task counts before it sends what it has.
+MOST_FILTERS, MOST_PARTS = 6, 20_000
+
+
+def _edges(batches: Iterator[pa.RecordBatch], n: int, marks: int, state: int) -> Iterator[pa.RecordBatch]:
+    """What each task counts on its survivors of ``state``: ``part, filter, kept, removed, lost``, for each filter that is not in it."""
+    filters = [i for i in range(n) if not state >> i & 1]
+    counts: dict[str, np.ndarray] = {}  # by filter: kept, removed, and removed with each mark
+
+    def told() -> pa.RecordBatch:
+        parts, tables = list(counts), np.stack(list(counts.values())).reshape(-1, 2 + marks)
+        lost = pa.ListArray.from_arrays(pa.array(np.arange(len(tables) + 1, dtype=np.int32) * marks), pa.array(tables[:, 2:].ravel()))
+        columns = [pa.array([p for p in parts for _ in filters], pa.string()), pa.array(np.tile(np.array(filters, np.int32), len(parts))), pa.array(tables[:, 0].copy()), pa.array(tables[:, 1].copy()), lost]
+        return pa.RecordBatch.from_arrays(columns, names=["part", "filter", "kept", "removed", "lost"])
+
+    for batch in batches:
+        codes = batch["part"].dictionary_encode()
+        parts, code = codes.dictionary.to_pylist(), codes.indices.to_numpy(zero_copy_only=False)
+        fails, marked = batch["fails"].to_numpy(), batch["marks"].to_numpy()
+        table = np.zeros((len(parts), len(filters), 2 + marks), np.int64)
+        for k, i in enumerate(filters):
+            gone = (fails >> i & 1).astype(bool)
+            table[:, k, 0], table[:, k, 1] = np.bincount(code[~gone], minlength=len(parts)), np.bincount(code[gone], minlength=len(parts))
+            for m in range(marks):
+                table[:, k, 2 + m] = np.bincount(code[gone & (marked >> m & 1).astype(bool)], minlength=len(parts))
+        for part, counted in zip(parts, table):
+            counts[part] = counts[part] + counted if part in counts else counted
+        if len(counts) > MOST_PARTS:
+            yield told()
+            counts.clear()
+    if counts:
+        yield told()
+
+
+def walk(judged: DataFrame, n: int, marks: int, scratch: Scratch) -> DataFrame:
+    """``part, state, filter, kept, removed, lost``: the edges out of every state. ``judged`` has ``part``, and ``fails`` and ``marks`` as bits.
+
+    Tasks count what they hold, and one shuffle at the end adds the counts of all states up.
+    """
+    memo: set[int] = set()
+    full = (1 << n) - 1
 
     def visit(state: int, survivors: DataFrame) -> None:
+        memo.add(state)
         alive = survivors.persist(StorageLevel.MEMORY_AND_DISK)
-        memo[state] = scratch.save(f"edges-{state}", _edges(alive, names, marks, state))
-        for i in range(len(names)):
+        scratch.save(f"edges/state={state}", alive.mapInArrow(lambda batches: _edges(batches, n, marks, state), "part string, filter int, kept long, removed long, lost array<long>"))
+        for i in range(n):
             after = state | 1 << i
             if after not in memo and after != full:  # no edge leaves the full set
-                visit(after, alive.where(~F.col(f"fails_{i}")))
+                visit(after, alive.where(F.col("fails").bitwiseAND(F.lit(1 << i)) == 0))
         alive.unpersist()
 
     visit(0, judged)
-    edges = memo.pop(0)
-    for more in memo.values():
-        edges = edges.union(more)
-    return edges
+    edges = judged.sparkSession.read.schema("part string, filter int, kept long, removed long, lost array<long>, state int").parquet(f"{scratch.root}/edges")
+    sums = [F.sum("kept").alias("kept"), F.sum("removed").alias("removed"), *[F.sum(F.col("lost")[m]).alias(f"lost_{m}") for m in range(marks)]]
+    counted = scratch.save("counted", edges.groupBy("part", "state", "filter").agg(*sums))
+    scratch.drop("edges")
+    return counted
 
 
 def audit(judged: DataFrame, filters: dict[str, str], marks: dict[str, str], part: str, scratch: Scratch) -> DataFrame:
@@ -65,16 +93,15 @@ def audit(judged: DataFrame, filters: dict[str, str], marks: dict[str, str], par
         raise ValueError(f"1 to {MOST_FILTERS} filters have an audit")
     names, n = list(filters), len(filters)
     sure = lambda c: F.coalesce(F.expr(c), F.lit(False))
-    verdicts = judged.select(
-        F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part"), *[sure(c).alias(f"fails_{i}") for i, c in enumerate(filters.values())], *[sure(c).alias(f"mark_{m}") for m, c in marks.items()]
-    )
-    edges = walk(scratch.save("verdicts", verdicts), names, list(marks), scratch)
+    bits = lambda conditions: reduce(operator.add, [F.when(sure(c), 1 << i).otherwise(0) for i, c in enumerate(conditions)], F.lit(0))
+    verdicts = judged.select(F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part"), bits(filters.values()).alias("fails"), bits(marks.values()).alias("marks"))
+    edges = walk(scratch.save("verdicts", verdicts), n, len(marks), scratch)
     size = F.bit_count("state")
     orders_through = F.element_at(F.array(*[F.lit(factorial(k) * factorial(n - 1 - k)) for k in range(n)]), (size + 1).cast("int"))
     alone = F.expr(f"state = {(1 << n) - 1} - shiftleft(1, `filter`)")
     of = lambda c: F.sum(F.when(c, F.col("removed")).otherwise(F.lit(0)))
     totals = edges.groupBy("part", "filter").agg(of(F.col("state") == 0).alias("fails"), of(alone).alias("unique_fails"), F.sum(F.col("removed") * orders_through).alias("shapley"))
-    values = F.struct("kept", "removed", *[f"lost_{m}" for m in marks])
+    values = F.struct("kept", "removed", *[f"lost_{m}" for m in range(len(marks))])
     known = edges.groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct(F.col("state") * n + F.col("filter"), values))).alias("at"))  # n * 2**(n-1) edges at most
     steps = [("".join(names[i] for i in p), k + 1, i, sum(1 << j for j in p[:k]) * n + i) for p in permutations(range(n)) for k, i in enumerate(p)]
     orders = judged.sparkSession.createDataFrame(steps, "filter_order string, step int, filter int, edge int")  # n! * n rows
@@ -82,7 +109,7 @@ def audit(judged: DataFrame, filters: dict[str, str], marks: dict[str, str], par
     zero = lambda c: F.coalesce(F.col(f"v.{c}"), F.lit(0).cast("long"))
     return rows.select(
         "part", "filter_order", "step", zero("kept").alias("kept"), zero("removed").alias("removed"), (F.col("fails") - zero("removed")).alias("redundant"), "unique_fails",
-        *[zero(f"lost_{m}").alias(f"{m}_lost") for m in marks], "shapley",
+        *[zero(f"lost_{i}").alias(f"{m}_lost") for i, m in enumerate(marks)], "shapley",
     )
 
 
@@ -107,7 +134,8 @@ def measured(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
     rows = scratch.save("read", read)
     n = rows.count()
     firsts = rows.groupBy("sha").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")).where(F.col("copies") > 1)
-    rows = lookup(rows, firsts, "sha", "copies", n).drop("sha", "copies")
+    rows = scratch.save("placed", lookup(rows, firsts, "sha", "copies", n).drop("sha", "copies"))
+    scratch.drop("read")
     told = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("quality") == 1).alias("good"), F.max(F.col("toxic") == 1).alias("toxic"))
     told = told.join(rows.groupBy("doc_id").agg(F.count("*").alias("with_id")), "doc_id")
     return lookup(rows, told, "doc_id", "with_id", n).drop("with_id")
@@ -117,7 +145,7 @@ def audit_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``audit`` of the five ``FILTERS`` by source: short, repetitive, capitals, marks, copies of a smaller doc_id. Extra columns are ignored."""
     scratch = Scratch(docs.sparkSession, "audit")
     rows = audit(measured(docs, labels, scratch), FILTERS, FLAGS, "source", scratch)
-    scratch.drop("read", "verdicts")
+    scratch.drop("placed", "verdicts")
     return rows
 
 

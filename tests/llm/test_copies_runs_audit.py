@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from motionframe.llm import audit, exact, periodic, spread
 from motionframe.llm.storage import Scratch
 from tests.conftest import SF
+from tests.oracle import by_sql, rows
 
 SCHEMA = "doc_id long, text string, source string, key string, salt int, tag long, winner string, runs int, words string, part string, state int, filter string, good boolean"
 
@@ -121,6 +122,7 @@ def test_run_rows(spark, long, lags):
         gone = {k for s, length, q in runs for k in range(s + q, s + length)}
         expected.append((str(i), tuple(runs), " ".join(w for k, w in enumerate(words) if k not in gone)))
     assert got == sorted(expected)
+    assert all(r.collapsed_sha256 == hashlib.sha256(r.collapsed.encode()).hexdigest() for r in found.collect())
     best = {r.doc_id: r for r in periodic.summary(found).collect()}
     assert (best[1].n_runs, best[1].start, best[1].length, best[1].period, best[1].exponent_milli) == (2, 0, 6, 1, 6000)
     assert best[3].start is None and best[3].runs_sha256 == best[2].collapsed_sha256 == hashlib.sha256(b"").hexdigest()
@@ -164,8 +166,8 @@ def test_audit(spark):
     filters = {"P": "a", "Q": "b", "R": "c", "S": "d"}
     found = audit.audit(table, filters, {"m": "m"}, "source", Scratch(spark, "audit"))
     assert found.columns == ["part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "m_lost", "shapley"]
-    rows = [(r[0] or "", {f for f, v in zip("PQRS", r[1:5]) if v}, {"m"} if r[5] else set()) for r in data]
-    assert sorted(tuple(r) for r in found.collect()) == plain_audit(rows, "PQRS", ["m"])
+    plain = [(r[0] or "", {f for f, v in zip("PQRS", r[1:5]) if v}, {"m"} if r[5] else set()) for r in data]
+    assert sorted(tuple(r) for r in found.collect()) == plain_audit(plain, "PQRS", ["m"])
     assert audit.audit(table.limit(0), filters, {"m": "m"}, "source", Scratch(spark, "audit")).count() == 0
     assert audit.audit(table, {"P": "a"}, {}, "source", Scratch(spark, "audit")).count() == 6
     with pytest.raises(ValueError):
@@ -195,7 +197,9 @@ def test_audited_documents(spark):
 
 
 def test_states_are_visited_once(spark, monkeypatch):
-    seen, edges = [], audit._edges
-    monkeypatch.setattr(audit, "_edges", lambda alive, names, marks, state: (seen.append((state, alive.storageLevel.useMemory)), edges(alive, names, marks, state))[1])
-    audit.query(spark, SF)
-    assert sorted(s for s, _ in seen) == list(range(31)) and all(held for _, held in seen)
+    saved, save = [], Scratch.save
+    monkeypatch.setattr(Scratch, "save", lambda self, name, df, *by: (saved.append(name), save(self, name, df, *by))[1])
+    monkeypatch.setattr(audit, "MOST_PARTS", 3)
+    found = audit.query(spark, SF).toPandas()
+    assert sorted(s for s in saved if s.startswith("edges/")) == sorted(f"edges/state={k}" for k in range(31))
+    assert rows(found) == rows(by_sql(audit.ORACLE_SQL, SF)) and not spark.sparkContext._jsc.getPersistentRDDs()
