@@ -10,6 +10,7 @@ Spark deals out to all machines; what the ranges find meets by document. Both wa
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -78,57 +79,64 @@ def collapse(words: list[bytes], runs: Runs) -> bytes:
 Rewrite = Callable[[int | None, list[bytes]], list[bytes]]
 
 
-def _batches(rows: Iterator[tuple[int | None, Runs, bytes]]) -> Iterator[pa.RecordBatch]:
-    """Arrow batches of about ``BATCH`` bytes of text."""
+def _batches(rows: Iterator[tuple[int | None, Runs, bytes]], with_text: bool) -> Iterator[pa.RecordBatch]:
+    """Arrow batches of about ``BATCH`` bytes."""
 
-    def batch(ids, runs, texts):
+    def batch(ids, runs, digests, texts):
         offsets = np.concatenate([[0], np.cumsum([len(r) for r in runs])]).astype(np.int32)
-        flat = np.concatenate(runs) if runs else np.empty((0, 3), np.int64)
+        flat = np.concatenate(runs)
         structs = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(flat[:, i])) for i in range(3)], fields=list(_ARROW_RUNS.value_type))
-        lists = pa.ListArray.from_arrays(pa.array(offsets), structs)
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), lists, pa.array(texts, pa.binary()).cast(pa.string())], names=["doc_id", "runs", "collapsed"])
-
-    ids, runs, texts, size = [], [], [], 0
-    for doc_id, r, text in rows:
-        ids.append(doc_id), runs.append(r), texts.append(text)
-        size += len(text) + r.nbytes + 64
+        columns = {"doc_id": pa.array(ids, pa.int64()), "runs": pa.ListArray.from_arrays(pa.array(offsets), structs), "collapsed_sha256": pa.array(digests, pa.string())}
+        return pa.RecordBatch.from_pydict(columns | ({"collapsed": pa.array(texts, pa.binary()).cast(pa.string())} if with_text else {}))
+
+    held, size = ([], [], [], []), 0
+    for doc_id, runs, text in rows:
+        for column, value in zip(held, (doc_id, runs, hashlib.sha256(text).hexdigest(), text if with_text else None)):
+            column.append(value)
+        size += len(held[3][-1] or b"") + runs.nbytes + 200
         if size > BATCH:
-            yield batch(ids, runs, texts)
-            ids, runs, texts, size = [], [], [], 0
-    if ids:
-        yield batch(ids, runs, texts)
+            yield batch(*held)
+            held, size = ([], [], [], []), 0
+    if held[0]:
+        yield batch(*held)
+
+
+def _columns(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
+    """The batch's rows, texts as bytes, a few at a time."""
+    for lo in range(0, batch.num_rows, 100):
+        part = batch.slice(lo, 100)
+        yield from zip(*[(part[n].cast(pa.binary()) if pa.types.is_string(part[n].type) else part[n]).to_pylist() for n in names])
 
 
-def find_runs(docs: DataFrame, min_exp: int = MIN_EXP, min_length: int = MIN_LENGTH, rewrite: Rewrite | None = None, long: int = LONG, lags: int = LAGS) -> DataFrame:
-    """``doc_id, runs, collapsed``, one row per input row: its runs by start and period, and its words without their repetitions, joined by a blank.
+def find_runs(docs: DataFrame, min_exp: int = MIN_EXP, min_length: int = MIN_LENGTH, rewrite: Rewrite | None = None, with_text: bool = True, long: int = LONG, lags: int = LAGS) -> DataFrame:
+    """``doc_id, runs, collapsed_sha256`` (and ``collapsed`` with ``with_text``), one row per input row.
+
+    ``runs`` are by start and period; ``collapsed`` is the text's words without their repetitions, joined by a blank.
 
     A run is as long as ``min_length`` words and ``min_exp`` times its smallest period. ``rewrite`` gives other words for a document's. Null texts are
     empty, and a text without words has no runs and collapses to nothing. Repeated rows and null ids are scanned each. Extra columns are ignored;
     an empty table gives no rows.
     """
     texts = id_and_text(docs)
-    schema = f"doc_id long, runs {_RUNS}, collapsed string"
+    schema = f"doc_id long, runs {_RUNS}, collapsed_sha256 string" + (", collapsed string" if with_text else "")
 
     def words_of(doc_id: int | None, text: bytes) -> list[bytes]:
         words = text.split()  # of bytes: at blanks and the five controls from tab on
         return rewrite(doc_id, words) if rewrite else words
 
-    def columns(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
-        return zip(*[(batch[n].cast(pa.binary()) if pa.types.is_string(batch[n].type) else batch[n]).to_pylist() for n in names])
-
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for batch in batches:
-                for doc_id, text in columns(batch, "doc_id", "text"):
+                for doc_id, text in _columns(batch, "doc_id", "text"):
                     words = words_of(doc_id, text)
                     runs = smallest(scan(numbered(words), 1, len(words), min_exp, min_length))
                     yield doc_id, runs, collapse(words, runs)
 
-        return _batches(rows())
+        return _batches(rows(), with_text)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for tag, doc_id, text in columns(batch, "tag", "doc_id", "text"):
+            for tag, doc_id, text in _columns(batch, "tag", "doc_id", "text"):
                 words = words_of(doc_id, text)
                 yield pa.RecordBatch.from_arrays([pa.array([tag], pa.int64()), pa.array([doc_id], pa.int64()), pa.array([len(words)], pa.int64()), pa.array([b" ".join(words)], pa.binary()).cast(pa.string())], names=["tag", "doc_id", "n", "words"])
 
@@ -141,11 +149,11 @@ def find_runs(docs: DataFrame, min_exp: int = MIN_EXP, min_length: int = MIN_LEN
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for batch in batches:
-                for doc_id, text, found in columns(batch, "doc_id", "words", "found"):
+                for doc_id, text, found in _columns(batch, "doc_id", "words", "found"):
                     runs = np.array([(r["start"], r["length"], r["period"]) for r in found or []], np.int64).reshape(-1, 3)
                     yield doc_id, smallest(runs), collapse(text.split(), smallest(runs))
 
-        return _batches(rows())
+        return _batches(rows(), with_text)
 
     near = texts.where(F.octet_length("text") <= long).mapInArrow(whole, schema)
     scratch = Scratch(docs.sparkSession, "periodic")
@@ -177,13 +185,13 @@ def summary(found: DataFrame) -> DataFrame:
     """Digests of ``find_runs``' rows, and of each document the run with the greatest exponent: the first of equals by start, then period."""
     best = F.expr("aggregate(runs, cast(null AS struct<start: long, length: long, period: long>), (b, r) -> CASE WHEN b IS NULL OR r.length * b.period > b.length * r.period THEN r ELSE b END)")
     lines = F.array_join(F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))), "")
-    rows = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    rows = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(lines, 256).alias("runs_sha256"), "collapsed_sha256")
     exponent = F.expr("best.length * 1000 div best.period")
     return rows.select("doc_id", "n_runs", "best.start", "best.length", "best.period", exponent.alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summary(find_runs(table(spark, sf_dir, "documents"), rewrite=planted))
+    return summary(find_runs(table(spark, sf_dir, "documents"), rewrite=planted, with_text=False))
 
 
 #: The same rows as DuckDB SQL: all equal pairs of words up to a quarter of the text apart, and the islands of each lag.
