@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from . import cluster, cycles, pairs, skeleton, split, trajectory
+from ..session import checkpoint_dir
+from . import cluster, cycles, pairs, phases, skeleton, split, standardise, trajectory
 
 
 def fill_points(frames: DataFrame) -> DataFrame:
@@ -40,29 +41,53 @@ def channel_table(points: DataFrame, labelled: DataFrame, floor: tuple[float, fl
     return skeleton.channel_rows(framed, ["seq_id", "cycle", "frame", "t", "phase"], skeleton.kinematics_12(F.col("joints"), plane, roles))
 
 
-def normalise_cycles(channels: DataFrame, length: int, least_ms: float = 400.0) -> DataFrame:
-    """``seq_id, cycle, channel, values``: every whole cycle's channels at ``length`` even times from its first frame on.
+def resample_points(points: DataFrame, rate: int, target: int, reach: float = standardise.REACH) -> DataFrame:
+    """``fill_points``' rows smoothed over ``reach`` milliseconds and taken from ``rate`` to ``target`` frames a second; ``frame`` counts anew.
 
-    The last cycle of a recording is open-ended and left out, as are cycles shorter than ``least_ms``.
+    Coordinates that are still missing, before a joint's first known point or after its last, stay missing.
     """
-    by = ["seq_id", "cycle"]
-    spans = channels.groupBy(*by).agg(F.min("t").alias("a"), F.max("t").alias("b"))
-    last = Window.partitionBy("seq_id")
-    whole = spans.withColumn("last", F.max("cycle").over(last)).where((F.col("cycle") < F.col("last")) & (F.col("b") - F.col("a") > least_ms)).select(*by, "a", "b")
-    inside = channels.join(whole, by)
-    keys = [*by, "channel"]
-    asked = whole.select("*", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("channel"))
-    asked = asked.withColumn("nth", F.explode(F.sequence(F.lit(0), F.lit(length - 1)))).select(*keys, F.col("nth").cast("long").alias("nth"), (F.col("a") + F.col("nth") * (F.col("b") - F.col("a")) / F.lit(float(length - 1))).alias("t"), F.lit(None).cast("double").alias("v"))
-    knots = inside.select(*keys, F.lit(None).cast("long").alias("nth"), "t", F.col("value").alias("v"))
-    near = trajectory.with_neighbours(knots.unionByName(asked), keys, "t", "v").where("nth is not null").withColumn("v", trajectory._blend(F.col("t")))
-    return near.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("nth", "v"))).alias("p")).select(*keys, F.transform("p", lambda q: q["v"]).alias("values")).where(~F.exists("values", lambda v: v.isNull()))
-
-
-def cycle_phases(labelled: DataFrame, length: int) -> DataFrame:
-    """``seq_id, cycle, phases``: the phase in force at each of ``length`` even times of a cycle."""
-    spans = labelled.where("cycle > 0").groupBy("seq_id", "cycle").agg(F.min("t").alias("a"), F.max("t").alias("b"), F.array_sort(F.collect_list(F.struct("t", "phase"))).alias("p"))
-    at = F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda i: F.element_at(F.filter("p", lambda q: q["t"] <= F.col("a") + i * (F.col("b") - F.col("a")) / F.lit(float(length - 1)) + 1e-9), -1)["phase"])
-    return spans.select("seq_id", "cycle", at.alias("phases"))
+    by = ["seq_id", "joint_id", "axis"]
+    each = points.select("seq_id", "joint_id", "t", F.posexplode(F.array("x", "y", "z")).alias("axis", "v"))
+    smooth = trajectory.smooth_reach(each, by, "t", "v", reach).select(*by, "t", "smooth")
+    joined = each.drop("v").join(smooth, [*by, "t"], "left")
+    fast = trajectory.resample(joined, by, "t", "smooth", rate, target)
+    at = lambda i: F.max(F.when(F.col("axis") == i, F.col("v")))
+    return fast.groupBy("seq_id", "joint_id", "nth").agg(F.min("t").alias("t"), at(0).alias("x"), at(1).alias("y"), at(2).alias("z")).select("seq_id", F.col("nth").alias("frame"), "t", "joint_id", "x", "y", "z")
+
+
+def joint_arrays(points: DataFrame, joints: int) -> DataFrame:
+    """``seq_id, frame, joints``: x0, y0, z0, x1, .. of every frame, null where a joint is missing."""
+    held = points.groupBy("seq_id", "frame").agg(F.map_from_entries(F.collect_list(F.struct("joint_id", F.array("x", "y", "z").alias("p")))).alias("at"))
+    flat = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(joints - 1)), lambda j: F.coalesce(F.try_element_at("at", j), F.array(*[F.lit(None).cast("double")] * 3))))
+    return held.select("seq_id", F.col("frame").cast("long").alias("frame"), flat.alias("joints"))
+
+
+def _owned(points: DataFrame, labelled: DataFrame, joints: int, root: int) -> DataFrame:
+    """Frames that lie in a phase, with their joints, their root joint's coordinates and their cycle; written once, as every later step reads them."""
+    checkpoint_dir(points.sparkSession)
+    framed = joint_arrays(points, joints).join(labelled.where("phase IS NOT NULL").select("seq_id", "frame", "t", "event_id", "phase"), ["seq_id", "frame"])
+    framed = framed.withColumns({c: F.get("joints", F.lit(3 * root + i)) for i, c in enumerate(("root_x", "root_y", "root_z"))})
+    return phases.own_cycles(framed, ["seq_id"], "t", "event_id").checkpoint()
+
+
+def _channels(joints: str, floor: tuple[float, float, float, float], roles: dict[str, int]) -> Column:
+    plane: g.Plane = tuple(F.lit(float(x)) for x in floor)
+    return F.transform(F.array(*skeleton.kinematics_12(F.col(joints), plane, roles)), lambda c: F.when(~F.isnan(c), c))
+
+
+def normalise_cycles(points: DataFrame, labelled: DataFrame, floor: tuple[float, float, float, float], joints: int, length: int, labels: int, rate: int = 30, roles: dict[str, int] = skeleton.ROLES) -> DataFrame:
+    """``seq_id, cycle, channel, values, labels``: the twelve channels of every whole cycle at ``length`` even times, and the phases there.
+
+    Joints are standardised first (``standardise``, nearest frames within a period of ``rate``), channels worked out after; cycles that lack a channel anywhere are dropped.
+    """
+    owned = _owned(points, labelled, joints, roles["hip"])
+    whole = standardise.anchors(phases.cycle_durations(owned, ["seq_id"], "t", ["root_x", "root_y", "root_z"], 0.0)).where("whole").checkpoint()
+    rows = standardise.standardise(phases.members(owned, ["seq_id"], "t"), whole, ["seq_id"], "t", "joints", "phase", length, 1000.0 / rate, labels)
+    rows = rows.withColumn("channels", _channels("values", floor, roles))
+    held = rows.groupBy("seq_id", "cycle").agg(F.array_sort(F.collect_list(F.struct("nth", "channels", "label"))).alias("p"))
+    full = held.where((F.size("p") == length) & ~F.exists("p", lambda q: F.exists(q["channels"], lambda c: c.isNull())))
+    asked = full.select("seq_id", "cycle", "p", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("channel"))
+    return asked.select("seq_id", "cycle", "channel", F.transform("p", lambda q: F.get(q["channels"], F.col("channel") - 1)).alias("values"), F.transform("p", lambda q: q["label"]).alias("labels"))
 
 
 def template_cycles(normal: DataFrame, rounds: int = 10, edge: float = 0.1) -> DataFrame:
@@ -113,16 +138,19 @@ def prune_pairs(supports: DataFrame, neighbour: int = 3) -> DataFrame:
     return out
 
 
-def phase_samples(normal: DataFrame, phases: DataFrame, mined: list[tuple[int, int, int]], length: int) -> DataFrame:
-    """``seq_id, cycle, frame, features, label``: at every frame, for each mined pair, the channel's difference between the two instants around it.
+def phase_samples(points: DataFrame, labelled: DataFrame, floor: tuple[float, float, float, float], joints: int, mined: list[tuple[int, int, int]], length: int, rate: int = 120, least: float = 400.0, roles: dict[str, int] = skeleton.ROLES) -> DataFrame:
+    """``seq_id, cycle, frame, features, label``: at every frame in a phase, for each mined pair, the channel's difference between the two instants around it.
 
-    ``mined`` is a bounded list of (channel, a, b); instants count from the cycle's middle and wrap around its ends.
+    ``mined`` is a bounded list of (channel, a, b), places of ``length`` in a cycle whose middle is the frame. Instants reach into the neighbouring cycles
+    with their durations; open first and last cycles have predicted ones (``phases``). Frames for which no feature can be had are dropped.
     """
-    wide = normal.groupBy("seq_id", "cycle").agg(F.map_from_entries(F.collect_list(F.struct("channel", "values"))).alias("c")).join(phases, ["seq_id", "cycle"])
-    at = lambda ch, shift: F.get(F.try_element_at("c", F.lit(ch)), F.pmod(F.col("frame") + F.lit(shift - length // 2), F.lit(length)))
-    rows = wide.select("*", F.explode(F.sequence(F.lit(0), F.lit(length - 1))).alias("frame"))
-    features = F.array(*[at(ch, a) - at(ch, b) for ch, a, b in mined])
-    return rows.select("seq_id", "cycle", "frame", features.alias("features"), F.get("phases", F.col("frame")).alias("label")).where(F.col("label").isNotNull() & F.exists("features", lambda x: x.isNotNull()))
+    owned = _owned(points, labelled, joints, roles["hip"]).withColumn("channels", _channels("joints", floor, roles)).drop("joints")
+    durations = phases.cycle_durations(owned, ["seq_id"], "t", ["root_x", "root_y", "root_z"], least).checkpoint()
+    period = 1000.0 / rate
+    windows = phases.phase_windows(owned.drop("channels"), durations, ["seq_id"], "t", period, 10_000.0).checkpoint()
+    shares = [(channel - 1, (a - length // 2) / length, (b - length // 2) / length) for channel, a, b in mined]
+    rows = phases.phase_samples(windows, owned, ["seq_id"], ["frame"], "t", "channels", shares, period, 10_000.0)
+    return rows.select("seq_id", "cycle", "frame", "features", F.col("phase").alias("label"))
 
 
 def train_and_evaluate(samples: DataFrame, labels: list[int], width: int, trees: int, depth: int, held_out) -> tuple[split.Forest, DataFrame]:

@@ -80,16 +80,25 @@ def knot_derivatives(df: DataFrame, by: list[str], t: str, v: str) -> DataFrame:
     return out.select(*by, t, v, "velocity", "acceleration", "jerk")
 
 
-def lowess(df: DataFrame, by: list[str], t: str, v: str, span: float) -> DataFrame:
+def smooth_reach(df: DataFrame, by: list[str], t: str, v: str, reach: float) -> DataFrame:
+    """``lowess`` over as many points as ``reach`` of time holds on average in a trajectory."""
+    known = F.when(F.col(v).isNotNull(), F.col(t))
+    whole = Window.partitionBy(*by)
+    spans = df.where(F.col(v).isNotNull()).withColumn("_span", F.lit(reach) / F.nullif(F.max(known).over(whole) - F.min(known).over(whole), F.lit(0.0)))
+    return lowess(spans, by, t, v, F.coalesce("_span", F.lit(1.0)))
+
+
+def lowess(df: DataFrame, by: list[str], t: str, v: str, span: float | Column) -> DataFrame:
     """``smooth``: locally linear regression with tricube weights over the nearest ``span`` share of a trajectory's points.
 
     The neighbours of a point are consecutive in time, so each point is joined to the rank window around it that can hold
     them, the nearest are kept, and the weighted least squares are closed sums.
     """
     order = Window.partitionBy(*by).orderBy(t)
-    ranked = df.where(F.col(v).isNotNull()).select(*by, F.col(t).alias("t"), F.col(v).alias("v")).withColumn("n", F.count("*").over(Window.partitionBy(*by))).withColumn("r", F.row_number().over(order))
-    k = F.greatest(F.lit(2), F.least(F.col("n"), F.floor(F.col("n") * F.lit(span) + F.lit(1e-10)))).cast("int")
-    ranked = ranked.withColumn("k", k)
+    share = span if isinstance(span, Column) else F.lit(span)
+    ranked = df.where(F.col(v).isNotNull()).select(*by, F.col(t).alias("t"), F.col(v).alias("v"), share.alias("_share")).withColumn("n", F.count("*").over(Window.partitionBy(*by))).withColumn("r", F.row_number().over(order))
+    k = F.greatest(F.lit(2), F.least(F.col("n"), F.floor(F.col("n") * F.col("_share") + F.lit(1e-10)))).cast("int")
+    ranked = ranked.withColumn("k", k).drop("_share")
     asked = ranked.withColumn("_r", F.explode(F.sequence(F.greatest(F.lit(1), F.col("r") - F.col("k") + 1), F.least(F.col("n"), F.col("r") + F.col("k") - 1))))
     other = ranked.select(*by, F.col("r").alias("_r"), F.col("t").alias("_t"), F.col("v").alias("_v"))
     near = asked.join(other, [*by, "_r"]).withColumn("_d", F.abs(F.col("_t") - F.col("t")))

@@ -49,29 +49,48 @@ def test_container_round_trip(spark, recorded, tmp_path):
         containers.read_container(spark, str(tmp_path / "one"), "Y").collect()
 
 
-def test_from_recording_to_classifier(spark, recorded, tmp_path):
-    frames, events = recorded
-    points = gait.fill_points(frames)
-    assert points.where("x is null").count() == 0
-    labelled = gait.label_frames(frames, events, 4)
-    assert labelled.count() == 480 and labelled.agg(F.max("cycle")).first()[0] == 4
-    channels = gait.channel_table(points, labelled, (0, 1, 0, 0), JOINTS)
-    normal = gait.normalise_cycles(channels, 20).cache()
+FLOOR = (0, 1, 0, 0)
+
+
+@pytest.fixture(scope="module")
+def points(spark, recorded):
+    frames, _ = recorded
+    filled = gait.fill_points(frames)
+    assert filled.where("x is null").count() == 0
+    fast = gait.resample_points(filled, 30, 120).cache()
+    assert fast.count() == 4 * JOINTS * (119 * 4 + 1) and fast.where("x is null").count() == 0
+    return fast
+
+
+def test_from_recording_to_classifier(spark, recorded, points, tmp_path):
+    labelled = gait.label_frames(points, recorded[1], 4).cache()
+    assert labelled.count() == 4 * 477 and labelled.agg(F.max("cycle")).first()[0] == 4
+    normal = gait.normalise_cycles(points, labelled, FLOOR, JOINTS, 20, 4).cache()
     assert normal.count() == 4 * 3 * 12 and normal.where(F.size("values") != 20).count() == 0
+    assert all(r.labels[0] == 1 and r.labels[-1] == 4 and r.labels[1:-1] == sorted(r.labels[1:-1]) for r in normal.collect())
     templates = gait.template_cycles(normal, 3)
     ends = templates.select((F.get("values", F.lit(0)) - F.get("values", F.lit(19))).alias("d")).collect()
     assert len(ends) == 12 and all(abs(r.d) < 1e-9 for r in ends)
     mined = gait.mine_pairs(templates, 12)
     chosen = [(r.channel, r.a, r.b) for r in mined.orderBy("channel", "a", "b").collect()]
     assert 6 <= len(chosen) <= 18
-    rows = gait.phase_samples(normal, gait.cycle_phases(labelled, 20), chosen, 20)
+    rows = gait.phase_samples(points, labelled, FLOOR, JOINTS, chosen, 20)
     samples.write_samples(rows, str(tmp_path / "samples"))
     stored = samples.read_samples(spark, str(tmp_path / "samples"))
-    assert stored.count() == 4 * 3 * 20
+    assert stored.count() == stored.select("seq_id", "frame").distinct().count() > 4 * 440
+    assert {r.cycle for r in stored.select("cycle").distinct().collect()} == {0, 1, 2, 3}  # the last one is open
     _, score = gait.train_and_evaluate(stored, [1, 2, 3, 4], len(chosen), 5, 4, F.col("seq_id") == 3)
     assert score.first().accuracy > 0.6
 
 
+def test_smoothing_keeps_lines(spark):
+    rows = [(1, 0, i, 33.0 * i, 2.0 * i, None if i in (4, 5) else 1.0, -0.5 * i) for i in range(40)]
+    frames = spark.createDataFrame(rows, "seq_id long, joint_id int, frame int, t double, x double, y double, z double")
+    fast = gait.resample_points(gait.fill_points(frames), 30, 120).collect()
+    assert len(fast) == 39 * 4 + 1
+    assert all(abs(r.x - 2 * r.t / 33) < 1e-9 and abs(r.y - 1) < 1e-9 and abs(r.z + 0.5 * r.t / 33) < 1e-9 for r in fast)
+
+
 def test_pruned_pairs_are_apart(spark):
     rows = [(a, b, (7 * a + 3 * b) % 11) for a in range(12) for b in range(a + 2, 12)]
     kept = gait.prune_pairs(spark.createDataFrame(rows, "a int, b int, support int"), 2).collect()
