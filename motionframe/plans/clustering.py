@@ -9,8 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import cluster
+from ..operators import cluster, warped_join
 from ..operators.cluster import distance_matrix
+from ..session import checkpoint_dir
 from .samples import KEY_EVENTS, PERSISTENCE
 
 BY = ["label"]
@@ -37,7 +38,13 @@ def knn_mean_dist(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def eps_minpts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster.estimate_eps(_distances(spark, sf_dir), BY).select("label", _round(F.col("eps")).alias("eps"), "min_pts")
+    return cluster.estimate_eps(_once(_distances(spark, sf_dir)), BY).select("label", _round(F.col("eps")).alias("eps"), "min_pts")
+
+
+def _once(matrix: DataFrame) -> DataFrame:
+    """A matrix that several steps read, written once."""
+    checkpoint_dir(matrix.sparkSession)
+    return matrix.checkpoint()
 
 
 EPS = 7.8
@@ -105,14 +112,35 @@ def dtw_exponential(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dtw_eps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The radius that warping distances suggest for each class."""
-    rounded = cluster.dtw_matrix(_signed(spark, sf_dir), BY, "vec_id", "x").withColumn("d", _round(F.col("d")))
+    rounded = _once(cluster.dtw_matrix(_signed(spark, sf_dir), BY, "vec_id", "x").withColumn("d", _round(F.col("d"))))
     return cluster.estimate_eps(rounded, BY).select("label", _round(F.col("eps")).alias("eps"), "min_pts")
 
 
+#: Radii under warping: of every eighth sample, and of whole series.
+WARPED_EPS, WHOLE_EPS = 0.035, 0.0505
+
+
+def warped_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of series of a class within a radius of warping cost, of every eighth sample."""
+    found = warped_join.warped_within(_signed(spark, sf_dir), BY, "vec_id", "x", WARPED_EPS)
+    return found.select("label", "a", "b", _round(F.col("d")).alias("cost"))
+
+
+def warped_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of whole series."""
+    found = warped_join.warped_within(_series(spark, sf_dir), BY, "vec_id", "embedding", WHOLE_EPS)
+    return found.select("label", "a", "b", _round(F.col("d")).alias("cost"))
+
+
+def warped_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Density clusters of whole series at a given radius."""
+    return warped_join.radius_clusters(_series(spark, sf_dir), BY, "vec_id", "embedding", WHOLE_EPS, 3)
+
+
 def warped_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Density clusters of warping distances at the radius that they suggest."""
     rows = _signed(spark, sf_dir)
-    rounded = cluster.dtw_matrix(rows, BY, "vec_id", "x").withColumn("d", _round(F.col("d")))
+    rounded = _once(cluster.dtw_matrix(rows, BY, "vec_id", "x").withColumn("d", _round(F.col("d"))))
     points = rows.select("label", F.col("vec_id").alias("a"))
     settings = cluster.estimate_eps(rounded, BY, classes=points).withColumn("eps", _round(F.col("eps")))
     return cluster.dbscan(rounded, points, BY, settings=settings)
@@ -199,7 +227,7 @@ def joint_forest_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        dist_matrix_l1, knn_mean_dist, eps_minpts, radius_neighbours, dbscan_clusters, label_distance_map, detrend, edge_blend, median_argmax, tile_windows, dtw_pairs, dtw_labelled, dtw_exponential, dtw_eps, warped_clusters, warped_templates,
+        dist_matrix_l1, knn_mean_dist, eps_minpts, radius_neighbours, dbscan_clusters, label_distance_map, detrend, edge_blend, median_argmax, tile_windows, dtw_pairs, dtw_labelled, dtw_exponential, dtw_eps, warped_radius, warped_neighbours, warped_density, warped_clusters, warped_templates,
         dba_templates, template_labels, spline_fill, linear_fill, global_minimum, key_events, persistence_pairs, field_units, joint_forest_depth,
     )
 }
@@ -241,6 +269,7 @@ _EPS = """w AS (SELECT label, a, b, d FROM d UNION ALL SELECT label, b, a, d FRO
 
 ORACLE_SQL = {
     "dtw_pairs": f"WITH RECURSIVE {_PLAIN} SELECT label, a, b, d AS cost FROM d",
+    "warped_radius": f"WITH RECURSIVE {_PLAIN} SELECT label, a, b, d AS cost FROM d WHERE d <= {WARPED_EPS!r}",
     "dtw_labelled": f"WITH RECURSIVE {_warped_sql(f'abs((x[i] - y[j]) * {_CIRCLE})')} SELECT label, a, b, d AS cost FROM d",
     "dtw_exponential": f"WITH RECURSIVE {_warped_sql('exp(-(x[i] - y[j]) / 0.5)')} SELECT label, a, b, d AS cost FROM d",
     "dtw_eps": f"WITH RECURSIVE {_PLAIN}, {_EPS} SELECT label, eps, min_pts FROM eps",
