@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import cluster, warped_join
+from ..operators import cluster, fields, warped_join
 from ..operators.cluster import distance_matrix
 from ..session import checkpoint_dir
 from .samples import KEY_EVENTS, PERSISTENCE
@@ -200,16 +200,26 @@ def persistence_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("persistence", _round(F.col("persistence")))
 
 
+#: Eight frames of eight channels.
+FRAMES, CHANNELS = 8, 8
+
+
 def field_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sparse logistic units on left less right halves: each class's factors that the L1 penalty leaves."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector
+    """The factors of the sparse unit that tells the classes apart by left less right halves."""
+    halves = _series(spark, sf_dir).select("vec_id", "label", F.slice("embedding", 1, 32).alias("x"), F.slice("embedding", 33, 32).alias("y"))
+    found = fields.unit_factors(halves, "vec_id", "label", "x", "y", fields.Unit(epochs=200))
+    return found.withColumns({c: _round(F.col(c)) for c in ("factor", "split", "quality")})
+
+
+def _framed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _series(spark, sf_dir).select("vec_id", "label", F.array(*[F.slice("embedding", CHANNELS * i + 1, CHANNELS) for i in range(FRAMES)]).alias("frames"))
+
 
-    apart = F.zip_with(F.slice("embedding", 1, 32), F.slice("embedding", 33, 32), lambda a, b: a.cast("double") - b.cast("double"))
-    rows = _series(spark, sf_dir).select(F.col("label").cast("double").alias("label"), array_to_vector(apart).alias("features"))
-    model = LogisticRegression(family="multinomial", elasticNetParam=1.0, regParam=0.01, maxIter=30).fit(rows)
-    factors = [(label, i, float(round(w, 6))) for label, row in enumerate(model.coefficientMatrix.toArray()) for i, w in enumerate(row) if abs(w) > 1e-6]
-    return spark.createDataFrame(factors, "label int, position int, factor double")
+def field_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sparse units of every pair of frames in random subspaces of their channels."""
+    pairs = [(a, b) for a in range(FRAMES) for b in range(a + 1, FRAMES)]
+    found = fields.search_fields(_framed(spark, sf_dir), "vec_id", "label", "frames", pairs, settings=fields.Unit(epochs=200))
+    return found.withColumns({c: _round(F.col(c)) for c in ("sparsity", "split", "quality")} | {"factors": F.transform("factors", lambda f: _round(f))})
 
 
 def joint_forest_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -228,7 +238,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         dist_matrix_l1, knn_mean_dist, eps_minpts, radius_neighbours, dbscan_clusters, label_distance_map, detrend, edge_blend, median_argmax, tile_windows, dtw_pairs, dtw_labelled, dtw_exponential, dtw_eps, warped_radius, warped_neighbours, warped_density, warped_clusters, warped_templates,
-        dba_templates, template_labels, spline_fill, linear_fill, global_minimum, key_events, persistence_pairs, field_units, joint_forest_depth,
+        dba_templates, template_labels, spline_fill, linear_fill, global_minimum, key_events, persistence_pairs, field_units, field_search, joint_forest_depth,
     )
 }
 
