@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..session import checkpoint_dir
-from . import cluster, cycles, pairs, phases, skeleton, split, standardise, trajectory
+from . import cluster, cycles, mining, phases, skeleton, split, standardise, templates, trajectory
 
 
 def fill_points(frames: DataFrame) -> DataFrame:
@@ -90,26 +90,27 @@ def normalise_cycles(points: DataFrame, labelled: DataFrame, floor: tuple[float,
     return asked.select("seq_id", "cycle", "channel", F.transform("p", lambda q: F.get(q["channels"], F.col("channel") - 1)).alias("values"), F.transform("p", lambda q: q["label"]).alias("labels"))
 
 
-def template_cycles(normal: DataFrame, rounds: int = 10, edge: float = 0.1) -> DataFrame:
-    """``channel, values``: each channel's barycentre over all cycles, its ends blended so that it closes."""
+def template_cycles(normal: DataFrame, labels: int, base: float = 2.0, lam: float = 10.0, rounds: int = 100, edge: float = 0.1) -> DataFrame:
+    """``channel, cluster, values, labels, members``: each channel's clusters of cycles as closed mean shapes with phases.
+
+    Cycles are clustered by label-aware warping distances at the radius that these suggest (``templates.clustered_templates``).
+    """
     keyed = normal.withColumn("key", F.xxhash64("seq_id", "cycle"))
-    shapes = cluster.barycentres(keyed, "channel", "key", "values", rounds)
-    joined = shapes.groupBy("channel").agg(F.array_sort(F.collect_list(F.struct("frame", "value"))).alias("p")).select("channel", F.transform("p", lambda q: q["value"]).alias("values"))
-    return joined.select("channel", cluster.edge_blend(F.col("values"), edge).alias("values"))
+    return templates.clustered_templates(keyed, ["channel"], "key", "values", "labels", cluster.label_table(labels, base), lam, rounds=rounds, edge=edge)
 
 
-def mine_pairs(templates: DataFrame, budget: int, neighbour: int = 2) -> DataFrame:
-    """``channel, a, b, gain``: pairs of instants at a template's extrema, the budget shared by the channels in proportion to their mean gain.
+def mine_pairs(shapes: DataFrame, budget: int, labels: list[int], neighbour: int = 2, draws: int = 4) -> DataFrame:
+    """``channel, a, b, total, rank``: pairs of offsets from a frame, the budget shared by the channels by their mean class quality.
 
-    A pair's gain is how far the template moves between its instants.
+    Candidates are the pairs of persistent events around each place of the ``template_cycles`` shapes; a pair's total is how well the three slopes that it gives at every
+    place part every two phases.
     """
-    points = templates.select("channel", F.posexplode("values").alias("pos", "x"))
-    found = pairs.local_extrema(points, ["channel"], "pos", "x")
-    held = found.groupBy("channel").agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("p"))
-    both = held.select("channel", "p", F.explode("p").alias("u")).select("channel", "u", F.explode(F.filter("p", lambda v: v["pos"] >= F.col("u.pos") + neighbour)).alias("v"))
-    rows = both.select("channel", F.col("u.pos").alias("a"), F.col("v.pos").alias("b"), F.abs(F.col("u.x") - F.col("v.x")).alias("gain"))
-    shares = pairs.allocate(rows.groupBy("channel").agg(F.avg("gain").alias("mean")), "mean", budget)
-    return pairs.top_by_share(rows, shares, ["channel"], [F.desc("gain"), F.col("a"), F.col("b")]).drop("rank")
+    checkpoint_dir(shapes.sparkSession)
+    held = shapes.checkpoint()
+    candidates = mining.key_pairs(held, ["channel", "cluster"], "values", neighbour).select("channel", "a", "b").distinct().checkpoint()
+    slopes = mining.window_slopes(held, candidates, "channel", "cluster", "values", "labels")
+    found = mining.class_quality(slopes, ["channel", "a", "b"], ["cluster", "at", "kind"], "label", "x", labels, draws)
+    return mining.select_pairs(mining.summed_quality(found, candidates, "channel"), "channel", budget)
 
 
 def prune_pairs(supports: DataFrame, neighbour: int = 3) -> DataFrame:
@@ -141,14 +142,14 @@ def prune_pairs(supports: DataFrame, neighbour: int = 3) -> DataFrame:
 def phase_samples(points: DataFrame, labelled: DataFrame, floor: tuple[float, float, float, float], joints: int, mined: list[tuple[int, int, int]], length: int, rate: int = 120, least: float = 400.0, roles: dict[str, int] = skeleton.ROLES) -> DataFrame:
     """``seq_id, cycle, frame, features, label``: at every frame in a phase, for each mined pair, the channel's difference between the two instants around it.
 
-    ``mined`` is a bounded list of (channel, a, b), places of ``length`` in a cycle whose middle is the frame. Instants reach into the neighbouring cycles
+    ``mined`` is a bounded list of (channel, a, b), offsets from the frame in parts of ``length`` of its cycle. Instants reach into the neighbouring cycles
     with their durations; open first and last cycles have predicted ones (``phases``). Frames for which no feature can be had are dropped.
     """
     owned = _owned(points, labelled, joints, roles["hip"]).withColumn("channels", _channels("joints", floor, roles)).drop("joints")
     durations = phases.cycle_durations(owned, ["seq_id"], "t", ["root_x", "root_y", "root_z"], least).checkpoint()
     period = 1000.0 / rate
     windows = phases.phase_windows(owned.drop("channels"), durations, ["seq_id"], "t", period, 10_000.0).checkpoint()
-    shares = [(channel - 1, (a - length // 2) / length, (b - length // 2) / length) for channel, a, b in mined]
+    shares = [(channel - 1, a / length, b / length) for channel, a, b in mined]
     rows = phases.phase_samples(windows, owned, ["seq_id"], ["frame"], "t", "channels", shares, period, 10_000.0)
     return rows.select("seq_id", "cycle", "frame", "features", F.col("phase").alias("label"))
 

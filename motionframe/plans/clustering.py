@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import cluster, fields, warped_join
+from ..operators import cluster, fields, templates, warped_join
 from ..operators.cluster import distance_matrix
 from ..session import checkpoint_dir
 from .samples import KEY_EVENTS, PERSISTENCE
@@ -147,9 +147,9 @@ def warped_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def warped_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole chain: label-aware warping distances, their radius, density clusters, a mean shape per cluster."""
-    found = cluster.cluster_templates(_signed(spark, sf_dir), BY, "vec_id", "x", "marks", cluster.label_table(3, 2.0))
-    return found.select("label", "cluster", "frame", _round(F.col("value")).alias("value"), "members")
+    """The whole chain: label-aware warping distances, their radius, density clusters, a mean shape with labels per cluster."""
+    found = templates.clustered_templates(_signed(spark, sf_dir), BY, "vec_id", "x", "marks", cluster.label_table(3, 2.0))
+    return found.select("label", "cluster", "members", F.posexplode(F.arrays_zip("values", "labels")).alias("frame", "p")).select("label", "cluster", "frame", _round(F.col("p.values")).alias("value"), F.col("p.labels").alias("mark"), "members")
 
 
 def dba_templates(spark: SparkSession, sf_dir: str) -> DataFrame:

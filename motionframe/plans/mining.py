@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema
+from ..operators import mining as class_mining
 from ..operators import pairs, split
 
 FIELDS = [(i, [(7 * i + 3 * k) % 32 for k in range(4)], [0.5, -1.0, 2.0, 0.25]) for i in range(8)]
@@ -129,6 +130,49 @@ def two_class_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("pos", "l1", "l2", _round(F.col("quality")).alias("quality"))
 
 
+#: Offsets of candidate pairs from a place, in samples; labels of samples by their size; places that the channels share.
+OFFSETS, MARKS, BUDGET = [(-24, -8), (-16, 16), (-8, 0), (-3, 12), (0, 20), (8, 28)], [1, 2, 3], 25
+
+
+def _shapes(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The series as closed shapes of their class's channel with a label at each sample, and every channel's candidate pairs."""
+    marks = F.transform("embedding", lambda v: F.when(v.cast("double") < -0.05, 1).when(v.cast("double") > 0.05, 3).otherwise(2))
+    shapes = _series(spark, sf_dir).select(F.col("label").alias("channel"), "vec_id", "embedding", marks.alias("marks"))
+    offered = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in OFFSETS]))
+    return shapes, shapes.select("channel").distinct().withColumn("o", offered).select("channel", "o.a", "o.b")
+
+
+def pair_slopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each candidate pair's three slopes, per class of samples: how many, their mean and ends."""
+    shapes, candidates = _shapes(spark, sf_dir)
+    slopes = class_mining.window_slopes(shapes, candidates, "channel", "vec_id", "embedding", "marks")
+    found = slopes.groupBy("channel", "a", "b", "kind", F.col("label").alias("mark")).agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.min("x").alias("least"), F.max("x").alias("most"))
+    return found.withColumns({c: _round(F.col(c)) for c in ("mean", "least", "most")})
+
+
+def _class_qualities(spark, sf_dir, draws: int = 0) -> tuple[DataFrame, DataFrame]:
+    shapes, candidates = _shapes(spark, sf_dir)
+    slopes = class_mining.window_slopes(shapes, candidates, "channel", "vec_id", "embedding", "marks")
+    return candidates, class_mining.class_quality(slopes, ["channel", "a", "b"], ["vec_id", "at", "kind"], "label", "x", MARKS, draws)
+
+
+def pair_class_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well each candidate pair's slopes part every two classes of samples."""
+    return _class_qualities(spark, sf_dir)[1].withColumn("quality", _round(F.col("quality"), 4))
+
+
+def mined_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The candidates' qualities summed, the channels' means, and each channel's best by its share of the budget."""
+    candidates, found = _class_qualities(spark, sf_dir)
+    totals = class_mining.summed_quality(found, candidates, "channel").withColumn("total", _round(F.col("total"), 4))
+    return class_mining.select_pairs(totals, "channel", BUDGET).withColumn("rank", F.col("rank").cast("int"))
+
+
+def drawn_class_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same qualities over draws that take as many rows of each class."""
+    return _class_qualities(spark, sf_dir, 4)[1].withColumn("quality", _round(F.col("quality"), 4))
+
+
 def branch_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     side = split.branch(F.when(F.col("l_quantity") != 7, F.col("l_quantity").cast("double")), F.lit(25.5))
     return _items(spark, sf_dir).groupBy(side.alias("side"), "l_returnflag").agg(F.count("*").alias("n"))
@@ -172,7 +216,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         extrema_local, event_pairs_support, endpoint_support, pair_friends, allocation_topk, pair_offsets_grid, pair_diff_features, anti_similar_fields, field_filter, clean_samples, frame_partition_semi, label_histogram,
-        majority_risk, best_split_embeddings, best_split_lineitem, two_class_quality, branch_assign, vote_majority, vote_counts, accuracy, marginals, forest_predict,
+        majority_risk, best_split_embeddings, best_split_lineitem, two_class_quality, pair_slopes, pair_class_quality, mined_pairs, drawn_class_quality, branch_assign, vote_majority, vote_counts, accuracy, marginals, forest_predict,
     )
 }
 
@@ -193,7 +237,20 @@ def _split_sql(source: str, by: str, label: str, digits: int) -> str:
     best AS (SELECT {by}, round(arg_min(threshold, (-round(quality, 9), threshold)), 6) + 0.0 AS threshold, round(max(quality), {digits}) + 0.0 AS quality FROM cuts GROUP BY {by})"""
 
 
+_WRAP = lambda c: f"(CASE WHEN i / 63.0 + {c} / 64.0 > 1.0 THEN i / 63.0 + {c} / 64.0 - 1.0 WHEN i / 63.0 + {c} / 64.0 < 0.0 THEN i / 63.0 + {c} / 64.0 + 1.0 ELSE i / 63.0 + {c} / 64.0 END)"
+_OFF = lambda c: f"least(greatest(CAST(trunc({_WRAP(c)} * 63) AS INT), 0), 63)"
+_SLOPE = lambda i, j: f"(CAST(embedding[{i} + 1] AS DOUBLE) - CAST(embedding[{j} + 1] AS DOUBLE)) / nullif({i} / 64.0 - {j} / 64.0, 0)"
+_SLOPES = f"""offered AS (SELECT * FROM (VALUES {", ".join(f"({a}, {b})" for a, b in OFFSETS)}) AS o(a, b)),
+  placed AS (SELECT label AS channel, a, b, i, embedding, {_OFF("a")} AS l, {_OFF("b")} AS r, CASE WHEN CAST(embedding[i + 1] AS DOUBLE) < -0.05 THEN 1 WHEN CAST(embedding[i + 1] AS DOUBLE) > 0.05 THEN 3 ELSE 2 END AS mark FROM embeddings, offered, (SELECT CAST(x AS INT) AS i FROM range(64) AS g(x))),
+  slopes AS (SELECT channel, a, b, mark, kind, x FROM (SELECT channel, a, b, mark, 'left' AS kind, {_SLOPE("l", "i")} AS x FROM placed UNION ALL SELECT channel, a, b, mark, 'right', {_SLOPE("i", "r")} FROM placed UNION ALL SELECT channel, a, b, mark, 'all', {_SLOPE("l", "r")} FROM placed) WHERE x IS NOT NULL)"""
+_QUALITIES = f"""{_SLOPES}, {_split_sql("SELECT channel, a, b, x, CAST(least(mark, o) AS INT) AS l1, CAST(greatest(mark, o) AS INT) AS l2, CAST(mark < o AS INT) AS fst FROM slopes, range(1, 4) AS y(o) WHERE o <> mark", "channel, a, b, l1, l2", "fst", 9)}"""
+
 ORACLE_SQL = {
+    "pair_slopes": f"WITH {_SLOPES} SELECT channel, a, b, kind, mark, count(*) AS n, round(avg(x), 6) + 0.0 AS mean, round(min(x), 6) + 0.0 AS least, round(max(x), 6) + 0.0 AS most FROM slopes GROUP BY ALL",
+    "pair_class_quality": f"WITH {_QUALITIES} SELECT channel, a, b, l1, l2, round(quality, 4) + 0.0 AS quality FROM best",
+    "mined_pairs": f"""WITH {_QUALITIES}, totals AS (SELECT channel, a, b, round(sum(quality), 4) + 0.0 AS total FROM best GROUP BY channel, a, b), means AS (SELECT channel, avg(total) AS mean FROM totals GROUP BY channel),
+      shares AS (SELECT channel, CAST(floor(mean / (SELECT sum(mean) FROM means) * {BUDGET} + 0.5) AS BIGINT) AS share FROM means),
+      ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY channel ORDER BY total DESC, a, b) AS INT) AS rank FROM totals) SELECT channel, a, b, total, rank FROM ranked JOIN shares USING (channel) WHERE rank <= share""",
     "extrema_local": f"WITH {_E} SELECT vec_id, pos, round(x, 6) + 0.0 AS x, kind FROM e",
     "event_pairs_support": f"WITH {_S} SELECT a, b, support FROM s",
     "endpoint_support": f"WITH {_S} SELECT pos, count(*) AS pairs, round(avg(support), 6) + 0.0 AS mean_support FROM (SELECT unnest([a, b]) AS pos, support FROM s) GROUP BY pos",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 
 def _table(*fields: tuple[str, object]) -> StructType:
@@ -15,6 +15,12 @@ FRAMES = _table(("seq_id", LongType()), ("frame", IntegerType()), ("t", DoubleTy
 EVENTS = _table(("seq_id", LongType()), ("t", DoubleType()), ("event_id", IntegerType()))
 SKELETON = _table(("joint_id", IntegerType()), ("name", StringType()), ("parent_id", IntegerType()), ("is_root", BooleanType()))
 
+#: Fields of a frame pair as a model has them, candidates of the search, class qualities of pairs of offsets and the chosen pairs.
+FIELDS = _table(("pair", IntegerType()), ("field", IntegerType()), ("indices", ArrayType(IntegerType())), ("factors", ArrayType(DoubleType())), ("sparsity", DoubleType()), ("split", DoubleType()), ("quality", DoubleType()))
+FIELD_CANDIDATES = _table(("a", IntegerType()), ("b", IntegerType()), ("branch", IntegerType()), ("indices", ArrayType(IntegerType())), ("factors", ArrayType(DoubleType())), ("sparsity", DoubleType()), ("split", DoubleType()), ("quality", DoubleType()))
+PAIR_QUALITIES = _table(("channel", IntegerType()), ("a", IntegerType()), ("b", IntegerType()), ("l1", IntegerType()), ("l2", IntegerType()), ("quality", DoubleType()))
+MINED_PAIRS = _table(("channel", IntegerType()), ("a", IntegerType()), ("b", IntegerType()), ("total", DoubleType()))
+
 #: Event names in cycle order: 1, 2, .. ; the last one is followed by the first.
 CYCLE_EVENTS = ("click", "view", "purchase", "signup", "error")
 

@@ -68,16 +68,16 @@ def test_from_recording_to_classifier(spark, recorded, points, tmp_path):
     normal = gait.normalise_cycles(points, labelled, FLOOR, JOINTS, 20, 4).cache()
     assert normal.count() == 4 * 3 * 12 and normal.where(F.size("values") != 20).count() == 0
     assert all(r.labels[0] == 1 and r.labels[-1] == 4 and r.labels[1:-1] == sorted(r.labels[1:-1]) for r in normal.collect())
-    templates = gait.template_cycles(normal, 3)
-    ends = templates.select((F.get("values", F.lit(0)) - F.get("values", F.lit(19))).alias("d")).collect()
-    assert len(ends) == 12 and all(abs(r.d) < 1e-9 for r in ends)
-    mined = gait.mine_pairs(templates, 12)
+    templates = gait.template_cycles(normal, 4).cache()
+    assert {r.channel for r in templates.collect()} == set(range(1, 13)) and all(len(r["values"]) == len(r.labels) == 20 and set(r.labels) <= {1, 2, 3, 4} for r in templates.collect())
+    assert all(abs(r["values"][0] - r["values"][-1]) < 1e-9 for r in templates.collect())
+    mined = gait.mine_pairs(templates, 12, [1, 2, 3, 4]).cache()
     chosen = [(r.channel, r.a, r.b) for r in mined.orderBy("channel", "a", "b").collect()]
-    assert 6 <= len(chosen) <= 18
+    assert 6 <= len(chosen) <= 18 and all(-10 <= a < b <= 10 and b - a >= 2 for _, a, b in chosen) and mined.where("total <= 0").count() == 0
     rows = gait.phase_samples(points, labelled, FLOOR, JOINTS, chosen, 20)
     samples.write_samples(rows, str(tmp_path / "samples"))
     stored = samples.read_samples(spark, str(tmp_path / "samples"))
-    assert stored.count() == stored.select("seq_id", "frame").distinct().count() > 4 * 440
+    assert stored.count() == stored.select("seq_id", "frame").distinct().count() > 4 * 420
     assert {r.cycle for r in stored.select("cycle").distinct().collect()} == {0, 1, 2, 3}  # the last one is open
     _, score = gait.train_and_evaluate(stored, [1, 2, 3, 4], len(chosen), 5, 4, F.col("seq_id") == 3)
     assert score.first().accuracy > 0.6
