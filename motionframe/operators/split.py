@@ -83,11 +83,10 @@ def pair_quality(long: DataFrame, by: list[str], x: str, label: str, shuffles: i
 class Forest:
     """Trees as one table ``tree, node, feature, threshold, default_left, label, n, risk`` (a leaf's feature is null); children of i are 2i and 2i + 1.
 
-    ``nodes`` may be as large as it likes while it grows or is stored; to predict, its rows are sent to every task, so ``arrays``
-    refuses forests of more than ``MOST`` nodes.
+    To predict, a forest of at most ``MOST`` nodes (33 bytes each) is sent to every task; a larger one is walked level by level with joins.
     """
 
-    MOST = 20_000_000
+    MOST = 1_000_000
     SCHEMA = "tree int, node long, feature int, threshold double, default_left boolean, label {label}, n double, risk double"
 
     def __init__(self, nodes: DataFrame):
@@ -108,20 +107,46 @@ class Forest:
     def trees(self) -> list[int]:
         return sorted(r["tree"] for r in self.nodes.select("tree").distinct().collect())
 
+    def depths(self) -> dict[int, int]:
+        """How many splits the longest path of each tree has."""
+        longest = F.max(F.floor(F.log2(F.col("node").cast("double")) + F.lit(1e-9))).cast("int")
+        return {r["tree"]: r["depth"] for r in self.nodes.groupBy("tree").agg(longest.alias("depth")).collect()}
+
     def arrays(self) -> list[tuple]:
         """Per tree, sorted by node: node, feature (-1 for a leaf), threshold, default_left, label."""
         import numpy as np
 
-        rows = self.nodes.limit(self.MOST + 1).toPandas()
-        if len(rows) > self.MOST:
-            raise ValueError(f"a forest of more than {self.MOST} nodes cannot be sent to every task")
         out = []
-        for _, t in rows.sort_values("node").groupby("tree"):
-            out.append((t["node"].to_numpy(np.int64), t["feature"].fillna(-1).to_numpy(np.int64), t["threshold"].fillna(0.0).to_numpy(float), t["default_left"].fillna(False).to_numpy(bool), t["label"].to_numpy()))
+        for _, t in self.nodes.toPandas().sort_values("node").groupby("tree"):
+            feature, left = t["feature"].astype("Float64").fillna(-1), t["default_left"].astype("boolean").fillna(False)
+            out.append((t["node"].to_numpy(np.int64), feature.to_numpy(np.int64), t["threshold"].astype(float).fillna(0.0).to_numpy(), left.to_numpy(bool), t["label"].to_numpy()))
         return out
 
     def component(self, samples: DataFrame, key: list[str], features: str) -> DataFrame:
-        """``key, given``: every tree's label, in the order of the trees. Missing values go the way of the node's larger side."""
+        """``key, given``: every tree's label, in the order of the trees. Missing values go the way of the node's larger side. ``key`` tells the samples apart."""
+        cast = samples.select(*key, F.transform(features, lambda v: v.cast("double")).alias(features))
+        return self._sent(cast, key, features) if self.nodes.count() <= self.MOST else self._walked(cast, key, features)
+
+    def _walked(self, samples: DataFrame, key: list[str], features: str) -> DataFrame:
+        """``component`` by joins: a sample is one row per tree that goes down a level at a time. A level's nodes are sent to every task while they are few."""
+        from ..session import checkpoint_dir
+
+        checkpoint_dir(samples.sparkSession)
+        live = samples.withColumn("tree", F.explode(F.array(*[F.lit(t) for t in self.trees()]))).withColumn("node", F.lit(1).cast("long")).checkpoint()
+        ended, level = None, 0
+        while not live.isEmpty():
+            here = self.nodes.where((F.col("node") >= 1 << level) & (F.col("node") < 1 << (level + 1))).select("tree", "node", "feature", "threshold", "default_left", "label")
+            met = live.join(few(here), ["tree", "node"]).checkpoint()
+            done = met.where("feature IS NULL").select(*key, "tree", "label")
+            ended = done if ended is None else ended.union(done)
+            v = F.get(features, F.col("feature"))
+            left = F.when(v.isNull() | F.isnan(v), F.col("default_left")).otherwise(v <= F.col("threshold"))
+            live, level = met.where("feature IS NOT NULL").select(*key, features, "tree", (2 * F.col("node") + F.when(left, 0).otherwise(1)).alias("node")), level + 1
+        held = ended.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("tree", "label"))).alias("g"))
+        return held.select(*key, F.transform("g", lambda g: g["label"]).alias("given"))
+
+    def _sent(self, samples: DataFrame, key: list[str], features: str) -> DataFrame:
+        """``component`` with the whole forest in every task."""
         import numpy as np
         import pandas as pd
 
@@ -147,8 +172,7 @@ class Forest:
                     given.append(label[at])
                 yield pdf[key].assign(given=list(np.stack(given, axis=1)) if given else [[] for _ in range(len(pdf))])
 
-        cast = samples.select(*key, F.transform(features, lambda v: v.cast("double")).alias(features))
-        return cast.mapInPandas(run, f"{kinds}, given array<{kind}>")
+        return samples.mapInPandas(run, f"{kinds}, given array<{kind}>")
 
     def predict(self, samples: DataFrame, key: list[str], features: str) -> DataFrame:
         """``key, votes, predicted``: the label most trees give, the smallest of equals; votes are counted inside the row."""
@@ -172,11 +196,50 @@ def least_samples(rows: int) -> int:
     return min(100, max(1, rows // 100))
 
 
+#: Rows of a table that is sent to every task to be joined; rows whose draws one task makes, and how many such groups there are at most.
+FEW, BLOCK, BLOCKS = 100_000, 10_000, 65_536
+
+
+def few(table: DataFrame) -> DataFrame:
+    """``table`` marked to be sent to every task if it is of at most ``FEW`` rows, counted first."""
+    return F.broadcast(table) if table.limit(FEW + 1).count() <= FEW else table
+
+
+def bootstrap_weights(samples: DataFrame, key: str, trees: list[int], seed: int = 1) -> DataFrame:
+    """``key, weights``: how often each of ``trees`` draws the row; a tree's weights are as many draws with replacement as there are rows.
+
+    Rows are dealt to blocks by hash. A tree's draws are split over the blocks by one multinomial draw of their sizes, which every task repeats
+    from the tree's seed, and a block's share over its rows by another. ``key`` tells rows apart; only keys are moved.
+    """
+    import numpy as np
+    import pandas as pd
+
+    keys = samples.select(key)
+    blocks = min(BLOCKS, -(-max(1, keys.count()) // BLOCK))
+    dealt = keys.withColumn("_block", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
+    sizes = np.zeros(blocks, np.int64)
+    for r in dealt.groupBy("_block").count().collect():  # BLOCKS rows at most
+        sizes[r["_block"]] = r["count"]
+    total = int(sizes.sum())
+
+    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
+        block, n = int(pdf["_block"].iloc[0]), len(pdf)
+        pdf = pdf.sort_values(key, kind="stable")
+        weights = np.empty((n, len(trees)), np.int32)
+        for i, t in enumerate(trees):
+            share = np.random.default_rng([seed, t]).multinomial(total, sizes / total)[block]
+            weights[:, i] = np.random.default_rng([seed, t, block]).multinomial(share, np.full(n, 1 / n))
+        return pd.DataFrame({key: pdf[key], "weights": list(weights)})
+
+    kind = samples.schema[key].dataType.simpleString()
+    return dealt.groupBy("_block").applyInPandas(draw, f"{key} {kind}, weights array<int>")
+
+
 def grow_trees(samples: DataFrame, key: str, features: str, label: str, width: int, labels: list, trees: list[int], depth: int, least: int = 2, look: int | None = None, seed: int = 1, bootstrap: bool = True) -> Forest:
     """The given trees, grown together level by level: one split search a level over the open nodes of all of them.
 
-    Each tree weighs the rows by a Poisson draw of the key's hash (a bootstrap). A row carries its node; the splits of a level come to it by a join, so
-    a level is a fixed number of jobs however many trees there are. Every node looks at ``look`` features (those of smallest hash; default
+    Each tree draws as many rows as there are with replacement (``bootstrap_weights``). A row carries its node; the splits of a level come to it by a join, so
+    a level is a fixed number of jobs however many trees there are; splits of few nodes are sent to every task, so that no node is a hot key. Every node looks at ``look`` features (those of smallest hash; default
     ``mtry``). A node is a leaf when it is pure, has ``least`` samples or fewer, has no cut, or is ``depth`` levels down. Missing values go to its larger
     side (right of equals). Ties between features go to the smaller one.
     """
@@ -185,10 +248,10 @@ def grow_trees(samples: DataFrame, key: str, features: str, label: str, width: i
     spark = samples.sparkSession
     checkpoint_dir(spark)
     look = look or mtry(width)
-    u = F.pmod(F.xxhash64(F.col(key), F.lit(seed) * 1000 + F.col("tree")), F.lit(1_000_000)) / 1_000_000.0
-    drawn = F.when(u < 0.367879, 0).when(u < 0.735759, 1).when(u < 0.919699, 2).when(u < 0.981012, 3).otherwise(4) if bootstrap else F.lit(1)
-    rows = samples.select(F.transform(features, lambda v: v.cast("double")).alias("x"), F.col(label).alias("label"), F.col(key), F.explode(F.array(*[F.lit(t).cast("int") for t in trees])).alias("tree"))
-    live = rows.withColumn("w", drawn.cast("double")).where("w > 0").select("tree", F.lit(1).cast("long").alias("node"), "label", "w", "x").checkpoint()
+    rows = samples.select(F.transform(features, lambda v: v.cast("double")).alias("x"), F.col(label).alias("label"), F.col(key))
+    weighed = rows.join(bootstrap_weights(samples, key, trees, seed), key) if bootstrap else rows.withColumn("weights", F.array(*[F.lit(1)] * len(trees)))
+    numbered = weighed.select("x", "label", F.explode(F.arrays_zip(F.array(*[F.lit(t).cast("int") for t in trees]).alias("tree"), F.col("weights").alias("w"))).alias("d"))
+    live = numbered.select(F.col("d.tree").alias("tree"), F.lit(1).cast("long").alias("node"), "label", F.col("d.w").cast("double").alias("w"), "x").where("w > 0").checkpoint()
     at, done = ["tree", "node"], None
     for level in range(depth + 1):
         counted = live.groupBy(*at, "label").agg(F.sum("w").alias("c"))
@@ -198,11 +261,11 @@ def grow_trees(samples: DataFrame, key: str, features: str, label: str, width: i
             opened = facts.where((F.col("n") > least) & (F.col("n") > F.col("top")))
             wanted = F.slice(F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda f: F.struct(F.xxhash64(f, "tree", "node", F.lit(seed)), f.alias("f")))), 1, look)
             asked = opened.select(*at, F.transform(wanted, lambda s: s["f"]).alias("fs"))
-            melted = live.join(asked, at).select(*at, "label", "w", F.explode(F.transform("fs", lambda f: F.struct(f.alias("f"), F.get("x", f).alias("v")))).alias("p")).select(*at, "label", "w", F.col("p.f").alias("f"), F.col("p.v").alias("v"))
+            melted = live.join(few(asked), at).select(*at, "label", "w", F.explode(F.transform("fs", lambda f: F.struct(f.alias("f"), F.get("x", f).alias("v")))).alias("p")).select(*at, "label", "w", F.col("p.f").alias("f"), F.col("p.v").alias("v"))
             melted = melted.checkpoint()
             cuts = best_split(melted, [*at, "f"], "v", "label", labels, 16, "w")
             best = cuts.groupBy(*at).agg(F.min_by(F.struct("f", "threshold"), F.struct(-F.round("quality", 9), F.col("f"))).alias("s"))
-            sides = melted.join(best, at).where(F.col("f") == F.col("s.f")).groupBy(*at).agg(F.first("s").alias("s"), F.sum(F.when(F.col("v") <= F.col("s.threshold"), F.col("w")).when(F.col("v") > F.col("s.threshold"), -F.col("w")).otherwise(0.0)).alias("lean"))
+            sides = melted.join(few(best.checkpoint()), at).where(F.col("f") == F.col("s.f")).groupBy(*at).agg(F.first("s").alias("s"), F.sum(F.when(F.col("v") <= F.col("s.threshold"), F.col("w")).when(F.col("v") > F.col("s.threshold"), -F.col("w")).otherwise(0.0)).alias("lean"))
             splits = sides.select(*at, F.col("s.f").alias("feature"), F.col("s.threshold").alias("threshold"), (F.col("lean") > 0).alias("default_left")).checkpoint()
         nodes = facts.join(splits, at, "left") if splits is not None else facts.withColumns({"feature": F.lit(None).cast("int"), "threshold": F.lit(None).cast("double"), "default_left": F.lit(None).cast("boolean")})
         nodes = nodes.select("tree", "node", F.col("feature").cast("int").alias("feature"), "threshold", "default_left", "label", "n", (F.col("n") - F.col("top")).alias("risk"))
@@ -211,24 +274,33 @@ def grow_trees(samples: DataFrame, key: str, features: str, label: str, width: i
             break
         v = F.get("x", F.col("feature"))
         left = F.when(v.isNull() | F.isnan(v), F.col("default_left")).otherwise(v <= F.col("threshold"))
-        live = live.join(splits, at).select("tree", (2 * F.col("node") + F.when(left, 0).otherwise(1)).cast("long").alias("node"), "label", "w", "x").checkpoint()
+        live = live.join(few(splits), at).select("tree", (2 * F.col("node") + F.when(left, 0).otherwise(1)).cast("long").alias("node"), "label", "w", "x").checkpoint()
     return Forest(done.checkpoint())
 
 
-def grow_forest(samples: DataFrame, key: str, features: str, label: str, width: int, labels: list, trees: int, depth: int, seed: int = 1, chunk: int | None = None, tolerance: float = 5e-4, least: int = 2, look: int | None = None) -> Forest:
+def grow_forest(samples: DataFrame, key: str, features: str, label: str, width: int, labels: list, trees: int, depth: int, seed: int = 1, chunk: int | None = None, tolerance: float = 5e-4, least: int = 2, look: int | None = None, tries: int = 3) -> Forest:
     """A forest of at most ``trees`` trees, ``chunk`` of them grown at a time (default: all).
 
-    After each chunk the training accuracy is looked at, and growing ends when its mean over six looks moves by less than ``tolerance``.
+    A tree whose longest path has fewer than half of ``depth`` splits is not accepted, and another is grown in its place, up to ``tries`` times as
+    many as asked for; if none is accepted that is an error. After each chunk the training accuracy is looked at, and growing ends when its mean over six looks moves by less than ``tolerance``.
     """
     seen: list[float] = []
-    out = None
-    for first in range(0, trees, chunk or trees):
-        more = grow_trees(samples, key, features, label, width, labels, list(range(first, min(trees, first + (chunk or trees)))), depth, least, look, seed)
+    out, accepted, first = None, 0, 0
+    while accepted < trees and first < tries * trees:
+        size = min(chunk or trees, trees - accepted, tries * trees - first)
+        more = grow_trees(samples, key, features, label, width, labels, list(range(first, first + size)), depth, least, look, seed)
+        first += size
+        deep = [t for t, d in more.depths().items() if d >= depth // 2]
+        if not deep:
+            continue
+        more, accepted = more.keep(deep), accepted + len(deep)
         out = more if out is None else Forest(out.nodes.union(more.nodes))
         if chunk:
             seen.append(evaluate(predict_forest(samples, [key, label], features, out), label, "predicted").first().accuracy or 0.0)
             if len(seen) > 6 and abs(sum(seen[-6:]) - sum(seen[-7:-1])) / 6 < tolerance:
                 break
+    if out is None:
+        raise ValueError(f"none of {first} trees has a path of {depth // 2} splits")
     return out
 
 
