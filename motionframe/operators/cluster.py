@@ -418,6 +418,17 @@ def lowest(values: Column) -> Column:
 FAINT = 1e-4
 
 
+def events_of(y: np.ndarray, border: bool = True) -> list[int]:
+    """``persistent_events`` of one series: their positions."""
+    found = persistence(y)
+    heights = sorted(p for *_, p in found if p >= FAINT)
+    if not heights:
+        return []
+    middle, last = heights[len(heights) // 2], len(y) - 1
+    kept = [(lo, hi) for lo, hi, p in found if p > middle and not (border and ({lo, hi} & {0, last}))]
+    return sorted({i for pair in kept for i in pair})
+
+
 def persistent_events(series: DataFrame, keys: list[str], values: str, border: bool = True) -> DataFrame:
     """``keys, pos, value``: minima and maxima of a series that are more persistent than its middle persistence.
 
@@ -430,12 +441,7 @@ def persistent_events(series: DataFrame, keys: list[str], values: str, border: b
             out = []
             for row in pdf.itertuples(index=False):
                 y = np.asarray(row[-1], dtype=np.float64)
-                found = persistence(y)
-                heights = sorted(p for *_, p in found if p >= FAINT)
-                if heights:
-                    middle, last = heights[len(heights) // 2], len(y) - 1
-                    kept = [(lo, hi) for lo, hi, p in found if p > middle and not (border and ({lo, hi} & {0, last}))]
-                    out += [(*row[:-1], i, float(y[i])) for i in sorted({i for pair in kept for i in pair})]
+                out += [(*row[:-1], i, float(y[i])) for i in events_of(y, border)]
             yield pd.DataFrame(out, columns=[*keys, "pos", "value"])
 
     kinds = ", ".join(f"{k} {series.schema[k].dataType.simpleString()}" for k in keys)

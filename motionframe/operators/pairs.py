@@ -55,6 +55,18 @@ def offset_grid(spark, radius: int) -> DataFrame:
     return pairs.withColumn("kind", F.when(F.col("b") <= 0, "left").when(F.col("a") >= 0, "right").otherwise("all"))
 
 
+def offset_support(events: DataFrame, by: list[str], pos: str, radius: int, length: int) -> DataFrame:
+    """``a, b, support``: at how many places (0 to ``length`` - 1) of the series the positions ``a`` and ``b`` off, at most ``radius`` away, both have an event.
+
+    A series has fewer events than samples, so its list is short; each event meets only those within twice the radius.
+    """
+    held = events.groupBy(*by).agg(F.array_sort(F.collect_set(pos)).alias("_p"))
+    first = held.select(*by, "_p", F.explode("_p").alias("_x"))
+    both = first.select("_x", F.explode(F.filter("_p", lambda y: (y > F.col("_x")) & (y - F.col("_x") <= 2 * radius))).alias("_y"))
+    at = both.withColumn("_at", F.explode(F.filter(F.sequence(F.col("_y") - radius, F.col("_x") + radius), lambda p: (p >= 0) & (p < length))))
+    return at.groupBy((F.col("_x") - F.col("_at")).cast("int").alias("a"), (F.col("_y") - F.col("_at")).cast("int").alias("b")).agg(F.count("*").alias("support"))
+
+
 def apply_fields(frames: DataFrame, keys: list[str], left: Column, right: Column, fields: list[tuple[int, list[int], list[float]]]) -> DataFrame:
     """``keys, field, feature``: for each field the factors' sum of left less right at its indices; not a number or infinite becomes 0."""
     one = lambda i, at, by: F.struct(F.lit(i).alias("field"), sum((F.get(left, F.lit(k)).cast("double") - F.get(right, F.lit(k)).cast("double")) * F.lit(f) for k, f in zip(at, by)).alias("feature"))

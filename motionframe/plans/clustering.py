@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import tables
 from ..operators import cluster, fields, templates, warped_join
 from ..operators.cluster import distance_matrix
 from ..session import checkpoint_dir
@@ -60,8 +61,11 @@ def dbscan_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def label_distance_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grid = spark.range(1, 10).select(F.col("id").cast("int").alias("l1"), F.explode(F.sequence(F.lit(1), F.lit(9))).alias("l2"))
-    return grid.select("l1", "l2", _round(cluster.label_distance(9, 2.718281828459045)).alias("distance"))
+    """The distance of every two labels of the series around the circle of labels, and how many series have both kinds."""
+    sizes = _series(spark, sf_dir).groupBy("label").agg(F.count("*").alias("n"))
+    grid = sizes.select((F.col("label") + 1).alias("l1"), "n", F.explode(F.sequence(F.lit(1), F.lit(10))).alias("l2"))
+    both = grid.join(sizes.select((F.col("label") + 1).alias("l2"), F.col("n").alias("m")), "l2")
+    return both.select("l1", "l2", _round(cluster.label_distance(10, 2.718281828459045)).alias("distance"), (F.col("n") + F.col("m")).alias("series"))
 
 
 def _samples(df: DataFrame, values) -> DataFrame:
@@ -190,6 +194,21 @@ def key_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.pair_support(events, ["vec_id"], "pos", 2)
 
 
+def lateral_key_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``key_events`` by a table function beside every series."""
+    tables.register(spark)
+    series = _series(spark, sf_dir)
+    return spark.sql("SELECT a, b, count(*) AS support FROM {series} AS s, LATERAL key_pairs(s.embedding, 2) GROUP BY a, b", series=series)
+
+
+def partitioned_persistence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``persistence_pairs`` by a table function over partitions of samples."""
+    tables.register(spark)
+    samples = _series(spark, sf_dir).select("vec_id", F.posexplode("embedding").alias("pos", "x")).withColumn("x", F.col("x").cast("double"))
+    found = spark.sql("SELECT * FROM persistence_pairs(TABLE(SELECT vec_id, pos, x FROM {samples}) PARTITION BY vec_id ORDER BY pos)", samples=samples)
+    return found.select(F.col("key").alias("vec_id"), "minimum", "maximum", _round(F.col("persistence")).alias("persistence"))
+
+
 def persistence_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -238,7 +257,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         dist_matrix_l1, knn_mean_dist, eps_minpts, radius_neighbours, dbscan_clusters, label_distance_map, detrend, edge_blend, median_argmax, tile_windows, dtw_pairs, dtw_labelled, dtw_exponential, dtw_eps, warped_radius, warped_neighbours, warped_density, warped_clusters, warped_templates,
-        dba_templates, template_labels, spline_fill, linear_fill, global_minimum, key_events, persistence_pairs, field_units, field_search, joint_forest_depth,
+        dba_templates, template_labels, spline_fill, linear_fill, global_minimum, key_events, lateral_key_events, partitioned_persistence, persistence_pairs, field_units, field_search, joint_forest_depth,
     )
 }
 
@@ -289,6 +308,8 @@ ORACLE_SQL = {
       k AS (SELECT o.label, cluster FROM o JOIN eps USING (label) WHERE cluster IS NOT NULL GROUP BY o.label, cluster, min_pts HAVING count(*) > min_pts), kept AS (SELECT o.* FROM o JOIN k ON o.label = k.label AND o.cluster = k.cluster)
       SELECT label, a, cluster FROM kept UNION ALL SELECT label, vec_id, 2 FROM embeddings WHERE label NOT IN (SELECT label FROM kept)""",
     "persistence_pairs": f"WITH {PERSISTENCE} SELECT vec_id, minimum, maximum, round(persistence, 6) + 0.0 AS persistence FROM found",
+    "partitioned_persistence": f"WITH {PERSISTENCE} SELECT vec_id, minimum, maximum, round(persistence, 6) + 0.0 AS persistence FROM found",
+    "lateral_key_events": f"WITH {PERSISTENCE}, {KEY_EVENTS} SELECT l.pos AS a, r.pos AS b, count(*) AS support FROM ev l JOIN ev r ON l.vec_id = r.vec_id AND r.pos >= l.pos + 2 GROUP BY l.pos, r.pos",
     "key_events": f"WITH {PERSISTENCE}, {KEY_EVENTS} SELECT l.pos AS a, r.pos AS b, count(*) AS support FROM ev l JOIN ev r ON l.vec_id = r.vec_id AND r.pos >= l.pos + 2 GROUP BY l.pos, r.pos",
     "linear_fill": f"WITH y AS (SELECT vec_id, list_transform(range(1, 65), lambda i: CASE WHEN i % 5 <> 1 THEN CAST(embedding[i] AS DOUBLE) WHEN i = 1 THEN 2 * CAST(embedding[2] AS DOUBLE) - CAST(embedding[3] AS DOUBLE) ELSE (CAST(embedding[i - 1] AS DOUBLE) + CAST(embedding[i + 1] AS DOUBLE)) / 2 END) AS y FROM embeddings) {_OUT}",
     "global_minimum": "SELECT vec_id, CAST(list_position(embedding, list_min(embedding)) - 1 AS INT) AS pos FROM embeddings",
@@ -304,7 +325,7 @@ ORACLE_SQL = {
       m AS (SELECT p.label, p.vec_id AS a, coalesce((SELECT root FROM root WHERE root.a = p.vec_id), (SELECT min(root) FROM n JOIN root ON n.b = root.a WHERE n.a = p.vec_id)) AS cluster FROM embeddings p),
       k AS (SELECT label, cluster FROM m WHERE cluster IS NOT NULL GROUP BY ALL HAVING count(*) > 3), kept AS (SELECT m.* FROM m JOIN k ON m.label = k.label AND m.cluster = k.cluster)
       SELECT label, a, cluster FROM kept UNION ALL SELECT label, vec_id, 2 FROM embeddings WHERE label NOT IN (SELECT label FROM kept)""",
-    "label_distance_map": "SELECT CAST(a AS INT) AS l1, CAST(b AS INT) AS l2, round(pow(2.718281828459045, CAST(CASE WHEN abs(a - b) > 4 THEN 9 - abs(a - b) ELSE abs(a - b) END AS DOUBLE)), 6) + 0.0 AS distance FROM range(1, 10) AS x(a), range(1, 10) AS z(b)",
+    "label_distance_map": "WITH c AS (SELECT label + 1 AS l, count(*) AS n FROM embeddings GROUP BY label) SELECT CAST(x.l AS INT) AS l1, CAST(y.l AS INT) AS l2, round(pow(2.718281828459045, CAST(CASE WHEN abs(x.l - y.l) > 5 THEN 10 - abs(x.l - y.l) ELSE abs(x.l - y.l) END AS DOUBLE)), 6) + 0.0 AS distance, x.n + y.n AS series FROM c x CROSS JOIN c y",
     "detrend": f"WITH y AS (SELECT vec_id, list_transform({_X}, lambda v, i: v - (CAST(embedding[64] AS DOUBLE) - CAST(embedding[1] AS DOUBLE)) / 64 * (i - 1)) AS y FROM embeddings) {_OUT}",
     "edge_blend": f"WITH m AS (SELECT vec_id, {_X} AS x, (CAST(embedding[1] AS DOUBLE) + CAST(embedding[64] AS DOUBLE)) / 2 AS mid FROM embeddings), y AS (SELECT vec_id, list_transform(x, lambda v, i: CASE WHEN least(i - 1, 64 - i) < 6 THEN mid + (v - mid) * least(i - 1, 64 - i) / 6 ELSE v END) AS y FROM m) {_OUT}",
     "median_argmax": f"WITH m AS (SELECT vec_id, list_transform({_X}, lambda v: round(v, 2)) AS x FROM embeddings) SELECT vec_id, list_sort(x)[33] AS median_upper, CAST(64 - list_position(list_reverse(x), list_max(x)) AS INT) AS argmax_last, CAST(64 - list_position(list_reverse(x), list_min(x)) AS INT) AS argmin_last FROM m",

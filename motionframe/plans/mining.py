@@ -57,7 +57,9 @@ def allocation_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pair_offsets_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs.offset_grid(spark, 8)
+    """All pairs of offsets up to eight samples from a place, and at how many places of the series both are extrema."""
+    seen = pairs.offset_support(_extrema(spark, sf_dir), ["vec_id"], "pos", 8, 64)
+    return pairs.offset_grid(spark, 8).join(seen, ["a", "b"], "left").select("a", "b", "kind", F.coalesce("support", F.lit(0)).cast("long").alias("support"))
 
 
 def pair_diff_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -258,7 +260,8 @@ ORACLE_SQL = {
     "allocation_topk": f"""WITH {_E}, g AS (SELECT l.label, l.pos AS a, r.pos AS b, count(*) AS support FROM e l JOIN e r ON l.vec_id = r.vec_id AND r.pos >= l.pos + 2 GROUP BY l.label, l.pos, r.pos),
       m AS (SELECT label, avg(support) AS mean FROM g GROUP BY label), k AS (SELECT label, CAST(floor(mean / (SELECT sum(mean) FROM m) * 100 + 0.5) AS BIGINT) AS share FROM m),
       o AS (SELECT *, CAST(row_number() OVER (PARTITION BY label ORDER BY support DESC, a, b) AS INT) AS rank FROM g) SELECT label, a, b, support, rank FROM o JOIN k USING (label) WHERE rank <= share""",
-    "pair_offsets_grid": "WITH g AS (SELECT CAST(i AS INT) AS i FROM range(-8, 9) AS x(i)) SELECT l.i AS a, r.i AS b, CASE WHEN r.i <= 0 THEN 'left' WHEN l.i >= 0 THEN 'right' ELSE 'all' END AS kind FROM g l JOIN g r ON l.i < r.i",
+    "pair_offsets_grid": f"""WITH {_E}, g AS (SELECT CAST(i AS INT) AS i FROM range(-8, 9) AS x(i)), s AS (SELECT l.pos - p.i AS a, r.pos - p.i AS b, count(*) AS support FROM e l JOIN e r ON l.vec_id = r.vec_id AND l.pos < r.pos JOIN range(64) AS p(i) ON abs(l.pos - p.i) <= 8 AND abs(r.pos - p.i) <= 8 GROUP BY ALL)
+      SELECT l.i AS a, r.i AS b, CASE WHEN r.i <= 0 THEN 'left' WHEN l.i >= 0 THEN 'right' ELSE 'all' END AS kind, coalesce(support, 0) AS support FROM g l JOIN g r ON l.i < r.i LEFT JOIN s ON s.a = l.i AND s.b = r.i""",
     "pair_diff_features": " UNION ALL ".join("SELECT vec_id, {} AS field, round({}, 6) + 0.0 AS feature FROM embeddings".format(i, " + ".join(f"(CAST(embedding[{k + 1}] AS DOUBLE) - CAST(embedding[{k + 33}] AS DOUBLE)) * {f}" for k, f in zip(at, by))) for i, at, by in FIELDS),
     "anti_similar_fields": f"""WITH {_P}, t AS (SELECT vec_id, label, pos, abs(x) AS m, row_number() OVER (PARTITION BY vec_id ORDER BY abs(x) DESC, pos DESC) AS k FROM p), c AS (SELECT vec_id, label, list(pos) AS ix, round(sum(m ORDER BY k), 6) + 0.0 AS quality FROM t WHERE k <= 4 GROUP BY vec_id, label)
       SELECT label, vec_id, quality FROM c WHERE NOT EXISTS (SELECT 1 FROM c o WHERE o.label = c.label AND (o.quality > c.quality OR (o.quality = c.quality AND o.vec_id < c.vec_id)) AND len(list_intersect(o.ix, c.ix)) / 4.0 > 0.25)""",
