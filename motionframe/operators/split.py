@@ -81,13 +81,16 @@ def pair_quality(long: DataFrame, by: list[str], x: str, label: str, shuffles: i
 
 
 class Forest:
-    """Trees as one table ``tree, node, feature, threshold, default_left, label, n, risk`` (a leaf's feature is null); children of i are 2i and 2i + 1.
+    """Trees as one table ``tree, node, feature, threshold, default_left, label, n, risk, left, right`` (a leaf's feature is null).
+
+    Children of i are 2i and 2i + 1, but for branches that are linked: two of a level that are one node, that of the smaller number, where
+    ``left`` or ``right`` of both their parents lead.
 
     To predict, a forest of at most ``MOST`` nodes (33 bytes each) is sent to every task; a larger one is walked level by level with joins.
     """
 
     MOST = 1_000_000
-    SCHEMA = "tree int, node long, feature int, threshold double, default_left boolean, label {label}, n double, risk double"
+    SCHEMA = "tree int, node long, feature int, threshold double, default_left boolean, label {label}, n double, risk double, left long, right long"
 
     def __init__(self, nodes: DataFrame):
         self.nodes = nodes
@@ -113,13 +116,14 @@ class Forest:
         return {r["tree"]: r["depth"] for r in self.nodes.groupBy("tree").agg(longest.alias("depth")).collect()}
 
     def arrays(self) -> list[tuple]:
-        """Per tree, sorted by node: node, feature (-1 for a leaf), threshold, default_left, label."""
+        """Per tree, sorted by node: node, feature (-1 for a leaf), threshold, default_left, label, left, right."""
         import numpy as np
 
         out = []
         for _, t in self.nodes.toPandas().sort_values("node").groupby("tree"):
             feature, left = t["feature"].astype("Float64").fillna(-1), t["default_left"].astype("boolean").fillna(False)
-            out.append((t["node"].to_numpy(np.int64), feature.to_numpy(np.int64), t["threshold"].astype(float).fillna(0.0).to_numpy(), left.to_numpy(bool), t["label"].to_numpy()))
+            down = [t[c].astype("Int64").fillna(0).to_numpy(np.int64) for c in ("left", "right")]
+            out.append((t["node"].to_numpy(np.int64), feature.to_numpy(np.int64), t["threshold"].astype(float).fillna(0.0).to_numpy(), left.to_numpy(bool), t["label"].to_numpy(), *down))
         return out
 
     def component(self, samples: DataFrame, key: list[str], features: str) -> DataFrame:
@@ -135,13 +139,13 @@ class Forest:
         live = samples.withColumn("tree", F.explode(F.array(*[F.lit(t) for t in self.trees()]))).withColumn("node", F.lit(1).cast("long")).checkpoint()
         ended, level = None, 0
         while not live.isEmpty():
-            here = self.nodes.where((F.col("node") >= 1 << level) & (F.col("node") < 1 << (level + 1))).select("tree", "node", "feature", "threshold", "default_left", "label")
+            here = self.nodes.where((F.col("node") >= 1 << level) & (F.col("node") < 1 << (level + 1))).select("tree", "node", "feature", "threshold", "default_left", "label", "left", "right")
             met = live.join(few(here), ["tree", "node"]).checkpoint()
             done = met.where("feature IS NULL").select(*key, "tree", "label")
             ended = done if ended is None else ended.union(done)
             v = F.get(features, F.col("feature"))
             left = F.when(v.isNull() | F.isnan(v), F.col("default_left")).otherwise(v <= F.col("threshold"))
-            live, level = met.where("feature IS NOT NULL").select(*key, features, "tree", (2 * F.col("node") + F.when(left, 0).otherwise(1)).alias("node")), level + 1
+            live, level = met.where("feature IS NOT NULL").select(*key, features, "tree", F.when(left, F.col("left")).otherwise(F.col("right")).alias("node")), level + 1
         held = ended.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("tree", "label"))).alias("g"))
         return held.select(*key, F.transform("g", lambda g: g["label"]).alias("given"))
 
@@ -160,14 +164,14 @@ class Forest:
                     continue
                 x = np.stack([np.array(v, dtype=np.float64) for v in pdf[features]])
                 given = []
-                for node, feature, threshold, left, label in held.value:
+                for node, feature, threshold, left, label, *ways in held.value:
                     at = np.zeros(len(x), np.int64)  # the root is the first row
                     live = np.flatnonzero(feature[at] >= 0)
                     while len(live):
                         f = at[live]
                         v = x[live, feature[f]]
                         down = np.where(np.isnan(v), left[f], v <= threshold[f])
-                        at[live] = np.searchsorted(node, 2 * node[f] + ~down)
+                        at[live] = np.searchsorted(node, np.where(down, ways[0][f], ways[1][f]))
                         live = live[feature[at[live]] >= 0]
                     given.append(label[at])
                 yield pdf[key].assign(given=list(np.stack(given, axis=1)) if given else [[] for _ in range(len(pdf))])
@@ -235,15 +239,16 @@ def bootstrap_weights(samples: DataFrame, key: str, trees: list[int], seed: int
     return dealt.groupBy("_block").applyInPandas(draw, f"{key} {kind}, weights array<int>")
 
 
-def grow_trees(samples: DataFrame, key: str, features: str, label: str, width: int, labels: list, trees: list[int], depth: int, least: int = 2, look: int | None = None, seed: int = 1, bootstrap: bool = True) -> Forest:
+def grow_trees(samples: DataFrame, key: str, features: str, label: str, width: int, labels: list, trees: list[int], depth: int, least: int = 2, look: int | None = None, seed: int = 1, bootstrap: bool = True, linked: bool = False) -> Forest:
     """The given trees, grown together level by level: one split search a level over the open nodes of all of them.
 
     Each tree draws as many rows as there are with replacement (``bootstrap_weights``). A row carries its node; the splits of a level come to it by a join, so
     a level is a fixed number of jobs however many trees there are; splits of few nodes are sent to every task, so that no node is a hot key. Every node looks at ``look`` features (those of smallest hash; default
     ``mtry``). A node is a leaf when it is pure, has ``least`` samples or fewer, has no cut, or is ``depth`` levels down. Missing values go to its larger
-    side (right of equals). Ties between features go to the smaller one.
+    side (right of equals). Ties between features go to the smaller one. With ``linked`` branches of a level may become one node (``linked.link_branches``).
     """
     from ..session import checkpoint_dir
+    from .linked import link_branches
 
     spark = samples.sparkSession
     checkpoint_dir(spark)
@@ -264,17 +269,27 @@ def grow_trees(samples: DataFrame, key: str, features: str, label: str, width: i
             melted = live.join(few(asked), at).select(*at, "label", "w", F.explode(F.transform("fs", lambda f: F.struct(f.alias("f"), F.get("x", f).alias("v")))).alias("p")).select(*at, "label", "w", F.col("p.f").alias("f"), F.col("p.v").alias("v"))
             melted = melted.checkpoint()
             cuts = best_split(melted, [*at, "f"], "v", "label", labels, 16, "w")
-            best = cuts.groupBy(*at).agg(F.min_by(F.struct("f", "threshold"), F.struct(-F.round("quality", 9), F.col("f"))).alias("s"))
-            sides = melted.join(few(best.checkpoint()), at).where(F.col("f") == F.col("s.f")).groupBy(*at).agg(F.first("s").alias("s"), F.sum(F.when(F.col("v") <= F.col("s.threshold"), F.col("w")).when(F.col("v") > F.col("s.threshold"), -F.col("w")).otherwise(0.0)).alias("lean"))
-            splits = sides.select(*at, F.col("s.f").alias("feature"), F.col("s.threshold").alias("threshold"), (F.col("lean") > 0).alias("default_left")).checkpoint()
-        nodes = facts.join(splits, at, "left") if splits is not None else facts.withColumns({"feature": F.lit(None).cast("int"), "threshold": F.lit(None).cast("double"), "default_left": F.lit(None).cast("boolean")})
-        nodes = nodes.select("tree", "node", F.col("feature").cast("int").alias("feature"), "threshold", "default_left", "label", "n", (F.col("n") - F.col("top")).alias("risk"))
+            best = cuts.groupBy(*at).agg(F.min_by(F.struct("f", "threshold"), F.struct(-F.round("quality", 9), F.col("f"))).alias("s"), F.max("quality").alias("quality"))
+            sides = melted.join(few(best.checkpoint()), at).where(F.col("f") == F.col("s.f")).groupBy(*at).agg(F.first("s").alias("s"), F.first("quality").alias("quality"), F.sum(F.when(F.col("v") <= F.col("s.threshold"), F.col("w")).when(F.col("v") > F.col("s.threshold"), -F.col("w")).otherwise(0.0)).alias("lean"))
+            splits = sides.select(*at, F.col("s.f").alias("feature"), F.col("s.threshold").alias("threshold"), (F.col("lean") > 0).alias("default_left"), "quality").checkpoint()
+        last = splits is None or splits.isEmpty()
+        if not last:
+            v = F.get("x", F.col("feature"))
+            left = F.when(v.isNull() | F.isnan(v), F.col("default_left")).otherwise(v <= F.col("threshold"))
+            live = live.join(few(splits), at).select("tree", (2 * F.col("node") + F.when(left, 0).otherwise(1)).cast("long").alias("node"), "label", "w", "x").checkpoint()
+            splits = splits.withColumns({"left": 2 * F.col("node"), "right": 2 * F.col("node") + 1})
+            if linked and level + 1 < depth:
+                links = link_branches(live, splits, width, look, seed, lambda m, by: best_split(m, by, "v", "label", labels, 16, "w"), few)
+                live = live.join(few(links), at, "left").withColumn("node", F.coalesce("to", "node")).drop("to").checkpoint()
+                for way in ("left", "right"):
+                    splits = splits.join(few(links.withColumnRenamed("node", way)), ["tree", way], "left").withColumn(way, F.coalesce("to", way)).drop("to")
+            nodes = facts.join(splits, at, "left")
+        else:
+            nodes = facts.withColumns({c: F.lit(None).cast(kind) for c, kind in (("feature", "int"), ("threshold", "double"), ("default_left", "boolean"), ("left", "long"), ("right", "long"))})
+        nodes = nodes.select("tree", "node", F.col("feature").cast("int").alias("feature"), "threshold", "default_left", "label", "n", (F.col("n") - F.col("top")).alias("risk"), "left", "right")
         done = nodes if done is None else done.union(nodes)
-        if splits is None or splits.isEmpty():
+        if last:
             break
-        v = F.get("x", F.col("feature"))
-        left = F.when(v.isNull() | F.isnan(v), F.col("default_left")).otherwise(v <= F.col("threshold"))
-        live = live.join(few(splits), at).select("tree", (2 * F.col("node") + F.when(left, 0).otherwise(1)).cast("long").alias("node"), "label", "w", "x").checkpoint()
     return Forest(done.checkpoint())
 
 

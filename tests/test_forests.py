@@ -88,3 +88,64 @@ def test_splits_are_the_best_of_their_node(noisy):
             v = r.x[node.feature]
             at.setdefault(2 * node.node + (0 if (node.default_left if v is None else v <= node.threshold) else 1), []).append(r)
     assert noisy.where(F.size("x") != 4).count() == 0
+
+
+def test_links_off_are_plain_trees(noisy):
+    forest = split.grow_trees(noisy, "k", "x", "y", 4, [0, 1, 2], [0], 3)
+    assert all((r.left, r.right) == (2 * r.node, 2 * r.node + 1) for r in forest.nodes.where("feature IS NOT NULL").collect())
+
+
+def best_of(rows, features=range(4)):
+    best = (0.0, None, None)
+    for f in features:
+        values = sorted((r.x[f], r.y) for r in rows if r.x[f] is not None)
+        left, right = [0] * 3, [sum(c == k for _, c in values) for k in range(3)]
+        for i in range(len(values) - 1):
+            left[values[i][1]] += 1
+            right[values[i][1]] -= 1
+            if values[i + 1][0] > values[i][0] + 2 * 1.1920929e-07:
+                quality = sum(c * c for c in left) / sum(left) + sum(c * c for c in right) / sum(right)
+                if quality > best[0] + 1e-9:
+                    best = (quality, f, (values[i][0] + values[i + 1][0]) / 2)
+    return best
+
+
+def test_linked_branches_against_plain_loops(noisy):
+    forest = split.grow_trees(noisy, "k", "x", "y", 4, [0, 1, 2], [0], 3, look=4, bootstrap=False, linked=True)
+    nodes = {r.node: r for r in forest.nodes.collect()}
+    at, joined = {1: noisy.collect()}, 0
+    for level in range(3):
+        children = {}
+        for node in [n for n in sorted(at) if n.bit_length() == level + 1 and nodes[n].feature is not None]:
+            n = nodes[node]
+            quality, feature, threshold = best_of(at[node])
+            assert (n.feature, n.threshold) == (feature, threshold)
+            for r in at[node]:
+                v = r.x[feature]
+                children.setdefault(2 * node + (0 if (n.default_left if v is None else v <= threshold) else 1), (quality, []))[1].append(r)
+        goes = {c: c for c in children}
+        if level < 2:
+            facts = {}
+            for c, (quality, rows) in children.items():
+                counts = [sum(r.y == k for r in rows) for k in range(3)]
+                facts[c] = (counts.index(max(counts)), 1 - max(counts) / len(rows), quality)
+            offered = [min((c for c in (2 * p, 2 * p + 1) if c in facts), key=lambda c: (facts[c][1], -c)) for p in sorted({c // 2 for c in facts})]
+            pairs = []
+            for i, a in enumerate(offered):
+                for b in offered[i + 1 :]:
+                    if facts[a][0] == facts[b][0]:
+                        quality = best_of(children[a][1] + children[b][1])[0]
+                        if round(quality, 9) > round(min(facts[a][2], facts[b][2]), 9):
+                            pairs.append((-round(quality, 9), a, b))
+            taken = set()
+            for _, a, b in sorted(pairs):
+                if not {a, b} & taken:
+                    taken |= {a, b}
+                    goes[b] = a
+                    joined += 1
+        for c, (_, rows) in children.items():
+            at.setdefault(goes[c], []).extend(rows)
+            assert (nodes[c // 2].left if c % 2 == 0 else nodes[c // 2].right) == goes[c]
+    assert set(nodes) == set(at) and all(nodes[n].n == len(rows) for n, rows in at.items()) and joined
+    leaf = {r.k: nodes[n].label for n, rows in at.items() if nodes[n].feature is None for r in rows}
+    assert {r.k: r.predicted for r in forest.predict(noisy, ["k"], "x").collect()} == leaf
