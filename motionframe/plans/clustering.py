@@ -92,14 +92,13 @@ def tile_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dtw_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Warping cost of all pairs of series of a class, of every eighth sample."""
-    short = _series(spark, sf_dir).select("label", "vec_id", F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.get("embedding", i * 8)).alias("x"))
-    return cluster.dtw_matrix(short, BY, "vec_id", "x").select("label", "a", "b", _round(F.col("d")).alias("cost"))
+    """Warping cost of all pairs of series of a class."""
+    return cluster.dtw_matrix(_series(spark, sf_dir), BY, "vec_id", "embedding").select("label", "a", "b", _round(F.col("d")).alias("cost"))
 
 
 def _signed(spark, sf_dir) -> DataFrame:
-    """Every eighth sample with a label for each: 1 to 3 by its size."""
-    x = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.get("embedding", i * 8).cast("double"))
+    """The series with a label for each sample: 1 to 3 by its size."""
+    x = F.transform("embedding", lambda v: v.cast("double"))
     return _series(spark, sf_dir).select("label", "vec_id", x.alias("x")).withColumn("marks", F.transform("x", lambda v: F.when(v < -0.05, 1).when(v > 0.05, 3).otherwise(2)))
 
 
@@ -120,25 +119,19 @@ def dtw_eps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.estimate_eps(rounded, BY).select("label", _round(F.col("eps")).alias("eps"), "min_pts")
 
 
-#: Radii under warping: of every eighth sample, and of whole series.
-WARPED_EPS, WHOLE_EPS = 0.035, 0.0505
+#: A radius under warping.
+WARPED_EPS = 0.0505
 
 
 def warped_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pairs of series of a class within a radius of warping cost, of every eighth sample."""
-    found = warped_join.warped_within(_signed(spark, sf_dir), BY, "vec_id", "x", WARPED_EPS)
-    return found.select("label", "a", "b", _round(F.col("d")).alias("cost"))
-
-
-def warped_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same of whole series."""
-    found = warped_join.warped_within(_series(spark, sf_dir), BY, "vec_id", "embedding", WHOLE_EPS)
+    """The pairs of series of a class within a radius of warping cost."""
+    found = warped_join.warped_within(_series(spark, sf_dir), BY, "vec_id", "embedding", WARPED_EPS)
     return found.select("label", "a", "b", _round(F.col("d")).alias("cost"))
 
 
 def warped_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Density clusters of whole series at a given radius."""
-    return warped_join.radius_clusters(_series(spark, sf_dir), BY, "vec_id", "embedding", WHOLE_EPS, 3)
+    """Density clusters of warped series at a given radius."""
+    return warped_join.radius_clusters(_series(spark, sf_dir), BY, "vec_id", "embedding", WARPED_EPS, 3)
 
 
 def warped_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,9 +150,8 @@ def warped_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dba_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The classes' mean shapes of every fourth sample, to the end."""
-    rows = _series(spark, sf_dir).select("label", "vec_id", F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.get("embedding", i * 4)).alias("x"))
-    return cluster.barycentres(rows, "label", "vec_id", "x").withColumn("value", _round(F.col("value")))
+    """The classes' mean shapes."""
+    return cluster.barycentres(_series(spark, sf_dir), "label", "vec_id", "embedding").withColumn("value", _round(F.col("value")))
 
 
 def template_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -256,7 +248,7 @@ def joint_forest_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        dist_matrix_l1, knn_mean_dist, eps_minpts, radius_neighbours, dbscan_clusters, label_distance_map, detrend, edge_blend, median_argmax, tile_windows, dtw_pairs, dtw_labelled, dtw_exponential, dtw_eps, warped_radius, warped_neighbours, warped_density, warped_clusters, warped_templates,
+        dist_matrix_l1, knn_mean_dist, eps_minpts, radius_neighbours, dbscan_clusters, label_distance_map, detrend, edge_blend, median_argmax, tile_windows, dtw_pairs, dtw_labelled, dtw_exponential, dtw_eps, warped_radius, warped_density, warped_clusters, warped_templates,
         dba_templates, template_labels, spline_fill, linear_fill, global_minimum, key_events, lateral_key_events, partitioned_persistence, persistence_pairs, field_units, field_search, joint_forest_depth,
     )
 }
@@ -267,26 +259,21 @@ _X = "list_transform(embedding, lambda v: CAST(v AS DOUBLE))"
 _OUT = "SELECT vec_id, CAST(unnest(range(64)) AS INT) AS pos, unnest(list_transform(y, lambda v: round(v, 6) + 0.0)) AS x FROM y"
 
 
-
 def _warped_sql(cell: str) -> str:
-    """Warping costs ``d(label, a, b, d)`` of every eighth sample, a row of the cost table per step."""
-    marks = "list_transform(x, lambda v: CASE WHEN v < -0.05 THEN 1 WHEN v > 0.05 THEN 3 ELSE 2 END)"
-    return f"""s AS (SELECT label, vec_id, list_transform(range(8), lambda i: CAST(embedding[i * 8 + 1] AS DOUBLE)) AS x FROM embeddings), m AS (SELECT *, {marks} AS k FROM s),
-      q AS (SELECT l.label, l.vec_id AS a, r.vec_id AS b, l.x AS x, r.x AS y, l.k AS kp, r.k AS kq FROM m l JOIN m r ON l.label = r.label AND l.vec_id < r.vec_id),
-      cells AS (SELECT label, a, b, i, j, {cell} AS c FROM q, range(1, 9) AS ri(i), range(1, 9) AS rj(j)),
-      g AS (SELECT label, a, b, list(c ORDER BY i, j) AS c FROM cells GROUP BY ALL),
-      t(label, a, b, c, n, cost) AS (SELECT label, a, b, c, 0, list_transform(range(9), lambda j: CASE WHEN j = 0 THEN 0.0 ELSE CAST('inf' AS DOUBLE) END) FROM g
-        UNION ALL SELECT label, a, b, c, n + 1, {_dtw_row()} FROM t WHERE n < 8),
-      d AS (SELECT label, a, b, round(cost[9] / (8 * sqrt(2)), 6) + 0.0 AS d FROM t WHERE n = 8)"""
-
-
-def _dtw_row() -> str:
-    """The next row of the cost table: each cell on the cheapest of the three before it, written out cell by cell."""
-    out, left = ["CAST('inf' AS DOUBLE)"], "CAST('inf' AS DOUBLE)"
-    for j in range(1, 9):
-        left = f"(c[n * 8 + {j}] + least(cost[{j}], cost[{j + 1}], {left}))"
-        out.append(left)
-    return "[" + ", ".join(out) + "]"
+    """Warping costs ``d(label, a, b, d)`` of whole series: the cost table's diagonals one after the other, the last two kept per pair. ``cell`` is the cost of samples i and j.
+
+    Diagonal n holds the cells i + j = n from ``lo(n)`` on; what lies beside the table is null, which ``least`` passes over.
+    """
+    lo = lambda n: f"greatest(1, {n} - 64)"
+    marked = "kp" in cell
+    marks = ", list_transform(x, lambda v: CASE WHEN v < -0.05 THEN 1 WHEN v > 0.05 THEN 3 ELSE 2 END) AS k" if marked else ""
+    kept = "label, a, b, x, y" + (", kp, kq" if marked else "")
+    before = f"least(p[i - {lo('(n - 1)')}], c[i - {lo('n')}], c[i - {lo('n')} + 1])"
+    return f"""s AS (SELECT label, vec_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS x FROM embeddings), m AS (SELECT *{marks} FROM s),
+      q AS (SELECT l.label, l.vec_id AS a, r.vec_id AS b, l.x AS x, r.x AS y{", l.k AS kp, r.k AS kq" if marked else ""} FROM m l JOIN m r ON l.label = r.label AND l.vec_id < r.vec_id),
+      t({kept}, n, p, c) USING KEY (a, b) AS (SELECT {kept}, 2, CAST([] AS DOUBLE[]), [{cell.replace("[i]", "[1]").replace("[j]", "[1]")}] FROM q
+        UNION SELECT {kept}, n + 1, c, list_transform(range({lo("(n + 1)")}, least(64, n) + 1), lambda i: {cell.replace("[j]", "[n + 1 - i]")} + {before}) FROM t WHERE n < 128),
+      d AS (SELECT label, a, b, round(c[1] / (64 * sqrt(2)), 6) + 0.0 AS d FROM t WHERE n = 128)"""
 
 
 _CIRCLE = "pow(2.0, CASE WHEN abs(kp[i] - kq[j]) > 1 THEN 3 - abs(kp[i] - kq[j]) ELSE abs(kp[i] - kq[j]) END)"

@@ -69,9 +69,8 @@ def root_velocity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cycle_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From every position of a cyclic series of eight samples: the samples around it, weighed by their place."""
-    short = F.slice("embedding", 1, 8)
-    rows = _series(spark, sf_dir).select("vec_id", F.explode(cycles.cycle_windows(short)).alias("w"))
+    """From every position of a cyclic series: the samples around it, weighed by their place."""
+    rows = _series(spark, sf_dir).select("vec_id", F.explode(cycles.cycle_windows(F.col("embedding"))).alias("w"))
     weighed = F.aggregate(F.transform("w.window", lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda s, x: s + x)
     return rows.select("vec_id", F.col("w.start").alias("start"), _round(weighed).alias("weighed"))
 
@@ -85,7 +84,7 @@ def factor_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _series(spark, sf_dir).select("vec_id", F.posexplode(F.slice("embedding", 1, 4)).alias("pos", "x")).select("vec_id", "pos", _round(pairs.logistic(F.col("x").cast("double") * 10)).alias("y"))
+    return _series(spark, sf_dir).select("vec_id", F.posexplode("embedding").alias("pos", "x")).select("vec_id", "pos", _round(pairs.logistic(F.col("x").cast("double") * 10)).alias("y"))
 
 
 def extrema_union(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,7 +143,7 @@ def persistence_over(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def balanced_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best cut's quality between neighbouring classes, of draws with as many rows of both."""
-    points = schema.components(_series(spark, sf_dir)).where("pos < 8")
+    points = schema.components(_series(spark, sf_dir))
     both = points.select("pos", "x", F.explode(F.array(F.struct(F.col("label").alias("l1"), F.lit(0).alias("side")), F.struct((F.col("label") - 1).alias("l1"), F.lit(1).alias("side")))).alias("p")).select("pos", "x", "p.l1", "p.side").where("l1 between 0 and 8")
     return split.pair_quality(both, ["pos", "l1"], "x", "side").withColumn("quality", _round(F.col("quality")))
 
@@ -186,9 +185,9 @@ ORACLE_SQL = {
     "asof_right_fuzzy": _fuzzy_sql("a.t - b.t < 3600000.0", "true"),
     "root_velocity": """WITH s AS (SELECT label, vec_id, [CAST(embedding[1] AS DOUBLE), CAST(embedding[2] AS DOUBLE), CAST(embedding[3] AS DOUBLE)] AS q FROM embeddings WHERE embedding[4] > CAST(-0.1 AS DOUBLE)), e AS (SELECT label, arg_min(q, vec_id) AS a, arg_max(q, vec_id) AS b, max(vec_id) - min(vec_id) AS d FROM s GROUP BY label),
       v AS (SELECT label, round(sqrt((b[1] - a[1]) * (b[1] - a[1]) + (b[2] - a[2]) * (b[2] - a[2]) + (b[3] - a[3]) * (b[3] - a[3])) / nullif(d, 0), 9) + 0.0 AS velocity FROM e) SELECT l.label, velocity FROM (SELECT DISTINCT label FROM embeddings) l LEFT JOIN v USING (label)""",
-    "cycle_windows": "SELECT vec_id, CAST(s AS INT) AS start, round(list_sum(list_transform(range(8), lambda k: CAST(embedding[(s + k + 4) % 8 + 1] AS DOUBLE) * (k + 1))), 6) + 0.0 AS weighed FROM embeddings, range(8) AS r(s)",
+    "cycle_windows": "SELECT vec_id, CAST(s AS INT) AS start, round(list_sum(list_transform(range(64), lambda k: CAST(embedding[(s + k + 32) % 64 + 1] AS DOUBLE) * (k + 1))), 6) + 0.0 AS weighed FROM embeddings, range(64) AS r(s)",
     "factor_sort": f"WITH {_P}, t AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, pos DESC) AS k FROM p) SELECT vec_id, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY pos) - 1 AS INT) AS nth, pos AS position, round(x, 6) + 0.0 AS factor FROM t WHERE k <= 4",
-    "logistic": f"WITH {_P} SELECT vec_id, pos, round(1 / (1 + exp(-x * 10)), 6) + 0.0 AS y FROM p WHERE pos < 4",
+    "logistic": f"WITH {_P} SELECT vec_id, pos, round(1 / (1 + exp(-x * 10)), 6) + 0.0 AS y FROM p",
     "extrema_union": f"WITH {_P}, e AS (SELECT vec_id, pos FROM (SELECT *, lag(x) OVER w AS l, lead(x) OVER w AS r FROM p WINDOW w AS (PARTITION BY vec_id ORDER BY pos)) WHERE (x > l AND x > r) OR (x < l AND x < r)) SELECT vec_id, string_agg(pos, ',' ORDER BY pos) AS positions, true AS distinct FROM e GROUP BY vec_id",
     "frame_join": "SELECT vec_id, round(CAST(embedding[6] AS DOUBLE) - CAST(embedding[41] AS DOUBLE), 6) + 0.0 AS apart FROM embeddings",
     "field_features": "SELECT vec_id, CAST(pair AS INT) AS pair, CAST(field AS INT) AS field, round(list_sum(list_transform(range(4), lambda i: (CAST(embedding[32 * pair + (field * 5 + i * 3 + pair) % 16 + 1] AS DOUBLE) - CAST(embedding[32 * pair + 16 + (field * 5 + i * 3 + pair) % 16 + 1] AS DOUBLE)) * (i - 1.5) * (pair + 1))), 6) + 0.0 AS feature FROM embeddings, range(2) AS a(pair), range(16) AS b(field)",

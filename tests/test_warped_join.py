@@ -57,7 +57,7 @@ def test_same_pairs_as_the_matrix(spark, tile):
 def test_clusters_of_whole_series(spark):
     series = spark.read.parquet(f"{SF}/embeddings.parquet").select("label", "vec_id", "embedding")
     matrix = cluster.dtw_matrix(series, ["label"], "vec_id", "embedding").cache()
-    pairs = clustering.warped_neighbours(spark, SF)
-    assert {(r.a, r.b, r.cost) for r in pairs.collect()} == {(r.a, r.b, round(r.d, 6)) for r in matrix.where(F.col("d") <= clustering.WHOLE_EPS).collect()} and pairs.count() > 20
-    expected = cluster.dbscan(matrix, series.select("label", F.col("vec_id").alias("a")), ["label"], F.lit(clustering.WHOLE_EPS), 3)
+    pairs = clustering.warped_radius(spark, SF)
+    assert {(r.a, r.b, r.cost) for r in pairs.collect()} == {(r.a, r.b, round(r.d, 6)) for r in matrix.where(F.col("d") <= clustering.WARPED_EPS).collect()} and pairs.count() > 20
+    expected = cluster.dbscan(matrix, series.select("label", F.col("vec_id").alias("a")), ["label"], F.lit(clustering.WARPED_EPS), 3)
     assert sorted(clustering.warped_density(spark, SF).collect()) == sorted(expected.collect())
