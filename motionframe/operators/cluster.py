@@ -111,10 +111,11 @@ def dbscan(distances: DataFrame, points: DataFrame, by: list[str], eps: Column |
     near = both_ways(distances.join(settings, by).where(F.col("d") <= F.col("eps")), by).checkpoint()  # every later step reads it
     degree = near.groupBy(*by, "a").agg(F.count("*").alias("n"))
     cores = points.join(degree, [*by, "a"], "left").join(settings, by).where(F.coalesce("n", F.lit(0)) + 1 >= F.col("min_pts")).select(*by, "a").distinct()
-    edges = near.join(cores, [*by, "a"], "left_semi").join(cores.select(*by, F.col("a").alias("b")), [*by, "b"], "left_semi")
-    node = lambda c: F.struct(*by, F.col(c).alias("p"))
-    rooted = components(edges.select(node("a").alias("a"), node("b").alias("b"))).select(*[F.col(f"id.{c}").alias(c) for c in by], F.col("id.p").alias("a"), F.col("root.p").alias("root"))
-    core = cores.join(rooted, [*by, "a"], "left").select(*by, "a", F.coalesce("root", "a").alias("root")).checkpoint()
+    numbered = cores.withColumn("_n", F.monotonically_increasing_id()).checkpoint()  # plain numbers for the rounds, whatever the ids are
+    ends = near.join(numbered.withColumnRenamed("_n", "_p"), [*by, "a"]).join(numbered.withColumnRenamed("a", "b").withColumnRenamed("_n", "_q"), [*by, "b"])
+    rooted = components(ends.select(F.col("_p").alias("a"), F.col("_q").alias("b"))).withColumnRenamed("id", "_n")
+    placed = numbered.join(rooted, "_n", "left").withColumn("root", F.coalesce("root", "_n")).checkpoint()
+    core = placed.join(placed.groupBy("root").agg(F.min("a").alias("_first")), "root").select(*by, "a", F.col("_first").alias("root")).checkpoint()
     border = near.join(core.withColumnRenamed("a", "b"), [*by, "b"]).groupBy(*by, "a").agg(F.min("root").alias("near"))
     member = points.select(*by, "a").join(border, [*by, "a"], "left").join(core, [*by, "a"], "left").select(*by, "a", F.coalesce("root", "near").alias("cluster")).where(F.col("cluster").isNotNull())
     sizes = member.groupBy(*by, "cluster").agg(F.count("*").alias("n")).join(settings, by).where(F.col("n") > F.col("min_pts"))
@@ -287,57 +288,6 @@ def barycentres(series: DataFrame, by: str, key: str, values: str, rounds: int =
     return shapes.join(middle.select(by, "members"), by).select(by, F.posexplode("shape").alias("frame", "value"), "members")
 
 
-def cluster_templates(series: DataFrame, by: list[str], key: str, values: str, labels: str | None = None, table: np.ndarray | None = None, lam: float | None = None, order: int = 5, bins: int = 100, rounds: int = 100) -> DataFrame:
-    """``by, cluster, frame, value, members``: warping distances within a class, an estimated radius, density clusters, and each cluster's mean shape.
-
-    Series with missing samples take no part. With ``labels`` the distances are label-aware. Of one class's clusters the one of most members (then
-    of smallest name) is its template.
-    """
-    whole = series.where(~F.exists(values, lambda v: v.isNull() | F.isnan(v)))
-    checkpoint_dir(series.sparkSession)
-    distances = dtw_matrix(whole, by, key, values, labels, table, lam).checkpoint()
-    points = whole.select(*by, F.col(key).alias("a"))
-    member = dbscan(distances, points, by, settings=estimate_eps(distances, by, order, bins, points))
-    named = whole.join(member.withColumnRenamed("a", key), [*by, key]).withColumn("_group", F.to_json(F.struct(*by, "cluster"))).checkpoint()
-    shapes = barycentres(named, "_group", key, values, rounds)
-    return named.select("_group", *by, "cluster").distinct().join(shapes, "_group").drop("_group")
-
-
-def barycentre_labels(series: DataFrame, by: str, values: str, labels: str, shapes: DataFrame) -> DataFrame:
-    """``by, frame, label, share``: how often the members' samples that warp to a frame of their class's shape have each label.
-
-    ``shapes`` is what ``barycentres`` gives (classes by frames). A member's say is its weight 1 / (1 + its warping cost over the
-    length). The frame's label is the one of largest share, see ``frame_labels``.
-    """
-    told = shapes.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("frame", "value"))), lambda p: p["value"]).alias("_shape"))
-    kind = series.schema[by].dataType.simpleString()
-
-    def votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            total: dict[tuple, float] = {}
-            for lo in range(0, len(pdf), 256):
-                some = pdf.iloc[lo : lo + 256]
-                x, shape, given = (np.stack(some[c].to_numpy()) for c in (values, "_shape", labels))
-                cost, step = dtw_batch(shape, x.astype(np.float64))
-                weight = 1 / (1 + cost[-1, -1] / x.shape[1])
-                for k, name in enumerate(some[by]):
-                    i, j = shape.shape[1], x.shape[1]
-                    while i and j:
-                        at = (name, i - 1, int(given[k, j - 1]))
-                        total[at] = total.get(at, 0.0) + float(weight[k])
-                        way = step[i, j, k]
-                        i, j = i - (way != 2), j - (way != 1)
-            yield pd.DataFrame([(*k, v) for k, v in total.items()], columns=[by, "frame", "label", "weight"])
-
-    found = series.select(by, values, labels).join(told, by).mapInPandas(votes, f"{by} {kind}, frame int, label int, weight double").groupBy(by, "frame", "label").agg(F.sum("weight").alias("weight"))
-    return found.select(by, "frame", "label", (F.col("weight") / F.sum("weight").over(Window.partitionBy(by, "frame"))).alias("share"))
-
-
-def frame_labels(shares: DataFrame, by: str) -> DataFrame:
-    """``by, frame, label``: the label of largest share; the smallest of equals."""
-    return shares.groupBy(by, "frame").agg(F.min_by("label", F.struct(-F.round("share", 9), F.col("label"))).alias("label"))
-
-
 def natural_spline(y: np.ndarray, linear: bool = False) -> np.ndarray:
     """Missing (NaN) samples of each row on the natural cubic spline through its others (or on the ``linear`` one); outside them the end's straight line.
 

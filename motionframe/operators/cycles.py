@@ -83,11 +83,16 @@ def segment_cycles(df: DataFrame, by: list[str], t: str, mark: str, start: int =
 def range_owner(frames: DataFrame, ranges: DataFrame, by: list[str], t: str, start: str, end: str, owner: str, width: float) -> DataFrame:
     """``frames`` with the smallest ``owner`` whose closed range holds the frame; frames without one are dropped.
 
-    Ranges are posted to the time buckets of ``width`` they touch, so the join is on equal buckets and a filter.
+    A range is posted to the one or two time buckets it touches, of the smallest width, ``width`` times a power of two, that is as long as it is; frames
+    are posted to their bucket of each width that occurs. So the join is on equal buckets and a filter, and a long range is two rows like a short one.
     """
-    bucket = lambda c: F.floor(c / F.lit(width)).cast("long")
-    posted = ranges.select(*by, F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(owner).alias("_o"), F.explode(F.sequence(bucket(F.col(start)), bucket(F.col(end)))).alias("_b"))
-    held = frames.withColumn("_b", bucket(F.col(t))).join(posted, [*by, "_b"]).where((F.col(t) >= F.col("_s")) & (F.col(t) <= F.col("_e")))
+    long = F.greatest((F.col(end) - F.col(start)) / F.lit(width), F.lit(1.0))
+    sized = ranges.where(F.col(end) >= F.col(start)).select(*by, F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(owner).alias("_o"), F.ceil(F.log2(long)).cast("int").alias("_k"))
+    bucket = lambda c: F.floor(c / (F.lit(width) * F.pow(F.lit(2.0), F.col("_k")))).cast("long")
+    posted = sized.withColumn("_b", F.explode(F.sequence(bucket(F.col("_s")), bucket(F.col("_e")))))
+    levels = sorted(r["_k"] for r in sized.select("_k").distinct().collect())  # at most as many as a double's exponents
+    held = frames.withColumn("_k", F.explode(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>"))).withColumn("_b", bucket(F.col(t)))
+    held = held.join(posted, [*by, "_k", "_b"]).where((F.col(t) >= F.col("_s")) & (F.col(t) <= F.col("_e")))
     return held.groupBy(*frames.columns).agg(F.min("_o").alias(owner))
 
 

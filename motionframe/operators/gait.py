@@ -122,11 +122,10 @@ def prune_pairs(supports: DataFrame, neighbour: int = 3) -> DataFrame:
     out = supports.select("a", "b", "support")
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in out.schema)
     for own, other in (("a", "b"), ("b", "a")):
-        sizes = out.agg(F.count("*").alias("n"), F.count_distinct(own).alias("m")).first()
-        most = max(1, int(sizes["n"] / max(1, sizes["m"]) + 0.5))
+        most = F.greatest(F.lit(1), F.floor(F.count("*") / F.greatest(F.lit(1), F.count_distinct(own)) + 0.5)).cast("int")
 
         def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(["support", other], ascending=[False, True])  # noqa: B023
+            pdf, most = pdf.drop(columns="_most").sort_values(["support", other], ascending=[False, True]), pdf["_most"].iloc[0]  # noqa: B023
             taken: list[int] = []
             rows = []
             for i, x in enumerate(pdf[other]):  # noqa: B023
@@ -135,7 +134,7 @@ def prune_pairs(supports: DataFrame, neighbour: int = 3) -> DataFrame:
                     rows.append(i)
             return pdf.iloc[rows]
 
-        out = out.groupBy(own).applyInPandas(keep, kinds)
+        out = out.join(F.broadcast(out.agg(most.alias("_most")))).groupBy(own).applyInPandas(keep, kinds)  # one row
     return out
 
 

@@ -78,12 +78,19 @@ def apply_fields(frames: DataFrame, keys: list[str], left: Column, right: Column
 def drop_similar(candidates: DataFrame, by: list[str], key: str, indices: str, quality: str, limit: float = 0.25) -> DataFrame:
     """Candidates to which no better one of their group is similar: shared indices over the larger set above ``limit``. Ties: the smaller key is better.
 
-    Only candidates that share an index are compared.
+    Indices of a candidate are distinct. A candidate is posted under its rarest indices only, so many that whoever is similar to it has one of them posted, too; an
+    index that most candidates have brings none of them together. Those that meet are compared whole.
     """
-    posted = candidates.select(*by, key, quality, F.size(indices).alias("n"), F.explode(indices).alias("i"))
-    other = posted.select(*by, "i", F.col(key).alias("_k"), F.col(quality).alias("_q"), F.col("n").alias("_n"))
+    sized = candidates.select(*by, key, quality, F.col(indices).alias("_ix"), F.size(indices).alias("_n"))
+    each = sized.select(*by, key, "_n", F.explode("_ix").alias("_i"))
+    spread = each.groupBy(*by, "_i").agg(F.count("*").alias("_df"))
+    rare = Window.partitionBy(*by, key).orderBy("_df", "_i")
+    least = F.floor(F.col("_n") * F.lit(limit) + F.lit(1e-9)) + 1  # indices that it shares with any that is similar to it
+    posted = each.join(spread, [*by, "_i"]).withColumn("_r", F.row_number().over(rare)).where((F.col("_r") <= F.col("_n") - least + 1) & (F.col("_df") > 1)).select(*by, "_i", key)
+    met = posted.join(posted.withColumnRenamed(key, "_k"), [*by, "_i"]).where(F.col(key) != F.col("_k")).select(*by, key, "_k").distinct()
+    other = sized.select(*by, F.col(key).alias("_k"), F.col(quality).alias("_q"), F.col("_ix").alias("_jx"), F.col("_n").alias("_m"))
     better = (F.col("_q") > F.col(quality)) | ((F.col("_q") == F.col(quality)) & (F.col("_k") < F.col(key)))
-    beaten = posted.join(other, [*by, "i"]).where(better).groupBy(*by, key, "_k", "n", "_n").agg(F.count("*").alias("shared")).where(F.col("shared") / F.greatest("n", "_n") > limit)
+    beaten = met.join(sized, [*by, key]).join(other, [*by, "_k"]).where(better & (F.size(F.array_intersect("_ix", "_jx")) / F.greatest("_n", "_m") > limit))
     return candidates.join(beaten.select(*by, key).distinct(), [*by, key], "left_anti")
 
 

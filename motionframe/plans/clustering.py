@@ -155,10 +155,10 @@ def dba_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def template_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The classes' shapes with a label for each frame, voted by the signs of the samples that warp to it."""
+    """The classes' shapes and a label for each frame, voted by the samples that warp to it; warping looks at labels, too."""
     rows = _signed(spark, sf_dir).withColumnRenamed("label", "class")
-    shapes = cluster.barycentres(rows, "class", "vec_id", "x")
-    return cluster.frame_labels(cluster.barycentre_labels(rows, "class", "x", "marks", shapes), "class")
+    found = templates.labelled_barycentres(rows, "class", "vec_id", "x", "marks", cluster.label_table(3, 2.0))
+    return found.withColumns({c: _round(F.col(c)) for c in ("value", "share")})
 
 
 def spline_fill(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -150,3 +150,26 @@ def test_typed_tables(spark, tmp_path):
         samples.write_table(found, str(tmp_path / "m"), schema.MINED_PAIRS)
     with pytest.raises(ValueError, match="field"):
         samples.read_table(spark, str(tmp_path / "f"), schema.FIELDS)
+
+
+def test_similar_candidates_go(spark):
+    from motionframe.operators import pairs
+
+    rng = np.random.default_rng(8)
+    rows = [(int(rng.integers(2)), i, sorted({0, *rng.choice(25, int(rng.integers(1, 7)), replace=False).tolist()} - ({0} if i % 5 == 0 else set())), float(rng.integers(6))) for i in range(120)]  # nearly all have index 0
+    df = spark.createDataFrame(rows, "g int, k int, ix array<int>, q double")
+    for limit in (0.25, 0.5, 0.8):
+        kept = {r.k for r in pairs.drop_similar(df, ["g"], "k", "ix", "q", limit).collect()}
+        beaten = {k for g, k, ix, q in rows for h, j, jx, p in rows if g == h and (p > q or (p == q and j < k)) and ix and jx and len({*ix} & {*jx}) / max(len(ix), len(jx)) > limit}
+        assert kept == {k for _, k, *_ in rows} - beaten and beaten
+
+
+def test_owners_of_long_and_short_ranges(spark):
+    from motionframe.operators import cycles
+
+    rng = np.random.default_rng(3)
+    frames = [(int(rng.integers(2)), float(rng.integers(-500, 4000)) / 2) for _ in range(150)]
+    ranges = [(int(rng.integers(2)), i, a, a + w) for i, (a, w) in enumerate(zip((rng.integers(-200, 1500, 30) / 1.0).tolist(), [0.0, 1.0, 3.0, 8.0, 100.0, 1e6] * 5))]
+    found = cycles.range_owner(spark.createDataFrame(frames, "s int, t double").distinct(), spark.createDataFrame(ranges, "s int, o int, a double, b double"), ["s"], "t", "a", "b", "o", 2.0)
+    expected = {(s, t): min(o for r, o, a, b in ranges if r == s and a <= t <= b) for s, t in frames if any(r == s and a <= t <= b for r, _, a, b in ranges)}
+    assert {(r.s, r.t): r.o for r in found.collect()} == expected

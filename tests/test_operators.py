@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from motionframe import schema
 from motionframe.functions import geometry as g
-from motionframe.operators import cluster, cycles, pairs, split, trajectory
+from motionframe.operators import cluster, cycles, pairs, split, templates, trajectory
 
 
 def test_gap_fill_leaves_ends_open(spark):
@@ -170,15 +170,14 @@ def test_eps_falls_back(spark):
 def test_templates_of_two_shapes(spark):
     rng = np.random.default_rng(1)
     wave = np.sin(np.linspace(0, 6, 12))
-    rows = [(i, 0, ((wave if i < 12 else -3 * wave) + rng.normal(0, 0.3, 12)).tolist()) for i in range(24)]
-    rows.append((99, 0, [float("nan")] * 12))
-    df = spark.createDataFrame(rows, "vec_id long, label int, x array<double>")
-    found = cluster.cluster_templates(df, ["label"], "vec_id", "x").toPandas()
-    assert len(found) and not found.value.isna().any() and (found.groupby("cluster").frame.count() == 12).all() and found.groupby("cluster").members.first().sum() <= 24
-    for name, shape in ((0, wave), (12, -3 * wave)):
-        if set(found[found.cluster == name].members) != {12}:
-            continue
-        assert np.abs(found[found.cluster == name].sort_values("frame").value.to_numpy() - shape).max() < 1.0
+    rows = [(i, 0, ((wave if i < 12 else -3 * wave) + rng.normal(0, 0.3, 12)).tolist(), [1] * 12) for i in range(24)]
+    rows.append((99, 0, [float("nan")] * 12, [1] * 12))
+    df = spark.createDataFrame(rows, "vec_id long, label int, x array<double>, m array<int>")
+    found = templates.clustered_templates(df, ["label"], "vec_id", "x", "m", cluster.label_table(1, 2.0), lam=None).collect()
+    assert found and all(len(r["values"]) == 12 and not np.isnan(r["values"]).any() and r.labels == [1] * 12 for r in found) and sum(r.members for r in found) <= 24
+    for r in found:
+        if r.members == 12 and r.cluster in (0, 12):
+            assert np.abs(np.array(r["values"]) - (wave if r.cluster == 0 else -3 * wave)).max() < 1.0
 
 
 def test_persistent_events_drop_faint_and_border_extrema(spark):
@@ -190,10 +189,9 @@ def test_persistent_events_drop_faint_and_border_extrema(spark):
 def test_barycentre_of_copies_is_the_copy_with_its_labels(spark):
     x, marks = [0.0, 1.0, 4.0, 2.0], [1, 1, 2, 3]
     df = spark.createDataFrame([(i, 0, x, marks) for i in range(5)], "k long, c int, x array<double>, m array<int>")
-    shapes = cluster.barycentres(df, "c", "k", "x")
-    assert [r.value for r in shapes.orderBy("frame").collect()] == x
-    found = cluster.frame_labels(cluster.barycentre_labels(df, "c", "x", "m", shapes), "c").orderBy("frame").collect()
-    assert [r.label for r in found] == marks
+    assert [r.value for r in cluster.barycentres(df, "c", "k", "x").orderBy("frame").collect()] == x
+    found = templates.labelled_barycentres(df, "c", "k", "x", "m", cluster.label_table(3, 2.0), None).orderBy("frame").collect()
+    assert [(r.value, r.label) for r in found] == list(zip(x, marks))
 
 
 def test_empty_tables(spark):
