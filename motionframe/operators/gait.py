@@ -90,13 +90,13 @@ def normalise_cycles(points: DataFrame, labelled: DataFrame, floor: tuple[float,
     return asked.select("seq_id", "cycle", "channel", F.transform("p", lambda q: F.get(q["channels"], F.col("channel") - 1)).alias("values"), F.transform("p", lambda q: q["label"]).alias("labels"))
 
 
-def template_cycles(normal: DataFrame, labels: int, base: float = 2.0, lam: float = 10.0, rounds: int = 100, edge: float = 0.1) -> DataFrame:
+def template_cycles(normal: DataFrame, labels: int, base: float = 2.0, lam: float = 10.0, rounds: int = 100, edge: float = 0.1, order: int = 5, aware: bool = True) -> DataFrame:
     """``channel, cluster, values, labels, members``: each channel's clusters of cycles as closed mean shapes with phases.
 
-    Cycles are clustered by label-aware warping distances at the radius that these suggest (``templates.clustered_templates``).
+    Cycles are clustered by warping distances, label-aware or not, at the radius that these suggest (``templates.clustered_templates``).
     """
     keyed = normal.withColumn("key", F.xxhash64("seq_id", "cycle"))
-    return templates.clustered_templates(keyed, ["channel"], "key", "values", "labels", cluster.label_table(labels, base), lam, rounds=rounds, edge=edge)
+    return templates.clustered_templates(keyed, ["channel"], "key", "values", "labels", cluster.label_table(labels, base), lam, order, rounds=rounds, edge=edge, aware=aware)
 
 
 def mine_pairs(shapes: DataFrame, budget: int, labels: list[int], neighbour: int = 2, draws: int = 4) -> DataFrame:

@@ -36,6 +36,16 @@ def friend_counts(pairs: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", (F.col("da") + F.col("db") - 2).alias("friends"))
 
 
+def friends(pairs: DataFrame) -> DataFrame:
+    """``a, b, c, d``: the other pairs ``c, d`` that share an endpoint with the pair ``a, b``, each once.
+
+    Pairs of positions are at most half the square of a series' length, however many series there are, and so are their endpoints' lists.
+    """
+    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("_end"))
+    other = ends.select(F.col("a").alias("c"), F.col("b").alias("d"), "_end")
+    return ends.join(other, "_end").where((F.col("a") != F.col("c")) | (F.col("b") != F.col("d"))).select("a", "b", "c", "d").distinct()
+
+
 def allocate(groups: DataFrame, weight: str, budget: int) -> DataFrame:
     """``share``: the budget in proportion to ``weight``, rounded half up."""
     total = groups.agg(F.sum(weight).alias("_total"))

@@ -122,22 +122,25 @@ def labelled_barycentres(series: DataFrame, by: str, key: str, values: str, labe
     return points.join(won, [by, "frame"], "left").select(by, "frame", "value", "label", "share", "members")
 
 
-def clustered_templates(series: DataFrame, by: list[str], key: str, values: str, labels: str, table: np.ndarray, lam: float | None = 10.0, order: int = 5, bins: int = 100, rounds: int = 100, edge: float | None = None, eps: float | None = None) -> DataFrame:
+def clustered_templates(series: DataFrame, by: list[str], key: str, values: str, labels: str, table: np.ndarray, lam: float | None = 10.0, order: int = 5, bins: int = 100, rounds: int = 100, edge: float | None = None, eps: float | None = None, aware: bool = True) -> DataFrame:
     """``by, cluster, values, labels, members``: label-aware distances within a class, density clusters, one labelled mean shape per cluster.
 
+    There are two ways to measure: with labels (``aware``), or on the samples alone, for distances and barycentres both; labels are voted in either.
+    ``order`` is how many bin means the estimated radius may rest on.
+
     The radius is estimated from all distances, or is ``eps`` (then three series make a core). Series with missing samples take no part. With ``edge`` that share of a shape at both ends ramps to the middle of its
     ends, so that a cycle closes.
     """
     checkpoint_dir(series.sparkSession)
     whole = series.where(~F.exists(values, lambda v: v.isNull() | F.isnan(v)))
     points = whole.select(*by, F.col(key).alias("a"))
-    distances = cluster.dtw_matrix(whole, by, key, values, labels, table).checkpoint()
+    distances = (cluster.dtw_matrix(whole, by, key, values, labels, table) if aware else cluster.dtw_matrix(whole, by, key, values)).checkpoint()
     if eps is None:
         member = cluster.dbscan(distances, points, by, settings=cluster.estimate_eps(distances, by, order, bins, points))
     else:
         member = cluster.dbscan(distances, points, by, F.lit(eps), 3)
     named = whole.join(member.withColumnRenamed("a", key), [*by, key]).withColumn("_group", F.to_json(F.struct(*by, "cluster"))).checkpoint()
-    shapes = labelled_barycentres(named, "_group", key, values, labels, table, lam, rounds)
+    shapes = labelled_barycentres(named, "_group", key, values, labels, table, lam if aware else None, rounds)
     held = shapes.groupBy("_group", "members").agg(F.array_sort(F.collect_list(F.struct("frame", "value", "label"))).alias("p"))
     rows = named.select("_group", *by, "cluster").distinct().join(held, "_group").select(*by, "cluster", F.transform("p", lambda q: q["value"]).alias("values"), F.transform("p", lambda q: q["label"]).alias("labels"), "members")
     return rows if edge is None else rows.withColumn("values", cluster.edge_blend(F.col("values"), edge))

@@ -45,6 +45,13 @@ def endpoint_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.endpoint_support(_pairs(spark, sf_dir)).withColumn("mean_support", _round(F.col("mean_support")))
 
 
+def friend_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which pairs of positions share an endpoint, of those of above mean support."""
+    found = _pairs(spark, sf_dir)
+    mean = found.agg(F.avg("support").alias("mean"))
+    return pairs.friends(found.join(F.broadcast(mean)).where(F.col("support") > F.col("mean")))  # one row
+
+
 def pair_friends(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.friend_counts(_pairs(spark, sf_dir))
 
@@ -217,7 +224,7 @@ def forest_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        extrema_local, event_pairs_support, endpoint_support, pair_friends, allocation_topk, pair_offsets_grid, pair_diff_features, anti_similar_fields, field_filter, clean_samples, frame_partition_semi, label_histogram,
+        extrema_local, event_pairs_support, endpoint_support, pair_friends, friend_pairs, allocation_topk, pair_offsets_grid, pair_diff_features, anti_similar_fields, field_filter, clean_samples, frame_partition_semi, label_histogram,
         majority_risk, best_split_embeddings, best_split_lineitem, two_class_quality, pair_slopes, pair_class_quality, mined_pairs, drawn_class_quality, branch_assign, vote_majority, vote_counts, accuracy, marginals, forest_predict,
     )
 }
@@ -256,6 +263,7 @@ ORACLE_SQL = {
     "extrema_local": f"WITH {_E} SELECT vec_id, pos, round(x, 6) + 0.0 AS x, kind FROM e",
     "event_pairs_support": f"WITH {_S} SELECT a, b, support FROM s",
     "endpoint_support": f"WITH {_S} SELECT pos, count(*) AS pairs, round(avg(support), 6) + 0.0 AS mean_support FROM (SELECT unnest([a, b]) AS pos, support FROM s) GROUP BY pos",
+    "friend_pairs": f"WITH {_S}, k AS (SELECT a, b FROM s WHERE support > (SELECT avg(support) FROM s)) SELECT l.a, l.b, r.a AS c, r.b AS d FROM k l JOIN k r ON (l.a = r.a OR l.a = r.b OR l.b = r.a OR l.b = r.b) AND NOT (l.a = r.a AND l.b = r.b)",
     "pair_friends": f"WITH {_S} SELECT l.a, l.b, count(r.a) AS friends FROM s l LEFT JOIN s r ON (l.a = r.a OR l.a = r.b OR l.b = r.a OR l.b = r.b) AND NOT (l.a = r.a AND l.b = r.b) GROUP BY l.a, l.b",
     "allocation_topk": f"""WITH {_E}, g AS (SELECT l.label, l.pos AS a, r.pos AS b, count(*) AS support FROM e l JOIN e r ON l.vec_id = r.vec_id AND r.pos >= l.pos + 2 GROUP BY l.label, l.pos, r.pos),
       m AS (SELECT label, avg(support) AS mean FROM g GROUP BY label), k AS (SELECT label, CAST(floor(mean / (SELECT sum(mean) FROM m) * 100 + 0.5) AS BIGINT) AS share FROM m),

@@ -272,6 +272,13 @@ def decode_tensor(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, element, int(np.prod(shape)), 24 + 4 * dims).reshape(shape)
 
 
+def numbered_files(spark: SparkSession, path: str, ending: str = "") -> DataFrame:
+    """``id, path, bytes`` of the files below ``path`` whose name starts with a number and ends in ``ending``; listed, not read."""
+    name = F.element_at(F.split("path", "/"), -1)
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.col("length").alias("bytes"))
+    return listed.where(name.endswith(ending) & name.rlike("^[0-9]+")).select(F.regexp_extract(name, "^([0-9]+)", 1).cast("long").alias("id"), "path", "bytes")
+
+
 def read_tensors(spark: SparkSession, path: str) -> DataFrame:
     """``path, position, value``: every element of the tensor files below ``path`` with its place (one number per dimension)."""
 

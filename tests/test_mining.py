@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from motionframe import schema
 from motionframe.operators import cluster, mining, templates
 from motionframe.plans import mining as plans
-from motionframe.sources import samples
+from motionframe.sources import containers, samples
 from tests.conftest import SF
 
 
@@ -137,6 +137,23 @@ def test_clustered_templates_close(spark):
         assert np.abs(np.array(r["values"][2:-2]) - (wave if r.cluster == 0 else -3 * wave)[2:-2]).max() < 0.5
 
 
+def test_templates_by_samples_alone(spark):
+    rng = np.random.default_rng(2)
+    wave = np.sin(np.linspace(0, 6, 10))
+    rows = [(i, 0, (wave + rng.normal(0, 0.05, 10)).tolist(), [1 + (i >= 8)] * 10) for i in range(16)]  # one shape, labels far apart
+    df = spark.createDataFrame(rows, "k long, channel int, x array<double>, m array<int>")
+    sizes = {aware: sorted(r.members for r in templates.clustered_templates(df, ["channel"], "k", "x", "m", cluster.label_table(2, 50.0), eps=0.06, aware=aware).collect()) for aware in (True, False)}
+    assert sizes[False] == [16] and sizes[True] != [16]
+
+
+def test_files_by_their_number(spark, tmp_path):
+    for name in ("12_left.featpair", "7.featpair", "x3.featpair", "30.samples", "deep/5a.featpair"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(b"1234")
+    found = containers.numbered_files(spark, str(tmp_path), ".featpair").collect()
+    assert sorted((r.id, r.path.rsplit("/", 1)[1], r.bytes) for r in found) == [(5, "5a.featpair", 4), (7, "7.featpair", 4), (12, "12_left.featpair", 4)]
+
+
 def test_typed_tables(spark, tmp_path):
     candidates, found = plans._class_qualities(spark, SF)
     samples.write_table(found, str(tmp_path / "q"), schema.PAIR_QUALITIES)
