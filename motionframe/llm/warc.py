@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .spread import lookup
 from .storage import Scratch, table
 
 #: Equal payloads of at least so many bytes become one response and revisits of it.
@@ -18,8 +19,8 @@ REVISIT_FROM = 1000
 DATE = "2024-01-01T00:00:00Z"
 CRLF = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: The headers of a payload with more copies than this are spread over one place per so many; small tables are joined in SALTS parts.
-HOT, SALTS = 1000, 16
+#: The headers of a payload with more copies than this are spread over one place per so many.
+HOT = 1000
 
 
 def _payload(html: str = "html") -> Column:
@@ -30,10 +31,6 @@ def _sha256(payload: Column) -> Column:
     return F.unhex(F.sha2(payload, 256))
 
 
-def _spread(column: str) -> Column:
-    return F.pmod(F.xxhash64(column), F.lit(SALTS)).cast("int")
-
-
 def facts_of(pages: DataFrame) -> DataFrame:
     """``page_id, record_id, url, payload_sha256, sha1, n, block_sha1``: what headers need to know of each page, without its payload.
 
@@ -71,10 +68,9 @@ def shared_payloads(facts: DataFrame) -> DataFrame:
 def headers_of(facts: DataFrame, shared: DataFrame, revisit_from: int = REVISIT_FROM, date: str = DATE) -> DataFrame:
     """``page_id, record_id, payload_sha256, copies, header``: the exact bytes (as text) before each record's payload.
 
-    Both sides of the join are dealt by digest and a salt, so that the headers of one common payload go to ``SALTS`` places.
+    The rows of common payloads stay where they are (``spread.lookup``).
     """
-    salted = shared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = facts.withColumn("salt", _spread("record_id")).join(salted, ["payload_sha256", "salt"], "left")
+    rows = lookup(facts, shared, "payload_sha256", "copies", facts.count())
     revisit = (F.col("n") >= revisit_from) & F.col("first_page").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_page"))
     http = http_header(F.col("n"))
     block = F.octet_length(http) + F.when(revisit, F.lit(0)).otherwise(F.col("n"))
