@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from .cluster import dbscan, dtw_cost
 
-#: Segments whose envelopes bound a cost, series of a cell in one tile, pairs bounded at once.
-SEGMENTS, TILE, BLOCK = 8, 100, 128
+#: Segments whose envelopes bound a cost, series of a cell in one tile, pairs bounded at once, such blocks after which a task may stop bounding.
+SEGMENTS, TILE, BLOCK, TRIAL = 8, 100, 128, 4
 
 
 def envelope_bound(x: np.ndarray, y: np.ndarray, segments: int = SEGMENTS) -> np.ndarray:
@@ -72,11 +72,16 @@ def warped_candidates(series: DataFrame, by: list[str], key: str, values: str, e
     near = _met(home, guests, [*by, "c", "d"], tile).where((F.col("a") < F.col("b")) & (ends <= slack) & (apart("high") <= slack) & (apart("low") <= slack))
 
     def bounded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tried = passed = 0
         for pdf in batches:
             for lo in range(0, len(pdf), BLOCK):
                 part = pdf.iloc[lo : lo + BLOCK]
+                if tried >= TRIAL * BLOCK and passed > 0.9 * tried:  # bounds that hardly exclude a pair are not worth their time; its cost decides
+                    yield part[[*by, "a", "b", "x", "y"]]
+                    continue
                 x, y = (np.stack(part[c].to_numpy()) for c in ("x", "y"))
                 keep = np.maximum(envelope_bound(x, y, segments), envelope_bound(y, x, segments)) <= part["r"].to_numpy() * (1 + 1e-9)
+                tried, passed = tried + len(part), passed + int(keep.sum())
                 yield part.loc[keep, [*by, "a", "b", "x", "y"]]
 
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in by)

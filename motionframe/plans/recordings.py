@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..operators import phases, standardise
+from ..session import checkpoint_dir
 
 BY = ["seq_id"]
 #: In hours: how far from an instant its frame may be, and how much time a task sorts at once.
@@ -25,9 +26,15 @@ def _round(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(F.col(c), 6) + F.lit(0.0) for c in columns})
 
 
+def _owned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frames by cycle, written once, as all later steps read them."""
+    checkpoint_dir(spark)
+    return phases.own_cycles(_frames(spark, sf_dir), BY, "t", "mark").checkpoint()
+
+
 def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    owned = phases.own_cycles(_frames(spark, sf_dir), BY, "t", "mark")
-    return phases.phase_windows(owned, phases.cycle_durations(owned, BY, "t", ["v"], LEAST), BY, "t", TOLERANCE, WIDTH)
+    owned = _owned(spark, sf_dir)
+    return phases.phase_windows(owned, phases.cycle_durations(owned, BY, "t", ["v"], LEAST).checkpoint(), BY, "t", TOLERANCE, WIDTH)
 
 
 def cycle_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +51,7 @@ def phase_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def phase_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled rows of the frames of all cycles, open ends included."""
     frames = _frames(spark, sf_dir).select("seq_id", "t", F.array("v").alias("values"))
-    rows = phases.phase_samples(_windows(spark, sf_dir), frames, BY, ["event_id"], "t", "values", PAIRS, TOLERANCE, WIDTH)
+    rows = phases.phase_samples(_windows(spark, sf_dir).checkpoint(), frames, BY, ["event_id"], "t", "values", PAIRS, TOLERANCE, WIDTH)
     return rows.select("seq_id", "event_id", "cycle", "whole", F.col("mark").alias("label"), *[(F.round(F.col("features")[i], 6) + F.lit(0.0)).alias(f"f{i}") for i in range(len(PAIRS))])
 
 
@@ -54,8 +61,8 @@ LENGTH, REACH = 16, 60.0
 
 def standard_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every cycle at even times: whole ones and the open last one from their start on, the open first one back from its end."""
-    owned = phases.own_cycles(_frames(spark, sf_dir), BY, "t", "mark")
-    cycles = standardise.anchors(phases.cycle_durations(owned, BY, "t", ["v"], LEAST))
+    owned = _owned(spark, sf_dir)
+    cycles = standardise.anchors(phases.cycle_durations(owned, BY, "t", ["v"], LEAST)).checkpoint()
     frames = phases.members(owned, BY, "t").withColumn("values", F.array("v"))
     rows = standardise.standardise(frames, cycles, BY, "t", "values", "mark", LENGTH, TOLERANCE, len(schema.CYCLE_EVENTS), REACH)
     return _round(rows.withColumn("value", F.get("values", F.lit(0))), "share", "value").select("seq_id", "cycle", "nth", "share", "value", "label")
