@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from motionframe import schema
-from motionframe.operators import cluster, split
+from motionframe.operators import cluster, split, tiles
 from motionframe.plans import clustering, samples
 from motionframe.plans import mining as plans
 from tests.conftest import SF
@@ -103,3 +103,24 @@ def test_barycentres(spark):
     for c in range(3):
         assert found[found.c == c].sort_values("frame").value.tolist() == pytest.approx(plain_barycentre([r[2] for r in rows if r[0] == c]), abs=1e-7)
     assert clustering.dba_templates(spark, SF).where("value IS NULL").count() == 0
+
+
+def test_lowest_bins_only(spark):
+    rng = np.random.default_rng(3)
+    rows = spark.createDataFrame([(0, i, [float(v) for v in rng.normal(size=4)]) for i in range(700)], "c int, k long, x array<double>")
+    assert tiles.meet(rows, ["c"], "k", "x", [], lambda u: iter([{"a": u.left.keys[:1], "n": np.ones(1, np.int64)}]), "n long").count() > 1  # several tiles
+    whole = tiles.bin_means(rows, ["c"], "k", "x", tiles.by_l1(6), 20).toPandas()
+    some = tiles.bin_means(rows, ["c"], "k", "x", tiles.by_l1(6), 20, few=5).toPandas()
+    assert len(some) < len(whole)  # the others never leave a task
+    lowest = lambda t: t.sort_values(["a", "bin"]).groupby("a").head(5).reset_index(drop=True)
+    a, b = lowest(whole), lowest(some)
+    assert (a[["a", "bin"]] == b[["a", "bin"]]).all().all()
+    assert np.allclose(a.m, b.m, rtol=1e-12)
+
+
+def test_tiles_of_a_class_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(tiles, "SPREAD", 1)
+    rows = spark.createDataFrame([(0, i, [float(i)]) for i in range(900)], "c int, k long, x array<double>")
+    units = tiles.meet(rows, ["c"], "k", "x", [], lambda u: iter([{"a": u.left.keys[:1], "n": np.ones(1, np.int64)}]), "n long").count()
+    assert units == 16 * 17 // 2
+    assert tiles.counts(rows, ["c"], "k", "x", tiles.by_l1(), 1.5).agg(F.sum("n")).first()[0] == 2 * 899
