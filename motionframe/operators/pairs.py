@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import comb
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,12 +88,38 @@ def apply_fields(frames: DataFrame, keys: list[str], left: Column, right: Column
     return rows.select(*keys, F.col("f.field").alias("field"), F.when(F.isnan(value) | (F.abs(value) == float("inf")) | value.isNull(), F.lit(0.0)).otherwise(value).alias("feature"))
 
 
+#: Sets of shared indices that a candidate is posted under at most.
+SETS = 64
+
+
+def _best_of_sets(candidates: DataFrame, by: list[str], key: str, indices: str, quality: str, size: int, need: int) -> DataFrame:
+    """``drop_similar`` where all candidates have ``size`` indices and similar ones share ``need`` of them."""
+    at = lambda k: F.get("_ix", F.lit(k))
+    sets = F.array(*[F.array(*[at(k) for k in some]) for some in combinations(range(size), need)])
+    ranked = candidates.where(F.col(quality).isNotNull() & (F.size(indices) > 0)).select(*by, key, quality, F.array_sort(indices).alias("_ix"))
+    posted = ranked.select(*by, key, quality, F.explode(sets).alias("_set"))
+    first = F.struct(F.when(F.isnan(quality), 0).otherwise(1), -F.col(quality), F.col(key))  # a quality that is no number is above all others
+    held = posted.groupBy(*by, "_set").agg(F.min_by(key, first).alias("_k"))
+    beaten = posted.join(held, [*by, "_set"]).where(F.col(key) != F.col("_k"))
+    return candidates.join(beaten.select(*by, key).distinct(), [*by, key], "left_anti")
+
+
 def drop_similar(candidates: DataFrame, by: list[str], key: str, indices: str, quality: str, limit: float = 0.25) -> DataFrame:
     """Candidates to which no better one of their group is similar: shared indices over the larger set above ``limit``. Ties: the smaller key is better.
 
     Indices of a candidate are distinct. A candidate is posted under its rarest indices only, so many that whoever is similar to it has one of them posted, too; an
     index that most candidates have brings none of them together. Those that meet are compared whole.
+
+    Where all candidates have one number of indices, and few sets of as many as similar ones share, no pairs are made at all: a candidate goes if any such
+    set of its own has a better one, and each set's best is one aggregate.
     """
+    sizes = candidates.where(F.size(indices) > 0).agg(F.min(F.size(indices)).alias("least"), F.max(F.size(indices)).alias("most")).first()
+    if sizes["least"] is not None and sizes["least"] == sizes["most"]:
+        need = int(sizes["most"] * limit + 1e-9) + 1
+        if need > sizes["most"]:
+            return candidates
+        if comb(sizes["most"], need) <= SETS:
+            return _best_of_sets(candidates, by, key, indices, quality, sizes["most"], need)
     sized = candidates.select(*by, key, quality, F.col(indices).alias("_ix"), F.size(indices).alias("_n"))
     each = sized.select(*by, key, "_n", F.explode("_ix").alias("_i"))
     spread = each.groupBy(*by, "_i").agg(F.count("*").alias("_df"))

@@ -181,6 +181,21 @@ def test_similar_candidates_go(spark):
         assert kept == {k for _, k, *_ in rows} - beaten and beaten
 
 
+def test_similar_candidates_of_one_size_meet_in_no_pairs(spark, capsys):
+    from motionframe.operators import pairs
+
+    rng = np.random.default_rng(9)
+    rows = [(int(rng.integers(2)), i, rng.choice(14, 4, replace=False).tolist(), [float(rng.integers(6)), float("nan"), None][int(i % 20 == 3) + int(i % 20 == 7) * 2]) for i in range(150)]
+    df = spark.createDataFrame(rows, "g int, k int, ix array<int>, q double")
+    rank = lambda q: float("inf") if q != q else q
+    for limit in (0.25, 0.5, 1.0):
+        found = pairs.drop_similar(df, ["g"], "k", "ix", "q", limit)
+        beaten = {k for g, k, ix, q in rows for h, j, jx, p in rows if g == h and p is not None and q is not None and (rank(p) > rank(q) or (rank(p) == rank(q) and j < k)) and len({*ix} & {*jx}) / 4 > limit}
+        assert {r.k for r in found.collect()} == {k for _, k, *_ in rows} - beaten
+        found.explain()
+        assert "_jx" not in capsys.readouterr().out  # candidates are not compared with each other
+
+
 def test_owners_of_long_and_short_ranges(spark):
     from motionframe.operators import cycles
 
