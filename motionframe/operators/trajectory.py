@@ -6,10 +6,18 @@ a window in descending order, so every frame only ever grows at one end.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import gcd
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
+
+#: Points and neighbours fitted at once.
+CELLS = 1 << 18
 
 _PAST = (Window.unboundedPreceding, Window.currentRow)
 
@@ -88,29 +96,73 @@ def smooth_reach(df: DataFrame, by: list[str], t: str, v: str, reach: float) ->
     return lowess(spans, by, t, v, F.coalesce("_span", F.lit(1.0)))
 
 
+def _fitted(t: np.ndarray, v: np.ndarray, first: np.ndarray, n: np.ndarray, k: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The local regression at ``rows`` of points sorted by time; a row's trajectory is the ``n`` points from ``first`` on, its neighbours the nearest ``k``."""
+    last = first + n - k  # neighbours are consecutive: from where on, between these two
+    low, high = np.maximum(first, rows - k + 1), np.minimum(last, rows)
+    while True:  # the first place from which on the one after the neighbours is not nearer than their first
+        open_ = np.flatnonzero(low < high)
+        if not len(open_):
+            break
+        middle = (low[open_] + high[open_]) // 2
+        here = t[rows[open_]]
+        moved = np.abs(t[middle] - here) > np.abs(t[middle + k[open_]] - here)
+        low[open_], high[open_] = np.where(moved, middle + 1, low[open_]), np.where(moved, high[open_], middle)
+    out, order = np.empty(len(rows)), np.argsort(k, kind="stable")
+    at = 0
+    while at < len(order):
+        width = int(k[order[at]])
+        end = min(int(np.searchsorted(k[order], width, "right")), at + max(1, CELLS // width))
+        part = order[at:end]
+        near = low[part, None] + np.arange(width)
+        x, y = t[near] - t[rows[part], None], v[near]
+        d = np.abs(x)
+        reach = d.max(axis=1, keepdims=True)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            u = d / reach
+        w = np.where(u <= 0.001, 1.0, np.where(u >= 0.999, 0.0, (1 - u**3) ** 3))
+        w = np.where(reach == 0, 1.0, w)
+        s, wx, wxx, wy, wxy = w.sum(axis=1), (w * x).sum(axis=1), (w * x * x).sum(axis=1), (w * y).sum(axis=1), (w * x * y).sum(axis=1)
+        spread = s * wxx - wx * wx
+        line = spread > 1e-9 * s * wxx
+        out[part] = np.where(line, (wxx * wy - wx * wxy) / np.where(line, spread, 1.0), wy / s)
+        at = end
+    return out
+
+
 def lowess(df: DataFrame, by: list[str], t: str, v: str, span: float | Column) -> DataFrame:
     """``smooth``: locally linear regression with tricube weights over the nearest ``span`` share of a trajectory's points.
 
-    The neighbours of a point are consecutive in time, so each point is joined to the rank window around it that can hold
-    them, the nearest are kept, and the weighted least squares are closed sums.
+    The neighbours of a point are consecutive in time. Trajectories are sorted and numbered by windows and then stream through the task, which holds no
+    more of one than its points' neighbours; points are fitted many at a time, and no pair of them is a row.
     """
     order = Window.partitionBy(*by).orderBy(t)
     share = span if isinstance(span, Column) else F.lit(span)
-    ranked = df.where(F.col(v).isNotNull()).select(*by, F.col(t).alias("t"), F.col(v).alias("v"), share.alias("_share")).withColumn("n", F.count("*").over(Window.partitionBy(*by))).withColumn("r", F.row_number().over(order))
-    k = F.greatest(F.lit(2), F.least(F.col("n"), F.floor(F.col("n") * F.col("_share") + F.lit(1e-10)))).cast("int")
-    ranked = ranked.withColumn("k", k).drop("_share")
-    asked = ranked.withColumn("_r", F.explode(F.sequence(F.greatest(F.lit(1), F.col("r") - F.col("k") + 1), F.least(F.col("n"), F.col("r") + F.col("k") - 1))))
-    other = ranked.select(*by, F.col("r").alias("_r"), F.col("t").alias("_t"), F.col("v").alias("_v"))
-    near = asked.join(other, [*by, "_r"]).withColumn("_d", F.abs(F.col("_t") - F.col("t")))
-    close = Window.partitionBy(*by, "r").orderBy("_d", "_t")
-    near = near.withColumn("_q", F.row_number().over(close)).where(F.col("_q") <= F.col("k")).withColumn("_h", F.max("_d").over(Window.partitionBy(*by, "r")))
-    u = F.col("_d") / F.nullif(F.col("_h"), F.lit(0.0))
-    w = F.when(u <= 0.001, 1.0).when(u >= 0.999, 0.0).otherwise(F.pow(1 - F.pow(u, F.lit(3)), F.lit(3)))
-    x = F.col("_t") - F.col("t")
-    sums = near.withColumn("_w", F.coalesce(w, F.lit(1.0))).withColumn("_x", x).groupBy(*by, "r", "t", "v").agg(
-        F.sum("_w").alias("w"), F.sum(F.col("_w") * F.col("_x")).alias("wx"), F.sum(F.col("_w") * F.col("_x") * F.col("_x")).alias("wxx"),
-        F.sum(F.col("_w") * F.col("_v")).alias("wy"), F.sum(F.col("_w") * F.col("_x") * F.col("_v")).alias("wxy"),
-    )
-    spread = F.col("w") * F.col("wxx") - F.col("wx") * F.col("wx")
-    fit = (F.col("wxx") * F.col("wy") - F.col("wx") * F.col("wxy")) / F.nullif(F.when(spread > 1e-9 * F.col("w") * F.col("wxx"), spread), F.lit(0.0))
-    return sums.select(*by, "t", "v", F.coalesce(fit, F.col("wy") / F.col("w")).alias("smooth"))
+    known = df.where(F.col(v).isNotNull()).select(*by, F.col(t).alias("t"), F.col(v).alias("v"), share.alias("_share"))
+    ranked = known.withColumns({"_n": F.count("*").over(Window.partitionBy(*by)), "_r": F.row_number().over(order)})
+    k = F.greatest(F.lit(2), F.least(F.col("_n"), F.floor(F.col("_n") * F.col("_share") + F.lit(1e-10))))
+    sorted_ = ranked.withColumn("_k", F.least(k, F.col("_n")).cast("long")).drop("_share").sortWithinPartitions(*by, "_r")
+    form = StructType([*[f for f in sorted_.schema.fields if f.name not in ("_n", "_r", "_k")], StructField("smooth", DoubleType())])
+    target = to_arrow_schema(form)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, fitted = None, 0  # rows that are not fitted yet or still neighbours, and how many of them are fitted
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = pa.Table.from_batches([batch])
+            held = new if held is None else pa.concat_tables([held, new]).combine_chunks()
+            number, size, k = (held.column(c).to_numpy().astype(np.int64) for c in ("_r", "_n", "_k"))
+            place = np.arange(len(number))
+            ready = place + np.minimum(k - 1, size - number) < len(number)  # all points that may be neighbours are here
+            end = len(ready) if ready.all() else max(fitted, int(np.argmin(ready)))
+            if end > fitted:
+                rows = np.arange(fitted, end)
+                x, y = (held.column(c).cast(pa.float64()).to_numpy() for c in ("t", "v"))
+                smooth = _fitted(x, y, (place - number + 1)[rows], size[rows], k[rows], rows)
+                out = held.slice(fitted, end - fitted).select([f.name for f in target if f.name != "smooth"]).append_column("smooth", pa.array(smooth))
+                yield from out.cast(target).to_batches()
+            least = len(number) if end == len(number) else max(0, int(np.maximum(place - number + 1, place - k + 1)[end:].min()))
+            held, fitted = (held.slice(least), end - least) if least < len(number) else (None, 0)
+
+    return sorted_.mapInArrow(run, form)
