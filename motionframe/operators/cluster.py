@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -13,6 +13,14 @@ from ..session import checkpoint_dir
 
 MAX_ROUNDS = 100
 
+#: Shapes that are sent to every task at most.
+SHAPES = 10_000
+
+
+def sender(shapes: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """What marks these shapes' later states to be sent to every task if there are at most ``SHAPES``, so that series stay where they are in every round."""
+    return F.broadcast if shapes.limit(SHAPES + 1).count() <= SHAPES else lambda later: later
+
 
 def l1(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, d: s + d)
@@ -294,9 +302,9 @@ def barycentres(series: DataFrame, by: str, key: str, values: str, rounds: int =
                 frames = s.shape[1]
                 yield pd.DataFrame({by: np.repeat(names, frames), "frame": np.tile(np.arange(frames, dtype=np.int32), len(names)), "s": s.ravel(), "n": n.ravel()})
 
-    moving = shapes.select(by)
+    moving, send = shapes.select(by), sender(shapes)
     for _ in range(rounds):
-        met = placed.select(by, "x").join(shapes.select(by, "shape").join(moving, by, "left_semi"), by)
+        met = placed.select(by, "x").join(send(shapes.select(by, "shape").join(moving, by, "left_semi")), by)
         found = met.mapInPandas(sums, f"{by} {kind}, frame int, s double, n double").groupBy(by, "frame").agg((F.sum("s") / F.sum("n")).alias("v"))
         new = found.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("frame", "v"))).alias("p")).select(by, F.transform("p", lambda q: q["v"]).alias("next"))
         fresh = F.col("next").isNotNull() & ~F.array_contains("_seen", seen(F.col("next")))

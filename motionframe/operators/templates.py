@@ -94,9 +94,9 @@ def labelled_barycentres(series: DataFrame, by: str, key: str, values: str, labe
                 c, f, m = np.nonzero(total[0])
                 yield pd.DataFrame({by: names[c], "frame": f.astype(np.int32), "mark": m.astype(np.int32), "n": total[0][c, f, m], "sx": total[1][c, f, m], "sc": total[2][c, f, m], "lo": low[c], "hi": high[c]})
 
-    moving, said = shapes.select(by), None
+    moving, said, send = shapes.select(by), None, cluster.sender(shapes)
     for _ in range(rounds):
-        met = placed.join(shapes.select(by, "shape", "shares").join(moving, by, "left_semi"), by)
+        met = placed.join(send(shapes.select(by, "shape", "shares").join(moving, by, "left_semi")), by)
         found = met.mapInPandas(sums, f"{by} {kind}, frame int, mark int, n double, sx double, sc double, lo double, hi double")
         found = found.groupBy(by, "frame", "mark").agg(F.sum("n").alias("n"), F.sum("sx").alias("sx"), F.sum("sc").alias("sc"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).checkpoint()
         more = found.select(by, "frame", "mark", "n", "sc", "lo", "hi")

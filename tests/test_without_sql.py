@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from motionframe import schema
-from motionframe.operators import cluster, split, tiles
+from motionframe.operators import cluster, split, tiles, trajectory
 from motionframe.plans import clustering, samples
 from motionframe.plans import mining as plans
 from tests.conftest import SF
@@ -124,3 +124,48 @@ def test_tiles_of_a_class_are_bounded(spark, monkeypatch):
     units = tiles.meet(rows, ["c"], "k", "x", [], lambda u: iter([{"a": u.left.keys[:1], "n": np.ones(1, np.int64)}]), "n long").count()
     assert units == 16 * 17 // 2
     assert tiles.counts(rows, ["c"], "k", "x", tiles.by_l1(), 1.5).agg(F.sum("n")).first()[0] == 2 * 899
+
+
+def test_shapes_are_sent_to_the_series(spark, capsys):
+    rng = np.random.default_rng(4)
+    rows = spark.createDataFrame([(i % 3, i, [float(v) for v in rng.normal(size=6)]) for i in range(30)], "c int, k long, x array<double>")
+    seen, few = [], cluster.SHAPES
+    spark_map = type(rows).mapInPandas
+
+    def spy(self, *args, **kw):
+        self.explain()
+        seen.append(capsys.readouterr().out)
+        return spark_map(self, *args, **kw)
+
+    type(rows).mapInPandas = spy
+    try:
+        found = {(r.c, r.frame): r.value for r in cluster.barycentres(rows, "c", "k", "x", 3).collect()}
+        cluster.SHAPES = 2  # fewer than the classes: both sides are shuffled
+        moved = {(r.c, r.frame): r.value for r in cluster.barycentres(rows, "c", "k", "x", 3).collect()}
+    finally:
+        type(rows).mapInPandas, cluster.SHAPES = spark_map, few
+    assert "BroadcastHashJoin" in seen[0]
+    assert set(found) == set(moved) and all(abs(found[k] - moved[k]) < 1e-9 for k in found)
+
+
+def test_regression_streams_through_small_batches(spark, capsys):
+    rng = np.random.default_rng(5)
+    rows = [(c, float(x), float(rng.normal())) for c, n in enumerate((1, 2, 3, 40, 61)) for x in np.sort(rng.choice(200, n, replace=False))]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        frame = trajectory.lowess(spark.createDataFrame(rows, "c int, t double, v double"), ["c"], "t", "v", 0.2)
+        found = {(r.c, r.t): r.smooth for r in frame.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    frame.explain()
+    assert "Join" not in capsys.readouterr().out  # neighbours are no rows
+    assert len(found) == len(rows)
+    for c, t, _ in rows:
+        own = [(abs(x - t), x, v) for d, x, v in rows if d == c]
+        near = sorted(own)[: min(len(own), max(2, int(len(own) * 0.2 + 1e-10)))]
+        h = near[-1][0]
+        w = np.array([1.0 if h == 0 or d / h <= 0.001 else 0.0 if d / h >= 0.999 else (1 - (d / h) ** 3) ** 3 for d, *_ in near])
+        x, y = np.array([x - t for _, x, _ in near]), np.array([v for *_, v in near])
+        spread = w.sum() * (w * x * x).sum() - (w * x).sum() ** 2
+        expected = ((w * x * x).sum() * (w * y).sum() - (w * x).sum() * (w * x * y).sum()) / spread if spread > 1e-9 * w.sum() * (w * x * x).sum() else (w * y).sum() / w.sum()
+        assert found[c, t] == pytest.approx(expected, abs=1e-9)
