@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import cluster, pairs, split
+from ..session import checkpoint_dir
+from . import cluster, cuts, pairs
 
 
 def key_pairs(templates: DataFrame, keys: list[str], values: str, neighbour: int = 2, crowd: int = 10) -> DataFrame:
@@ -76,20 +77,37 @@ def class_quality(slopes: DataFrame, by: list[str], row: list[str], label: str,
     With ``draws`` it is the mean over as many draws that take as many rows of every class as the rarest has (those of smallest hash of ``row``, which
     tells rows apart); a candidate that lacks a class has none. Without, all rows count. Classes that no cut parts have no row.
     """
-    kept = slopes.where(F.col(label).isin(labels)).select(*by, *row, label, x)
-    group = list(by)
-    if draws:
-        counts = kept.groupBy(*by, label).agg(F.count("*").alias("n")).groupBy(*by).agg(F.min("n").alias("_least"), F.count("*").alias("_classes")).where(F.col("_classes") == len(labels))
-        drawn = kept.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-        order = Window.partitionBy(*by, "draw", label).orderBy(F.xxhash64("draw", F.lit(seed), *row), *row)
-        kept, group = drawn.withColumn("_r", F.row_number().over(order)).join(counts, by).where(F.col("_r") <= F.col("_least")), [*by, "draw"]
-    other = F.explode(F.array(*map(F.lit, labels)))
-    both = kept.select(*group, x, F.col(label).cast("int").alias("_c"), other.alias("_o")).where("_c <> _o")
-    both = both.select(*group, x, F.least("_c", "_o").alias("l1"), F.greatest("_c", "_o").alias("l2"), (F.col("_c") < F.col("_o")).cast("int").alias("_first"))
-    found = split.best_split(both, [*group, "l1", "l2"], x, "_first", [0, 1], 8)
+    kept = slopes.where(F.col(label).isin(labels)).select(*by, *row, F.col(label).cast("int").alias(label), x)
+    names = sorted(labels)
+    if not draws:
+        return cuts.pair_cuts(kept, by, x, label, names).select(*by, "l1", "l2", "quality")
+    found = cuts.pair_cuts(drawn(kept, by, row, label, len(names), draws, seed), by, x, label, names, [f"_draw{d}" for d in range(draws)])
     return found.groupBy(*by, "l1", "l2").agg(F.avg("quality").alias("quality"))
 
 
+def drawn(rows: DataFrame, by: list[str], row: list[str], label: str, classes: int, draws: int, seed: int) -> DataFrame:
+    """``rows`` of the groups that have all ``classes``, with ``_draw0``, ``_draw1``, ..: 1 for each draw that takes the row, else 0.
+
+    A draw takes as many rows of a class as the rarest has, those of least hash, then of least ``row``. Hashes are counted by their first byte; only rows whose byte
+    is that of the last one taken are ranked, so no class is sorted.
+    """
+    checkpoint_dir(rows.sparkSession)
+    hashes = F.array(*[F.xxhash64(F.lit(d).cast("int"), F.lit(seed), *row) for d in range(draws)])
+    hashed = rows.select(*by, label, *row, F.posexplode(hashes).alias("draw", "_h")).withColumn("_byte", F.shiftright("_h", 56))
+    counted = hashed.groupBy(*by, label, "draw", "_byte").agg(F.count("*").alias("n"))
+    sizes = counted.where("draw = 0").groupBy(*by, label).agg(F.sum("n").alias("n")).groupBy(*by).agg(F.min("n").alias("_least"), F.count("*").alias("_classes")).where(F.col("_classes") == classes).drop("_classes")
+    line = Window.partitionBy(*by, label, "draw").orderBy("_byte")
+    ends = counted.withColumn("_upto", F.sum("n").over(line)).join(sizes, by).where((F.col("_upto") >= F.col("_least")) & (F.col("_upto") - F.col("n") < F.col("_least")))
+    ends = ends.select(*by, label, "draw", "_byte", (F.col("_least") - (F.col("_upto") - F.col("n"))).alias("_rank")).checkpoint()
+    small = F.broadcast if ends.count() <= cuts.SENT else lambda d: d
+    order = Window.partitionBy(*by, label, "draw").orderBy("_h", *row)
+    last = hashed.join(small(ends), [*by, label, "draw", "_byte"]).withColumn("_r", F.row_number().over(order)).where("_r = _rank").select(*by, label, "draw", F.struct("_h", *row).alias("_last"))
+    lasts = last.groupBy(*by, label).agg(F.map_from_entries(F.collect_list(F.struct("draw", "_last"))).alias("_lasts")).checkpoint()
+    met = rows.join(small(lasts), [*by, label])
+    taken = lambda d: F.struct(F.xxhash64(F.lit(d).cast("int"), F.lit(seed), *row).alias("_h"), *row) <= F.try_element_at("_lasts", F.lit(d))
+    return met.select(*rows.columns, *[taken(d).cast("int").alias(f"_draw{d}") for d in range(draws)])
+
+
 def summed_quality(qualities: DataFrame, candidates: DataFrame, channel: str) -> DataFrame:
     """``channel, a, b, total``: every candidate's qualities summed over the pairs of classes, 0 where it has none."""
     sums = qualities.groupBy(channel, "a", "b").agg(F.sum("quality").alias("_total"))
