@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import cuts
+
 
 def label_histogram(samples: DataFrame, by: list[str], label: str, labels: list) -> DataFrame:
     """``by, label, n`` with a row (0) for each declared label."""
@@ -20,35 +22,15 @@ def majority(samples: DataFrame, by: list[str], label: str) -> DataFrame:
     return best.select(*by, "majority", "n", (F.col("n") - F.col("top")).alias("risk"), ((F.col("n") - F.col("top")) / F.col("n")).alias("local_risk"))
 
 
-def best_split(long: DataFrame, by: list[str], x: str, label: str, labels: list, buckets: int = 64, weight: str | None = None) -> DataFrame:
+def best_split(long: DataFrame, by: list[str], x: str, label: str, labels: list, buckets: int = cuts.BINS, weight: str | None = None) -> DataFrame:
     """``by, threshold, quality``: the cut of each feature that maximises sum L_c^2 / L + sum R_c^2 / R; ties go to the smaller threshold.
 
-    ``long`` has one row per sample and feature (``by``); missing values take no part; neighbouring values must differ by
-    more than twice the float epsilon to be cut between, at their midpoint. A feature's sorted scan is dealt to buckets of
-    its approximate quantiles: running counts are windows inside a bucket plus the totals of the buckets before it, so a
-    feature over all samples is never one task's work.
+    ``long`` has one row per sample and feature (``by``); missing values and rows of other labels take no part; neighbouring values must differ by
+    more than twice the float epsilon to be cut between, at their midpoint. A feature's values are counted by ``buckets`` bins, and only bins that may hold the best cut are
+    sorted (``cuts.best_cuts``), so a feature over all samples is never one task's work.
     """
-    known = long.where(F.col(x).isNotNull() & ~F.isnan(x))
-    size = F.col(weight) if weight else F.lit(1)
-    values = known.groupBy(*by, x).agg(*[F.sum(F.when(F.col(label) == v, size).otherwise(0)).cast("double").alias(f"n{i}") for i, v in enumerate(labels)])
-    n = [f"n{i}" for i in range(len(labels))]
-    steps = [i / buckets for i in range(1, buckets)]
-    bounds = known.groupBy(*by).agg(F.array_distinct(F.percentile_approx(x, F.array(*map(F.lit, steps)), 1000)).alias("_bounds"))
-    placed = values.join(bounds, by).withColumn("_b", F.size(F.filter("_bounds", lambda b: b < F.col(x)))).drop("_bounds")
-    inside = Window.partitionBy(*by, "_b").orderBy(x)
-    totals = placed.groupBy(*by, "_b").agg(*[F.sum(c).alias(f"s_{c}") for c in n], F.min(x).alias("_first"))
-    over = Window.partitionBy(*by).orderBy("_b")
-    before = totals.select(
-        *by, "_b", F.lead("_first").over(over).alias("_after"), *[F.coalesce(F.sum(f"s_{c}").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias(f"p_{c}") for c in n],
-        *[F.sum(f"s_{c}").over(Window.partitionBy(*by)).alias(f"t_{c}") for c in n],
-    )
-    running = placed.select("*", F.lead(x).over(inside).alias("_next"), *[F.sum(c).over(inside.rowsBetween(Window.unboundedPreceding, 0)).alias(f"r_{c}") for c in n])
-    scan = running.join(before, [*by, "_b"]).withColumn("_next", F.coalesce("_next", "_after"))
-    left = [F.col(f"r_{c}") + F.col(f"p_{c}") for c in n]
-    right = [F.col(f"t_{c}") - l for c, l in zip(n, left)]
-    score = lambda counts: sum(c * c for c in counts) / F.nullif(sum(counts), F.lit(0.0))
-    cuts = scan.where(F.col("_next") > F.col(x) + 2 * 1.1920929e-07).select(*by, ((F.col(x) + F.col("_next")) / 2).alias("threshold"), (score(left) + score(right)).alias("quality"))
-    return cuts.groupBy(*by).agg(F.min_by("threshold", F.struct(-F.round("quality", 9), F.col("threshold"))).alias("threshold"), F.max("quality").alias("quality"))
+    found = cuts.best_cuts(long, by, x, label, labels, [(0, list(range(len(labels))))], [weight] if weight else None, max(buckets, cuts.BINS))
+    return found.select(*by, "threshold", "quality")
 
 
 def branch(x: Column, threshold: Column, default: str = "right") -> Column:
