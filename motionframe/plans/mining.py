@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..operators import mining as class_mining
-from ..operators import pairs, split
+from ..operators import cuts, pairs, split
 
 FIELDS = [(i, [(7 * i + 3 * k) % 32 for k in range(4)], [0.5, -1.0, 2.0, 0.25]) for i in range(8)]
 FLAGS = ["A", "N", "R"]
@@ -133,9 +133,7 @@ def best_split_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def two_class_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best cut's quality of every position for every pair of classes."""
-    points = schema.components(_series(spark, sf_dir))
-    both = points.withColumn("other", F.explode(F.filter(F.sequence(F.lit(0), F.lit(9)), lambda o: o != F.col("label")))).select("pos", "x", F.least("label", "other").alias("l1"), F.greatest("label", "other").alias("l2"), (F.col("label") < F.col("other")).cast("int").alias("first"))
-    found = split.best_split(both, ["pos", "l1", "l2"], "x", "first", [0, 1], 4)
+    found = cuts.pair_cuts(schema.components(_series(spark, sf_dir)), ["pos"], "x", "label", list(range(10)))
     return found.select("pos", "l1", "l2", _round(F.col("quality")).alias("quality"))
 
 
