@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import tiles
 from .cluster import dbscan, dtw_cost
 
 #: Segments whose envelopes bound a cost, series of a cell in one tile, pairs bounded at once, such blocks after which a task may stop bounding.
@@ -95,10 +96,16 @@ def warped_within(series: DataFrame, by: list[str], key: str, values: str, eps:
     return dtw_cost(near, [*by, "a", "b"], "x", "y").withColumnRenamed("cost", "d").where(F.col("d") <= F.lit(float(eps)))
 
 
+def tiled_within(series: DataFrame, by: list[str], key: str, values: str, eps: float) -> DataFrame:
+    """``warped_within``'s rows for series whose cells exclude few pairs: tiles meet in tasks, pairs are bounded there and left as soon as their paths cost too much; only pairs within the radius become rows."""
+    rows = series.where(F.col(values).isNotNull() & (F.size(values) > 0)).select(*by, key, values, F.lit(float(eps)).alias("_eps"))
+    return tiles.matrix(rows, by, key, values, tiles.by_warping(eps=float(eps)), within="_eps")
+
+
 def radius_clusters(series: DataFrame, by: list[str], key: str, values: str, eps: float, min_pts: int) -> DataFrame:
     """``by, a, cluster``: density clusters under warping at a given radius; no cost beyond it is needed, so none is worked out."""
     points = series.select(*by, F.col(key).alias("a"))
-    return dbscan(warped_within(series, by, key, values, eps), points, by, F.lit(float(eps)), min_pts)
+    return dbscan(tiled_within(series, by, key, values, eps), points, by, F.lit(float(eps)), min_pts)
 
 
 def cost_share(series: DataFrame, by: list[str], candidates: DataFrame) -> float:

@@ -61,3 +61,22 @@ def test_clusters_of_whole_series(spark):
     assert {(r.a, r.b, r.cost) for r in pairs.collect()} == {(r.a, r.b, round(r.d, 6)) for r in matrix.where(F.col("d") <= clustering.WARPED_EPS).collect()} and pairs.count() > 20
     expected = cluster.dbscan(matrix, series.select("label", F.col("vec_id").alias("a")), ["label"], F.lit(clustering.WARPED_EPS), 3)
     assert sorted(clustering.warped_density(spark, SF).collect()) == sorted(expected.collect())
+
+
+def test_pairs_are_left_early_and_never_rows(spark):
+    """Pairs that cost too much are left, the others have the cost of the plain way to the bit, and no pair of series is a row."""
+    from motionframe.operators import tiles
+
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(600, 32)), rng.normal(size=(600, 32))
+    y[::3] = x[::3] + rng.normal(size=(200, 32)) * 0.1
+    whole = tiles.warp_costs(x, y)
+    for most in (0.0, float(np.median(whole)), float(whole.max())):
+        early = tiles.warp_costs(x, y, most=most)
+        assert (early[whole <= most] == whole[whole <= most]).all() and (early[whole > most] > most).all()
+    df = spark.createDataFrame([(k % 2, k, [float(v) for v in s]) for k, s in enumerate(np.r_[x[:60], y[:60]])] + [(0, 999, None)], "label int, vec_id long, x array<double>")
+    eps = float(np.quantile(whole, 0.4)) / (32 * 2**0.5)
+    pairs = lambda d: {(r.label, r.a, r.b, r.d) for r in d.collect()}
+    found = warped_join.tiled_within(df, ["label"], "vec_id", "x", eps)
+    assert pairs(found) == pairs(warped_join.warped_within(df, ["label"], "vec_id", "x", eps)) and found.count()
+
