@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
-from . import cluster
+from . import cluster, tiles
 
 
 def _upper_median(rows: DataFrame, by: str, position: str, name: str) -> DataFrame:
@@ -134,11 +134,12 @@ def clustered_templates(series: DataFrame, by: list[str], key: str, values: str,
     checkpoint_dir(series.sparkSession)
     whole = series.where(~F.exists(values, lambda v: v.isNull() | F.isnan(v)))
     points = whole.select(*by, F.col(key).alias("a"))
-    distances = (cluster.dtw_matrix(whole, by, key, values, labels, table) if aware else cluster.dtw_matrix(whole, by, key, values)).checkpoint()
+    measure, extra = (tiles.by_warping(labels=labels, table=table), [labels]) if aware else (tiles.by_warping(), [])
     if eps is None:
-        member = cluster.dbscan(distances, points, by, settings=cluster.estimate_eps(distances, by, order, bins, points))
+        settings = tiles.estimate_eps(whole, by, key, values, measure, order, bins, points, extra)
     else:
-        member = cluster.dbscan(distances, points, by, F.lit(eps), 3)
+        settings = points.select(*by).distinct().withColumns({"eps": F.lit(float(eps)), "min_pts": F.lit(3)})
+    member = tiles.radius_clusters(whole, by, key, values, measure, settings, extra)
     named = whole.join(member.withColumnRenamed("a", key), [*by, key]).withColumn("_group", F.to_json(F.struct(*by, "cluster"))).checkpoint()
     shapes = labelled_barycentres(named, "_group", key, values, labels, table, lam if aware else None, rounds)
     held = shapes.groupBy("_group", "members").agg(F.array_sort(F.collect_list(F.struct("frame", "value", "label"))).alias("p"))

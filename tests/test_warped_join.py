@@ -80,3 +80,17 @@ def test_pairs_are_left_early_and_never_rows(spark):
     found = warped_join.tiled_within(df, ["label"], "vec_id", "x", eps)
     assert pairs(found) == pairs(warped_join.warped_within(df, ["label"], "vec_id", "x", eps)) and found.count()
 
+
+
+def test_templates_need_no_matrix(spark, monkeypatch):
+    """Clustered templates come from tiles, not from a row per pair."""
+    from motionframe.operators import templates
+
+    def refuse(*_, **__):
+        raise AssertionError("a row per pair")
+
+    monkeypatch.setattr(cluster, "dtw_matrix", refuse)
+    waves = [[float(v) for v in np.sin(np.linspace(0, 6, 20)) + k * 0.001] for k in range(5)]
+    df = spark.createDataFrame([(1, k, w, [1] * 10 + [2] * 10) for k, w in enumerate(waves)], "channel int, k int, x array<double>, m array<int>")
+    found = templates.clustered_templates(df, ["channel"], "k", "x", "m", cluster.label_table(2, 2.0), eps=0.2, rounds=2).collect()
+    assert [r.members for r in found] == [5] and found[0].labels == [1] * 10 + [2] * 10
