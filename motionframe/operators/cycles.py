@@ -34,16 +34,22 @@ def asof_nearest(left: DataFrame, right: DataFrame, by: list[str], t: str, left_
     return near.where(F.col("lid").isNotNull()).withColumn("m", best).select(*by, F.col("lid").alias(left_id), F.col("m.id").alias(right_id), F.col("m.gap").alias("gap"))
 
 
-def around(asked: DataFrame, frames: DataFrame, by: list[str], t: str, carry: list[str], width: float) -> DataFrame:
+def around(asked: DataFrame, frames: DataFrame, by: list[str], t: str, carry: list[str], width: float | None = None) -> DataFrame:
     """``asked`` with ``before`` and ``after``: structs of ``t`` and ``carry`` of the last frame not after and the first not before each asked time.
 
     Time is cut into buckets of ``width``. Windows look inside a bucket, and what lies beyond it is carried over from the neighbouring
-    buckets that have frames, so that no task sorts a whole sequence. Of frames at one time the one with the greatest ``carry`` counts.
+    buckets that have frames, so that no task sorts a whole sequence. Without a ``width`` a sequence is one bucket and nothing is carried. Of frames at
+    one time the one with the greatest ``carry`` counts.
     A null time has no neighbours.
     """
     here = F.struct(F.col(t).alias("t"), *carry)
     kind = frames.select(here.alias("f")).schema["f"].dataType
     axis = asked.withColumns({"_f": F.lit(None).cast(kind), "_asked": F.lit(True)}).unionByName(frames.select(*by, t, here.alias("_f"), F.lit(False).alias("_asked")), allowMissingColumns=True)
+    if width is None:
+        up, down = [Window.partitionBy(*by).orderBy(o, "_asked", "_f").rowsBetween(*_PAST) for o in (F.asc(t), F.desc(t))]
+        sides = {"before": F.last("_f", ignorenulls=True).over(up), "after": F.last("_f", ignorenulls=True).over(down)}
+        near = axis.withColumns({c: F.when(F.col(t).isNotNull(), side) for c, side in sides.items()}).where("_asked")
+        return near.select(*asked.columns, "before", "after")
     axis = axis.withColumn("_b", F.floor(F.col(t) / F.lit(float(width))))
     ends = axis.groupBy(*by, "_b").agg(F.max_by("_f", F.when(F.col("_f").isNotNull(), F.struct(-F.col(t), F.col("_f")))).alias("_lo"), F.max("_f").alias("_hi"))
     past, ahead = [Window.partitionBy(*by).orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.asc("_b"), F.desc("_b"))]

@@ -42,12 +42,12 @@ def standardise(frames: DataFrame, cycles: DataFrame, by: list[str], t: str, val
     The first row of a cycle has label 1 and the last ``labels``. Asked times are whole millionths, so that predicted durations' last bits decide no tie. One without any frame has null values and label. Times before ``earliest`` are not asked for.
     """
     keys = [*by, "cycle"]
+    cycles = cycles.repartition(*keys)  # rows are moved to their cycle once; asked times, copies and smoothed points are made where they are
     asked = cycles.select(*keys, "anchor", "duration", F.explode(F.sequence(F.lit(0), F.lit(length - 1))).alias("nth"))
     asked = asked.withColumn(t, F.round(F.col("anchor") + F.col("nth") * (F.col("duration") / F.lit(float(length))), 6)).where(F.col(t) >= earliest)
-    known = frames.select(*keys, t, F.col(values).alias("values"), F.col(label).cast("int").alias("label"))
-    wide = 1e15  # a cycle is one bucket
+    known = frames.select(*keys, t, F.col(values).alias("values"), F.col(label).cast("int").alias("label")).repartition(*keys)
 
-    near = _pick(around(asked, known, keys, t, ["values", "label"], wide), "m", F.col(t), "values", "label")
+    near = _pick(around(asked, known, keys, t, ["values", "label"]), "m", F.col(t), "values", "label")
     line = Window.partitionBy(*keys).orderBy("nth")
     close = F.col("m.gap") < tolerance
     since = F.col(t) - F.lag(t).over(line)
@@ -62,12 +62,13 @@ def standardise(frames: DataFrame, cycles: DataFrame, by: list[str], t: str, val
     every = known.join(cycles.select(*keys), keys).unionByName(copies)
     each = every.select(*keys, t, F.posexplode("values").alias("axis", "v"))
     filled = trajectory.fill_gaps(each, [*keys, "axis"], t, "v").withColumn("v", F.col("filled")).drop("filled")
-    smooth = trajectory.smooth_reach(filled, [*keys, "axis"], t, "v", reach).groupBy(*keys, "axis", "t").agg(F.min("smooth").alias("v"))
-    coordinates = smooth.groupBy(*keys, F.col("t").alias(t)).agg(F.map_from_entries(F.collect_list(F.struct("axis", "v"))).alias("at"))
-    named = every.groupBy(*keys, t).agg(F.min("label").alias("label"), F.max(F.size("values")).alias("n")).join(coordinates, [*keys, t], "left")
+    smooth = trajectory.smooth_reach(filled, [*keys, "axis"], t, "v", reach).select(*keys, F.col("t").alias(t), F.struct("axis", F.col("smooth").alias("v")).alias("p")).repartition(*keys)
+    each = every.select(*keys, t, "label", F.size("values").alias("n")).unionByName(smooth, allowMissingColumns=True)
+    each = each.groupBy(*keys, t, "p.axis").agg(F.min("label").alias("label"), F.max("n").alias("n"), F.min("p.v").alias("v"))
+    named = each.groupBy(*keys, t).agg(F.min("label").alias("label"), F.max("n").alias("n"), F.map_from_entries(F.collect_list(F.when(F.col("axis").isNotNull(), F.struct("axis", "v")))).alias("at"))
     named = named.select(*keys, t, "label", F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.try_element_at("at", i)).alias("values"))
 
-    picked = _pick(around(asked, named, keys, t, ["values", "label"], wide), "m", F.col(t), "values", "label")
+    picked = _pick(around(asked, named, keys, t, ["values", "label"]), "m", F.col(t), "values", "label")
     picked = picked.withColumn("m", F.when(F.col("m.gap") < 2 * tolerance, F.col("m")))
     share = F.coalesce(F.greatest((F.col("m.t") - F.col("anchor")) / F.col("duration"), F.lit(0.0)), (F.col(t) - F.col("anchor")) / F.col("duration"))
     rows = picked.withColumn("share", share).where(F.col("share") <= 1.0)
