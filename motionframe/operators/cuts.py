@@ -23,6 +23,9 @@ GAP = 2 * 1.1920929e-07
 #: Bins of an interval, rows of one that are sorted in one task, tables of at most so many rows that are sent to every task, classes whose corners are tried (more: every bin is looked into).
 BINS, FEW, SENT, CORNERS = 512, 65_536, 100_000, 10
 
+#: Neighbouring intervals of a group that are judged in one task at once.
+PART = 32
+
 #: Levels of bins after which what is left may be more than a tenth, and after which it may be any size.
 FINE, FINEST = 3, 8
 
@@ -82,9 +85,11 @@ def best_cuts(long: DataFrame, by: list[str], x: str, label: str, labels: list,
     nothing = F.array(*[F.lit(0.0)] * (len(w) * count))
     state = state.select(*by, F.lit(0).cast("long").alias("_s"), "lo", "hi", "n", nothing.alias("p"), "t", F.array(*[F.lit(-1.0)] * len(every)).alias("best"), F.array(*map(F.lit, every)).alias("live")).checkpoint()
 
-    def judge(pdf: pd.DataFrame) -> pd.DataFrame:
-        """The cuts between one group's bins that may be best, and the bins to be looked into."""
-        mine = pdf[by].iloc[:1]
+    def judge(pdf: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        """The cuts between bins of some of one group's intervals (``held``, in any order) that may be best, and the bins to be looked into."""
+        if not len(pdf) or not len(held):
+            return pd.DataFrame(columns=[*by, *columns])
+        mine, held = held[by].iloc[:1], held.sort_values("_s")
         places, row = np.unique(pdf["_s"].to_numpy() * bins + pdf["_bin"].to_numpy(), return_inverse=True)
         shape, at = (len(places), len(w), count), pdf["_c"].to_numpy()
         n, first, last = np.zeros(shape), np.full(shape, np.inf), np.full(shape, -np.inf)
@@ -98,12 +103,13 @@ def best_cuts(long: DataFrame, by: list[str], x: str, label: str, labels: list,
         np.maximum.at(hi, row, pdf["hi"].to_numpy(float, na_value=-np.inf))
         np.add.at(rows, row, pdf["n"].to_numpy(float))
         owner = places // bins
-        some = np.unique(row, return_index=True)[1]  # a row of each place
-        start = np.stack(pdf["p"].iloc[some].to_numpy()).reshape(shape)
-        total, best = np.asarray(pdf["t"].iloc[0], float).reshape(len(w), count), np.asarray(pdf["best"].iloc[0], float).copy()
-        live = np.zeros((len(places), len(every)), bool)
-        for k, r in enumerate(some):
-            live[k, np.asarray(pdf["live"].iloc[r], int)] = True
+        parent = np.searchsorted(held["_s"].to_numpy(), owner)
+        start = np.stack(held["p"].to_numpy()).reshape(-1, len(w), count)[parent]
+        total, best = np.asarray(held["t"].iloc[0], float).reshape(len(w), count), np.stack(held["best"].to_numpy()).max(axis=0)
+        asked = np.zeros((len(held), len(every)), bool)
+        for k, m in enumerate(held["live"]):
+            asked[k, np.asarray(m, int)] = True
+        live = asked[parent]
         run = np.cumsum(n, axis=0) - n
         before = start + run - run[np.searchsorted(owner, owner)]
         found, wanted = [], np.zeros(live.shape, bool)
@@ -138,8 +144,9 @@ def best_cuts(long: DataFrame, by: list[str], x: str, label: str, labels: list,
             out[c] = np.r_[np.full(k, np.nan), v]
         for c, v in lists.items():
             out[c] = pd.Series([None] * k + v, dtype=object)
-        return out[[*by, "question", "threshold", "quality", "_s", "lo", "hi", "n", "p", "t", "best", "live"]]
+        return out[[*by, *columns]]
 
+    columns = ["question", "threshold", "quality", "_s", "lo", "hi", "n", "p", "t", "best", "live"]
     form = f"{kinds}, question int, threshold double, quality double, _s long, lo double, hi double, n double, p array<double>, t array<double>, best array<double>, live array<int>"
 
     def bin_of(lo: Column, hi: Column) -> Column:  # rises with the value, whatever is rounded
@@ -169,7 +176,9 @@ def best_cuts(long: DataFrame, by: list[str], x: str, label: str, labels: list,
             F.min(finite).alias("lo"), F.max(finite).alias("hi"), F.count("*").cast("double").alias("n"), *[F.sum(c).alias(f"n{i}") for i, c in enumerate(w)],
             *[f(F.when(F.col(c) > 0, F.col("_x"))).alias(f"{name}{i}") for i, c in enumerate(w) for f, name in ((F.min, "a"), (F.max, "z"))],
         )
-        judged = counted.join(state.select(*by, "_s", "p", "t", "best", "live"), [*by, "_s"]).groupBy(*by).applyInPandas(judge, form).checkpoint()
+        part = F.floor(F.col("_s") / PART).alias("_part")  # what a task holds at once does not grow with a group
+        counted, facts = counted.select("*", part), state.select(*[F.col(c).alias(c) for c in [*by, "_s", "p", "t", "best", "live"]], part)  # columns of their own
+        judged = counted.groupBy(*by, "_part").cogroup(facts.groupBy(*by, "_part")).applyInPandas(judge, form).checkpoint()
         told.append(judged.where("question >= 0").select(*by, "question", "threshold", "quality"))
         state = judged.where("question < 0").drop("question", "threshold", "quality")
 

@@ -60,6 +60,32 @@ def test_cuts_by_weights_and_few_rows_sorted(spark):
     assert cuts.reach(a, b, total)[0] >= max(sum((s * s).sum() / s.sum() for s in (np.array([k, 9.0]), total - [k, 9.0])) for k in (3, 4, 5))
 
 
+def test_a_task_judges_part_of_a_group(spark, monkeypatch, tmp_path):
+    """A group's bins are judged some intervals at a time: what a task holds does not grow with the group."""
+    from pyspark.sql.pandas.group_ops import PandasCogroupedOps
+
+    log, apply = str(tmp_path / "rows"), PandasCogroupedOps.applyInPandas
+
+    def noted(self, run, schema):
+        def counted(left, right):
+            with open(log, "a") as out:
+                out.write(f"{len(left)}\n")
+            return run(left, right)
+
+        return apply(self, counted, schema)
+
+    monkeypatch.setattr(PandasCogroupedOps, "applyInPandas", noted)
+    monkeypatch.setattr(cuts, "PART", 3)
+    rng = np.random.default_rng(8)
+    x, c = rng.normal(size=3000), rng.integers(0, 2, 3000)
+    df = spark.createDataFrame([(0, float(a), int(b)) for a, b in zip(x, c)] + [(None, 1.0, 0), (None, 2.0, 1)], "g int, x double, y int")
+    found = {r.g: (r.threshold, r.quality) for r in cuts.best_cuts(df, ["g"], "x", "y", [0, 1], [(0, [0, 1])], bins=32, few=20).collect()}
+    t, q = plain(x, c, [0, 1])
+    assert found.keys() == {0} and found[0][0] == t and found[0][1] == pytest.approx(q, abs=1e-8)
+    rows = [int(v) for v in open(log)]
+    assert max(rows) <= 3 * 32 * 2 < sum(rows)
+
+
 def test_split_does_not_hang_on_where_rows_lie(spark):
     """The same rows give the same cut however they are dealt; values are not sketched by tasks."""
     rng = np.random.default_rng(7)
